@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import WordCache, text_chunks
+from .chunks import WordCache
 
 LENGTH = 1024
 #: What is left of a document after its full sequences is cut to pieces of so many tokens at most.
@@ -83,15 +84,24 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 _CACHES: dict[str, WordCache] = {}
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next above 255."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(rest)) for b in range(256)]
+
+
 def _cache(tokenizer: str) -> WordCache:
-    """One cache for each worker and vocabulary."""
+    """One cache for each worker and vocabulary, filled by the tokenizer's model word by word."""
     if tokenizer not in _CACHES:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
-        t.encode_special_tokens = True
-        _CACHES[tokenizer] = WordCache(lambda xs: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(xs, add_special_tokens=False)])
+        model, letters = Tokenizer.from_file(tokenizer).model, byte_letters()
+
+        def encode_word(word: str) -> bytes:
+            return array("I", [t.id for t in model.tokenize("".join([letters[b] for b in word.encode()]))]).tobytes()
+
+        _CACHES[tokenizer] = WordCache(encode_word, PATTERN)
     return _CACHES[tokenizer]
 
 
@@ -178,4 +188,4 @@ def sequences(tokens: DataFrame, placed: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["pack", "pack_documents", "pieces", "sequences", "text_chunks", "tokenize"]
+__all__ = ["pack", "pack_documents", "pieces", "sequences", "tokenize"]
