@@ -17,7 +17,8 @@ import numpy as np
 
 #: Rows up to which the columns stay in memory.
 MEMORY = 40_000_000
-END = 0  # symbol of a string's start; bytes are stored as byte + 1
+#: The symbol of a string's start, a byte that UTF-8 does not use; such rows stand last in an order by symbol.
+END = 255
 
 
 class Columns:
@@ -26,10 +27,10 @@ class Columns:
     def __init__(self, memory: int = MEMORY) -> None:
         self.memory, self.folder, self.made = memory, None, 0
 
-    def merge(self, old: np.ndarray, new: np.ndarray, at: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-        """``old`` with ``new`` at rows ``at`` of the result; ``fresh`` marks those rows."""
-        out = self._empty(len(fresh), old.dtype)
-        out[~fresh] = old
+    def merge(self, old: np.ndarray, new: np.ndarray, at: np.ndarray, stay: np.ndarray) -> np.ndarray:
+        """``old`` with ``new`` at rows ``at`` of the result; ``stay`` marks the other rows."""
+        out = self._empty(len(stay), old.dtype)
+        out[stay] = old
         out[at] = new
         return out
 
@@ -52,7 +53,7 @@ def least_between(lcp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     """min(lcp[lo + 1 .. hi]) for each pair; the work is the sum of the distances."""
     if not len(lo):
         return np.zeros(0, lcp.dtype)
-    order = np.argsort(-lo, kind="stable")  # falling starts: nothing between queries is read
+    order = np.argsort(-lo)  # falling starts: nothing between queries is read
     ends = hi[order] + 1
     idx = np.empty(2 * len(lo), np.int64)
     idx[::2], idx[1::2] = lo[order] + 1, ends
@@ -75,48 +76,51 @@ def collection(strings: list[bytes], memory: int = MEMORY) -> tuple[np.ndarray,
 
     def symbol(which: np.ndarray, r: int) -> np.ndarray:
         """The symbol before the suffix of length ``r``."""
-        out = np.zeros(len(which), np.uint16)
+        out = np.full(len(which), END, np.uint8)
         has = lengths[which] > r
-        out[has] = flat[ends[which[has]] - r - 1].astype(np.uint16) + 1
+        out[has] = flat[ends[which[has]] - r - 1]
         return out
 
+    longest = int(lengths.max(initial=0))
+    short = np.int16 if longest < 1 << 15 else np.int32
     store = Columns(memory)
     who = np.arange(m, dtype=np.int32)
-    bwt, lcp, of, size = symbol(who, 0), np.zeros(m, np.int32), who.copy(), np.zeros(m, np.int32)
+    bwt, lcp, of, size = symbol(who, 0), np.zeros(m, short), who.copy(), np.zeros(m, short)
     rows = np.arange(m)  # of the suffixes inserted last
     try:
-        for r in range(1, int(lengths.max(initial=0)) + 1):
-            live = bwt[rows] != END
-            rows = rows[live]
-            order = np.argsort(bwt, kind="stable")
-            rank = np.empty(len(bwt), np.int64)
-            rank[order] = np.arange(len(bwt))
-            ended = int(np.count_nonzero(bwt == END))
-            mine = rank[rows]
+        for r in range(1, longest + 1):
+            rows = rows[bwt[rows] != END]
+            by_symbol = np.argsort(bwt, kind="stable")
+            # the rows inserted last, by symbol and then by row: the order of the longer suffixes
             c = bwt[rows]
+            seq = np.argsort(c, kind="stable")
+            c, rows = c[seq], rows[seq]
+            sections = np.r_[0, np.cumsum(np.bincount(bwt, minlength=256))]
+            heads = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+            mine = np.empty(len(rows), np.int64)
+            for lo, hi in zip(heads, np.r_[heads[1:], len(rows)]):
+                a, z = sections[c[lo]], sections[c[lo] + 1]
+                mine[lo:hi] = a + np.searchsorted(by_symbol[a:z], rows[lo:hi])
             # all suffixes of the next list: the empty ones, then one for each symbol but END
-            at = mine - ended + m
-            seq = np.argsort(at, kind="stable")
-            at, mine, rows, c = at[seq], mine[seq], rows[seq], c[seq]
+            at = mine + m
 
-            before = np.maximum(mine - 1, 0)
-            p = order[before]
+            p = by_symbol[np.maximum(mine - 1, 0)]
             has_p = (mine > 0) & (bwt[p] == c)
-            after = np.minimum(mine + 1, len(order) - 1)
-            q = order[after]
-            has_q = (mine + 1 < len(order)) & (bwt[q] == c)
-            own = np.zeros(len(at), np.int32)
+            q = by_symbol[np.minimum(mine + 1, len(by_symbol) - 1)]
+            has_q = (mine + 1 < len(by_symbol)) & (bwt[q] == c)
+            own = np.zeros(len(at), short)
             own[has_p] = least_between(lcp, p[has_p], rows[has_p]) + 1
             nxt = least_between(lcp, rows[has_q], q[has_q]) + 1
 
             fresh = np.zeros(len(bwt) + len(at), bool)
             fresh[at] = True
+            stay = ~fresh
             whose = of[rows]
-            bwt = store.merge(bwt, symbol(whose, r), at, fresh)
-            lcp = store.merge(lcp, own, at, fresh)
+            bwt = store.merge(bwt, symbol(whose, r), at, stay)
+            lcp = store.merge(lcp, own, at, stay)
             lcp[at[has_q] + 1] = nxt
-            of = store.merge(of, whose, at, fresh)
-            size = store.merge(size, np.full(len(at), r, np.int32), at, fresh)
+            of = store.merge(of, whose, at, stay)
+            size = store.merge(size, np.full(len(at), r, short), at, stay)
             rows = at
         return tuple(np.array(x) for x in (bwt, lcp, of, size))
     finally:

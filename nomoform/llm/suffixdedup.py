@@ -25,7 +25,7 @@ SPAN, K = 100, 20
 #: Bytes of text that a map task holds at a time, and the longest piece of one document.
 BLOCK = 6_000_000
 #: Symbols of a collection; only segments of one minimizer may make it larger.
-SYMBOLS = 1_500_000
+SYMBOLS = 300_000
 NO_ID = -(1 << 63) + 1
 _BYTES = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15

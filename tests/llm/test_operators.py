@@ -66,7 +66,7 @@ def test_collection_is_sorted_with_prefixes():
             return n
 
         assert lcp.tolist() == [0] + [common(x[0], y[0]) for x, y in zip(suffixes, suffixes[1:])]
-        before = [strings[j][len(strings[j]) - r - 1] + 1 if r < len(strings[j]) else 0 for _, j, r in suffixes]
+        before = [strings[j][len(strings[j]) - r - 1] if r < len(strings[j]) else bwt.END for _, j, r in suffixes]
         assert b.tolist() == before
 
 
