@@ -136,7 +136,7 @@ def order_minhash(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = with_next(docs, buckets)
-    dealt = rows.repartition(buckets, "bucket").sortWithinPartitions(
+    dealt = rows.repartitionByRange(buckets, "bucket").sortWithinPartitions(
         F.desc("bucket"), "guest", F.col("doc_id").desc_nulls_last(), F.desc("text")
     )
 
