@@ -19,10 +19,8 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .chunks import text_chunks
-from .common import cut
 
 #: A block ends at so many characters or documents.
 BLOCK_CHARS, BLOCK_DOCS = 12_000_000, 4096
@@ -48,7 +46,8 @@ def explode_words(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
 
     part -1: a document; ``data`` holds, for each position, the number of its
     word. part 0 and up: the distinct words of a block that hash to this part;
-    ``data`` holds the words, ``codes`` their numbers.
+    ``data`` holds the words, ``codes`` their numbers. ``place`` is where a row
+    meets others: documents of a block, or the words of a part.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -69,18 +68,18 @@ def explode_words(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
             order = np.argsort(-counts, kind="stable")
             rank = np.empty(len(order), "<u4")
             rank[order] = np.arange(len(order))
-            rows = [(name, i, -1, zstandard.compress(rank[c].tobytes(), 1), b"") for i, c in zip(ids, codes)]
+            rows = [(name, name, i, -1, zstandard.compress(rank[c].tobytes(), 1), b"") for i, c in zip(ids, codes)]
             words = [w.encode() for w in numbers]
             to = np.array([zlib.crc32(w) % parts for w in words], np.int64)
             for p in np.unique(to):
                 own = np.flatnonzero(to == p)
-                rows.append((name, None, int(p), _pack([words[j] for j in own]), zstandard.compress(rank[own].tobytes(), 1)))
+                rows.append((f"part-{p}", name, None, int(p), _pack([words[j] for j in own]), zstandard.compress(rank[own].tobytes(), 1)))
             numbers, ids, codes, chars, digest = {}, [], [], 0, hashlib.md5()
             for at in range(0, len(rows), 256):
                 cols = list(zip(*rows[at : at + 256]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cols[0]), pa.array(cols[1], id_type), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.binary()), pa.array(cols[4], pa.binary())],
-                    ["block", "doc_id", "part", "data", "codes"],
+                    [pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2], id_type), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary()), pa.array(cols[5], pa.binary())],
+                    ["place", "block", "doc_id", "part", "data", "codes"],
                 )
 
         for b in batches:
@@ -104,7 +103,7 @@ def explode_words(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
         if ids:
             yield from block()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"block string, doc_id {kind}, part int, data binary, codes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"place string, block string, doc_id {kind}, part int, data binary, codes binary")
 
 
 _RANKS: dict[str, dict[bytes, int]] = {}
@@ -119,8 +118,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """block, part, the words' codes and ids; every distinct word of a part is encoded once."""
-    parts_col = "part"
+    """block, the words' codes and ids; every distinct word of a part is encoded once.
+
+    ``words``: rows of explode_words, all of one part in one partition.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
@@ -130,7 +131,7 @@ def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         part = None
         for pdf in batches:
             out = []
-            for p, data in zip(pdf[parts_col], pdf["data"]):
+            for p, data in zip(pdf["part"], pdf["data"]):
                 if p != part:
                     known, part = {}, p
                 items = []
@@ -139,45 +140,45 @@ def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                         x = known[w] = np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes()
                     items.append(x)
                 out.append(_pack(items))
-            yield pd.DataFrame({"block": pdf["block"], "doc_id": None, "part": pdf[parts_col], "data": out, "codes": pdf["codes"]})
+            yield pd.DataFrame({"block": pdf["block"], "ids": out, "codes": pdf["codes"]})
 
-    dealt = words.repartition("part").sortWithinPartitions("part", "block")
-    return dealt.mapInPandas(run, words.schema)
+    return words.sortWithinPartitions("part", "block").mapInPandas(run, "block string, ids binary, codes binary")
 
 
-def reassemble(rows: DataFrame, ranks_path: str) -> DataFrame:
+def reassemble(docs: DataFrame, encoded: DataFrame, ranks_path: str) -> DataFrame:
     """doc_id, ids (little-endian 32-bit, by position) and decoded bytes of every document.
 
-    ``rows``: documents and encoded words by block, words first.
+    ``docs`` and ``encoded`` meet by block, whose size is bounded.
     """
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(own: pa.Table, words: pa.Table) -> pa.Table:
         ranks = load_ranks(ranks_path)
+        ids_of: dict[int, bytes] = {}
+        for data, codes in zip(words.column("ids").to_pylist(), words.column("codes").to_pylist()):
+            ids_of.update(zip(np.frombuffer(zstandard.decompress(codes), "<u4").tolist(), _unpack(data)))
+        table = _token_bytes(ranks_path, ranks)
+        bytes_of = {k: b"".join(table[np.frombuffer(x, "<u4")]) for k, x in ids_of.items()}
+        ids_out, text_out = [], []
+        for data in own.column("data").to_pylist():
+            numbers = np.frombuffer(zstandard.decompress(data), "<u4").tolist()
+            ids_out.append(b"".join(map(ids_of.__getitem__, numbers)))
+            text_out.append(b"".join(map(bytes_of.__getitem__, numbers)))
+        return pa.table([own.column("doc_id").combine_chunks(), pa.array(ids_out, pa.binary()), pa.array(text_out, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return docs.groupBy("place").cogroup(encoded.groupBy("block")).applyInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+
+
+_TABLES: dict[str, np.ndarray] = {}
+
+
+def _token_bytes(path: str, ranks: dict[bytes, int]) -> np.ndarray:
+    if path not in _TABLES:
         table = np.empty(max(ranks.values()) + 1, object)
         for b, i in ranks.items():
             table[i] = b
-        block, ids_of, bytes_of = None, {}, {}
-        for batch in batches:
-            docs, ids_out, text_out = [], [], []
-            id_type = batch.schema.field(1).type
-            for name, doc, part, data, codes in zip(*(batch.column(c).to_pylist() for c in ("block", "doc_id", "part", "data", "codes"))):
-                if name != block:
-                    block, ids_of, bytes_of = name, {}, {}
-                if part >= 0:
-                    numbers = np.frombuffer(zstandard.decompress(codes), "<u4").tolist()
-                    items = _unpack(data)
-                    ids_of.update(zip(numbers, items))
-                    bytes_of.update((k, b"".join(table[np.frombuffer(x, "<u4")])) for k, x in zip(numbers, items))
-                    continue
-                numbers = np.frombuffer(zstandard.decompress(data), "<u4").tolist()
-                docs.append(doc)
-                ids_out.append(b"".join(map(ids_of.__getitem__, numbers)))
-                text_out.append(b"".join(map(bytes_of.__getitem__, numbers)))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, id_type), pa.array(ids_out, pa.binary()), pa.array(text_out, pa.binary())], ["doc_id", "ids", "decoded"])
-
-    dealt = rows.repartition("block").sortWithinPartitions("block", F.col("part") < 0, "part")
-    return dealt.mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
+        _TABLES[path] = table
+    return _TABLES[path]
 
 
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, parts: int | None = None) -> DataFrame:
@@ -186,12 +187,16 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, parts: int | N
     ``docs``: doc_id, text; other columns are ignored. A null text is empty and
     has no ids. Null and repeated doc_ids are documents like any other; equal
     rows give equal rows. An empty table gives no rows. ``parts`` is the number
-    of word partitions, by default that of shuffles.
+    of word partitions, by default three times that of shuffles.
+
+    Documents and words leave in one shuffle, which both sides then read: the
+    filters after it ask for the partition, so that they stay behind the shuffle
+    and Spark uses it again instead of making two.
     """
-    parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    exploded = cut(explode_words(docs, pattern, parts), "bpe-words")
-    encoded = encode_words(exploded.where("part >= 0"), ranks_path, pattern)
-    return reassemble(exploded.where("part < 0").unionByName(encoded), ranks_path)
+    shuffles = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = explode_words(docs, pattern, parts or 3 * shuffles).repartition(shuffles, "place")
+    encoded = encode_words(dealt.where("part >= 0 or spark_partition_id() < 0"), ranks_path, pattern)
+    return reassemble(dealt.where("part < 0 or spark_partition_id() < 0"), encoded, ranks_path)
 
 
 def digest(found: DataFrame, ranks_path: str) -> DataFrame:
