@@ -9,6 +9,8 @@ from .common import cut, let
 
 #: One rolling hash in so many ends a chunk.
 MEAN_LINES = 3
+#: A chunk is hot if more than one in so many repeated chunks, and at least HOT_ROWS, are copies of it.
+HOT_KEYS, HOT_ROWS = 1000, 1000
 #: A repeated chunk goes only if it has this many lines with a word.
 MIN_LINES = 2
 
@@ -57,17 +59,25 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 
     "Before" is a smaller doc_id, or an earlier chunk of the same document.
     Hashes are counted first, so only chunks that may repeat carry their bytes
-    into the comparison, which groups by the text itself.
+    into the comparison, which groups by the text itself. A hot chunk is dealt
+    over slices, and its count and first place are repeated for each. Hot
+    hashes are fewer than HOT_KEYS, as each has over that share of all copies,
+    so their broadcast is bounded at any size.
     """
     counted = F.size(F.filter(F.col("chunk"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     rows = docs.select("doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk_no", "chunk"))
     multi = rows.where(counted >= MIN_LINES).select("doc_id", "chunk_no", F.array_join("chunk", "\n").alias("body"))
     keyed = multi.select("doc_id", "chunk_no", F.xxhash64("body").alias("h"), "body")
-    often = keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    maybe = cut(keyed.join(often, "h", "left_semi"), "line-chunks")
+    often = cut(keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "line-counts")
+    limit = max(HOT_ROWS, (often.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    sliced = often.select("h", F.ceil(F.col("n") / limit).cast("int").alias("slices"))
+    slices = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
+    own = F.pmod(F.xxhash64("doc_id", "chunk_no"), F.col("slices")).cast("int")
+    dealt = keyed.join(F.broadcast(sliced.where("slices > 1")), "h", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("slice", own)
+    maybe = cut(dealt.join(sliced.select("h", slices), ["h", "slice"], "left_semi"), "line-chunks")
     at = F.struct("doc_id", "chunk_no")
-    first = maybe.groupBy("h", "body").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = maybe.join(first, ["h", "body"]).where(at > F.col("first"))
+    first = maybe.groupBy("h", "body").agg(F.min(at).alias("first"), F.max("slices").alias("slices"), F.count("*").alias("n")).where("n > 1")
+    later = maybe.join(first.select("h", "body", "first", slices), ["h", "slice", "body"]).where(at > F.col("first"))
     return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("chunk_no")).alias("drop"))
 
 

@@ -370,3 +370,13 @@ def test_quality_keeps_clean_documents(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     clean = rows.where("not base_failed and n_symbols * 20 < n_words").join(labels.where("quality = 1"), "doc_id")
     assert clean.where("not kept").count() <= 0.05 * clean.count()
+
+
+def test_line_dedup_slices_of_hot_chunks_change_nothing(spark, monkeypatch):
+    rows = [(i, f"a b\nc d\ne f\ng h\ni {i % 7}\nk l\n m n o p q") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, linededup.line_dedup(docs).collect()))
+    monkeypatch.setattr(linededup, "HOT_KEYS", 2)
+    monkeypatch.setattr(linededup, "HOT_ROWS", 3)
+    assert sorted(map(tuple, linededup.line_dedup(docs).collect())) == whole
+    assert len(whole) == 60 and sum(r[-1] for r in whole) > 60
