@@ -134,7 +134,7 @@ def training_sample(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = M
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_lang / r["count"])])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) / 1_000_000
     rows = labelled.where(draw < F.element_at(share, F.col("lang"))).select("text", "lang", F.xxhash64("doc_id", F.lit(4)).alias("o"), "doc_id")
-    got = rows.limit(max_rows).collect()
+    got = rows.orderBy("o", "doc_id").limit(max_rows).collect()
     got.sort(key=lambda r: (r["o"], r["doc_id"], r["text"]))
     return [r["text"] for r in got], [r["lang"] for r in got]
 
