@@ -13,6 +13,8 @@ MEAN_LINES = 3
 HOT_KEYS, HOT_ROWS = 1000, 1000
 #: A repeated chunk goes only if it has this many lines with a word.
 MIN_LINES = 2
+#: A line with a word.
+WORDED = r"[^\x20\x09-\x0D]"
 
 
 def _number(text: Column) -> Column:
@@ -54,31 +56,52 @@ def chunks(text: Column) -> Column:
     return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), cuts)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, drop (numbers of the chunks that occur before): documents that lose a chunk.
-
-    "Before" is a smaller doc_id, or an earlier chunk of the same document.
-    Hashes are counted first, so only chunks that may repeat carry their bytes
-    into the comparison, which groups by the text itself. A hot chunk is dealt
-    over slices, and its count and first place are repeated for each. Hot
-    hashes are fewer than HOT_KEYS, as each has over that share of all copies,
-    so their broadcast is bounded at any size.
+def _with_key(docs: DataFrame) -> DataFrame:
+    """doc_id, text and two hashes of the text: rows that share them and the doc_id lose the same lines."""
+    return docs.select("doc_id", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), "text")
+
+
+def repeated(units: DataFrame, at: Column) -> DataFrame:
+    """The rows of ``units`` whose body occurs before, in the order of ``at``.
+
+    ``units``: doc_id, t1, t2, no, body and any others. Hashes are counted
+    first, so only bodies that may repeat are carried into the comparison, which
+    groups by the text itself. A hot body is dealt over slices, and its count
+    and first place are repeated for each. Hot hashes are fewer than HOT_KEYS,
+    as each has over that share of all copies, so their broadcast is bounded at
+    any size.
     """
-    counted = F.size(F.filter(F.col("chunk"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    rows = docs.select("doc_id", F.posexplode(chunks(F.col("text"))).alias("chunk_no", "chunk"))
-    multi = rows.where(counted >= MIN_LINES).select("doc_id", "chunk_no", F.array_join("chunk", "\n").alias("body"))
-    keyed = multi.select("doc_id", "chunk_no", F.xxhash64("body").alias("h"), "body")
+    keyed = units.withColumn("h", F.xxhash64("body"))
     often = cut(keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "line-counts")
     limit = max(HOT_ROWS, (often.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
     sliced = often.select("h", F.ceil(F.col("n") / limit).cast("int").alias("slices"))
     slices = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
-    own = F.pmod(F.xxhash64("doc_id", "chunk_no"), F.col("slices")).cast("int")
+    own = F.pmod(F.xxhash64("doc_id", "t1", "no"), F.col("slices")).cast("int")
     dealt = keyed.join(F.broadcast(sliced.where("slices > 1")), "h", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("slice", own)
     maybe = cut(dealt.join(sliced.select("h", slices), ["h", "slice"], "left_semi"), "line-chunks")
-    at = F.struct("doc_id", "chunk_no")
     first = maybe.groupBy("h", "body").agg(F.min(at).alias("first"), F.max("slices").alias("slices"), F.count("*").alias("n")).where("n > 1")
-    later = maybe.join(first.select("h", "body", "first", slices), ["h", "slice", "body"]).where(at > F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("chunk_no")).alias("drop"))
+    return maybe.join(first.select("h", "body", "first", slices), ["h", "slice", "body"]).where(at > F.col("first"))
+
+
+def _rejoin(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    """``docs`` with _drop, the column drop of ``drops`` for the row's doc_id and text, null ids included."""
+    d = drops.select(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("drop").alias("_drop"))
+    same = docs["doc_id"].eqNullSafe(d["_doc"]) & (F.xxhash64(docs["text"]) == d["_t1"]) & (F.hash(docs["text"]) == d["_t2"])
+    return docs.join(d, same, "left").drop("_doc", "_t1", "_t2")
+
+
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, t1, t2, drop (numbers of the chunks that occur before): rows that lose a chunk.
+
+    "Before" is a smaller doc_id (a null one is the largest), or an earlier
+    chunk of the same doc_id. t1 and t2 are hashes of the row's text, as rows
+    may share a doc_id.
+    """
+    counted = F.size(F.filter(F.col("chunk"), lambda x: x.rlike(WORDED)))
+    rows = _with_key(docs).select("doc_id", "t1", "t2", F.posexplode(chunks(F.col("text"))).alias("no", "chunk"))
+    multi = rows.where(counted >= MIN_LINES).select("doc_id", "t1", "t2", "no", F.array_join("chunk", "\n").alias("body"))
+    later = repeated(multi, F.struct(F.col("doc_id").isNull(), "doc_id", "no"))
+    return later.groupBy("doc_id", "t1", "t2").agg(F.array_sort(F.collect_set("no")).alias("drop"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -86,13 +109,12 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     ``docs``: doc_id and text; other columns pass through. Adds n_lines,
     n_removed_lines, n_removed_chunks and replaces text by what is left, chunks
-    joined by newlines. A null text stays null. A repeated doc_id counts as one
-    document: its equal chunks at equal places are all first. A null doc_id
-    sorts before all others. Chunks with fewer than MIN_LINES lines that hold a
+    joined by newlines. A null text stays null. Rows that share a doc_id are told
+    apart by their text; their equal chunks at equal places are all first. A
+    null doc_id sorts after all others. Chunks with fewer than MIN_LINES lines that hold a
     word stay. An empty table gives no rows.
     """
-    drops = cut(repeated_chunks(docs), "line-drops").select(F.col("doc_id").alias("_doc"), F.col("drop").alias("_drop"))
-    joined = docs.join(drops, docs["doc_id"].eqNullSafe(drops["_doc"]), "left").drop("_doc")
+    joined = _rejoin(docs, cut(repeated_chunks(docs), "line-drops"))
     parts = let(
         chunks(F.col("text")),
         lambda c: F.struct(

@@ -380,3 +380,20 @@ def test_line_dedup_slices_of_hot_chunks_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(linededup, "HOT_ROWS", 3)
     assert sorted(map(tuple, linededup.line_dedup(docs).collect())) == whole
     assert len(whole) == 60 and sum(r[-1] for r in whole) > 60
+
+
+def test_line_dedup_tells_rows_of_one_id_apart(spark, tmp_path):
+    line = [f"line {i} of text" for i in range(400)]
+    shared = "\n".join(line[:30])
+    texts = [(5, shared)]
+    for d in (None, 9):  # one row repeats document 5, the others with its id have lines of their own at the same places
+        texts += [(d, shared + f"\nend {d}")] + [(d, "\n".join(line[40 * k + 40 : 40 * k + 70]) + f"\nown {d}") for k in range(3)]
+    texts = [(d, t if d is None or t.startswith(line[0]) else t.replace("line", "other")) for d, t in texts]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(queries.oracle_sql()["op10_line_dedup"]).fetchall()
+    assert sorted(map(tuple, queries.op10_line_dedup(spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
+    kept = [r["text"] for r in linededup.line_dedup(docs).collect()]
+    assert sum(t in kept for _, t in texts) == 7
