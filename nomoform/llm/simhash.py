@@ -178,5 +178,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Exactly one row of each component of near-duplicates, with all its columns.
+
+    The one with the smallest doc_id stays; a null doc_id comes after all
+    others, and rows that share one follow a hash of the whole row. Of equal
+    rows one stays. The key of a row is that order itself, so rows are told
+    apart whatever their doc_ids.
+    """
+    row = F.md5(F.to_json(F.struct(*docs.columns)))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), row.alias("row"))
+    groups = near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    first = groups.select(F.col("component_id.row").alias("_row")).distinct()
+    return docs.withColumn("_row", row).join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -55,3 +55,14 @@ def test_secrets_are_gone(staged):
 def test_packing(staged):
     assert check_packing(texts_of(staged[4]), staged[5].collect()) > 0.98
     assert public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_one_of_each_group_stays_whatever_the_ids(spark):
+    texts = [" ".join(f"w{(7 * k + i) % 97 + 100 * k}" for i in range(60)) for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (8, texts[3].upper()), (None, texts[2]), (1, texts[4]), (1, texts[5])]
+    rows = [(d, t, lang, "s", len(t)) for d, t in rows for lang in ("en", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_dedup(spark, docs, SF)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=repr) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (1, texts[4]), (1, texts[5])], key=repr)
