@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -66,14 +66,19 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int = LENGTH) -> tuple[np.
     return bins, offsets
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n and ids of every whole text, ``end_id`` appended; ids are little-endian 32-bit."""
+def tokenize(docs: DataFrame, tokenizer: str, end_id: int, added: bool = False) -> DataFrame:
+    """doc_id, n and ids of every whole text, ``end_id`` appended; ids are little-endian 32-bit.
+
+    With ``added``, added tokens of the vocabulary that a text spells out get
+    their own ids, as the tokenizer gives them by default; otherwise they are
+    words like any other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _cache(tokenizer)
+        encode = _whole_encoder(tokenizer) if added else _cache(tokenizer).encode
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            ids = [cache.encode(t or "") + end for t in b.column(1).to_pylist()]
+            ids = [encode(t or "") + end for t in b.column(1).to_pylist()]
             n = pa.array([len(x) // 4 for x in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
 
@@ -105,6 +110,21 @@ def _cache(tokenizer: str) -> WordCache:
     return _CACHES[tokenizer]
 
 
+def _whole_encoder(tokenizer: str) -> Callable[[str], bytes]:
+    """Ids by word; a text that holds an added token goes through the tokenizer itself."""
+    from tokenizers import Tokenizer
+
+    whole, by_word = Tokenizer.from_file(tokenizer), _cache(tokenizer).encode
+    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+
+    def encode(text: str) -> bytes:
+        if any(s in text for s in special):
+            return array("I", whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return by_word(text)
+
+    return encode
+
+
 def pieces(tokens: DataFrame) -> DataFrame:
     """doc_id, n and, for each piece of the document in order, the CRC-32 of its ids."""
 
@@ -165,14 +185,14 @@ def pack(docs: DataFrame, n_docs: int) -> DataFrame:
     return dealt.groupBy("g").applyInPandas(run, out)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
-    """Tokenize every whole text and pack it.
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, added: bool = False) -> DataFrame:
+    """Tokenize every whole text, ``added`` as in :func:`tokenize`, and pack it.
 
     A null text is empty and has the end id alone. Null, repeated and extra
     columns: a null or repeated doc_id is a document like any other; other
     columns are ignored. An empty table gives no rows.
     """
-    return pack(pieces(tokenize(docs, tokenizer, end_id)), docs.count())
+    return pack(pieces(tokenize(docs, tokenizer, end_id, added)), docs.count())
 
 
 def sequences(tokens: DataFrame, placed: DataFrame) -> DataFrame:

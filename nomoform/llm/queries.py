@@ -67,7 +67,7 @@ def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path(VOCABULARY))
+    return packing.pack_documents(_documents(spark, sf_dir), public_tokenizers.path(VOCABULARY), added=True)
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -397,3 +397,14 @@ def test_line_dedup_tells_rows_of_one_id_apart(spark, tmp_path):
     assert sorted(map(tuple, queries.op10_line_dedup(spark, str(tmp_path)).collect()), key=repr) == sorted(want, key=repr)
     kept = [r["text"] for r in linededup.line_dedup(docs).collect()]
     assert sum(t in kept for _, t in texts) == 7
+
+
+def test_packing_query_gives_added_tokens_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y", "<|endoftext", "no token here", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(VOCAB)  # at its defaults
+    want = {d: t.encode(x or "", add_special_tokens=False).ids + [0] for d, x in enumerate(texts)}
+    got = {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in queries.op8_packing(spark, str(tmp_path)).collect()}
+    assert got == {d: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in want.items()}
