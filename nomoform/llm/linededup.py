@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines, in DataFrame functions only."""
+"""Line dedup in DataFrame functions only: by content-defined chunks of lines, and by all passages of lines."""
 
 from __future__ import annotations
 
@@ -139,3 +139,60 @@ def line_dedup(docs: DataFrame) -> DataFrame:
         )
         .drop("_p", "_drop")
     )
+
+
+def windows(text: Column) -> Column:
+    """Each line with a word up to the next such line, as an array of no, last (numbers of lines) and body."""
+
+    def found(lines: Column) -> Column:
+        return let(
+            F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORDED)),
+            lambda w: F.transform(
+                F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))),
+                lambda no, k: let(
+                    F.get(w, k + 1),
+                    lambda last: F.struct(no.alias("no"), last.alias("last"), F.array_join(F.slice(lines, no + 1, last - no + 1), "\n").alias("body")),
+                ),
+            ),
+        )
+
+    return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), found)
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """Remove every passage of two or more worded lines that occurred before, anywhere in the table.
+
+    A passage is found by its windows of two neighbouring worded lines, blank
+    lines between them included, so no boundary can hide one; blank lines at its
+    ends stay. "Before" is a smaller doc_id (a null one is the largest), then a
+    hash of the text, then an earlier line. A removed line has an equal one
+    before it, so the first of equal lines always stays. Rows with equal doc_id
+    and text count as one. Adds n_lines and n_removed_lines and replaces text;
+    other columns pass through. A null text stays null.
+    """
+    rows = _with_key(docs).select("doc_id", "t1", "t2", F.inline(windows(F.col("text"))))
+    later = repeated(rows, F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2", "no"))
+    gone = later.groupBy("doc_id", "t1", "t2").agg(F.flatten(F.collect_set(F.sequence("no", "last"))).alias("drop"))
+    joined = _rejoin(docs, cut(gone, "passage-drops"))
+    parts = let(
+        F.split("text", "\n", -1),
+        lambda lines: let(
+            F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_drop"),
+            lambda keep: F.struct(
+                (F.size(lines) - F.size(keep)).cast("long").alias("n_removed"),
+                F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n").alias("kept"),
+            ),
+        ),
+    )
+    lines = F.size(F.split("text", "\n", -1)).cast("long")
+    return (
+        joined.withColumn("_p", F.when(F.col("_drop").isNotNull(), parts))
+        .withColumns(
+            {
+                "n_lines": F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(lines),
+                "n_removed_lines": F.coalesce("_p.n_removed", F.lit(0).cast("long")),
+                "text": F.coalesce("_p.kept", "text"),
+            }
+        )
+        .drop("_p", "_drop")
+    )

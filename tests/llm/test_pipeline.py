@@ -1,5 +1,7 @@
 """The pipeline's stages, each against a brute-force version of its decision."""
 
+import random
+
 import public_tokenizers
 import pytest
 
@@ -66,3 +68,36 @@ def test_one_of_each_group_stays_whatever_the_ids(spark):
     assert kept.columns == corpus_pipeline.COLUMNS
     got = [(r["doc_id"], r["text"]) for r in kept.collect()]
     assert sorted(got, key=repr) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (1, texts[4]), (1, texts[5])], key=repr)
+
+
+def brute_passages(rows):
+    """doc_id -> text without the runs of two or more worded lines seen before; rows with unique ids."""
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        lines = (t or "").split("\n")
+        worded, gone = [i for i, x in enumerate(lines) if x.strip(" \t\n\v\f\r")], set()
+        for a, b in zip(worded, worded[1:]):
+            if (body := tuple(lines[a : b + 1])) in seen:
+                gone.update(range(a, b + 1))
+            seen.add(body)
+        out[d] = (t, "\n".join(x for i, x in enumerate(lines) if i not in gone), len(gone))
+    return {d: kept if n else t for d, (t, kept, n) in out.items() if not n or kept.strip(" \t\n\v\f\r")}
+
+
+def test_all_repeated_passages_go(staged):
+    want = brute_passages(texts_of(staged[1]))
+    assert dict(texts_of(staged[2])) == want and want != dict(texts_of(staged[1]))
+
+
+def test_passages_of_any_place_and_id_go(spark):
+    rng = random.Random(4)
+    pool = [f"line {i}" for i in range(25)] + ["", " \t"]
+    rows = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for d in range(150)] + [(900, None), (901, "a\na\na\na")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    run = lambda rs: texts_of(corpus_pipeline.line_dedup(spark, spark.createDataFrame([(*r, None, None, 0) for r in rs], schema).repartition(3), SF))
+    got = run(rows)
+    assert dict(got) == brute_passages(rows) and len(got) == len(dict(got))
+    body = "one a\ntwo b\nthree c"
+    got = sorted(t for _, t in run([(None, body + "\nend x"), (None, body + "\nend y"), (None, "own p\nown q\nown r")]))
+    own = "own p\nown q\nown r"
+    assert got in (sorted([body + "\nend x", "end y", own]), sorted(["end x", body + "\nend y", own]))
