@@ -4,8 +4,8 @@ All strings of a collection grow leftwards together: round r inserts the suffix
 of length r of every string that has one. The symbol before a suffix, counted
 up to its row, gives the row of the next longer suffix; its common prefixes
 with the rows around it are one more than the least common prefix between the
-two rows they come from. Beyond ``MEMORY`` rows the columns live in files that
-are read and written in order, round by round.
+two rows they come from. Beyond ``MEMORY`` rows the columns live in files of a
+shared folder, which each round reads and writes anew, in row order.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ END = 255
 class Columns:
     """Row-aligned arrays; new generations replace old ones, in files where they are large."""
 
-    def __init__(self, memory: int = MEMORY) -> None:
-        self.memory, self.folder, self.made = memory, None, 0
+    def __init__(self, memory: int = MEMORY, folder: str | None = None) -> None:
+        self.memory, self.parent, self.folder, self.made = memory, folder, None, 0
 
     def merge(self, old: np.ndarray, new: np.ndarray, at: np.ndarray, stay: np.ndarray) -> np.ndarray:
         """``old`` with ``new`` at rows ``at`` of the result; ``stay`` marks the other rows."""
@@ -35,10 +35,10 @@ class Columns:
         return out
 
     def _empty(self, n: int, kind: np.dtype) -> np.ndarray:
-        if n <= self.memory:
+        if n <= self.memory or self.parent is None:
             return np.empty(n, kind)
         if self.folder is None:
-            self.folder = tempfile.TemporaryDirectory()
+            self.folder = tempfile.TemporaryDirectory(dir=self.parent)
         self.made += 1
         path = Path(self.folder.name, f"{self.made % 16}.bin")
         path.unlink(missing_ok=True)
@@ -63,11 +63,11 @@ def least_between(lcp: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return out
 
 
-def collection(strings: list[bytes], memory: int = MEMORY) -> tuple[np.ndarray, ...]:
+def collection(strings: list[bytes], memory: int = MEMORY, folder: str | None = None) -> tuple[np.ndarray, ...]:
     """BWT, LCP, string number and suffix length of every suffix, in lexicographic order.
 
     Equal suffixes of different strings are in the order of their strings. The
-    empty suffixes come first.
+    empty suffixes come first. Without a ``folder`` the columns stay in memory.
     """
     m = len(strings)
     lengths = np.array([len(s) for s in strings], np.int64)
@@ -83,7 +83,7 @@ def collection(strings: list[bytes], memory: int = MEMORY) -> tuple[np.ndarray,
 
     longest = int(lengths.max(initial=0))
     short = np.int16 if longest < 1 << 15 else np.int32
-    store = Columns(memory)
+    store = Columns(memory, folder)
     who = np.arange(m, dtype=np.int32)
     bwt, lcp, of, size = symbol(who, 0), np.zeros(m, short), who.copy(), np.zeros(m, short)
     rows = np.arange(m)  # of the suffixes inserted last

@@ -14,14 +14,22 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is made only where none is named."""
+    """The folder that all executors share. One of its own is made only on a local master, where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def local_path(spark: SparkSession) -> str | None:
+    """The shared folder as a path of the file system, if it is one."""
+    folder = shared_dir(spark)
+    return folder.removeprefix("file://").removeprefix("file:") if folder.startswith(("/", "file:")) else None
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 

@@ -3,14 +3,25 @@
 Each 100-byte window has a minimizer, the k-mer in it with the smallest hash;
 equal windows have equal ones. Runs of windows with one minimizer make a
 segment, and segments are dealt out by minimizer, so all occurrences of a
-window meet in one task whatever documents they lie in. Equal segments
-collapse to their first occurrence before they are shuffled; the segments that
-are left and share a minimizer become a collection whose BWT and common
-prefixes (bwt.py) show the windows that occur before.
+window meet in one task whatever documents they lie in. Equal segments, told
+by a 128-bit digest of their bytes, collapse to their first occurrence before
+they are shuffled.
+
+A window reaches at least SIDE bytes to the left of its minimizer or more than
+that to the right, so two segments can share one only if they agree on one of
+these sides. Segments that do are cut there, each half is dealt out by
+minimizer and side, and the halves that meet become a collection whose BWT and
+common prefixes (bwt.py) show the windows that occur before.
+
+A minimizer that a great many different segments have, as one within a phrase
+found everywhere, would fill one task. Such minimizers are looked for in a
+sample of the documents, which decides only how their windows are dealt: each
+by a digest of its own bytes. The windows removed are the same either way.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,30 +30,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import collection
-from .common import cut
+from .common import cut, local_path
 
-SPAN, K = 100, 20
+SPAN, K, SIDE = 100, 20, 40
 #: Bytes of text that a map task holds at a time, and the longest piece of one document.
 BLOCK = 6_000_000
-#: Symbols of a collection; only segments of one minimizer may make it larger.
+#: Symbols of a collection; only segments of one minimizer and side may make it larger.
 SYMBOLS = 300_000
+#: Hot minimizers have at least HOT_ROWS segments and one in HOT_SHARE of all, so they are at most HOT_SHARE.
+HOT_ROWS, HOT_SHARE, SAMPLE = 1000, 1_000_000, 64
 NO_ID = -(1 << 63) + 1
 _BYTES = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = np.cumprod(np.full(BLOCK + SPAN + 1, _BASE, np.uint64))
-_INVERSE = np.cumprod(np.full(BLOCK + SPAN + 1, pow(_BASE, -1, 1 << 64), np.uint64))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Segments of concatenated documents: key, content hash, start in ``raw``, windows.
+def digests(raw: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the SHA-256 of each slice of ``raw``, as two columns."""
+    sha = hashlib.sha256
+    both = b"".join([sha(raw[a:b]).digest() for a, b in zip(start.tolist(), stop.tolist())])
+    words = np.frombuffer(both, np.int64).reshape(-1, 4)
+    return words[:, 0], words[:, 1]
 
-    ``ends`` holds, for each byte, where its document ends in ``raw``.
+
+def segments(raw: bytes, ends: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Segments of concatenated documents: key, c1, c2, left, right, start in ``raw``, windows, lefts.
+
+    ``ends`` holds, for each byte, where its document ends in ``raw``. c1 and c2
+    are the digest; left and right are hashes of the SIDE bytes beside the
+    minimizer, and the first ``lefts`` windows hold the left one, the others the
+    right one. Segments whose key is in ``hot`` (sorted) become single windows,
+    with their digest as the key.
     """
     n = len(raw) - SPAN + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    h = _BYTES[raw]
-    hashed = np.cumsum(h * _POWERS[: len(h)])
+        return tuple(np.zeros(0, np.int64) for _ in range(8))
+    h = _BYTES[np.frombuffer(raw, np.uint8)]
     h4 = h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:]
     h4 = h4[:-2] * np.uint64(0xA0761D6478BD642F) + h4[2:]
     h = h4[:-4] * np.uint64(0xE7037ED1A0B428DB) + h4[4:]
@@ -62,19 +84,33 @@ def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     start = np.flatnonzero(new)
     number = np.cumsum(new)
     windows = np.bincount(number[valid], minlength=len(start) + 1)[1:]
-    stop = start + windows + SPAN - 2
-    content = hashed[stop] - np.where(start > 0, hashed[start - 1], np.uint64(0))
-    content = content * _INVERSE[start] * np.uint64(_BASE)
-    content = (content ^ (content >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + windows.astype(np.uint64)
-    return (least[start] >> np.uint64(24)).astype(np.int64), content.view(np.int64), start, windows
-
-
-ROWS = "key long, content long, doc long, start long, windows long"
-_NAMES = ["key", "content", "doc", "start", "windows"]
+    at = (least[start] & low).astype(np.int64)
+    key = (h[at] >> np.uint64(1)).astype(np.int64)
+    if hot is not None and len(hot):
+        cut_up = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+        many = np.where(cut_up, windows, 1)
+        row = np.repeat(np.arange(len(start)), many)
+        start = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+        single = cut_up[row]
+        key, windows, at = key[row], np.where(single, 1, windows[row]), at[row]
+    c1, c2 = digests(raw, start, start + windows + SPAN - 1)
+    lefts = np.clip(at - SIDE - start + 1, 0, windows)
+    if hot is not None and len(hot):
+        key = np.where(single, c1 & np.int64((1 << 63) - 1), key)
+    last = len(h) - 1
+    side = lambda a: (h[np.clip(a, 0, last)] * _MIX + h[np.clip(a + SIDE - K, 0, last)]).view(np.int64)
+    return key, c1, c2, side(at - SIDE), side(at + K), start, windows, lefts
+
+
+ROWS = "key long, doc long, start long, windows long, c1 long, c2 long, left long, right long, lefts long"
+_NAMES = ["key", "doc", "start", "windows", "c1", "c2", "left", "right", "lefts"]
 
 
 def _batch(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], _NAMES)
+    """Rows of ROWS; columns that are not given are null."""
+    n = len(columns[0])
+    arrays = [pa.array(np.asarray(c, np.int64)) for c in columns] + [pa.nulls(n, pa.int64())] * (len(_NAMES) - len(columns))
+    return pa.RecordBatch.from_arrays(arrays, _NAMES)
 
 
 def _marks(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> pa.RecordBatch:
@@ -84,16 +120,31 @@ def _marks(doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> pa.Record
     new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > stop[:-1] + SPAN - 1)] if len(doc) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     far = np.maximum.reduceat(stop, first) if len(first) else stop
-    return _batch(np.full(len(first), -1), doc[first], doc[first], start[first], far - start[first])
+    return _batch(np.full(len(first), -1), doc[first], start[first], far - start[first])
+
+
+def _first(cols: list[np.ndarray]) -> np.ndarray:
+    """Sorted rows of ROWS: which are the first of their key and digest."""
+    key, c1, c2 = cols[0], cols[4], cols[5]
+    return np.r_[True, (key[1:] != key[:-1]) | (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])]
 
 
-def _split(key: np.ndarray, content: np.ndarray, doc: np.ndarray, start: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted rows: which are the first of their content."""
-    new_key = np.r_[True, key[1:] != key[:-1]]
-    return new_key | np.r_[True, content[1:] != content[:-1]], new_key
+def _halves(cols: list[np.ndarray]) -> pa.RecordBatch:
+    """Different segments of whole keys: their halves that share minimizer and side with another one's."""
+    key, doc, start, windows, _, _, left, right, lefts = cols
 
+    def shared(side: np.ndarray, has: np.ndarray, odd: int) -> tuple[np.ndarray, np.ndarray]:
+        code = ((key[has].view(np.uint64) * _MIX) ^ side[has].view(np.uint64)) * _MIX + np.uint64(odd)
+        _, back, count = np.unique(code, return_inverse=True, return_counts=True)
+        some = count[back] > 1
+        return (code[some] >> np.uint64(1)).astype(np.int64), np.flatnonzero(has)[some]
 
-def find_segments(docs: DataFrame) -> DataFrame:
+    lk, l = shared(left, lefts > 0, 0)
+    rk, r = shared(right, lefts < windows, 1)
+    return _batch(np.r_[lk, rk], np.r_[doc[l], doc[r]], np.r_[start[l], start[r] + lefts[r]], np.r_[lefts[l], windows[r] - lefts[r]])
+
+
+def find_segments(docs: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
     """Segments of every whole text, equal ones of a block of texts collapsed to the first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,18 +154,17 @@ def find_segments(docs: DataFrame) -> DataFrame:
         def block() -> Iterator[pa.RecordBatch]:
             sizes = np.array([len(p[2]) for p in parts])
             stops = np.cumsum(sizes)
-            raw = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
-            key, content, start, windows = segments(raw, np.repeat(stops, sizes))
+            key, c1, c2, left, right, start, windows, lefts = segments(b"".join(p[2] for p in parts), np.repeat(stops, sizes), hot)
+            if not len(key):
+                return
             which = np.searchsorted(stops, start, "right")
             doc = np.array([p[0] for p in parts], np.int64)[which]
             start = start - (stops - sizes)[which] + np.array([p[1] for p in parts], np.int64)[which]
-            o = np.lexsort((start, doc, content, key))
-            cols = [c[o] for c in (key, content, doc, start, windows)]
-            if not len(o):
-                return
-            first, _ = _split(*cols)
+            o = np.lexsort((start, doc, c2, c1, key))
+            cols = [c[o] for c in (key, doc, start, windows, c1, c2, left, right, lefts)]
+            first = _first(cols)
             yield _batch(*(c[first] for c in cols))
-            yield _marks(*(c[~first] for c in cols[2:]))
+            yield _marks(*(c[~first] for c in cols[1:4]))
 
         for b in batches:
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -132,28 +182,35 @@ def find_segments(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "text").mapInArrow(run, ROWS)
 
 
+def hot_keys(docs: DataFrame) -> np.ndarray:
+    """Minimizers that very many different segments share, at most HOT_SHARE, sorted; from one document in SAMPLE."""
+    some = find_segments(docs.where(F.pmod(F.xxhash64("doc", F.lit(9)), F.lit(SAMPLE)) == 0)).where("key <> -1")
+    counts = cut(some.groupBy("key").agg(F.count("*").alias("n")), "minimizer-sample")
+    least = max(HOT_ROWS, SAMPLE * (counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    return np.array(sorted(r["key"] for r in counts.where(F.col("n") * SAMPLE >= least).select("key").collect()), np.int64)
+
+
 def collapse(rows: DataFrame) -> DataFrame:
-    """Marks (key -1) for all but the first of equal segments; the first ones of minimizers with several."""
+    """Marks (key -1) for all but the first of equal segments, and the halves of segments that need comparison."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
         def whole(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             mark = cols[0] == -1
-            yield _batch(*(c[mark] for c in cols))
-            cols = [c[~mark] for c in cols]
+            if mark.any():
+                yield _batch(*(c[mark] for c in cols[:4]))
+                cols = [c[~mark] for c in cols]
             if not len(cols[0]):
                 return
-            first, new_key = _split(*cols)
-            yield _marks(*(c[~first] for c in cols[2:]))
-            key_no = np.cumsum(new_key) - 1
-            several = np.bincount(key_no[first])[key_no] > 1
-            yield _batch(*(c[first & several] for c in cols))
+            first = _first(cols)
+            yield _marks(*(c[~first] for c in cols[1:4]))
+            yield _halves([c[first] for c in cols])
 
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [np.asarray(c) for c in b.columns]
+            cols = [np.asarray(c.fill_null(0)) for c in b.columns]
             other = np.flatnonzero(cols[0] != cols[0][-1])
             if cols[0][-1] == -1:
                 yield from whole(cols)
@@ -165,16 +222,16 @@ def collapse(rows: DataFrame) -> DataFrame:
                 held.append(cols)
                 if len(held) > 64:  # equal segments need no more than their first row
                     cols = [np.concatenate(x) for x in zip(*held)]
-                    first, _ = _split(*cols)
-                    yield _marks(*(c[~first] for c in cols[2:]))
+                    first = _first(cols)
+                    yield _marks(*(c[~first] for c in cols[1:4]))
                     held = [[c[first] for c in cols]]
         if held:
             yield from whole([np.concatenate(x) for x in zip(*held)])
 
     spread = F.when(F.col("key") == -1, F.col("doc")).otherwise(F.lit(0))
     n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = rows.repartition(int(n), "key", spread).sortWithinPartitions("key", "content", "doc", "start")
-    return dealt.mapInArrow(run, ROWS)
+    dealt = rows.repartition(int(n), "key", spread).sortWithinPartitions("key", "c1", "c2", "doc", "start")
+    return dealt.mapInArrow(run, ROWS).select("key", "doc", "start", "windows")
 
 
 def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -196,9 +253,9 @@ def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key long, doc long, start long, bytes binary")
 
 
-def repeats_in(doc: np.ndarray, start: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def repeats_in(doc: np.ndarray, start: np.ndarray, strings: list[bytes], folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """doc and start of every window of a collection that occurs before."""
-    _, lcp, of, size = collection(strings)
+    _, lcp, of, size = collection(strings, folder=folder)
     lengths = np.array([len(s) for s in strings])
     same = lcp >= SPAN  # as the row before
     joined = same | np.r_[same[1:], False]
@@ -216,13 +273,14 @@ def repeats_in(doc: np.ndarray, start: np.ndarray, strings: list[bytes]) -> tupl
 
 
 def compare(cuts_: DataFrame) -> DataFrame:
-    """Marks for windows that occur before, from collections of segments with whole minimizers."""
+    """Marks for windows that occur before, from collections of halves with whole minimizers and sides."""
+    folder = local_path(cuts_.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc, start, strings, n = None, [], [], [], 0
 
         def flush() -> pa.RecordBatch:
-            d, at = repeats_in(np.array(doc, np.int64), np.array(start, np.int64), strings)
+            d, at = repeats_in(np.array(doc, np.int64), np.array(start, np.int64), strings, folder)
             return _marks(d, at, np.ones(len(d), np.int64))
 
         for b in batches:
@@ -238,12 +296,13 @@ def compare(cuts_: DataFrame) -> DataFrame:
         if strings:
             yield flush()
 
-    return cuts_.repartition("key").sortWithinPartitions("key", "doc", "start").mapInArrow(run, ROWS)
+    n = cuts_.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return cuts_.repartition(int(n), "key").sortWithinPartitions("key", "doc", "start").mapInArrow(run, ROWS).select("key", "doc", "start", "windows")
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
     """doc, start, windows: runs of 100-byte windows that occur before, in ``docs`` (doc, text not null)."""
-    both = cut(collapse(find_segments(docs)), "repeat-segments")
+    both = cut(collapse(find_segments(docs, hot_keys(docs))), "repeat-segments")
     found = cut(compare(cut_out(docs, both.where("key <> -1"))), "repeat-windows")
     return both.where("key = -1").unionByName(found).select("doc", "start", "windows")
 
@@ -295,4 +354,4 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["compare", "collapse", "digest", "find_segments", "removed_spans", "suffix_dedup"]
+__all__ = ["compare", "collapse", "digest", "find_segments", "hot_keys", "removed_spans", "suffix_dedup"]

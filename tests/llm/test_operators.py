@@ -51,11 +51,11 @@ def texts_of(df):
 # -- suffix dedup
 
 
-def test_collection_is_sorted_with_prefixes():
+def test_collection_is_sorted_with_prefixes(tmp_path):
     rng = random.Random(1)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 30))) for _ in range(40)] + [b"abab" * 5] * 3
     for memory in (1 << 20, 50):
-        b, lcp, of, size = bwt.collection(strings, memory)
+        b, lcp, of, size = bwt.collection(strings, memory, str(tmp_path))
         suffixes = sorted((s[len(s) - r :], j, r) for j, s in enumerate(strings) for r in range(len(s) + 1))
         assert [(strings[j][len(strings[j]) - r :], j, r) for j, r in zip(of.tolist(), size.tolist())] == suffixes
 
@@ -113,16 +113,41 @@ def test_suffix_dedup_of_edited_copies(spark, monkeypatch):
     check_suffix(rows, suffixdedup.digest(suffixdedup.suffix_dedup(df)).collect())
 
 
-def test_segments_split_at_block_ends(monkeypatch):
+def test_segments_do_not_depend_on_place():
     rng = np.random.default_rng(0)
-    raw = rng.integers(97, 101, 4000).astype(np.uint8)
-    key, content, start, windows = suffixdedup.segments(raw, np.full(4000, 4000))
-    assert windows.sum() == 4000 - 99
-    assert (start[1:] == start[:-1] + windows[:-1]).all()
-    twice = np.concatenate([raw, raw])
-    k2, c2, s2, w2 = suffixdedup.segments(twice, np.repeat([4000, 8000], 4000))
-    assert np.array_equal(k2[: len(key)], key) and np.array_equal(c2[: len(key)], content)
-    assert np.array_equal(c2[len(key) :], content) and np.array_equal(s2[len(key) :], start + 4000)
+    raw = rng.integers(97, 101, 4000).astype(np.uint8).tobytes()
+    one = suffixdedup.segments(raw, np.full(4000, 4000))
+    start, windows, lefts = one[5:]
+    assert windows.sum() == 4000 - 99 and (start[1:] == start[:-1] + windows[:-1]).all() and (lefts <= windows).all()
+    two = suffixdedup.segments(raw + raw, np.repeat([4000, 8000], 4000))
+    for a, b in zip(one[:5], two):  # sides that reach past a text's end do not count
+        inside = slice(1, -1)
+        assert np.array_equal(b[: len(a)][inside], a[inside]) and np.array_equal(b[len(a) :][inside], a[inside])
+    assert np.array_equal(two[5][len(start) :], start + 4000)
+    hot = suffixdedup.segments(raw, np.full(4000, 4000), np.unique(one[0]))
+    assert np.array_equal(hot[5], np.arange(3901)) and (hot[6] == 1).all()
+
+
+def test_suffix_dedup_compares_bytes(spark):
+    """Two texts without a common 100-byte string whose segments a polynomial modulo 2^64 takes for equal."""
+    swap = lambda a, b, n: "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+    t = [
+        "." * 8 + "".join(swap(x, y, 32) + "." * 4 if i != 2 else "xsmhdgmqlixgpcbnjlog" + "." * 4 for i, (x, y) in enumerate(pairs)) + "." * 8
+        for pairs in ([("^", "p"), ("v", "\\"), (0, 0), (".", "c"), ("`", "D")], [("p", "^"), ("\\", "v"), (0, 0), ("c", "."), ("D", "`")])
+    ]
+    rows = [(1, t[0]), (2, t[1])]
+    got = suffixdedup.digest(suffixdedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    check_suffix(rows, got)
+    assert all(r["n_removed"] == 0 for r in got)
+
+
+def test_hot_minimizers_change_nothing(spark, docs, monkeypatch):
+    some = docs.where("doc_id < 120").select("doc_id", "text")
+    want = sorted(map(tuple, suffixdedup.digest(suffixdedup.suffix_dedup(some)).collect()))
+    monkeypatch.setattr(suffixdedup, "HOT_ROWS", 3)
+    monkeypatch.setattr(suffixdedup, "SAMPLE", 2)
+    assert len(suffixdedup.hot_keys(some.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text")))) > 3
+    assert sorted(map(tuple, suffixdedup.digest(suffixdedup.suffix_dedup(some)).collect())) == want
 
 
 # -- SimHash
