@@ -148,12 +148,13 @@ def pack(docs: DataFrame, n_docs: int) -> DataFrame:
     """Place the pieces of documents in sequences of LENGTH.
 
     ``docs``: doc_id, n (tokens, at least 1) and crcs (one per piece). Documents
-    fall into groups of about GROUP by a seeded hash of doc_id and n, so a group
-    is bounded whatever the keys; each group is packed by itself. Returns a row
+    fall into groups of about GROUP by a seeded hash of doc_id, first CRC and the
+    row's place in the table, so equal rows are spread as well and a group is
+    bounded whatever the keys; each group is packed by itself. Returns a row
     per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
     groups = max(1, -(-n_docs // GROUP))
-    dealt = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", F.get("crcs", F.lit(0)), F.lit(SEED)), F.lit(groups)).cast("long"))
+    dealt = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", F.get("crcs", F.lit(0)), F.monotonically_increasing_id(), F.lit(SEED)), F.lit(groups)).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "n"], kind="stable")
