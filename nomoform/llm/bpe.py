@@ -18,14 +18,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .chunks import text_chunks
+from .chunks import Remembered, text_chunks
 
 #: A block ends at so many characters or documents.
 BLOCK_CHARS, BLOCK_DOCS = 12_000_000, 4096
 #: Chunks of text whose pre-tokens a worker remembers.
 REMEMBERED = 200_000
+#: Distinct words whose ids a task holds; a part with more encodes some of them again.
+KNOWN = 2_000_000
 
 
 def _pack(items: list[bytes]) -> bytes:
@@ -59,11 +62,13 @@ def explode_words(docs: DataFrame, pattern: str, parts: int) -> DataFrame:
         numbers: dict[str, int] = {}
         ids: list = []
         codes: list[np.ndarray] = []
-        chars, digest = 0, hashlib.md5()
+        chars, digest, made = 0, hashlib.md5(), 0
 
         def block() -> Iterator[pa.RecordBatch]:
             nonlocal numbers, ids, codes, chars, digest
-            name = digest.hexdigest()
+            nonlocal made
+            name = f"{TaskContext.get().partitionId()}-{made}-{digest.hexdigest()}"  # a rerun of the task gives the same names
+            made += 1
             counts = np.bincount(np.concatenate(codes), minlength=len(numbers)) if numbers else np.zeros(0, np.int64)
             order = np.argsort(-counts, kind="stable")
             rank = np.empty(len(order), "<u4")
@@ -118,7 +123,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """block, the words' codes and ids; every distinct word of a part is encoded once.
+    """block, the words' codes and ids; every distinct word of a part is encoded once, up to KNOWN of them.
 
     ``words``: rows of explode_words, all of one part in one partition.
     """
@@ -127,19 +132,16 @@ def encode_words(words: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         import tiktoken
 
         enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(ranks_path), special_tokens={})
-        known: dict[bytes, bytes] = {}
+        ids_of = lambda w: np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes()
+        known = Remembered(ids_of, KNOWN)
         part = None
         for pdf in batches:
             out = []
             for p, data in zip(pdf["part"], pdf["data"]):
                 if p != part:
-                    known, part = {}, p
-                items = []
-                for w in _unpack(data):
-                    if (x := known.get(w)) is None:
-                        x = known[w] = np.array(enc.encode_ordinary(w.decode()), "<u4").tobytes()
-                    items.append(x)
-                out.append(_pack(items))
+                    known.clear()
+                    part = p
+                out.append(_pack([known[w] for w in _unpack(data)]))
             yield pd.DataFrame({"block": pdf["block"], "ids": out, "codes": pdf["codes"]})
 
     return words.sortWithinPartitions("part", "block").mapInPandas(run, "block string, ids binary, codes binary")

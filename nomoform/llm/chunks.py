@@ -30,12 +30,12 @@ def text_chunks(text: str) -> list[str]:
 
 
 class Remembered(dict):
-    """What ``make`` gives for a string, kept for the last ``entries`` short strings or fewer."""
+    """What ``make`` gives for a string or bytes, kept for the last ``entries`` short ones or fewer."""
 
-    def __init__(self, make: Callable[[str], object], entries: int, longest: int = 64) -> None:
+    def __init__(self, make: Callable[[str | bytes], object], entries: int, longest: int = 64) -> None:
         self.make, self.entries, self.longest = make, entries, longest
 
-    def __missing__(self, key: str) -> object:
+    def __missing__(self, key: str | bytes) -> object:
         value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.entries:
