@@ -20,18 +20,22 @@ SIZES = (2, 3, 4)
 DIM = 16
 #: Bounds of the training sample: labelled rows per language, and in all.
 PER_LANG, MAX_ROWS = 300, 3000
-#: Characters of a text that one pass turns into subwords; a text has as many passes as it needs.
+#: Bytes of a text that one pass turns into subwords; a text has as many passes as it needs.
 BLOCK = 1 << 20
 UNKNOWN = "und"
 _SPACE = np.uint8(32)
 _FOLD = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], np.uint8)
 
 
-def subwords(text: str) -> Iterator[np.ndarray]:
-    """Buckets of the byte n-grams inside words, a space at each end included, block by block."""
-    for at in range(0, len(text), BLOCK):
-        raw = np.frombuffer((" " + text[at : at + BLOCK].lower() + " ").encode(), np.uint8)
-        c = _FOLD[raw]
+def subwords(text: str, block: int = BLOCK) -> Iterator[np.ndarray]:
+    """Buckets of the byte n-grams inside words, a space at each end included.
+
+    Long texts go block by block; a block's n-grams start in it and may end in
+    the next, so the blocks make no difference to the result.
+    """
+    raw = np.frombuffer((" " + text.lower() + " ").encode(), np.uint8)
+    for at in range(0, len(raw), block):
+        c = _FOLD[raw[at : at + block + max(SIZES) - 1]]
         space = c == _SPACE
         h = c.astype(np.uint32)
         out = []
@@ -44,7 +48,7 @@ def subwords(text: str) -> Iterator[np.ndarray]:
                 inside |= space[k : k + len(h)]
             if n == 2:
                 inside |= space[:-1] & space[1:]
-            good = h[~inside] if n in SIZES else h[:0]
+            good = h[:block][~inside[:block]] if n in SIZES else h[:0]
             out.append(((good * np.uint32(0x9E3779B1)) ^ np.uint32(n)) >> np.uint32(16))
         yield np.concatenate(out) if out else np.zeros(0, np.uint32)
 
@@ -100,8 +104,9 @@ def fit(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 8.0
     mean = lambda i: bags[i][1] @ emb[bags[i][0]]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
+        learn = rng.permutation(learn)
         for at in range(0, len(learn), batch):
-            rows = rng.permutation(learn)[:batch] if at == 0 else learn[at : at + batch]
+            rows = learn[at : at + batch]
             x = np.array([mean(i) for i in rows])
             g = softmax(x @ lin + bias)
             g[np.arange(len(rows)), y[rows]] -= 1
@@ -166,7 +171,11 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """``docs`` without the rows whose text is rejected; columns as they are."""
+    """``docs`` without the rows whose text is rejected; columns, of whatever names, as they are.
+
+    A null text or one without letters is rejected; repeated rows are judged
+    alike; an empty table gives no rows.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
