@@ -68,14 +68,15 @@ def _repeat_words(ws: Column) -> Column:
 def base_metrics(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every whole text; a null text has no words.
 
-    Windows of five words are told apart by a 64-bit hash of the words.
+    Windows of five words are told apart by a 64-bit hash of the words. lang and
+    source are marked by a sign, so that no value is taken for null or ANY.
     """
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return docs.select(
         "doc_id",
-        F.coalesce("lang", F.lit("")).alias("lang"),
-        F.coalesce("source", F.lit("")).alias("source"),
+        F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("lang"),
+        F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("source"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
