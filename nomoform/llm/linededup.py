@@ -1,4 +1,9 @@
-"""Line dedup in DataFrame functions only: by content-defined chunks of lines, and by all passages of lines."""
+"""Line dedup in DataFrame functions only: by content-defined chunks of lines, and by all passages of lines.
+
+Chunks are cheap, one row for about three lines, and find a repeated passage if
+a whole chunk lies in it, which short passages may miss. Windows of two lines
+cost a row for each line and find all passages.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +12,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, let
 
-#: One rolling hash in so many ends a chunk.
-MEAN_LINES = 3
+#: One line hash in so many lets a chunk end.
+BOUNDARY = 2
 #: A chunk is hot if more than one in so many repeated chunks, and at least HOT_ROWS, are copies of it.
 HOT_KEYS, HOT_ROWS = 1000, 1000
-#: A repeated chunk goes only if it has this many lines with a word.
+#: A chunk has at least this many lines with a word.
 MIN_LINES = 2
 #: A line with a word.
 WORDED = r"[^\x20\x09-\x0D]"
@@ -22,38 +27,50 @@ def _number(text: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """The chunks of a text, as an array of arrays of lines; joined by newlines they give the text.
-
-    The rolling hash of a line covers it and the line before it; a chunk ends
-    after a line whose hash is a multiple of MEAN_LINES. Insertions therefore
-    move only the boundaries next to them.
+    """The content-defined chunks of a text: array of no, a, b, body, before, after.
+
+    Lines a to b form a chunk and ``body``; ``before`` and ``after`` are the
+    lines of the chunks around it. Lines without a word count only between
+    others. Of lines next to each other whose hash is a multiple of BOUNDARY
+    every other one ends a chunk, so chunks have MIN_LINES worded lines, and an
+    insertion moves only the boundaries next to it. The first line and the last
+    but one end no chunk, and a text with one worded line has none.
     """
 
-    def cuts(lines: Column) -> Column:
-        def ends(hashes: Column) -> Column:
-            return F.filter(
-                F.transform(
-                    hashes,
-                    lambda h, i: F.when(
-                        (i == F.size(hashes) - 1) | ((31 * F.coalesce(F.get(hashes, i - 1), F.lit(0)) + h) % MEAN_LINES == 0), i
-                    ),
-                ),
-                lambda x: x.isNotNull(),
-            )
-
-        return let(
-            let(F.transform(lines, _number), ends),
-            lambda e: F.transform(
-                e,
-                lambda end, k: F.slice(
-                    lines,
-                    F.when(k == 0, F.lit(1)).otherwise(F.get(e, k - 1) + 2),
-                    end - F.when(k == 0, F.lit(-1)).otherwise(F.get(e, k - 1)),
+    def found(lines: Column) -> Column:
+        return let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORDED)), lambda w: F.when(F.size(w) >= MIN_LINES, split(lines, w)))
+
+    def split(lines: Column, w: Column) -> Column:
+        m = F.size(w)
+        places = F.sequence(F.lit(0), m - 1)
+        fixed = F.filter(places, lambda k: (k == 0) | (k >= m - 2) | (_number(F.get(lines, F.get(w, k))) % BOUNDARY != 0))
+        ends = let(
+            fixed,
+            lambda f: F.concat(
+                F.flatten(
+                    F.transform(
+                        f,
+                        lambda k, t: F.when(F.get(f, t + 1) - k >= 2, F.sequence(k + 1, F.get(f, t + 1) - 1, F.lit(2))).otherwise(F.array().cast("array<int>")),
+                    )
                 ),
+                F.array(m - 1),
             ),
         )
 
-    return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), cuts)
+        def cut_up(e: Column) -> Column:
+            first = lambda t: F.get(w, F.when(t == 0, F.lit(0)).otherwise(F.get(e, t - 1) + 1))
+            last = lambda t: F.get(w, F.get(e, t))
+            part = lambda t: F.when((t >= 0) & (t < F.size(e)), F.slice(lines, first(t) + 1, last(t) - first(t) + 1))
+            return F.transform(
+                F.sequence(F.lit(0), F.size(e) - 1),
+                lambda t: F.struct(
+                    t.alias("no"), first(t).alias("a"), last(t).alias("b"), F.array_join(part(t), "\n").alias("body"), part(t - 1).alias("before"), part(t + 1).alias("after")
+                ),
+            )
+
+        return let(ends, cut_up)
+
+    return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), found)
 
 
 def _with_key(docs: DataFrame) -> DataFrame:
@@ -61,10 +78,10 @@ def _with_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), "text")
 
 
-def repeated(units: DataFrame, at: Column) -> DataFrame:
-    """The rows of ``units`` whose body occurs before, in the order of ``at``.
+def repeated(units: DataFrame, at: Column, extra: list[str]) -> DataFrame:
+    """The rows of ``units`` whose body occurs before, in the order of ``at``, with first: the columns ``extra`` of its first row.
 
-    ``units``: doc_id, t1, t2, no, body and any others. Hashes are counted
+    ``units``: doc_id, t1, t2, no, body and ``extra``. Hashes are counted
     first, so only bodies that may repeat are carried into the comparison, which
     groups by the text itself. A hot body is dealt over slices, and its count
     and first place are repeated for each. Hot hashes are fewer than HOT_KEYS,
@@ -79,66 +96,76 @@ def repeated(units: DataFrame, at: Column) -> DataFrame:
     own = F.pmod(F.xxhash64("doc_id", "t1", "no"), F.col("slices")).cast("int")
     dealt = keyed.join(F.broadcast(sliced.where("slices > 1")), "h", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("slice", own)
     maybe = cut(dealt.join(sliced.select("h", slices), ["h", "slice"], "left_semi"), "line-chunks")
-    first = maybe.groupBy("h", "body").agg(F.min(at).alias("first"), F.max("slices").alias("slices"), F.count("*").alias("n")).where("n > 1")
-    return maybe.join(first.select("h", "body", "first", slices), ["h", "slice", "body"]).where(at > F.col("first"))
+    start = F.struct(at.alias("at"), F.struct(*extra).alias("first"))
+    first = maybe.groupBy("h", "body").agg(F.min(start).alias("f"), F.max("slices").alias("slices"), F.count("*").alias("n")).where("n > 1")
+    return maybe.join(first.select("h", "body", "f", slices), ["h", "slice", "body"]).where(at > F.col("f.at")).select(*units.columns, "f.first")
 
 
-def _rejoin(docs: DataFrame, drops: DataFrame) -> DataFrame:
-    """``docs`` with _drop, the column drop of ``drops`` for the row's doc_id and text, null ids included."""
-    d = drops.select(F.col("doc_id").alias("_doc"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("drop").alias("_drop"))
-    same = docs["doc_id"].eqNullSafe(d["_doc"]) & (F.xxhash64(docs["text"]) == d["_t1"]) & (F.hash(docs["text"]) == d["_t2"])
-    return docs.join(d, same, "left").drop("_doc", "_t1", "_t2")
+def _without(docs: DataFrame, gone: DataFrame, added: dict[str, Column]) -> DataFrame:
+    """``docs`` without the lines ``drop`` of ``gone`` for a row's doc_id and text, with n_lines, n_removed_lines and ``added``.
+
+    Texts and lines to drop meet by a shuffled hash join at every size; the
+    small side is never broadcast, so the plan is the same at any scale.
+    """
+    kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", *added)]
+    d = gone.select(F.struct(F.col("doc_id"), "t1", "t2").alias("k"), F.struct(*[c for c in gone.columns if c not in ("doc_id", "t1", "t2")]).alias("gone"))
+    rows = docs.select(F.struct(*kept_columns).alias("row"))
+    text = F.col("row.text")
+    same = F.col("row.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64(text) == F.col("k.t1")) & (F.hash(text) == F.col("k.t2"))
+    parts = let(
+        F.split(text, "\n", -1),
+        lambda lines: let(
+            F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone.drop")),
+            lambda keep: F.struct((F.size(lines) - F.size(keep)).cast("long").alias("n"), F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n").alias("kept")),
+        ),
+    )
+    joined = rows.join(d.hint("shuffle_hash"), same, "left").withColumn("part", F.when(F.col("gone").isNotNull(), parts))
+    lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
+    return joined.select(
+        *[F.coalesce("part.kept", "row.text").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in kept_columns],
+        lines.alias("n_lines"),
+        F.coalesce("part.n", F.lit(0).cast("long")).alias("n_removed_lines"),
+        *[c.alias(n) for n, c in added.items()],
+    )
+
+
+def _common(a: Column, b: Column, back: bool = False) -> Column:
+    """How many first (or last) lines two arrays share; null arrays share none."""
+    at = lambda x, i: F.get(x, F.size(x) - i if back else i - 1)
+    n = F.least(F.size(a), F.size(b))
+    differ = F.filter(F.sequence(F.lit(1), n), lambda i: at(a, i) != at(b, i))
+    return F.when(a.isNull() | b.isNull(), F.lit(0)).otherwise(F.coalesce(F.get(differ, F.lit(0)) - 1, n))
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, t1, t2, drop (numbers of the chunks that occur before): rows that lose a chunk.
+    """doc_id, t1, t2, chunks and drop (numbers of lines): rows that lose a chunk, and what they lose.
 
     "Before" is a smaller doc_id (a null one is the largest), or an earlier
-    chunk of the same doc_id. t1 and t2 are hashes of the row's text, as rows
+    chunk of the same doc_id. A chunk that occurs before goes, and with it the
+    lines around it, up to the chunk next to it, that are equal to those around
+    the chunk's first occurrence. t1 and t2 are hashes of the row's text, as rows
     may share a doc_id.
     """
-    counted = F.size(F.filter(F.col("chunk"), lambda x: x.rlike(WORDED)))
-    rows = _with_key(docs).select("doc_id", "t1", "t2", F.posexplode(chunks(F.col("text"))).alias("no", "chunk"))
-    multi = rows.where(counted >= MIN_LINES).select("doc_id", "t1", "t2", "no", F.array_join("chunk", "\n").alias("body"))
-    later = repeated(multi, F.struct(F.col("doc_id").isNull(), "doc_id", "no"))
-    return later.groupBy("doc_id", "t1", "t2").agg(F.array_sort(F.collect_set("no")).alias("drop"))
+    rows = _with_key(docs).select("doc_id", "t1", "t2", F.inline(chunks(F.col("text"))))
+    later = repeated(rows, F.struct(F.col("doc_id").isNull(), "doc_id", "no"), ["before", "after"])
+    lo = F.col("a") - _common(F.col("before"), F.col("first.before"), back=True)
+    hi = F.col("b") + _common(F.col("after"), F.col("first.after"))
+    return later.groupBy("doc_id", "t1", "t2").agg(F.count_distinct("no").alias("chunks"), F.flatten(F.collect_set(F.sequence(lo, hi))).alias("drop"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """Remove multi-line chunks that occurred before, anywhere in the table.
+    """Remove multi-line chunks that occurred before, anywhere in the table, extended over equal lines around them.
 
     ``docs``: doc_id and text; other columns pass through. Adds n_lines,
-    n_removed_lines, n_removed_chunks and replaces text by what is left, chunks
-    joined by newlines. A null text stays null. Rows that share a doc_id are told
-    apart by their text; their equal chunks at equal places are all first. A
-    null doc_id sorts after all others. Chunks with fewer than MIN_LINES lines that hold a
-    word stay. An empty table gives no rows.
+    n_removed_lines and n_removed_chunks, in the place of columns of these names,
+    and replaces text by the lines that are left. A null text stays null and has no lines.
+    Rows that share a doc_id are told apart by their text; their equal chunks at
+    equal places are all first. A null doc_id sorts after all others. Lines
+    without a word stay unless they lie within what is removed. A copy of a whole
+    text of two or more worded lines loses all of those. An empty table gives no rows.
     """
-    joined = _rejoin(docs, cut(repeated_chunks(docs), "line-drops"))
-    parts = let(
-        chunks(F.col("text")),
-        lambda c: F.struct(
-            F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + F.size(x)).alias("n_lines"),
-            F.aggregate(
-                F.filter(c, lambda x, i: F.array_contains("_drop", i)), F.lit(0).cast("long"), lambda n, x: n + F.size(x)
-            ).alias("n_removed"),
-            F.array_join(F.flatten(F.filter(c, lambda x, i: ~F.array_contains("_drop", i))), "\n").alias("kept"),
-        ),
-    )
-    touched = F.when(F.col("_drop").isNotNull(), parts)
-    lines = F.size(F.split("text", "\n", -1)).cast("long")
-    return (
-        joined.withColumn("_p", touched)
-        .withColumns(
-            {
-                "n_lines": F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(lines),
-                "n_removed_lines": F.coalesce("_p.n_removed", F.lit(0).cast("long")),
-                "n_removed_chunks": F.coalesce(F.size("_drop").cast("long"), F.lit(0).cast("long")),
-                "text": F.coalesce("_p.kept", "text"),
-            }
-        )
-        .drop("_p", "_drop")
-    )
+    gone = cut(repeated_chunks(docs), "line-drops")
+    return _without(docs, gone, {"n_removed_chunks": F.coalesce("gone.chunks", F.lit(0).cast("long"))})
 
 
 def windows(text: Column) -> Column:
@@ -171,28 +198,6 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     other columns pass through. A null text stays null.
     """
     rows = _with_key(docs).select("doc_id", "t1", "t2", F.inline(windows(F.col("text"))))
-    later = repeated(rows, F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2", "no"))
+    later = repeated(rows, F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2", "no"), ["no"])
     gone = later.groupBy("doc_id", "t1", "t2").agg(F.flatten(F.collect_set(F.sequence("no", "last"))).alias("drop"))
-    joined = _rejoin(docs, cut(gone, "passage-drops"))
-    parts = let(
-        F.split("text", "\n", -1),
-        lambda lines: let(
-            F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_drop"),
-            lambda keep: F.struct(
-                (F.size(lines) - F.size(keep)).cast("long").alias("n_removed"),
-                F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n").alias("kept"),
-            ),
-        ),
-    )
-    lines = F.size(F.split("text", "\n", -1)).cast("long")
-    return (
-        joined.withColumn("_p", F.when(F.col("_drop").isNotNull(), parts))
-        .withColumns(
-            {
-                "n_lines": F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(lines),
-                "n_removed_lines": F.coalesce("_p.n_removed", F.lit(0).cast("long")),
-                "text": F.coalesce("_p.kept", "text"),
-            }
-        )
-        .drop("_p", "_drop")
-    )
+    return _without(docs, cut(gone, "passage-drops"), {})

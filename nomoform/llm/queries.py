@@ -1,4 +1,9 @@
-"""The registered queries of the text operators: each applies one to its whole table."""
+"""The registered queries of the text operators: each applies one to its whole table.
+
+Null columns, empty and very long texts, ties, repeated rows and empty tables
+give what the operator's own docstring says; only the columns that an operator
+names are read, so others may have any name.
+"""
 
 from __future__ import annotations
 

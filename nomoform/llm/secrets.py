@@ -86,7 +86,7 @@ def find_parts(docs: DataFrame) -> DataFrame:
 
 
 def link_weak(parts: DataFrame) -> DataFrame:
-    """_key and the weak spans that an identifier or an endpoint completes within SCOPE.
+    """_key and the weak spans that an identifier or an endpoint beside them completes within SCOPE.
 
     An interval join on cells of SCOPE code points: a part lies in the cell of
     its start, a weak span in all cells that its reach touches.
@@ -98,6 +98,7 @@ def link_weak(parts: DataFrame) -> DataFrame:
         "_key", F.expr("o.s div %d" % SCOPE).alias("cell"), "o"
     )
     near = (F.col("o.s") >= F.col("w.s") - SCOPE) & (F.col("o.s") <= F.col("w.e") + SCOPE)
+    near = near & ((F.col("o.e") <= F.col("w.s")) | (F.col("o.s") >= F.col("w.e")))  # a part that holds the candidate is no other part
     hits = weak.alias("x").join(other.alias("y"), (F.col("x._key") == F.col("y._key")) & (F.col("x.cell") == F.col("y.cell")) & near, "left_semi")
     return hits.groupBy("_key").agg(F.array_sort(F.collect_set("w")).alias("linked"))
 
@@ -138,20 +139,27 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every reported span of text replaced by ``mark``; overlapping spans as one."""
-    found = secret_scan(docs).where(F.size("spans") > 0).select("_key", F.col("spans").alias("_spans")).dropDuplicates(["_key"])
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumn("_key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text)))
-    joined = keyed.join(found, "_key", "left")
+    """``docs`` with every reported span of text replaced by ``mark``; overlapping spans as one.
+
+    Columns, whatever their names, and rows stay as they are but for text; a
+    null text stays null, repeated rows are treated alike, and an empty table
+    gives no rows.
+    """
+    found = secret_scan(docs.select("doc_id", "text")).where(F.size("spans") > 0).select("_key", "spans").dropDuplicates(["_key"])
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    text = F.col("row.text")
+    keyed = rows.withColumn("_key", F.md5(F.concat_ws(":", F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")), F.coalesce(text, F.lit("")))))
     walked = F.aggregate(
-        "_spans",
+        "spans",
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda acc, x: F.struct(
             F.greatest(acc["at"], x["e"]).alias("at"),
             F.when(x["s"] < acc["at"], acc["out"])
-            .otherwise(F.concat(acc["out"], F.substr("text", acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)))
+            .otherwise(F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark)))
             .alias("out"),
         ),
     )
-    rest = let(walked, lambda w: F.concat(w["out"], F.substr("text", w["at"] + 1, F.length("text"))))
-    return joined.withColumn("text", F.when(F.col("_spans").isNotNull(), rest).otherwise(F.col("text"))).drop("_key", "_spans")
+    rest = let(walked, lambda w: F.concat(w["out"], F.substr(text, w["at"] + 1, F.length(text))))
+    joined = keyed.join(found, "_key", "left")
+    clean = F.when(F.col("spans").isNotNull(), rest).otherwise(text)
+    return joined.select(*[clean.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

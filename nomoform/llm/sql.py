@@ -40,7 +40,7 @@ _INSIDE = " AND ".join(
 )
 QUALITY = f"""
 WITH d AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS lang, coalesce('=' || source, '') AS source, coalesce(text, '') AS text FROM documents),
 w AS (
   SELECT rid, doc_id, lang, source, list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
     list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls,
@@ -106,7 +106,7 @@ p AS (
 q AS (
   SELECT *, list_filter(weak, lambda w:
     len(list_filter(flatten([assign, access, hex, endpoint]), lambda b: b.s < w.e AND w.s < b.e)) = 0
-    AND len(list_filter(flatten([access, login, endpoint]), lambda o: o.s >= w.s - {secrets.SCOPE} AND o.s <= w.e + {secrets.SCOPE})) > 0) AS linked
+    AND len(list_filter(flatten([access, login, endpoint]), lambda o: o.s >= w.s - {secrets.SCOPE} AND o.s <= w.e + {secrets.SCOPE} AND (o.e <= w.s OR o.s >= w.e))) > 0) AS linked
   FROM p),
 t AS (
   SELECT doc_id, len(assign) AS n_assign, len(access) AS n_access, len(hex) AS n_hex,
@@ -118,21 +118,28 @@ SELECT doc_id, n_assign, n_access, n_hex, sha256(coalesce(array_to_string({_TEXT
 FROM t
 """
 
+_SAME = "coalesce(list_max(list_filter(range(1, least(len({a}), len({b})) + 1), lambda i: {x} = {y})), 0)"
+_PREFIX = _SAME.format(a="after", b="first.after", x="after[1:i]", y="first.after[1:i]")
+_SUFFIX = _SAME.format(a="before", b="first.before", x="before[-i:]", y="first.before[-i:]")
 LINES = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text IS NULL AS gone, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-l AS (SELECT rid, doc_id, gone, unnest(range(len(ls))) AS i, unnest(ls) AS line, len(ls) AS n FROM d),
-h AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h FROM l),
-r AS (SELECT *, (i = n - 1 OR (31 * coalesce(lag(h) OVER (PARTITION BY rid ORDER BY i), 0) + h) % {linededup.MEAN_LINES} = 0)::INT AS stop FROM h),
-c AS (SELECT *, sum(stop) OVER (PARTITION BY rid ORDER BY i) - stop AS chunk FROM r),
-b AS (
-  SELECT rid, any_value(doc_id) AS doc_id, any_value(gone) AS gone, chunk, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS body,
-    count(*) FILTER (WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')) AS worded FROM c GROUP BY rid, chunk),
-f AS (SELECT body, min(struct_pack(doc_id := doc_id, chunk := chunk)) AS first FROM b WHERE worded >= {linededup.MIN_LINES} GROUP BY body),
-k AS (SELECT b.*, worded >= {linededup.MIN_LINES} AND struct_pack(doc_id := doc_id, chunk := chunk) > first AS gone_chunk FROM b LEFT JOIN f USING (body))
-SELECT any_value(doc_id) AS doc_id, CASE WHEN any_value(gone) THEN 0 ELSE sum(lines) END::BIGINT AS n_lines,
-  sum(CASE WHEN gone_chunk THEN lines ELSE 0 END)::BIGINT AS n_removed_lines, count(*) FILTER (WHERE gone_chunk) AS n_removed_chunks,
-  sha256(coalesce(string_agg(CASE WHEN NOT coalesce(gone_chunk, FALSE) THEN body END, chr(10) ORDER BY chunk), '')) AS kept_sha256
-FROM k GROUP BY rid
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d),
+w AS (
+  SELECT rid, i, ('0x' || substr(md5(line), 1, 7))::BIGINT % {linededup.BOUNDARY} = 0 AS c,
+    row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY rid) AS m
+  FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+f AS (SELECT *, max(CASE WHEN k = 0 OR k >= m - 2 OR NOT c THEN k END) OVER (PARTITION BY rid ORDER BY k) AS fixed FROM w WHERE m >= {linededup.MIN_LINES}),
+s AS (SELECT *, (k = m - 1 OR (k - fixed) % 2 = 1)::INT AS stop FROM f),
+g AS (SELECT *, sum(stop) OVER (PARTITION BY rid ORDER BY k) - stop AS no FROM s),
+b AS (SELECT rid, no, min(i) AS a, max(i) AS b FROM g GROUP BY rid, no),
+t AS (SELECT rid, doc_id, no, a, b, ls[a + 1 : b + 1] AS part, array_to_string(part, chr(10)) AS body FROM b JOIN d USING (rid)),
+n AS (SELECT *, lag(part) OVER x AS before, lead(part) OVER x AS after, struct_pack(doc_id := doc_id, no := no) AS place FROM t WINDOW x AS (PARTITION BY rid ORDER BY no)),
+o AS (SELECT body, min(struct_pack(place := place, before := before, after := after)) AS first FROM n GROUP BY body HAVING count(*) > 1),
+r AS (SELECT rid, no, unnest(range(a - {_SUFFIX}, b + {_PREFIX} + 1)) AS i FROM n JOIN o USING (body) WHERE place > first.place),
+z AS (SELECT rid, list(DISTINCT i) AS gone, count(DISTINCT no) AS chunks FROM r GROUP BY rid)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed_lines, coalesce(chunks, 0)::BIGINT AS n_removed_chunks,
+  sha256(CASE WHEN gone IS NULL THEN coalesce(text, '') ELSE array_to_string(list_filter(ls, lambda x, j: NOT list_contains(gone, j - 1)), chr(10)) END) AS kept_sha256
+FROM d LEFT JOIN z USING (rid)
 """
 
 ORACLES = {"op2_quality_rules": QUALITY, "op3_chat_formatting": CHAT, "op6_secret_scan": SECRETS, "op10_line_dedup": LINES}
