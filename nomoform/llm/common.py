@@ -67,3 +67,27 @@ def small_join(big: DataFrame, small: DataFrame, keys: list[str], max_rows: int
     big = big.withColumn("_salt", (F.rand(7) * salts).cast("int"))
     small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return big.join(small, [*keys, "_salt"], "left").drop("_salt")
+
+
+#: Bits of a hash that a bitmap of hashes tells apart: 8 MB in rows of 4 kB, whatever the data.
+BITMAP = 1 << 26
+
+
+def _bit(h: Column) -> Column:
+    return F.pmod(h, F.lit(BITMAP))
+
+
+def hash_bitmap(hashes: DataFrame, h: str = "h") -> DataFrame:
+    """A bitmap of the hashes of a table, for :func:`may_hold`; its size does not depend on the table's."""
+    bit = _bit(F.col(h))
+    return hashes.groupBy(F.bitmap_bucket_number(bit).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits"))
+
+
+def may_hold(df: DataFrame, bitmap: DataFrame, h: str = "h") -> DataFrame:
+    """The rows of ``df`` whose hash may be in the bitmap: all that are, and a few more, more of them if it is full."""
+    bit = _bit(F.col(h))
+    at = F.bitmap_bit_position(bit)
+    joined = df.withColumn("_bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "_bucket")
+    byte = F.conv(F.hex(F.substr("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (at % 8).cast("int"))) != 0
+    return joined.where(set_).drop("_bucket", "_bits")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, let
+from .common import cut, hash_bitmap, let, may_hold
 
 #: One line hash in so many lets a chunk end.
 BOUNDARY = 2
@@ -82,23 +82,25 @@ def repeated(units: DataFrame, at: Column, extra: list[str]) -> DataFrame:
     """The rows of ``units`` whose body occurs before, in the order of ``at``, with first: the columns ``extra`` of its first row.
 
     ``units``: doc_id, t1, t2, no, body and ``extra``. Hashes are counted
-    first, so only bodies that may repeat are carried into the comparison, which
-    groups by the text itself. A hot body is dealt over slices, and its count
-    and first place are repeated for each. Hot hashes are fewer than HOT_KEYS,
-    as each has over that share of all copies, so their broadcast is bounded at
-    any size.
+    first, and a bitmap of those that repeat, of a fixed size, keeps most other
+    bodies out of the comparison, which groups by the text itself. A hot body is
+    dealt over slices, and its count and first place are repeated for each. Hot
+    hashes are fewer than HOT_KEYS, as each has over that share of all copies, so
+    their broadcast is bounded at any size.
     """
     keyed = units.withColumn("h", F.xxhash64("body"))
     often = cut(keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "line-counts")
     limit = max(HOT_ROWS, (often.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
-    sliced = often.select("h", F.ceil(F.col("n") / limit).cast("int").alias("slices"))
+    hot = often.select("h", F.ceil(F.col("n") / limit).cast("int").alias("slices")).where("slices > 1")
     slices = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
     own = F.pmod(F.xxhash64("doc_id", "t1", "no"), F.col("slices")).cast("int")
-    dealt = keyed.join(F.broadcast(sliced.where("slices > 1")), "h", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("slice", own)
-    maybe = cut(dealt.join(sliced.select("h", slices), ["h", "slice"], "left_semi"), "line-chunks")
+    some = may_hold(keyed, cut(hash_bitmap(often), "line-bitmap"))
+    dealt = some.join(F.broadcast(hot), "h", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("slice", own)
+    maybe = cut(dealt, "line-chunks")
     start = F.struct(at.alias("at"), F.struct(*extra).alias("first"))
     first = maybe.groupBy("h", "body").agg(F.min(start).alias("f"), F.max("slices").alias("slices"), F.count("*").alias("n")).where("n > 1")
-    return maybe.join(first.select("h", "body", "f", slices), ["h", "slice", "body"]).where(at > F.col("f.at")).select(*units.columns, "f.first")
+    found = maybe.join(first.select("h", "body", "f", slices).hint("shuffle_hash"), ["h", "slice", "body"])
+    return found.where(at > F.col("f.at")).select(*units.columns, "f.first")
 
 
 def _without(docs: DataFrame, gone: DataFrame, added: dict[str, Column]) -> DataFrame:
