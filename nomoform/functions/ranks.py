@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import staged
+
 
 def global_rank(df: DataFrame, draw: Column, ties: list[str], by: list[str] | None = None) -> DataFrame:
     """Adds rank_ (from 1) and total_, by a uniform 32-bit ``draw`` and ``ties`` within ``by``.
@@ -31,9 +33,10 @@ def running_totals(df: DataFrame, order: str, sums: list[str], by: list[str] | N
 
     Ranges of ``order`` come from a bounded sketch of its values; each range has
     its own window, and the totals of the ranges before are added. Results do
-    not depend on where the ranges lie.
+    not depend on where the ranges lie. ``df`` is staged, as it is read three times.
     """
     by = by or []
+    df = staged(df, "totals") if ranges > 1 else df
     bounds = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.005))) if ranges > 1 else []
     number = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(order))) if bounds else F.lit(0)
     ranged = df.withColumn("_range", number)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_percentiles
 from ..functions.scalars import draw
 
+#: Texts that stand for a missing value.
 EMPTY_TOKENS = ("", " ", "NA", "N/A", "none", "None", "null", "NULL", "?")
 TRUE_FALSE = {"true": 1, "1": 1, "false": 0, "0": 0}
 
@@ -25,16 +28,27 @@ def number_if_any(df: DataFrame, col: str) -> DataFrame:
 
 
 def binary_target(df: DataFrame, col: str, out: str = "target") -> DataFrame:
-    """Two distinct values as 0 and 1: known words by meaning, others in sorted order; nulls stay."""
-    s = F.lower(F.col(col).cast("string"))
-    lo, hi = df.agg(F.min(col), F.max(col)).first()
-    if s is not None and {str(lo).lower(), str(hi).lower()} <= set(TRUE_FALSE):
+    """Two distinct values as 0 and 1: known words by meaning, others in sorted order; nulls stay.
+
+    A column with another number of distinct values stays as it is, with a warning.
+    """
+    two = [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().limit(3).collect()]
+    if len(two) != 2:
+        warnings.warn(f"{col} has {'no' if not two else 'one' if len(two) == 1 else 'more than two'} distinct value(s)", stacklevel=2)
+        return df.withColumn(out, F.col(col))
+    if {str(x).lower() for x in two} in ({"true", "false"}, {"0", "1"}):
+        s = F.lower(F.col(col).cast("string"))
         value = F.element_at(F.create_map(*[F.lit(x) for kv in TRUE_FALSE.items() for x in kv]), s)
     else:
+        lo, hi = sorted(two)
         value = F.when(F.col(col) == lo, 0).when(F.col(col) == hi, 1)
     return df.withColumn(out, value)
 
 
+def invert_target(y: Column) -> Column:
+    return 1 - y
+
+
 @dataclass(frozen=True)
 class Imputer:
     """Values fitted on one table that replace nulls in any table."""
@@ -53,7 +67,8 @@ def fit_zeros(cols: list[str]) -> Imputer:
 
 
 def fit_median(train: DataFrame, cols: list[str]) -> Imputer:
-    return Imputer(train.agg(*[F.median(c).alias(c) for c in cols]).first().asDict())
+    """The exact median of each column; a column without values has none and stays null."""
+    return Imputer({c: m for c, (m,) in exact_percentiles(train, cols, [0.5]).items()})
 
 
 def fit_mode(train: DataFrame, cols: list[str]) -> Imputer:

@@ -1,4 +1,10 @@
-"""Decomposition of a score's log-odds into one- and two-feature responses, one plan for all terms."""
+"""Decomposition of a score's log-odds into one- and two-feature responses, one plan for all terms.
+
+A score is either a Column of the features' Columns, which stays in one
+code-generated stage, or a FrameScorer that adds p to a frame holding the
+features: a fitted MLlib model or any function in Arrow batches (score.py).
+A categorical feature is one column of codes, 0 for the reference level.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +14,33 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_percentiles
 from ..functions.scalars import stable_logit
+from ..functions.storage import staged
+from .score import FrameScorer
 
-Score = Callable[[dict[str, Column]], Column]
+Score = Callable[[dict[str, Column]], Column] | FrameScorer
+Terms = list[tuple[int, str, str | None]]
 #: Rows of the side of a cross join that is broadcast, at most.
 MAX_BROADCAST = 200_000
 
 
-def terms(features: list[str]) -> list[tuple[int, str, str | None]]:
-    """Term number, first and second feature: single terms, then pairs in order of combinations."""
+def terms(features: list[str], singles: list[str] | None = None, pairs: list[tuple[str, str]] | None = None) -> Terms:
+    """Term number, first and second feature: single terms, then pairs in order of combinations.
+
+    With ``singles`` or ``pairs`` only those: features of a pair count as
+    chosen, and without ``pairs`` all pairs among the chosen ones are taken.
+    Numbers stay those of the full list; nothing chosen means all.
+    """
     n = len(features)
-    pairs = [(n + k, a, b) for k, (a, b) in enumerate(combinations(features, 2))]
-    return [(i, f, None) for i, f in enumerate(features)] + pairs
+    all_pairs = [(n + k, a, b) for k, (a, b) in enumerate(combinations(features, 2))]
+    unknown = {*(singles or ()), *(f for p in pairs or () for f in p)} - set(features)
+    if unknown:
+        raise ValueError(f"unknown features {sorted(unknown)}")
+    chosen = {*(singles or ()), *(f for p in pairs or () for f in p)} or set(features)
+    wanted = {frozenset(p) for p in pairs} if pairs else None
+    two = [t for t in all_pairs if {t[1], t[2]} <= chosen and (wanted is None or frozenset(t[1:]) in wanted)]
+    return [(i, f, None) for i, f in enumerate(features) if f in chosen] + two
 
 
 def background(df: DataFrame, features: list[str]) -> DataFrame:
@@ -28,43 +49,60 @@ def background(df: DataFrame, features: list[str]) -> DataFrame:
     return x.groupBy(*features).agg(F.count("*").alias("w_"))
 
 
-def value_grid(df: DataFrame, features: list[str], which: list[tuple[int, str, str | None]] | None = None) -> DataFrame:
-    """term, vi, vj: the distinct values, or pairs of values, of each term."""
-    grids = []
-    for t, a, b in which or terms(features):
-        va = F.col(a).cast("double") + F.lit(0.0)
-        vb = F.col(b).cast("double") + F.lit(0.0) if b else F.lit(None).cast("double")
-        grids.append(df.select(F.lit(t).alias("term"), va.alias("vi"), vb.alias("vj")).distinct())
-    out = grids[0]
-    for g in grids[1:]:
-        out = out.unionByName(g)
-    return out
-
-
-def even_grid(df: DataFrame, features: list[str], steps: int = 15, threshold: int = 15, trim: float | None = None) -> DataFrame:
-    """feature, k, value: sorted distinct values if there are few, else even steps between the ends."""
-    ends = []
-    for f in features:
-        x = F.col(f).cast("double")
-        lo, hi = (F.percentile(x, trim), F.percentile(x, 1 - trim)) if trim else (F.min(x), F.max(x))
-        few = F.count_distinct(x) < threshold
-        ends.append(F.struct(F.lit(f).alias("feature"), few.alias("few"), lo.alias("lo"), hi.alias("hi"), F.when(few, F.array_sort(F.collect_set(F.when(F.lit(True), x)))).alias("values")))
-    # the set of a feature is kept only below the threshold; above it the ends are enough
-    rows = df.agg(F.array(*ends).alias("e")).select(F.inline("e"))
-    even = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.col("lo") + (F.col("hi") - F.col("lo")) * k / (steps - 1))
-    return rows.select("feature", F.posexplode(F.when(F.col("few"), F.col("values")).otherwise(even)).alias("k", "value"))
+def _values(which: Terms) -> Column:
+    """term, vi, vj of a row of features, for each term."""
+    each = [F.struct(F.lit(t).alias("term"), F.col(a).alias("vi"), (F.col(b) if b else F.lit(None).cast("double")).alias("vj")) for t, a, b in which]
+    return F.inline(F.array(*each))
+
+
+def value_grid(back: DataFrame, which: Terms) -> DataFrame:
+    """term, vi, vj: the distinct values, or pairs of values, of each term, in one pass over the background."""
+    return back.select(_values(which)).distinct()
+
+
+def even_grid(
+    df: DataFrame, features: list[str], steps: int = 15, threshold: int = 15, trim: float | None = None, categories: dict[str, int] | None = None
+) -> DataFrame:
+    """feature, k, value: sorted distinct values if there are few, else even steps between the ends.
+
+    A category with n members besides its reference has the codes 0 to n.
+    ``trim`` puts the ends at that quantile and its opposite.
+    """
+    categories = categories or {}
+    plain = [f for f in features if f not in categories]
+    cut = exact_percentiles(df, plain, [trim, 1 - trim]) if trim and plain else {}
+    few_values = F.slice(F.array_sort(F.collect_set("v")), 1, threshold)
+    # the distinct values of a feature are cut to the threshold in two steps, so no row holds more
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))).where("v is not null")
+    once = values.groupBy("feature", "v").agg(F.lit(1)).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(64)))
+    parts = once.groupBy("feature", "part").agg(few_values.alias("vs"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    joined = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("vs")))), 1, threshold)
+    rows = parts.groupBy("feature").agg(joined.alias("values"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    lo, hi = F.col("lo"), F.col("hi")
+    for f, (a, b) in cut.items():
+        if a is not None:
+            lo, hi = F.when(F.col("feature") == f, F.lit(a)).otherwise(lo), F.when(F.col("feature") == f, F.lit(b)).otherwise(hi)
+    even = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: lo + (hi - lo) * k / (steps - 1))
+    chosen = F.when(F.col("n") < threshold, F.col("values")).otherwise(even)
+    for f, n in categories.items():
+        chosen = F.when(F.col("feature") == f, F.array(*[F.lit(float(c)) for c in range(n + 1)])).otherwise(chosen)
+    return rows.select("feature", F.posexplode(chosen).alias("k", "value"))
 
 
 def crossed(grid: DataFrame, back: DataFrame) -> DataFrame:
-    """Every grid row with every background row; the smaller side is broadcast if it is small."""
+    """Every grid row with every background row. A side is broadcast if it has at most MAX_BROADCAST rows.
+
+    With two larger sides Spark pairs their partitions, task by task; the
+    average above it still leaves a shuffle of the grid's size.
+    """
     if back.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         return grid.crossJoin(F.broadcast(back))
-    if grid.limit(MAX_BROADCAST + 1).count() > MAX_BROADCAST:
-        raise ValueError("both the grid and the background are large: use even_grid or fewer terms")
-    return back.crossJoin(F.broadcast(grid))
+    if grid.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        return back.crossJoin(F.broadcast(grid))
+    return grid.hint("shuffle_replicate_nl").crossJoin(back)
 
 
-def substituted(features: list[str], which: list[tuple[int, str, str | None]], base: dict[str, Column]) -> dict[str, Column]:
+def substituted(features: list[str], which: Terms, base: dict[str, Column]) -> dict[str, Column]:
     """Each feature's value in a crossed row: the grid's where the term has the feature, else the base."""
     out = {}
     for f in features:
@@ -79,13 +117,20 @@ def substituted(features: list[str], which: list[tuple[int, str, str | None]], b
     return out
 
 
+def _with_logit(df: DataFrame, values: dict[str, Column], score: Score, keep: list[str]) -> DataFrame:
+    """``keep`` and z, the log-odds at ``values``."""
+    if isinstance(score, FrameScorer):
+        return score.add(df.select(*keep, *[c.cast("double").alias(f) for f, c in values.items()])).select(*keep, stable_logit(F.col("p")).alias("z"))
+    return df.select(*keep, stable_logit(score(values)).alias("z"))
+
+
 def baseline(back: DataFrame, features: list[str], score: Score) -> DataFrame:
     """phi0: the mean log-odds over the background."""
-    z = stable_logit(score({f: F.col(f) for f in features}))
-    return back.agg((F.sum(F.col("w_") * z) / F.sum("w_")).alias("phi0"))
+    z = _with_logit(back, {f: F.col(f) for f in features}, score, ["w_"])
+    return z.agg((F.sum(F.col("w_") * F.col("z")) / F.sum("w_")).alias("phi0"))
 
 
-def _centred(raw: DataFrame, phi0: DataFrame, which: list[tuple[int, str, str | None]]) -> DataFrame:
+def _centred(raw: DataFrame, phi0: DataFrame, which: Terms) -> DataFrame:
     """term, vi, vj, phi from average log-odds: less the baseline, and for pairs less the single responses."""
     number = {a: t for t, a, b in which if b is None}
     raw = raw.crossJoin(F.broadcast(phi0)).withColumn("d", F.col("z") - F.col("phi0"))
@@ -102,39 +147,54 @@ def _centred(raw: DataFrame, phi0: DataFrame, which: list[tuple[int, str, str |
     return one.unionByName(both.select("term", "vi", "vj", (F.col("d") - F.col("_da") - F.col("_db")).alias("phi")))
 
 
-def lebesgue(df: DataFrame, features: list[str], score: Score, grid: DataFrame | None = None) -> DataFrame:
-    """Responses averaged over the distribution of ``df``, per value or pair of values."""
-    which = terms(features)
-    back = background(df, features)
-    grid = value_grid(df, features) if grid is None else grid
-    z = stable_logit(score(substituted(features, which, {f: F.col(f) for f in features})))
-    raw = crossed(grid, back).groupBy("term", "vi", "vj").agg((F.sum(F.col("w_") * z) / F.sum("w_")).alias("z"))
-    return _centred(raw, baseline(back, features, score), which)
+def with_baseline(df: DataFrame, features: list[str], score: Score, grid: DataFrame | None = None, which: Terms | None = None) -> tuple[DataFrame, DataFrame]:
+    """Averaged responses (see :func:`lebesgue`) and their baseline, from one background that is grouped once."""
+    which = which or terms(features)
+    back = staged(background(df, features), "background")
+    grid = value_grid(back, which) if grid is None else grid.where(F.col("term").isin(*[t for t, _, _ in which]))
+    grid = staged(grid, "grid")
+    z = _with_logit(crossed(grid, back), substituted(features, which, {f: F.col(f) for f in features}), score, ["term", "vi", "vj", "w_"])
+    raw = z.groupBy("term", "vi", "vj").agg((F.sum(F.col("w_") * F.col("z")) / F.sum("w_")).alias("z"))
+    phi0 = baseline(back, features, score)
+    return _centred(staged(raw, "responses"), phi0, which), phi0
+
 
+def lebesgue(df: DataFrame, features: list[str], score: Score, grid: DataFrame | None = None, which: Terms | None = None) -> DataFrame:
+    """Responses averaged over the distribution of ``df``, per value or pair of values, for the terms ``which``."""
+    return with_baseline(df, features, score, grid, which)[0]
 
-def dirac(df: DataFrame, features: list[str], score: Score, reference: dict[str, float], grid: DataFrame | None = None) -> DataFrame:
+
+def dirac(df: DataFrame, features: list[str], score: Score, reference: dict[str, float], grid: DataFrame | None = None, which: Terms | None = None) -> DataFrame:
     """Responses at a reference point: no background, one score per grid row."""
-    which = terms(features)
-    grid = value_grid(df, features) if grid is None else grid
+    which = which or terms(features)
+    grid = value_grid(background(df, features), which) if grid is None else grid.where(F.col("term").isin(*[t for t, _, _ in which]))
     at = {f: F.lit(float(reference[f])) for f in features}
-    raw = grid.withColumn("z", stable_logit(score(substituted(features, which, at))))
-    return _centred(raw, df.sparkSession.range(1).select(stable_logit(score(at)).alias("phi0")), which)
+    raw = _with_logit(grid, substituted(features, which, at), score, ["term", "vi", "vj"])
+    phi0 = _with_logit(df.sparkSession.range(1), at, score, []).select(F.col("z").alias("phi0"))
+    return _centred(staged(raw, "responses"), phi0, which)
 
 
-def product_grid(single: DataFrame, features: list[str]) -> DataFrame:
-    """term, vi, vj from (feature, k, value): values of single terms, products for pairs."""
+def product_grid(single: DataFrame, features: list[str], which: Terms | None = None) -> DataFrame:
+    """term, vi, vj from (feature, k, value): values of single terms, products for pairs, first feature outermost."""
     out = None
-    for t, a, b in terms(features):
+    for t, a, b in which or terms(features):
         va = single.where(F.col("feature") == a).select(F.lit(t).alias("term"), F.col("value").alias("vi"))
-        g = va.withColumn("vj", F.lit(None).cast("double")) if b is None else va.crossJoin(F.broadcast(single.where(F.col("feature") == b).select(F.col("value").alias("vj"))))
+        vb = single.where(F.col("feature") == b).select(F.col("value").alias("vj")) if b else None
+        g = va.withColumn("vj", F.lit(None).cast("double")) if b is None else va.crossJoin(F.broadcast(vb))
         out = g if out is None else out.unionByName(g)
     return out
 
 
-def to_rows(df: DataFrame, id_: list[str], features: list[str], responses: DataFrame) -> DataFrame:
-    """id, term, phi for every row: responses joined back on the very values they were made for."""
+def to_rows(df: DataFrame, id_: list[str], features: list[str], responses: DataFrame, which: Terms | None = None) -> DataFrame:
+    """id, term, phi for every row: responses joined back on the very values they were made for.
+
+    The values of a term are few keys, so responses are broadcast if they have
+    at most MAX_BROADCAST rows; beyond that the join shuffles.
+    """
     x = df.select(*id_, *[(F.col(f).cast("double") + F.lit(0.0)).alias(f) for f in features])
-    melted = F.array(*[F.struct(F.lit(t).alias("term"), F.col(a).alias("vi"), (F.col(b) if b else F.lit(None).cast("double")).alias("vj")) for t, a, b in terms(features)])
-    long = x.select(*id_, F.inline(melted))
+    long = x.select(*id_, _values(which or terms(features)))
     r = responses.select(F.col("term").alias("_t"), F.col("vi").alias("_i"), F.col("vj").alias("_j"), "phi")
-    return long.join(r, (F.col("term") == F.col("_t")) & (F.col("vi") == F.col("_i")) & F.col("vj").eqNullSafe(F.col("_j"))).select(*id_, "term", "phi")
+    if r.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        r = F.broadcast(r)
+    same = (F.col("term") == F.col("_t")) & (F.col("vi") == F.col("_i")) & F.col("vj").eqNullSafe(F.col("_j"))
+    return long.join(r, same).select(*id_, "term", "phi")

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_percentiles
+
 #: Words in a level that make it the first, or the second, of two.
 FIRST_WORDS = ("no", "none", "false", "0", "absent", "negative", "bad", "low", "n")
 SECOND_WORDS = ("yes", "true", "1", "present", "positive", "good", "high", "y")
@@ -91,9 +93,12 @@ class MedianStdScaler:
         return df.withColumns({c: F.col(c) * (s * self.sd_scale) + m for c, (m, s) in self.fitted.items()})
 
 
-def fit_scaler(df: DataFrame, cols: list[str], sd_scale: float = 2.0) -> MedianStdScaler:
-    row = df.agg(*[F.struct(F.median(c).cast("double").alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols]).first()
-    return MedianStdScaler({c: (row[c]["m"], row[c]["s"] or 1.0) for c in cols}, sd_scale)
+def fit_scaler(df: DataFrame, cols: list[str], sd_scale: float = 2.0, skip_binary: bool = True) -> MedianStdScaler:
+    """Exact medians and population deviations; columns of 0 and 1 only are left out, an empty one counts as 0 and 1."""
+    row = df.agg(*[F.struct(F.stddev_pop(c).alias("s"), F.bool_and(F.col(c).isin(0, 1)).alias("b")).alias(c) for c in cols]).first()
+    wanted = [c for c in cols if not (skip_binary and row[c]["b"])]
+    middle = exact_percentiles(df, wanted, [0.5]) if wanted else {}
+    return MedianStdScaler({c: (middle[c][0] or 0.0, row[c]["s"] or 1.0) for c in wanted}, sd_scale)
 
 
 def label_lookup(df: DataFrame, col: str, labels: DataFrame) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_percentiles
 from ..functions.ranks import running_totals
 from ..functions.scalars import draw
+from ..functions.storage import staged
 
 
 def score_counts(df: DataFrame, p: str = "p", y: str = "y", by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
@@ -32,21 +34,25 @@ def roc_points(counts: DataFrame, by: list[str] | None = None, ranges: int = 64)
 
 
 def roc_on_grid(points: DataFrame, steps: int = 100, by: list[str] | None = None) -> DataFrame:
-    """tpr on an even grid of fpr by linear interpolation; at a jump the higher point counts."""
+    """tpr on an even grid of fpr by linear interpolation; at a jump the higher point counts.
+
+    Points between two grid values are reduced to their ends, so the window
+    that finds a grid value's neighbours sees at most ``steps`` rows of each ``by``.
+    """
     by = by or []
-    zero = points.select(*by).distinct() if by else points.sparkSession.range(1).select()
-    all_ = points.select(*by, "fpr", "tpr").unionByName(zero.select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")))
-    ends = all_.groupBy(*by, "fpr").agg(F.max("tpr").alias("hi"), F.min("tpr").alias("lo"))
-    w = Window.partitionBy(*by).orderBy("fpr")
-    seg = ends.select(*by, "fpr", "hi", F.lead("fpr").over(w).alias("fpr2"), F.lead("lo").over(w).alias("lo2"))
-    step = F.lit(1.0 / (steps - 1))
-    # each segment gives the grid values in [fpr, fpr2): the work follows segments plus grid, no range join
-    first, last = F.ceil(F.round(F.col("fpr") * (steps - 1), 9)), F.ceil(F.round(F.coalesce("fpr2", F.lit(1.0 + 1e-6)) * (steps - 1), 9)) - 1
-    last = F.when(F.col("fpr2").isNull(), F.lit(steps - 1)).otherwise(last)
-    hit = seg.where(first <= last).select("*", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("k"))
-    x = F.col("k") * step
-    slope = F.when(F.col("fpr2").isNull() | (F.col("fpr2") == F.col("fpr")), F.lit(0.0)).otherwise((F.col("lo2") - F.col("hi")) / (F.col("fpr2") - F.col("fpr")))
-    return hit.select(*by, "k", x.alias("fpr"), (F.col("hi") + slope * (x - F.col("fpr"))).alias("tpr"))
+    cell = F.ceil(F.round(F.col("fpr") * (steps - 1), 9)).cast("int")
+    at = F.struct("fpr", "tpr")
+    cells = points.groupBy(*by, cell.alias("k")).agg(F.max(at).alias("hi"), F.min(at).alias("lo"))
+    groups = points.select(*by).distinct() if by else points.sparkSession.range(1).select()
+    frame = groups.select(*by, F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("k"))
+    w = Window.partitionBy(*by).orderBy("k")
+    zero = F.struct(F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    last = F.greatest(F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, 0)), zero)
+    following = F.min("lo").over(w.rowsBetween(1, Window.unboundedFollowing))
+    near = frame.join(cells, [*by, "k"], "left").select(*by, "k", last.alias("_a"), following.alias("_b"))
+    x = F.col("k") * F.lit(1.0 / (steps - 1))
+    slope = F.when(F.col("_b.fpr") > F.col("_a.fpr"), (F.col("_b.tpr") - F.col("_a.tpr")) / (F.col("_b.fpr") - F.col("_a.fpr"))).otherwise(0.0)
+    return near.select(*by, "k", x.alias("fpr"), (F.col("_a.tpr") + slope * (x - F.col("_a.fpr"))).alias("tpr"))
 
 
 def confusion(df: DataFrame, threshold: Column | float, by: list[str] | None = None, p: str = "p", y: str = "y") -> DataFrame:
@@ -55,11 +61,25 @@ def confusion(df: DataFrame, threshold: Column | float, by: list[str] | None = N
     n = df.groupBy(*(by or [])).agg(
         F.count_if(hit & one).alias("tp"), F.count_if(hit & ~one).alias("fp"), F.count_if(~hit & one).alias("fn"), F.count_if(~hit & ~one).alias("tn")
     )
+    return rates(n)
+
+
+def rates(n: DataFrame) -> DataFrame:
+    """accuracy, precision, recall and f1 of counts; 0 where undefined."""
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return n.withColumns({"accuracy": ratio(tp + tn, tp + fp + fn + tn), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
 
 
+def count_losses(counts: DataFrame, by: list[str] | None = None, eps: float = 1e-15) -> DataFrame:
+    """log_loss and brier from the counts of each distinct score."""
+    q = F.least(F.greatest(F.col("p"), F.lit(eps)), F.lit(1 - eps))
+    n = F.sum(F.col("pos") + F.col("neg"))
+    ll = -(F.col("pos") * F.ln(q) + F.col("neg") * F.ln(1 - q))
+    brier = F.col("pos") * (1 - F.col("p")) * (1 - F.col("p")) + F.col("neg") * F.col("p") * F.col("p")
+    return counts.groupBy(*(by or [])).agg((F.sum(ll) / n).alias("log_loss"), (F.sum(brier) / n).alias("brier"))
+
+
 def losses(df: DataFrame, by: list[str] | None = None, p: str = "p", y: str = "y", eps: float = 1e-15) -> DataFrame:
     q = F.least(F.greatest(F.col(p), F.lit(eps)), F.lit(1 - eps))
     ll = -(F.col(y) * F.ln(q) + (1 - F.col(y)) * F.ln(1 - q))
@@ -78,8 +98,10 @@ def uniform_edges(bins: int) -> Column:
 
 
 def quantile_edges(df: DataFrame, bins: int, p: str = "p") -> Column:
-    row = df.agg(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("e")).first()
-    return F.array(*map(F.lit, row["e"]))
+    """Inner quantiles of the scores; none for a table without scores."""
+    edges = exact_percentiles(df, [p], [i / bins for i in range(1, bins)])[p]
+    known = [e for e in edges if e is not None]
+    return F.array(*map(F.lit, known)) if known else F.array().cast("array<double>")
 
 
 #: Cumulative Poisson(1) probabilities in units of 2^-32: a draw at or above the k-th counts more than k times.
@@ -97,3 +119,33 @@ def replicates(counts_rows: DataFrame, id_: str, n: int, seed: int = 7) -> DataF
 def interval(df: DataFrame, value: str, by: list[str] | None = None, level: float = 0.95) -> DataFrame:
     a = (1 - level) / 2
     return df.groupBy(*(by or [])).agg(F.count(value).alias("replicates"), F.avg(value).alias("mean"), F.percentile(value, a).alias("lo"), F.percentile(value, 1 - a).alias("hi"))
+
+
+def prevalence(df: DataFrame, y: str = "y") -> float:
+    """The share of ones, the threshold of a report; 0.5 for a table without labels."""
+    share = df.agg(F.avg(F.col(y).cast("double"))).first()[0]
+    return 0.5 if share is None else share
+
+
+def report(df: DataFrame, threshold: float | None = None, by: list[str] | None = None, p: str = "p", y: str = "y", grid: int = 100, bins: int = 10) -> DataFrame:
+    """One row per ``by``: counts and rates at the threshold, AUC, losses, ROC on a grid, calibration and a histogram.
+
+    ``threshold`` is the prevalence unless given. Everything but the calibration
+    curve's means comes from the counts of each distinct score.
+    """
+    by = by or []
+    threshold = prevalence(df, y) if threshold is None else threshold
+    counts = staged(score_counts(df, p, y, by), "score-counts")
+    hit, pos, neg = F.col("p") > threshold, F.col("pos"), F.col("neg")
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, c)), F.lit(0)).cast("long")
+    table = counts.groupBy(*by).agg(total(pos, hit).alias("tp"), total(neg, hit).alias("fp"), total(pos, ~hit).alias("fn"), total(neg, ~hit).alias("tn"))
+    bin_ = F.size(F.filter(uniform_edges(bins), lambda e: e < F.col("p"))).alias("bin")
+    n = F.sum(pos + neg)
+    curve = counts.groupBy(*by, bin_).agg(n.alias("n"), (F.sum(F.col("p") * (pos + neg)) / n).alias("mean_p"), (F.sum(pos) / n).alias("rate"))
+    roc = roc_on_grid(roc_points(counts, by), grid, by)
+    one = lambda d, name, *cols: d.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+    parts = [rates(table), auc(counts, by), count_losses(counts, by), one(curve, "calibration", "bin", "n", "mean_p", "rate"), one(roc, "roc", "fpr", "tpr")]
+    out = parts[0].withColumn("threshold", F.lit(float(threshold)))
+    for part in parts[1:]:
+        out = out.join(part, by) if by else out.crossJoin(part)
+    return out

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_percentiles
 from ..functions.scalars import sigmoid
 
 
@@ -27,11 +28,12 @@ def mean_contributions(contrib: DataFrame) -> DataFrame:
     return m.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("mean_abs", 9)), "term")))
 
 
-def quartiles(contrib: DataFrame) -> DataFrame:
-    q = F.percentile("c", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return contrib.groupBy("term").agg(q.alias("q"), F.avg("c").alias("mean"), F.min("c").alias("min"), F.max("c").alias("max")).select(
-        "term", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"), "mean", "min", "max"
-    )
+def quartiles(contrib: DataFrame, terms: list[int]) -> DataFrame:
+    """Quartiles, mean and extremes of each term's contributions; the terms are a handful."""
+    wide = contrib.select(*[F.when(F.col("term") == t, F.col("c")).alias(f"t{t}") for t in terms])
+    q = exact_percentiles(wide, wide.columns, [0.25, 0.5, 0.75])
+    table = contrib.sparkSession.createDataFrame([(t, *q[f"t{t}"]) for t in terms], "term int, q1 double, median double, q3 double")
+    return F.broadcast(table).join(contrib.groupBy("term").agg(F.avg("c").alias("mean"), F.min("c").alias("min"), F.max("c").alias("max")), "term")
 
 
 def interaction_matrix(contrib: DataFrame, pairs: dict[int, tuple[int, int]]) -> DataFrame:

@@ -81,7 +81,3 @@ def feature_metadata(df: DataFrame, features: list[str], threshold: int = 15) ->
 def raw_responses(long: DataFrame, values: DataFrame, id_: list[str]) -> DataFrame:
     """Distinct (value, phi) of each term."""
     return long.join(values, [*id_, "term"]).select("term", "value", "phi").distinct()
-
-
-def rank_ties(curve: DataFrame) -> DataFrame:
-    return curve.withColumn("k", F.row_number().over(Window.partitionBy("term").orderBy("vi", "vj")))

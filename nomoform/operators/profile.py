@@ -5,20 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_percentiles
+
+
+def _melted(df: DataFrame, cols: list[str], keep: list[str] | None = None, kind: str = "double") -> DataFrame:
+    """feature, v for each column, with the columns ``keep``."""
+    return df.select(*(keep or []), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast(kind).alias("v")) for c in cols])))
+
 
 def feature_summary(df: DataFrame, cols: list[str], few: int = 15) -> DataFrame:
-    """One row per column: counts, mean, median, sample deviation, quartile range, extremes, levels."""
+    """One row per numeric column: counts, mean, median, sample deviation, quartile range, extremes, levels.
+
+    Moments need one aggregate, levels a shuffle of distinct values, and the
+    order statistics bracketed passes, so no task holds all values of a column.
+    """
+    kinds = dict(df.dtypes)
+    if text := [c for c in cols if kinds[c] in ("string", "binary", "date", "timestamp")]:
+        raise TypeError(f"not numeric: {text}")
+    q = exact_percentiles(df, cols, [0.25, 0.5, 0.75])
+    order = df.sparkSession.createDataFrame([(c, q[c][1], None if q[c][0] is None else q[c][2] - q[c][0]) for c in cols], "feature string, median double, iqr double")
+    counts = _melted(df, cols).groupBy("feature", "v").agg(F.count("*").alias("n"))
+    levels = counts.groupBy("feature").agg(F.count("v").alias("levels"))
+    of = lambda c: F.struct(
+        F.lit(c).alias("feature"), F.count(c).alias("non_null"), F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(c).cast("double").alias("mean"),
+        F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"),
+    )
+    moments = df.agg(F.array(*map(of, cols)).alias("s")).select(F.inline("s"))
+    out = moments.join(F.broadcast(order), "feature").join(levels, "feature", "left")
+    return out.withColumn("levels", F.coalesce("levels", F.lit(0).cast("long"))).withColumn("is_categorical", F.col("levels") < few)
+
+
+def overview(df: DataFrame, cols: list[str]) -> DataFrame:
+    """A first table of a study: per column n, missing and its share, and "mean (SD)" for numbers."""
+    kinds = dict(df.dtypes)
+
     def of(c: str) -> Column:
-        x = F.col(c).cast("double")
+        number = kinds[c] not in ("string", "boolean", "date", "timestamp")
+        x = F.col(c).cast("double") if number else F.lit(None).cast("double")
+        text = F.when(F.avg(x).isNotNull(), F.format_string("%.2f (%.2f)", F.avg(x), F.coalesce(F.stddev_samp(x), F.lit(0.0))))
         return F.struct(
-            F.lit(c).alias("feature"), F.count(x).alias("non_null"), F.count_if(x.isNull()).alias("nulls"), F.avg(x).alias("mean"), F.median(x).alias("median"),
-            F.stddev_samp(x).alias("std"), (F.percentile(x, 0.75) - F.percentile(x, 0.25)).alias("iqr"), F.min(x).alias("min"), F.max(x).alias("max"),
-            F.count_distinct(x).alias("levels"), (F.count_distinct(x) < few).alias("is_categorical"),
+            F.lit(c).alias("feature"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("missing"),
+            (F.count_if(F.col(c).isNull()) / F.count("*") * 100).alias("missing_pct"), text.alias("mean_sd"),
         )
 
     return df.agg(F.array(*map(of, cols)).alias("s")).select(F.inline("s"))
 
 
+def numeric_stats(df: DataFrame, cols: list[str], stage: str) -> DataFrame:
+    """Statistics of numeric columns for a record, under the name of a ``stage`` (before or after imputation)."""
+    s = feature_summary(df, cols).select("feature", "mean", "median", "std", "min", "max", F.col("nulls").alias("missing_count"), "non_null")
+    pct = F.when(F.col("missing_count") + F.col("non_null") > 0, F.col("missing_count") / (F.col("missing_count") + F.col("non_null")) * 100).otherwise(0.0)
+    return s.select(F.lit(stage).alias("stage"), *[c for c in s.columns if c != "non_null"], pct.alias("missing_pct"))
+
+
 def category_frequencies(df: DataFrame, cols: list[str]) -> DataFrame:
     """Share of each level among the non-null values of its column."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "feature", "level").where("level is not null")
@@ -55,6 +94,31 @@ def compare_splits(df: DataFrame, split: str, cols: list[str]) -> DataFrame:
     return frame.join(n, [split, "feature", "level"], "left").select(split, "feature", "level", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("share"))
 
 
+def compare_quartiles(df: DataFrame, split: str, cols: list[str], splits: list[str]) -> DataFrame:
+    """split, feature, q1, median, q3 and missing share of continuous columns in each of the named splits."""
+    rows = []
+    for s in splits:
+        part = df.where(F.col(split) == s)
+        q = exact_percentiles(part, cols, [0.25, 0.5, 0.75])
+        rows += [(s, c, *q[c]) for c in cols]
+    table = df.sparkSession.createDataFrame(rows, f"{split} string, feature string, q1 double, median double, q3 double")
+    missing = _melted(df, cols, [split]).groupBy(split, "feature").agg((F.count_if(F.col("v").isNull()) / F.count("*") * 100).alias("missing_pct"))
+    return F.broadcast(table).join(missing, [split, "feature"], "left")
+
+
+def missing_share(df: DataFrame, cols: list[str]) -> DataFrame:
+    """feature and the percentage of its nulls."""
+    long = _melted(df, cols, kind="string")
+    return long.groupBy("feature").agg((F.count_if(F.col("v").isNull()) / F.count("*") * 100).alias("missing_pct"))
+
+
+def histogram_within(df: DataFrame, col: str, lo: float, hi: float, most: int = 50) -> DataFrame:
+    """A histogram of the values inside a grid's range; no more bins than distinct values there, ``most`` at most."""
+    inside = df.where(F.col(col).between(lo, hi))
+    n = inside.select(col).distinct().limit(most).count()
+    return histogram(inside, col, max(1, n), float(lo), float(hi))
+
+
 def id_uniqueness(df: DataFrame, col: str) -> DataFrame:
     per = df.groupBy(col).agg(F.count("*").alias("n"))
     known = F.col(col).isNotNull()
@@ -69,6 +133,12 @@ def binary_columns(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.agg(F.array(*[F.struct(F.lit(c).alias("feature"), F.bool_and(F.col(c).isin(0, 1)).alias("is_binary")) for c in cols]).alias("s")).select(F.inline("s"))
 
 
+def few_levels(df: DataFrame, cols: list[str], threshold: int = 15) -> DataFrame:
+    """Levels of each column by the looser rules: ``found`` at or below the threshold, ``shown`` (summaries, grids) below it."""
+    n = _melted(df, cols, kind="string").groupBy("feature", "v").agg(F.lit(1)).groupBy("feature").agg(F.count("v").alias("levels"))
+    return n.withColumns({"found": F.col("levels") <= threshold, "shown": F.col("levels") < threshold})
+
+
 def categorical_columns(df: DataFrame, cols: list[str], threshold: int = 10) -> DataFrame:
     """Levels of each column; strings, and integral numbers with 2 < levels < threshold, are categorical."""
     kinds = dict(df.dtypes)
@@ -89,7 +159,9 @@ def range_check(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFr
 
 
 def table_checksum(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Rows and the sum of a hash of each row: the same for any order of rows."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols])
+    """Rows and the sum of a hash of each row: the same for any order of rows; fractions count to ten places."""
+    kinds = dict(df.dtypes)
+    value = lambda c: F.format_string("%.10f", F.round(c, 10) + F.lit(0.0)) if kinds[c] in ("double", "float") else F.col(c).cast("string")
+    text = F.concat_ws("|", *[F.coalesce(value(c), F.lit("null")) for c in cols])
     h = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
     return df.agg(F.count("*").alias("n"), F.sum(h).alias("checksum"))

@@ -9,7 +9,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import sigmoid
+from ..functions.scalars import rounded, sigmoid
+from ..functions.storage import staged
+from .evaluate import auc, count_losses, score_counts
 
 THRESHOLD = 0.1
 
@@ -44,6 +46,16 @@ def score_path(rows: DataFrame, path: DataFrame, phis: str = "phis") -> DataFram
     return rows.crossJoin(F.broadcast(path)).withColumn("p", sigmoid(F.col("intercept") + dot))
 
 
+def path_metrics(rows: DataFrame, path: DataFrame, phis: str = "phis", y: str = "y", places: int = 9) -> DataFrame:
+    """lambda_idx, auc, log_loss, brier of every lambda on ``rows``, which are scored once.
+
+    Scores are counted to ``places`` decimals, so that sums in another order tie alike.
+    """
+    scored = score_path(rows, path, phis).withColumn("p", rounded(F.col("p"), places))
+    counts = staged(score_counts(scored, "p", y, ["lambda_idx"]), "path-counts")
+    return auc(counts, ["lambda_idx"]).join(count_losses(counts, ["lambda_idx"]), "lambda_idx")
+
+
 def term_counts(path: DataFrame, n_single: int, threshold: float = THRESHOLD) -> DataFrame:
     big = lambda lo, hi: F.size(F.filter(F.slice("betas", lo, hi), lambda b: F.abs(b) > threshold)).cast("long")
     return path.select("lambda_idx", big(1, n_single).alias("n_single"), big(n_single + 1, 10_000).alias("n_pair"))

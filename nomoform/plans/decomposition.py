@@ -11,7 +11,7 @@ from .registry import query
 from .tabular import tidy
 
 EPS = 1e-7
-REFERENCE = {"q": 25.0, "d": 0.05, "t": 0.04}
+REFERENCE = {"q": 25.0137, "d": 0.05031, "t": 0.04017}
 BETAS = [(0, 0.9137), (1, 1.1271), (3, 0.4733)]
 
 
@@ -32,7 +32,7 @@ def _raw(grid: str, source: str, weight: str) -> str:
 
 _PHI = "dd AS (SELECT term, vi, vj, z - phi0 AS d FROM raw, z0), phi AS (SELECT term, vi, vj, d AS phi FROM dd WHERE vj IS NULL UNION ALL " + " UNION ALL ".join(f"SELECT x.term, x.vi, x.vj, x.d - a.d - b.d FROM dd x JOIN dd a ON a.term = {a} AND a.vi = x.vi JOIN dd b ON b.term = {b} AND b.vi = x.vj WHERE x.term = {t}" for t, (a, b) in _PAIR.items()) + ")"
 LEBESGUE = "WITH " + ", ".join([_BACK, _VALUES, _raw("gv", "bg", "bg.w"), _PHI])
-_REF = LI + ", rf0 AS (SELECT 25.0::DOUBLE AS q, 0.05::DOUBLE AS d, 0.04::DOUBLE AS t, 1 AS w), z0 AS (SELECT " + logit_sql("q", "d", "t") + " AS phi0 FROM rf0)"
+_REF = LI + ", rf0 AS (SELECT 25.0137::DOUBLE AS q, 0.05031::DOUBLE AS d, 0.04017::DOUBLE AS t, 1 AS w), z0 AS (SELECT " + logit_sql("q", "d", "t") + " AS phi0 FROM rf0)"
 DIRAC = "WITH " + ", ".join([_REF, _VALUES, _raw("gv", "rf0", "bg.w"), _PHI])
 _EVEN = "ge AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, k, v AS value FROM (SELECT (row_number() OVER (ORDER BY v) - 1)::INT AS k, v FROM (SELECT DISTINCT {f} AS v FROM li)) WHERE (SELECT count(DISTINCT {f}) FROM li) < 15 UNION ALL SELECT '{f}', k::INT, lo + (hi - lo) * k / 14 FROM (SELECT min({f}) AS lo, max({f}) AS hi, count(DISTINCT {f}) AS n FROM li), range(15) r(k) WHERE n >= 15" for f in "qdt") + ")"
 _PRODUCT = "gv AS (" + " UNION ALL ".join([f"SELECT {i} AS term, value AS vi, NULL::DOUBLE AS vj FROM ge WHERE feature = '{f}'" for i, f in enumerate("qdt")] + [f"SELECT {t}, a.value, b.value FROM ge a, ge b WHERE a.feature = '{'qdt'[x]}' AND b.feature = '{'qdt'[y]}'" for t, (x, y) in _PAIR.items()]) + ")"
@@ -68,7 +68,6 @@ def lebesgue_bivariate(spark, sf):
     return tidy(lebesgue(spark, sf).where("vj is not null"))
 
 
-_LONG = ", long AS (SELECT id, phi.term, phi FROM li JOIN phi ON " + " OR ".join([f"(term = {i} AND vi = {f})" for i, f in enumerate("qdt")] + [f"(term = {t} AND vi = {'qdt'[a]} AND vj = {'qdt'[b]})" for t, (a, b) in _PAIR.items()]) + ")"
 _LONG = ", long AS (" + " UNION ALL ".join([f"SELECT id, phi.term, phi FROM li JOIN phi ON term = {i} AND vi = {f}" for i, f in enumerate("qdt")] + [f"SELECT id, phi.term, phi FROM li JOIN phi ON term = {t} AND vi = {'qdt'[a]} AND vj = {'qdt'[b]}" for t, (a, b) in _PAIR.items()]) + ")"
 
 
@@ -80,8 +79,8 @@ def response_table(spark, sf):
 @query(LEBESGUE + _LONG + ", s AS (SELECT id, sum(phi) AS s FROM long GROUP BY id), e AS (SELECT abs(s + phi0 - " + logit_sql("q", "d", "t") + f") AS e FROM li JOIN s USING (id), z0) SELECT count(*) AS n, {r6('max(e)')} AS worst, {r6('avg(e)')} AS mean FROM e")
 def reconstruction_error(spark, sf):
     x = li(spark, sf)
-    sums = decompose.to_rows(x, ["id"], LI_FEATURES, lebesgue(spark, sf)).groupBy("id").agg(F.sum("phi").alias("s"))
-    phi0 = decompose.baseline(decompose.background(x, LI_FEATURES), LI_FEATURES, li_score)
+    responses, phi0 = decompose.with_baseline(x, LI_FEATURES, li_score)
+    sums = decompose.to_rows(x, ["id"], LI_FEATURES, responses).groupBy("id").agg(F.sum("phi").alias("s"))
     e = F.abs(F.col("s") + F.col("phi0") - stable_logit(li_score({f: F.col(f) for f in LI_FEATURES})))
     return tidy(x.join(sums, "id").crossJoin(F.broadcast(phi0)).agg(F.count("*").alias("n"), F.max(e).alias("worst"), F.avg(e).alias("mean")))
 

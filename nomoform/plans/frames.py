@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_percentiles
 from ..functions.scalars import rounded, sigmoid
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
@@ -17,13 +18,13 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 def with_median_target(df: DataFrame, value: str) -> DataFrame:
     """y: 1 above the median of ``value``."""
-    middle = df.agg(F.median(value).alias("_m"))
-    return df.crossJoin(F.broadcast(middle)).withColumn("y", (F.col(value) > F.col("_m")).cast("int")).drop("_m")
+    middle = exact_percentiles(df, [value], [0.5])[value][0]
+    return df.withColumn("y", (F.col(value) > F.lit(middle)).cast("int"))
 
 
 def li(spark: SparkSession, sf: str) -> DataFrame:
     x = read(spark, sf, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("id"),
         F.col("l_quantity").alias("q"), F.col("l_discount").alias("d"), F.col("l_tax").alias("t"),
         F.col("l_returnflag").alias("rf"), F.col("l_linestatus").alias("ls"), F.col("l_extendedprice").alias("price"),
     )
@@ -32,7 +33,7 @@ def li(spark: SparkSession, sf: str) -> DataFrame:
 
 def li_score(at: dict[str, Column]) -> Column:
     q, d, t = at["q"], at["d"], at["t"]
-    return sigmoid(-1.5 + q * 0.05 + d * 6.0 - t * 9.0 + q * d * 0.4)
+    return sigmoid(-1.5193 + q * 0.05317 + d * 6.0913 - t * 9.1377 + q * d * 0.41731)
 
 
 def scored_li(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,13 +61,13 @@ def dl(spark: SparkSession, sf: str) -> DataFrame:
     return d.join(read(spark, sf, "labels"), "doc_id", "left")
 
 
-LI = """li AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_quantity AS q, l_discount AS d, l_tax AS t,
+LI = """li AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || round(l_extendedprice * 100)::BIGINT AS id, l_quantity AS q, l_discount AS d, l_tax AS t,
   l_returnflag AS rf, l_linestatus AS ls, l_extendedprice AS price,
   (l_extendedprice > (SELECT median(l_extendedprice) FROM lineitem))::INT AS y FROM lineitem)"""
 
 
 def z_sql(q: str = "q", d: str = "d", t: str = "t") -> str:
-    return f"(-1.5 + {q} * 0.05 + {d} * 6.0 - {t} * 9.0 + {q} * {d} * 0.4)"
+    return f"(-1.5193 + {q} * 0.05317 + {d} * 6.0913 - {t} * 9.1377 + {q} * {d} * 0.41731)"
 
 
 SLI = LI + f", sli AS (SELECT *, round(1 / (1 + exp(-{z_sql()})), 9) AS p FROM li)"

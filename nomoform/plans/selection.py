@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import rounded
-from ..operators import evaluate, explain, select
+from ..operators import explain, select
 from .frames import LI, li, r6
 from .registry import query
 from .tabular import tidy
@@ -37,9 +36,7 @@ def path(rows):
 
 def metrics(spark, sf):
     rows = phis(spark, sf)
-    scored = select.score_path(rows, path(rows)).withColumn("p", rounded(F.col("p"), 9))
-    a = evaluate.auc(evaluate.score_counts(scored, by=["lambda_idx"]), ["lambda_idx"])
-    return a.join(evaluate.losses(scored, ["lambda_idx"]), "lambda_idx").select("lambda_idx", "auc", "log_loss")
+    return select.path_metrics(rows, path(rows)).select("lambda_idx", "auc", "log_loss")
 
 
 def path_with_auc(spark, sf):
@@ -147,12 +144,14 @@ def interaction_matrix(spark, sf):
 
 @query(_C + f" SELECT term, {', '.join(r6(f'quantile_cont(c, {x})') + f' AS {n}' for x, n in ((0.25, 'q1'), (0.5, 'median'), (0.75, 'q3')))}, {r6('avg(c)')} AS mean, {r6('min(c)')} AS min, {r6('max(c)')} AS max FROM co GROUP BY term")
 def contribution_quartiles(spark, sf):
-    return tidy(explain.quartiles(_contrib(spark, sf)))
+    chosen = [r["term"] for r in _chosen(spark, sf).select("term").collect()]  # a handful
+    return tidy(explain.quartiles(_contrib(spark, sf), chosen))
 
 
-@query(_C + f" SELECT a.term AS a, b.term AS b, {r6('corr(a.c, b.c)')} AS r FROM co a JOIN co b USING (id) WHERE a.term IN (0, 1) AND b.term IN (0, 1) GROUP BY ALL")
+@query(_C + f" SELECT a.term AS a, b.term AS b, {r6('corr(a.c, b.c)')} AS r FROM co a JOIN co b USING (id) GROUP BY ALL")
 def contribution_correlation(spark, sf):
-    return tidy(explain.correlation(_contrib(spark, sf), ["id"], [0, 1]))
+    chosen = [r["term"] for r in _chosen(spark, sf).select("term").collect()]  # a handful
+    return tidy(explain.correlation(_contrib(spark, sf), ["id"], chosen))
 
 
 @query(_P + _TERMS + ", rk AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS r FROM tm), fe AS (SELECT term AS feature, r FROM rk WHERE term < 3 UNION ALL SELECT unnest([0, 1]), r FROM rk WHERE term = 3) SELECT feature, (r * 5 + k)::INT AS node FROM fe, range(5) x(k)")

@@ -12,19 +12,19 @@ from .registry import query
 NUM = ["q", "d", "t", "price"]
 
 
-def tidy(df, **how):
-    """Doubles rounded, counts as longs."""
+def tidy(df, **places):
+    """Doubles rounded, to six places unless ``places`` says otherwise."""
     kinds = dict(df.dtypes)
-    return df.select(*[rounded(F.col(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
+    return df.select(*[rounded(F.col(c), places.get(c, 6)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 
 def _union(parts):
     return " UNION ALL ".join(parts)
 
 
-@query("WITH " + LI + _union(f" SELECT '{c}' AS feature, count({c}) AS non_null, count(*) - count({c}) AS nulls, {r6(f'avg({c})')} AS mean, {r6(f'median({c})')} AS median, {r6(f'stddev_samp({c})')} AS std, {r6(f'quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)')} AS iqr, {r6(f'min({c})')} AS min, {r6(f'max({c})')} AS max, count(DISTINCT {c}) AS levels, count(DISTINCT {c}) < 15 AS is_categorical FROM li" for c in NUM))
+@query("WITH " + LI + _union(f" SELECT '{c}' AS feature, count({c}) AS non_null, count(*) - count({c}) AS nulls, {r6(f'avg({c})', 7)} AS mean, {r6(f'median({c})')} AS median, {r6(f'stddev_samp({c})')} AS std, {r6(f'quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)')} AS iqr, {r6(f'min({c})')} AS min, {r6(f'max({c})')} AS max, count(DISTINCT {c}) AS levels, count(DISTINCT {c}) < 15 AS is_categorical FROM li" for c in NUM))
 def feature_summary(spark, sf):
-    return tidy(profile.feature_summary(li(spark, sf), NUM))
+    return tidy(profile.feature_summary(li(spark, sf), NUM), mean=7)
 
 
 @query("WITH " + OC + ", u AS (" + _union(f"SELECT '{c}' AS feature, {c} AS level FROM oc" for c in ("seg", "pri", "status")) + f") SELECT feature, level, count(*) AS n, {r6('count(*) / sum(count(*)) OVER (PARTITION BY feature)')} AS share FROM u WHERE level IS NOT NULL GROUP BY feature, level")
