@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 #: Distinct values around a wanted rank that the driver takes, and the relative error of the sketches that find them.
 KEEP, ERROR = 100_000, 0.001
+#: Up to so many values a bracket is the whole column, as a sketch's slack is less than a few ranks.
+SHORT = 5_000
 
 
-def _interval(df: DataFrame, col: str, q: float) -> tuple[float, float]:
-    """Values between which the rank of ``q`` lies for certain."""
-    return tuple(df.approxQuantile(col, [max(0.0, q - 2 * ERROR), min(1.0, q + 2 * ERROR)], ERROR))
+def _interval(df: DataFrame, col: str, q: float, n: int) -> tuple[float, float]:
+    """Values between which the ranks around ``q`` lie for certain."""
+    slack = 2 * ERROR + 2 / max(n, 1)
+    return tuple(df.approxQuantile(col, [max(0.0, q - slack), min(1.0, q + slack)], ERROR))
 
 
 def exact_percentiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[str, list[float | None]]:
@@ -25,7 +28,7 @@ def exact_percentiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[s
     Nulls and NaN do not count.
     """
     x = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(cols)])
-    names, tries = x.columns, sorted({min(1.0, max(0.0, q + d * ERROR)) for q in qs for d in (-2, 2)})
+    names, tries = x.columns, sorted({0.0, 1.0, *(min(1.0, max(0.0, q + d * ERROR)) for q in qs for d in (-2, 2))})
     sketch = x.approxQuantile(names, tries, ERROR)
     at = {t: k for k, t in enumerate(tries)}
     box = {
@@ -42,13 +45,17 @@ def exact_percentiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict[s
         return x.agg(*ask).first().asDict()
 
     counts = count()
+    short = {key: (sketch[names.index(key[0])][0], sketch[names.index(key[0])][-1]) for key in box if counts[f"{key[0]}:n"] <= SHORT}
+    if short:
+        box |= short
+        counts = count()
     for _ in range(8):
         wide = [(key, ends) for k, (key, ends) in enumerate(box.items()) if counts[f"in{k}"] > KEEP and ends[0] < ends[1]]
         moved = False
         for (c, q), (a, b) in wide:
             k = list(box).index((c, q))
             inside = (q * (counts[f"{c}:n"] - 1) - counts[f"below{k}"]) / max(1, counts[f"in{k}"] - 1)
-            new = _interval(x.where(F.col(c).between(a, b)), c, min(1.0, max(0.0, inside)))
+            new = _interval(x.where(F.col(c).between(a, b)), c, min(1.0, max(0.0, inside)), counts[f"in{k}"])
             moved = moved or new != (a, b)
             box[c, q] = new
         if not moved:

@@ -149,3 +149,30 @@ def report(df: DataFrame, threshold: float | None = None, by: list[str] | None =
     for part in parts[1:]:
         out = out.join(part, by) if by else out.crossJoin(part)
     return out
+
+
+def calibration_band(rows: DataFrame, edges: Column, id_: str, n: int, least: int = 5, seed: int = 7) -> DataFrame:
+    """The calibration curve with intervals of its rate by bin; bins with fewer than ``least`` rows have none."""
+    base = calibration(rows, edges)
+    reps = calibration(replicates(rows, id_, n, seed), edges, ["b"], F.col("w"))
+    ends = interval(reps, "rate", ["bin"]).select("bin", "lo", "hi")
+    keep = lambda c: F.when(F.col("n") >= least, F.col(c)).alias(c)
+    return base.join(ends, "bin", "left").select("bin", "n", "mean_p", "rate", keep("lo"), keep("hi"))
+
+
+STAGES, SPLITS = ("model", "model_nomogram", "network", "network_nomogram"), ("train", "test", "val")
+
+
+def performance_summary(aucs: DataFrame, terms: DataFrame, stages: tuple[str, ...] = STAGES) -> DataFrame:
+    """Every stage and split with auc, lo, hi (``aucs``: stage, split and these) and the stage's counts of terms; null where a stage is missing."""
+    grid = aucs.sparkSession.createDataFrame([(s, p) for s in stages for p in SPLITS], "stage string, split string")
+    out = grid.join(aucs, ["stage", "split"], "left").join(terms, "stage", "left")
+    return out.select("stage", "split", "auc", "lo", "hi", "n_single", "n_pair", (F.col("n_single") + F.col("n_pair")).alias("n_terms"))
+
+
+def density(df: DataFrame, bins: int = 20, by: list[str] | None = None, p: str = "p") -> DataFrame:
+    """Share of scores per unit in equal bins on [0, 1], empty bins included only where another group of ``by`` fills them."""
+    by = by or []
+    n = df.groupBy(*by, F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*by))  # rows are bins by now
+    return n.select(*by, "bin", (F.col("n") / total * bins).alias("density"))

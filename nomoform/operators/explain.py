@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_percentiles
-from ..functions.scalars import sigmoid
+from ..functions.scalars import sigmoid, stable_logit
 
 
 def contributions(responses: DataFrame, betas: DataFrame) -> DataFrame:
@@ -23,6 +23,25 @@ def row_explanation(contrib: DataFrame, id_: list[str]) -> DataFrame:
     return contrib.withColumn("rank", F.row_number().over(Window.partitionBy(*id_).orderBy(F.desc(F.round(F.abs("c"), 9)), "term")))
 
 
+def check_explanation(contrib: DataFrame, id_: list[str], intercept: float, scored: DataFrame, tol: float = 1e-2) -> DataFrame:
+    """id, summed (intercept and contributions), logit (of the score p) and whether they agree within ``tol``, for every row."""
+    total = contrib.groupBy(*id_).agg((F.sum("c") + intercept).alias("summed"))
+    both = scored.select(*id_, stable_logit(F.col("p")).alias("logit")).join(total, id_, "left")
+    summed = F.coalesce("summed", F.lit(float(intercept)))
+    return both.select(*id_, summed.alias("summed"), "logit", (F.abs(summed - F.col("logit")) <= tol).alias("agrees"))
+
+
+def unweighted(responses: DataFrame, terms: list[int]) -> DataFrame:
+    """The responses themselves as contributions, for a model without a selection."""
+    return responses.where(F.col("term").isin(*terms)).withColumn("c", F.col("phi"))
+
+
+def full_matrix(contrib: DataFrame, pairs: dict[int, tuple[int, int]], n_features: int) -> DataFrame:
+    """i, j, mean for all pairs of features, symmetric, 0 where there is no term."""
+    cells = contrib.sparkSession.range(n_features * n_features).select((F.col("id") / n_features).cast("int").alias("i"), (F.col("id") % n_features).cast("int").alias("j"))
+    return cells.join(F.broadcast(interaction_matrix(contrib, pairs)), ["i", "j"], "left").select("i", "j", F.coalesce("mean", F.lit(0.0)).alias("mean"))
+
+
 def mean_contributions(contrib: DataFrame) -> DataFrame:
     m = contrib.groupBy("term").agg(F.avg(F.abs("c")).alias("mean_abs"), F.avg("c").alias("mean"))
     return m.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("mean_abs", 9)), "term")))

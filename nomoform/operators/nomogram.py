@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import sigmoid
+from ..functions.storage import staged
 
 
 def curves(responses: DataFrame, betas: DataFrame) -> DataFrame:
@@ -34,7 +38,7 @@ def conversion_line(ends: DataFrame, intercept: float, ticks: int = 11, reach: f
 def points(curve: DataFrame) -> DataFrame:
     """Responses as points from 0 to 100 over all curves."""
     ends = curve.agg(F.min("r").alias("_lo"), F.max("r").alias("_hi"))
-    return curve.crossJoin(F.broadcast(ends)).withColumn("points", (F.col("r") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 100).drop("_lo", "_hi")
+    return curve.crossJoin(F.broadcast(ends)).withColumn("points", F.when(F.col("_hi") > F.col("_lo"), (F.col("r") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 100).otherwise(0.0)).drop("_lo", "_hi")
 
 
 def interpolate(x: Column, xs: list[float], ys: list[float]) -> Column:
@@ -68,6 +72,87 @@ def from_json(docs: DataFrame) -> DataFrame:
     return parsed.select("term", F.col("d.name").alias("name"), F.inline("d.points")).select("term", "name", F.col("x").alias("vi"), F.col("y").alias("vj"), "r")
 
 
+def descaled(curve: DataFrame, scaler: dict[int, tuple[float, float]]) -> DataFrame:
+    """Curves in the units of the data: the first feature's value times scale plus shift, by term."""
+    if not scaler:
+        return curve
+    at = lambda k: F.element_at(F.create_map(*[F.lit(x) for t, p in scaler.items() for x in (t, float(p[k]))]), F.col("term"))
+    return curve.withColumn("vi", F.col("vi") * F.coalesce(at(1), F.lit(1.0)) + F.coalesce(at(0), F.lit(0.0)))
+
+
+def pair_kinds(catalogue: dict[str, str], which: list[tuple[int, str, str | None]]) -> dict[int, str]:
+    """mixed, categories or numbers, for each pair term; ``catalogue`` names each feature's kind."""
+    kind = {0: "numbers", 1: "mixed", 2: "categories"}
+    return {t: kind[(catalogue[a] == "categorical") + (catalogue[b] == "categorical")] for t, a, b in which if b}
+
+
+@dataclass(frozen=True)
+class Nomogram:
+    """The tables of one nomogram: curves (term, vi, vj, r), their shared range, and the line from sums to probabilities."""
+
+    intercept: float
+    names: dict[int, str]
+    kinds: dict[int, str]
+    curves: DataFrame
+    common: DataFrame
+    line: DataFrame
+
+
+def build(responses: DataFrame, betas: DataFrame, intercept: float, names: dict[int, str], kinds: dict[int, str], scaler: dict[int, tuple[float, float]] | None = None) -> Nomogram:
+    """All tables from responses on the grids of the selected terms and their coefficients."""
+    curve = staged(descaled(curves(responses, betas), scaler or {}), "curves")
+    common = common_range(curve)
+    return Nomogram(intercept, names, kinds, curve, common, conversion_line(common, intercept))
+
+
+def document(n: Nomogram, metadata: dict[str, str], selected_lambda: float, index: int) -> DataFrame:
+    """The whole nomogram as one JSON document; grids are bounded by their steps."""
+    name = F.element_at(F.create_map(*[F.lit(x) for kv in n.names.items() for x in kv]), F.col("term"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in (n.kinds or {-1: ""}).items() for x in kv]), F.col("term"))
+    point = F.struct(F.col("vi").alias("x"), F.col("vj").alias("y"), F.col("r").alias("r"))
+    each = n.curves.groupBy("term").agg(F.max(F.col("vj").isNotNull()).alias("pair"), F.array_sort(F.collect_list(point)).alias("points"))
+    entry = F.struct("term", name.alias("name"), kind.alias("kind"), "points")
+    side = lambda pair: F.array_sort(F.filter(F.collect_list(F.when(F.col("pair") == pair, entry)), lambda x: x.isNotNull()))
+    model = F.struct(F.lit(n.intercept).alias("intercept"), F.lit(selected_lambda).alias("selected_lambda"), F.lit(index).alias("index"))
+    meta = F.create_map(*[F.lit(x) for kv in metadata.items() for x in kv]) if metadata else F.create_map().cast("map<string,string>")
+    doc = F.struct(F.lit(VERSION).alias("schema"), meta.alias("metadata"), model.alias("model"), side(False).alias("univariate"), side(True).alias("bivariate"))
+    return each.agg(F.to_json(doc).alias("json"))
+
+
+VERSION = "1.0"
+_ENTRY = "array<struct<term: int, name: string, kind: string, points: array<struct<x: double, y: double, r: double>>>>"
+
+
+def read_document(docs: DataFrame) -> DataFrame:
+    """term, name, vi, vj, r, intercept of nomogram documents; another version is warned of and read, a missing intercept is 0."""
+    schema = f"schema string, metadata map<string,string>, model struct<intercept: double, selected_lambda: double, index: int>, univariate {_ENTRY}, bivariate {_ENTRY}"
+    parsed = docs.select(F.from_json("json", schema).alias("d"))
+    other = parsed.where(~F.col("d.schema").eqNullSafe(F.lit(VERSION))).limit(1).count()
+    if other:
+        warnings.warn(f"a nomogram of another version than {VERSION}", stacklevel=2)
+    both = F.concat(F.coalesce("d.univariate", F.array().cast(_ENTRY)), F.coalesce("d.bivariate", F.array().cast(_ENTRY)))
+    rows = parsed.select(F.coalesce("d.model.intercept", F.lit(0.0)).alias("intercept"), F.explode(both).alias("e"))
+    return rows.select("intercept", F.col("e.term").alias("term"), F.col("e.name").alias("name"), F.inline("e.points")).select(
+        "term", "name", F.col("x").alias("vi"), F.col("y").alias("vj"), "r", "intercept"
+    )
+
+
+def wide_table(curve: DataFrame, names: dict[int, str]) -> DataFrame:
+    """k and, for each single term, its x and r beside each other, null below its last point: the form of a CSV file."""
+    k = F.row_number().over(Window.partitionBy("term").orderBy("vi", "vj")) - 1  # points of one grid
+    cols = []
+    for t, name in names.items():
+        cols += [F.max(F.when(F.col("term") == t, F.col("vi"))).alias(f"{name}_x"), F.max(F.when(F.col("term") == t, F.col("r"))).alias(f"{name}_r")]
+    return curve.withColumn("k", k).groupBy("k").agg(*cols).orderBy("k")
+
+
+def write_csv(table: DataFrame, path: str, header: dict[str, str]) -> None:
+    """A wide table as CSV with its names on top, and the header's lines as comments in a file beside it."""
+    table.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/table")  # a grid's rows
+    lines = table.sparkSession.createDataFrame([(f"# {k}: {v}",) for k, v in header.items()], "value string")
+    lines.coalesce(1).write.mode("overwrite").text(f"{path}/header")
+
+
 def feature_metadata(df: DataFrame, features: list[str], threshold: int = 15) -> DataFrame:
     """feature, idx, kind, levels, min, max."""
     rows = [

@@ -24,17 +24,18 @@ def fit_path(df: DataFrame, phis: str, y: str, lambdas: list[float], max_terms:
     """lambda_idx, lambda, intercept, betas: one L1 fit per lambda on rows grouped by their responses.
 
     The summed loss plus lambda times the betas is MLlib's mean loss at lambda
-    over the number of rows. The path ends after the batch in which enough terms are chosen.
+    over the number of rows. The path ends after the batch in which any lambda has enough terms.
     """
     rows = df.groupBy(F.col(phis).alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").cast("double").alias("w"))
     rows = rows.select(array_to_vector("x").alias("features"), F.col("y").alias("label"), "w").persist()
     total = rows.agg(F.sum("w")).first()[0]
-    out = []
+    out, counts = [], []
     for i, lam in enumerate(lambdas):
         lr = LogisticRegression(elasticNetParam=1.0, regParam=lam / total, standardization=False, weightCol="w", maxIter=200, tol=1e-8)
         m = lr.fit(rows)
         out.append((i, lam, float(m.intercept), [float(b) for b in m.coefficients]))
-        if (i + 1) % batch == 0 and sum(abs(b) > THRESHOLD for b in m.coefficients) >= max_terms:
+        counts.append(sum(abs(b) > THRESHOLD for b in m.coefficients))
+        if (i + 1) % batch == 0 and max(counts[-batch:]) >= max_terms:
             break
     rows.unpersist()
     return df.sparkSession.createDataFrame(out, "lambda_idx int, lambda double, intercept double, betas array<double>")
@@ -70,7 +71,8 @@ def non_empty(path: DataFrame, pick: DataFrame, threshold: float = THRESHOLD) ->
     has = F.exists("betas", lambda b: F.abs(b) > threshold)
     one = path.join(F.broadcast(pick), "lambda_idx").where(has).agg(F.min("lambda_idx").alias("a"))
     two = path.where(has).agg(F.min("lambda_idx").alias("b"))
-    return one.crossJoin(two).select(F.coalesce("a", "b").alias("lambda_idx"))
+    none = F.raise_error(F.lit("no lambda of the path has a term")).cast("int")
+    return one.crossJoin(two).select(F.coalesce("a", "b", none).alias("lambda_idx"))
 
 
 def _best(path: DataFrame) -> DataFrame:
@@ -123,3 +125,51 @@ def selection_mask(chosen: DataFrame, pairs: dict[int, tuple[int, int]], n_featu
     of = F.element_at(F.create_map(*[x for t, fs in both.items() for x in (F.lit(t), F.array(*map(F.lit, fs)))]), F.col("term"))
     rank = F.row_number().over(Window.orderBy("term")) - 1  # over the selected terms, a few
     return chosen.withColumn("_r", rank).select(F.explode(of).alias("feature"), "_r").select("feature", F.explode(F.sequence(F.col("_r") * nodes, F.col("_r") * nodes + nodes - 1)).alias("node"))
+
+
+def mask_terms(chosen: set[int], pairs: dict[int, tuple[int, int]], groups: list[list[int]] | None = None, strict_pairs: bool = False, add_singles: bool = False) -> list[tuple[int, tuple[int, ...]]]:
+    """Terms of a mask and the features each sees.
+
+    ``strict_pairs`` keeps a pair only if both of its single terms are chosen,
+    ``add_singles`` adds the single terms of every pair, and a feature of a group of
+    dummies brings the whole group.
+    """
+    terms = {t for t in chosen if not (strict_pairs and t in pairs and not set(pairs[t]) <= chosen)}
+    if add_singles:
+        terms |= {f for t in terms if t in pairs for f in pairs[t]}
+    whole = {f: tuple(g) for g in groups or [] for f in g}
+    seen = lambda t: pairs.get(t, (t,))
+    return [(t, tuple(sorted({x for f in seen(t) for x in whole.get(f, (f,))}))) for t in sorted(terms)]
+
+
+def thresholded(path: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The path with small coefficients set to 0; intercepts stay."""
+    return path.withColumn("betas", F.transform("betas", lambda b: F.when(F.abs(b) <= threshold, 0.0).otherwise(b)))
+
+
+def mixed_pairs(catalogue: DataFrame, pairs: dict[int, tuple[int, int]]) -> DataFrame:
+    """term and whether exactly one of its features is categorical; ``catalogue``: idx, kind."""
+    table = catalogue.sparkSession.createDataFrame([(t, i, j) for t, (i, j) in pairs.items()], "term int, i int, j int")
+    kind = lambda x: F.broadcast(catalogue.select(F.col("idx").alias(x), (F.col("kind") == "categorical").alias(f"{x}_cat")))
+    return table.join(kind("i"), "i").join(kind("j"), "j").select("term", "i", "j", (F.col("i_cat") != F.col("j_cat")).alias("mixed"))
+
+
+#: What must agree before a stored selection is used again.
+SETTINGS = ("model", "method", "rule", "value", "threshold", "n_lambdas", "max_terms")
+
+
+def compare_settings(stored: DataFrame, wanted: dict[str, object]) -> DataFrame:
+    """field, stored, wanted, same for each of SETTINGS; ``stored`` is one row."""
+    rows = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("stored"), F.lit(None if wanted.get(f) is None else str(wanted[f])).alias("wanted")) for f in SETTINGS]
+    return stored.select(F.inline(F.array(*rows))).withColumn("same", F.col("stored").eqNullSafe(F.col("wanted")))
+
+
+def coefficient_bars(path: DataFrame, idx: int, least: float = 1e-3) -> DataFrame:
+    """term, beta, rank of one lambda's coefficients beyond ``least``, the largest first."""
+    long = path.where(F.col("lambda_idx") == idx).select(F.posexplode("betas").alias("term", "beta")).where(F.abs("beta") > least)
+    return long.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round(F.abs("beta"), 9)), "term")))  # one lambda's terms
+
+
+def path_table(path: DataFrame) -> DataFrame:
+    """lambda_idx, lambda, term, beta: what a path plot shows."""
+    return path.select("lambda_idx", "lambda", F.posexplode("betas").alias("term", "beta"))

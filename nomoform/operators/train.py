@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_percentiles
 from ..functions.scalars import draw, sigmoid
+from . import evaluate
 from .score import with_callable, with_probability  # noqa: F401
 
 MODELS = {
@@ -53,11 +56,17 @@ class Network:
         return sigmoid(self.logit(at))
 
 
-def fit_network(df: DataFrame, features: list[str], y: str, hidden: int = 6, mask: np.ndarray | None = None, epochs: int = 40, rate: float = 0.05, seed: int = 3) -> Network:
+def fit_network(
+    df: DataFrame, features: list[str], y: str, hidden: int = 6, mask: np.ndarray | None = None, epochs: int = 40, rate: float = 0.05, seed: int = 3,
+    test: DataFrame | None = None, patience: int = 10, tolerance: float = 1e-5, history: list[dict] | None = None,
+) -> Network:
     """Full-batch Adam: each epoch sums the gradient in the tasks; only weights travel.
 
     ``mask`` (features x hidden) is multiplied into the first layer after every
-    step. Scale the features first. The best epoch's weights are copied and returned.
+    step. Scale the features first. The loss of ``test`` (of ``df`` without one)
+    decides: training stops when it has not fallen by ``tolerance`` for
+    ``patience`` epochs, and a copy of the best epoch's weights is returned.
+    ``history`` gets epoch, loss and test_loss.
     """
     rng = np.random.default_rng(seed)
     n_f = len(features)
@@ -68,35 +77,44 @@ def fit_network(df: DataFrame, features: list[str], y: str, hidden: int = 6, mas
     theta = np.concatenate([rng.normal(0, 0.4, sizes[0]), np.zeros(sizes[1]), rng.normal(0, 0.4, sizes[2]), np.zeros(1)])
     cuts = np.cumsum(sizes)[:-1]
     theta[: sizes[0]] *= mask.ravel()
-    rows = df.select(*[F.col(f).cast("double") for f in features], F.col(y).cast("double").alias("_y")).persist()
-    m, v, best = np.zeros_like(theta), np.zeros_like(theta), (np.inf, theta.copy())
+    pick = lambda d, held: d.select(*[F.col(f).cast("double") for f in features], F.col(y).cast("double").alias("_y"), F.lit(held).alias("_held"))
+    rows = pick(df, False)
+    rows = (rows if test is None else rows.unionByName(pick(test, True))).persist()
+    m, v, best, waited = np.zeros_like(theta), np.zeros_like(theta), (np.inf, theta.copy()), 0
 
     def partial(weights: np.ndarray):
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w1, b1, w2, b2 = (x.reshape(s) for x, s in zip(np.split(weights, cuts), shapes))
-            g, loss, n = np.zeros_like(weights), 0.0, 0
+            g, loss, n = np.zeros_like(weights), np.zeros(2), np.zeros(2, int)
             for pdf in it:
-                x, t = pdf[features].to_numpy(), pdf["_y"].to_numpy()
+                x, t, held = pdf[features].to_numpy(), pdf["_y"].to_numpy(), pdf["_held"].to_numpy(bool)
                 h = np.tanh(x @ w1 + b1)
                 p = 1 / (1 + np.exp(-(h @ w2 + b2[0])))
-                d = p - t
+                d = np.where(held, 0.0, p - t)
                 back = np.outer(d, w2) * (1 - h * h)
                 g += np.concatenate([(x.T @ back).ravel(), back.sum(0), h.T @ d, [d.sum()]])
                 q = np.clip(p, 1e-12, 1 - 1e-12)
-                loss -= float((t * np.log(q) + (1 - t) * np.log(1 - q)).sum())
-                n += len(t)
-            yield pd.DataFrame({"g": [g.tolist()], "loss": [loss], "n": [n]})
+                each = -(t * np.log(q) + (1 - t) * np.log(1 - q))
+                loss += [each[~held].sum(), each[held].sum()]
+                n += [int((~held).sum()), int(held.sum())]
+            yield pd.DataFrame({"g": [g.tolist()], "loss": [loss.tolist()], "n": [n.tolist()]})
 
         return run
 
     for step in range(1, epochs + 1):
-        parts = rows.mapInPandas(partial(theta), "g array<double>, loss double, n long").collect()  # one row per task
-        n = sum(r["n"] for r in parts)
-        if not n:
+        parts = rows.mapInPandas(partial(theta), "g array<double>, loss array<double>, n array<long>").collect()  # one row per task
+        n = sum(np.array(r["n"]) for r in parts)
+        if not n[0]:
+            break
+        g, loss = sum(np.array(r["g"]) for r in parts) / n[0], sum(np.array(r["loss"]) for r in parts) / np.maximum(n, 1)
+        judged = float(loss[1] if n[1] else loss[0])
+        if history is not None:
+            history.append({"epoch": step, "loss": float(loss[0]), "test_loss": float(loss[1]) if n[1] else None})
+        waited = 0 if judged < best[0] - tolerance else waited + 1
+        if judged < best[0]:
+            best = (judged, theta.copy())
+        if waited > patience:
             break
-        g, loss = sum(np.array(r["g"]) for r in parts) / n, sum(r["loss"] for r in parts) / n
-        if loss < best[0]:
-            best = (loss, theta.copy())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         theta[: sizes[0]] *= mask.ravel()
@@ -105,20 +123,54 @@ def fit_network(df: DataFrame, features: list[str], y: str, hidden: int = 6, mas
     return Network(features, w1, b1, w2, float(b2[0]))
 
 
-def random_search(train: DataFrame, test: DataFrame, features: list[str], y: str, kind: str, ranges: dict[str, list], trials: int = 4, seed: int = 1) -> DataFrame:
-    """trial, params, auc: the defaults, then seeded draws; fits run one after the other on persisted data."""
-    from .evaluate import auc, score_counts
+def random_search(
+    train: DataFrame, test: DataFrame, features: list[str], y: str, kind: str, ranges: dict[str, list | tuple], trials: int = 4, seed: int = 1, metric: str = "auc", parallel: int = 2
+) -> DataFrame:
+    """trial, params (JSON), metric, value, best: the defaults as trial 0, then seeded draws.
 
+    A range is a list of choices or (low, high, "log" | "int" | "float"). ``train`` and
+    ``test`` must be separate. Trials run a few at a time on persisted data.
+    """
     rng = np.random.default_rng(seed)
+
+    def drawn(r: list | tuple) -> object:
+        if isinstance(r, list):
+            return r[int(rng.integers(len(r)))]
+        lo, hi, how = r
+        return int(rng.integers(lo, hi + 1)) if how == "int" else float(np.exp(rng.uniform(np.log(lo), np.log(hi)))) if how == "log" else float(rng.uniform(lo, hi))
+
+    tried = [{} if t == 0 else {k: drawn(r) for k, r in ranges.items()} for t in range(trials)]
     train, test = train.persist(), test.persist()
-    out = []
-    for t in range(trials):
-        params = {} if t == 0 else {k: v[int(rng.integers(len(v)))] for k, v in ranges.items()}
+
+    def value(params: dict) -> float:
         scored = with_probability(fit_model(train, features, y, kind, **params), test)
-        out.append((t, str(sorted(params.items())), auc(score_counts(scored, "p", y)).first()["auc"]))
+        if metric == "auc":
+            return evaluate.auc(evaluate.score_counts(scored, "p", y)).first()["auc"]
+        if metric == "accuracy":
+            return evaluate.confusion(scored, 0.5, p="p", y=y).first()["accuracy"]
+        return evaluate.losses(scored, p="p", y=y).first()[metric]
+
+    with ThreadPoolExecutor(parallel) as pool:
+        values = list(pool.map(value, tried))
     train.unpersist()
     test.unpersist()
-    return train.sparkSession.createDataFrame(out, "trial int, params string, auc double")
+    out = train.sparkSession.createDataFrame([(t, json.dumps(p, sort_keys=True), metric, v) for t, (p, v) in enumerate(zip(tried, values))], "trial int, params string, metric string, value double")
+    top = F.max if metric in ("auc", "accuracy") else F.min
+    best = out.agg(top("value").alias("v")).first()["v"]
+    first = next((t for t, v in enumerate(values) if v == best), None)
+    return out.withColumn("best", F.col("trial") == F.lit(first))
+
+
+def save_trials(trials: DataFrame, path: str) -> None:
+    trials.write.mode("overwrite").parquet(path)
+
+
+def best_parameters(spark, path: str) -> dict[str, object]:
+    """The parameters of the best stored trial."""
+    row = spark.read.parquet(path).where("best").select("params").first()
+    if row is None:
+        raise ValueError(f"no best trial in {path}")
+    return json.loads(row["params"])
 
 
 @dataclass(frozen=True)
@@ -132,8 +184,16 @@ class Rule:
     log_odds: float
 
 
-def score_card(df: DataFrame, rules: list[Rule], intercept: float, per_point: float = 0.13, at_zero: float = -2.75) -> DataFrame:
-    """Adds points, p (from log-odds) and p_points (from points); missing columns are an error."""
+def score_card(df: DataFrame, rules: list[Rule], intercept: float, per_point: float = 0.13, at_zero: float = -2.75, groups: dict[str, tuple[list[str], bool]] | None = None) -> DataFrame:
+    """Adds points, p (from log-odds) and p_points (from points); missing columns are an error.
+
+    ``groups`` are dummies of which a row has at most one, or exactly one where
+    the flag beside them says that the reference is among them.
+    """
+    for g, (members, exact) in (groups or {}).items():
+        total = sum((F.col(m) for m in members[1:]), F.col(members[0]))
+        wrong = (total != 1) if exact else (total > 1)
+        df = df.where(F.when(wrong, F.raise_error(F.lit(f"dummies of {g} do not add up")).cast("boolean")).otherwise(F.lit(True)))
     missing = {r.column for r in rules} - set(df.columns)
     if missing:
         raise ValueError(f"missing columns {sorted(missing)}")

@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import tabular, decomposition, selection, modelling  # noqa: F401  they register themselves
+    from . import decomposition, extended, modelling, selection, tabular  # noqa: F401  they register themselves
 
 
 def queries():

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from nomoform.functions import quantiles
 from nomoform.functions.scalars import sigmoid
-from nomoform.operators import decompose, encode, evaluate, nomogram, select, split, train
+from nomoform.operators import chain, clean, columns, decompose, encode, evaluate, nomogram, prepare, profile, score, select, split, train
 from nomoform.plans.frames import li
 from nomoform.sources import tables
 from nomoform.streaming.scoring import score_stream
@@ -62,6 +63,8 @@ def test_binary_levels_are_ordered():
 
 def test_split_errors(spark):
     df = spark.createDataFrame([(1, "x"), (2, None)], "id int, s string")
+    with pytest.raises(ValueError, match="test"):
+        split.split_predefined(spark.createDataFrame([(" Training ",)], "s string"), F.col("s"), {})
     with pytest.raises(Exception, match="unknown split label"):
         split.split_predefined(df, F.col("s"), {"a": "train"}).collect()
     with pytest.raises(TypeError):
@@ -70,7 +73,9 @@ def test_split_errors(spark):
 
 def test_artifacts(spark, tmp_path):
     df = spark.range(5)
-    tables.save_artifact(df, f"{tmp_path}/a", {"model": "m", "n": "5"})
+    tables.save_artifact(df, f"{tmp_path}/a", {"model": "m", "n": "5", "n_val": "1"})
+    with pytest.warns(UserWarning, match="n_val"):
+        tables.load_artifact(spark, f"{tmp_path}/a", {"n_val": "2"})
     assert tables.load_artifact(spark, f"{tmp_path}/a", {"model": "m"}).count() == 5
     with pytest.raises(ValueError, match="differs"):
         tables.load_artifact(spark, f"{tmp_path}/a", {"n": "6"})
@@ -91,3 +96,105 @@ def test_running_totals_do_not_depend_on_ranges(spark):
     df = li(spark, SF).withColumn("p", F.col("q") / 50)
     counts = evaluate.score_counts(df)
     assert evaluate.auc(counts, ranges=1).first()[0] == pytest.approx(evaluate.auc(counts, ranges=16).first()[0], abs=1e-12)
+
+
+def test_exact_percentiles(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=3000), rng.integers(0, 5, 3000).astype(float)
+    df = spark.createDataFrame([(float(x), float(y), None) for x, y in zip(a, b)] + [(None, float("nan"), None)], "a double, b double, c double")
+    for keep, short in ((100_000, 5000), (100_000, 0), (5, 0)):
+        monkeypatch.setattr(quantiles, "KEEP", keep)
+        monkeypatch.setattr(quantiles, "SHORT", short)
+        got = quantiles.exact_percentiles(df, ["a", "b", "c"], [0.0, 0.25, 0.5, 0.99, 1.0])
+        assert np.allclose(got["a"], np.quantile(a, [0, 0.25, 0.5, 0.99, 1])) and np.allclose(got["b"], np.quantile(b, [0, 0.25, 0.5, 0.99, 1]))
+        assert got["c"] == [None] * 5
+    assert quantiles.exact_percentiles(df.where("false"), ["a"], [0.5]) == {"a": [None]}
+
+
+def test_responses_of_trees_against_numpy(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), int(a * b > 4)) for a, b in rng.integers(0, 5, (300, 2))]
+    df = spark.createDataFrame(rows, "a double, b double, y int")
+    scorer = score.model_scorer(train.fit_model(df, ["a", "b"], "y", "gbt", maxIter=3))
+    cells = scorer.add(spark.createDataFrame([(float(a), float(b)) for a in range(5) for b in range(5)], "a double, b double")).collect()
+    z = {(r["a"], r["b"]): np.log(np.clip(r["p"], 1e-7, 1 - 1e-7) / (1 - np.clip(r["p"], 1e-7, 1 - 1e-7))) for r in cells}
+    phi0 = np.mean([z[a, b] for a, b, _ in rows])
+    one = {v: np.mean([z[v, b] for _, b, _ in rows]) - phi0 for v in range(5)}
+    two = {v: np.mean([z[a, v] for a, _, _ in rows]) - phi0 for v in range(5)}
+    for r in decompose.lebesgue(df, ["a", "b"], scorer).collect():
+        want = {0: lambda: one[r["vi"]], 1: lambda: two[r["vi"]], 2: lambda: z[r["vi"], r["vj"]] - phi0 - one[r["vi"]] - two[r["vj"]]}[r["term"]]()
+        assert abs(r["phi"] - want) < 1e-9
+
+
+def test_two_large_sides_are_paired_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 7), float(i % 5)) for i in range(100)], "a double, b double")
+    f = lambda at: sigmoid(at["a"] * 0.1 + at["a"] * at["b"] * 0.05)
+    want = sorted(map(tuple, decompose.lebesgue(df, ["a", "b"], f).select("term", "vi", "phi").collect()))
+    monkeypatch.setattr(decompose, "MAX_BROADCAST", 3)
+    got = sorted(map(tuple, decompose.lebesgue(df, ["a", "b"], f).select("term", "vi", "phi").collect()))
+    assert np.allclose(np.array(want), np.array(got))
+
+
+def test_whole_chain(spark):
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 6, (900, 3)).astype(float)
+    p = 1 / (1 + np.exp(-(x[:, 0] - 2.5 + 0.4 * (x[:, 0] - 2.5) * (x[:, 1] - 2.5))))
+    y = (rng.random(900) < p).astype(int)
+    rows = [(*map(float, r), int(t), "train" if i % 5 < 3 else "test" if i % 5 == 3 else "val") for i, (r, t) in enumerate(zip(x, y))]
+    parts = spark.createDataFrame(rows, "a double, b double, c double, y int, split string")
+    scorer = score.function_scorer(["a", "b", "c"], lambda f: 1 / (1 + np.exp(-((f["a"] - 2.5) + 0.4 * (f["a"] - 2.5) * (f["b"] - 2.5)))))
+    first, second, out = chain.two_phases(parts, ["a", "b", "c"], scorer, [30.0, 3.0, 0.3], epochs=15)
+    assert {0, 3} <= set(first.betas) and 2 not in first.betas
+    table = {(r["stage"], r["split"]): r for r in chain.summary(out, first, second, 3).collect()}
+    assert len(table) == 12 and table["model_nomogram", "val"]["auc"] > table["model", "val"]["auc"] - 0.02
+    assert table["network_nomogram", "test"]["auc"] > 0.7 and table["model_nomogram", "train"]["n_terms"] == len(first.betas)
+    assert out.count() == 900
+
+
+def test_refusals_and_warnings(spark):
+    df = spark.createDataFrame([(0, 1, 2.0, "a"), (1, 0, 0.5, "b"), (1, 1, None, "c")], "u int, v int, w double, s string")
+    for groups in ({"g": ["u"]}, {"g": ["u", "x"]}, {"g": ["u", "v"], "h": ["v", "u"]}, {"g": ["u", "w"]}):
+        with pytest.raises(ValueError):
+            columns.check_groups(df, groups)
+    with pytest.warns(UserWarning):
+        assert [r["target"] for r in clean.binary_target(df, "s").orderBy("s").collect()] == ["a", "b", "c"]
+    with pytest.warns(UserWarning):
+        assert columns.select_features(df, ["w", "nope"], "u", ["id"]).columns == ["w", "u"]
+    with pytest.raises(TypeError):
+        profile.feature_summary(df, ["s"])
+    with pytest.raises(ValueError, match="differ"):
+        prepare.check_parity({"train": df, "test": df.drop("w")})
+    with pytest.raises(Exception, match="negative"):
+        df.select(encode.collapse([F.col("u") - 1, F.col("v")])).collect()
+    with pytest.raises(ValueError):
+        encode.reference_level(df, ["s"], chosen={"s": "zz"})
+    path = spark.createDataFrame([(0, [0.0, 0.01])], "lambda_idx int, betas array<double>")
+    with pytest.raises(Exception, match="no lambda"):
+        select.non_empty(path, path.select("lambda_idx")).collect()
+    empty = df.where("false")
+    assert encode.fit_scaler(empty, ["w"]).fitted == {"w": (0.0, 1.0)} and evaluate.prevalence(empty, "u") == 0.5
+    assert evaluate.calibration(empty.select(F.col("w").alias("p"), F.col("u").alias("y")), evaluate.quantile_edges(empty, 4, "w")).count() == 0
+
+
+def test_stored_forms(spark, tmp_path):
+    df = spark.createDataFrame([(i, "train" if i < 6 else "test") for i in range(9)], "id long, split string")
+    for stamp in ("20240101", "20250101"):
+        hashes = tables.write_splits(df.where(F.col("id") < (9 if stamp > "2025" else 3)), f"{tmp_path}/s", stamp, "csv", {"seed": "42"})
+    assert hashes.where("error is null and length(sha256) = 64").count() >= 2
+    assert tables.load_splits(spark, f"{tmp_path}/s", "csv").groupBy("split").count().orderBy("split").collect() == [("test", 3), ("train", 6)]
+    fitted = prepare.fit(spark.createDataFrame([(1.0, "a", "x"), (None, "b", "y")], "n double, o string, g string"), ["n"], {"o": ["b"]}, ["g"])
+    tables.write_metadata(spark, fitted.to_json(), f"{tmp_path}/m")
+    assert prepare.from_json(tables.read_metadata(spark, f"{tmp_path}/m")) == fitted and fitted.ordinal == {"o": ["b", "a"]}
+    assert tables.first_existing(spark, [f"{tmp_path}/none", f"{tmp_path}/m"]) == f"{tmp_path}/m"
+    trials = train.random_search(*[spark.createDataFrame([(float(i % 7), i % 2) for i in range(k, 60)], "a double, y int") for k in (0, 3)], ["a"], "y", "logreg", {"regParam": (0.01, 1.0, "log")}, 3)
+    train.save_trials(trials, f"{tmp_path}/t")
+    assert trials.where("best").count() == 1 and isinstance(train.best_parameters(spark, f"{tmp_path}/t"), dict)
+    doc = spark.createDataFrame([('{"schema": "0.9", "univariate": [{"term": 0, "name": "q", "points": [{"x": 1.0, "r": 2.0}]}]}',)], "json string")
+    with pytest.warns(UserWarning, match="version"):
+        assert nomogram.read_document(doc).collect() == [(0, "q", 1.0, None, 2.0, 0.0)]
+
+
+def test_display_labels(spark):
+    table = spark.createDataFrame([("seg", 0, "seg_a"), ("seg", 1, "b"), ("seg", 2, "c")], "feature string, code int, level string")
+    labels = spark.createDataFrame([("seg_c", "The c"), ("seg_b", "[USER: b]")], "name string, label string")
+    assert dict(encode.display_labels(table, labels).select("code", "label").collect()) == {0: "a", 1: "b", 2: "The c"}
