@@ -18,6 +18,8 @@ MAX_BITS = 3
 SHINGLE = 3
 #: Groups of up to so many fingerprints are compared as arrays over the whole batch.
 SMALL_GROUP = 32
+#: Groups beyond this are cut into blocks of the bits that their key does not hold.
+LARGE_GROUP = 2048
 
 
 def fingerprint(text: str | None) -> int:
@@ -52,6 +54,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
+def _signed(masks: list[int]) -> list[int]:
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def block_masks(n: int) -> list[int]:
     """Bit masks such that two fingerprints within MAX_BITS agree under at least one.
 
@@ -62,8 +68,14 @@ def block_masks(n: int) -> list[int]:
     b = 5 if n < 1 << 22 else 6 if n < 1 << 29 else 7
     edges = [64 * i // b for i in range(b + 1)]
     blocks = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(edges, edges[1:])]
-    masks = [sum(c) for c in combinations(blocks, b - MAX_BITS)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    return _signed([sum(c) for c in combinations(blocks, b - MAX_BITS)])
+
+
+def _inner_masks(mask: int) -> list[int]:
+    """The same within a group whose key holds the bits of ``mask``: two of five blocks of the other bits."""
+    free = [1 << i for i in range(64) if not mask >> i & 1]
+    blocks = [sum(free[len(free) * i // 5 : len(free) * (i + 1) // 5]) for i in range(5)]
+    return [sum(c) for c in combinations(blocks, 5 - MAX_BITS)]
 
 
 def _forest(fps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -83,7 +95,22 @@ def _forest(fps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return left, right
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _large(fps: np.ndarray, mask: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Spanning forests of the groups that a large group's further blocks form; together they connect all its links."""
+    left, right = [], []
+    for inner in _inner_masks(mask):
+        key = fps & np.uint64(inner)
+        o = np.argsort(key, kind="stable")
+        new = np.flatnonzero(np.r_[True, key[o][1:] != key[o][:-1]])
+        for part in np.split(fps[o], new[1:]):
+            if len(part) > 1:
+                a, b = _forest(part)
+                left += a
+                right += b
+    return left, right
+
+
+def _links(batches: Iterator[pa.RecordBatch], masks: list[int]) -> Iterator[pa.RecordBatch]:
     """Links within runs of equal (mask, key); batches are sorted, a run may span several."""
     held: list[tuple[np.ndarray, ...]] = []
 
@@ -98,7 +125,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left.append(fp[:-s][ok])
             right.append(fp[s:][ok])
         for at, size in zip(new[~small], sizes[~small]):
-            a, b = _forest(fp[at : at + size])
+            group = fp[at : at + size]
+            a, b = _forest(group) if size <= LARGE_GROUP else _large(group, masks[i[at]] % (1 << 64))
             left += a
             right += b
         if left:
@@ -124,14 +152,15 @@ def near_pairs(fps: DataFrame) -> DataFrame:
 
     Small groups give all their links; a larger one, where links grow with the
     square of its size, gives a spanning forest, which leaves the components as
-    they are.
+    they are; beyond LARGE_GROUP it is cut by further blocks first, so its time
+    grows with the square of those.
     """
     masks = block_masks(fps.count())
     keyed = fps.select(
         "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)])).alias("x")
     ).select("x.i", "x.k", "fp")
     dealt = keyed.repartition("i", "k").sortWithinPartitions("i", "k", "fp")
-    return dealt.mapInArrow(_links, "a long, b long").distinct()
+    return dealt.mapInArrow(lambda batches: _links(batches, masks), "a long, b long").distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

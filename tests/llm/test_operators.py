@@ -184,7 +184,9 @@ def test_simhash_against_brute_force(spark, docs):
     assert got == brute_components(texts_of(docs))
 
 
-def test_links_of_large_groups_keep_components(spark, monkeypatch):
+@pytest.mark.parametrize("large", [2048, 40])
+def test_links_of_large_groups_keep_components(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE_GROUP", large)
     rng = random.Random(5)
     fps = {rng.getrandbits(64) for _ in range(100)}
     for center in list(fps)[:3]:
@@ -309,6 +311,44 @@ def test_order_minhash(spark, docs):
     assert mean("near_edited") > 0.15 and mean("near_next") < 0.05
 
 
+def brute_signature(text):
+    """Slots one k-mer at a time: numbered k-mers hashed, dealt to slots, the two smallest in text order hashed as a tuple."""
+    top = 1 << 64
+
+    def mix(h):
+        h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD % top
+        h = (h ^ h >> 29) * 0xC4CEB9FE1A85EC53 % top
+        return h ^ h >> 32
+
+    if len(text) < orderhash.K:
+        return None
+    seen, slots = {}, {}
+    for at in range(len(text) - orderhash.K + 1):
+        row = [mix(ord(c) + 1) for c in text[at : at + orderhash.K]]
+        for step, factor in ((1, 0x9E3779B97F4A7C15), (2, 0xD6E8FEB86659FD93), (4, 0xA0761D6478BD642F)):
+            row = [(a * factor + b) % top for a, b in zip(row[:-step], row[step:])]
+        h = mix(row[0])
+        n = seen[h] = seen.get(h, -1) + 1
+        e = mix((h + n * 0x9E3779B97F4A7C15) % top)
+        slots.setdefault(e >> 58, []).append((e, at))
+    out = [0] * orderhash.SLOTS
+    for s, found in slots.items():
+        two = sorted(sorted(found)[:2], key=lambda x: x[1])
+        if len(two) == 2:
+            v = mix((two[0][0] * 3 + mix((two[1][0] + 7) % top)) % top)
+        else:
+            v = mix((two[0][0] + 11) % top)
+        out[s] = v >> 32 | 1
+    return out
+
+
+def test_order_minhash_against_brute_force(spark, docs):
+    texts = [t for _, t in texts_of(docs)][:25] + ["ab" * 300, "x" * 40, "exactly8", "nine char"]
+    for t in texts:
+        if (want := brute_signature(t[:6000])) is not None:
+            assert orderhash.signature(t[:6000]).tolist() == want
+
+
 def test_order_minhash_sees_order_and_repeats():
     a = "".join(f"sentence number {i} is here. " for i in range(60))
     parts = [f"sentence number {i} is here. " for i in range(60)]
