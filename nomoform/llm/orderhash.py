@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,51 +95,70 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - m] + following[:m]
 
 
+#: Rows of the sample of doc_ids for each range; it only decides where ranges end.
+SAMPLED = 50
+
+
+def _ranges(rows: DataFrame, buckets: int) -> Column:
+    """The range of a row by doc_id; an id with more than a range's share of rows, null too, is cut by the hash of the text."""
+    share = min(1.0, SAMPLED * buckets / max(1, rows.count()))
+    seen = [r[0] for r in (rows.select("doc_id").sample(share, seed=7) if share < 1 else rows.select("doc_id")).collect()]
+    step = -(-len(seen) // buckets) or 1
+    ends = sorted(x for x in seen if x is not None)[step::step]
+    nulls = max(1, (len(seen) - sum(x is not None for x in seen)) // step)
+    pivots = sorted(set(ends))
+    hot = {x: n for x, n in Counter(ends).items() if n > 1}
+    kind = rows.schema["doc_id"].dataType
+    fixed = lambda x: F.lit(x).cast(kind)
+    below = F.size(F.filter(F.array(*map(fixed, pivots)), lambda x: x < F.col("doc_id"))) if pivots else F.lit(0)
+    parts = F.when(F.col("doc_id").isNull(), nulls)
+    for x, n in hot.items():  # fewer than ranges
+        parts = parts.when(F.col("doc_id") == fixed(x), n)
+    widest = max([nulls, *hot.values()])
+    at = (F.col("h") / 2.0**64 + 0.5) * parts  # from 0 to parts, in the order of h
+    part = F.least(F.floor(at), parts - 1)
+    place = F.when(F.col("doc_id").isNull(), -1).otherwise(2 * below + parts.isNotNull().cast("int"))
+    return place.cast("long") * widest + F.coalesce(part, F.lit(0))
+
+
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
-    """doc_id, text, bucket, guest: ranges of doc_id, each with the row that follows its last one.
+    """doc_id, h, text, bucket, guest: ranges of rows in order, each with the row that follows its last one.
 
-    Order is by doc_id and text, descending, nulls last; the row after the last
-    of all is the first. Only doc_ids and the ends of ranges are gathered, at most one
-    row per range. ``guest`` rows close a range and are not results.
+    Order is by doc_id, the text's XXH64 and the text, descending, nulls last;
+    the row after the last of all is the first. Only a sample of doc_ids, a set
+    number for each range, reaches the driver, and the ends of ranges are one
+    row each. ``guest`` rows close a range and are not results.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lo, hi = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if lo is None:  # no doc_id at all: one range
-        ranged = rows.withColumn("bucket", F.lit(0))
-    else:
-        bounds = rows.where("doc_id is not null").approxQuantile("doc_id", [i / buckets for i in range(1, buckets)], 0.2 / buckets) if isinstance(lo, int) else []
-        bounds = sorted({int(x) for x in bounds})
-        number = F.lit(0)
-        if bounds:
-            arr = F.array(*[F.lit(x).cast("long") for x in bounds])
-            number = F.size(F.filter(arr, lambda x: x <= F.col("doc_id")))
-        ranged = rows.withColumn("bucket", F.coalesce(number, F.lit(-1)))
-    ids = ranged.groupBy("bucket").agg(F.max("doc_id").alias("top"), F.max(F.col("doc_id").isNull()).alias("has_null"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    ranged = rows.withColumn("bucket", _ranges(rows, buckets))
+    ids = ranged.groupBy("bucket").agg(F.max(F.struct("doc_id", "h")).alias("top"))
     order = Window.orderBy(F.desc("bucket"))
     ends = ids.select("bucket", "top", F.lag("bucket").over(order).alias("to"))
     last = F.max("bucket").over(Window.partitionBy())
     lowest = F.min("bucket").over(Window.partitionBy())
-    ends = ends.select("top", F.coalesce("to", F.when(F.col("bucket") == last, lowest)).alias("to"))
+    ends = ends.select("top.*", F.coalesce("to", F.when(F.col("bucket") == last, lowest)).alias("to"))
     ends = cut(ends, "range-ends")
-    top = ranged.join(F.broadcast(ends), ranged["doc_id"].eqNullSafe(ends["top"])).groupBy("to", "doc_id").agg(F.max("text").alias("text"))
-    guests = top.select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("guest"))
-    return ranged.withColumn("guest", F.lit(False)).unionByName(guests)
+    first = ranged["doc_id"].eqNullSafe(ends["doc_id"]) & (ranged["h"] == ends["h"])
+    top = ranged.join(F.broadcast(ends), first).groupBy("to", ranged["doc_id"], ranged["h"]).agg(F.max("text").alias("text"))
+    guests = top.select("doc_id", "h", "text", F.col("to").alias("bucket"), F.lit(True).alias("guest"))
+    return ranged.select("doc_id", "h", "text", "bucket", F.lit(False).alias("guest")).unionByName(guests)
 
 
 def order_minhash(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Fingerprints of every whole text and of its edited form, and their likenesses.
 
     ``docs``: doc_id, text; other columns are ignored. A null text is empty.
-    The next document is the one with the next smaller doc_id, ties by text,
-    null doc_ids last, and after the last the first; a lone document follows
-    itself. Equal texts have equal fingerprints. An empty table gives no rows.
+    The next document is the one with the next smaller doc_id, ties by the
+    text's hash and text, null doc_ids last, and after the last the first; a
+    lone document follows itself. Equal texts have equal fingerprints. An empty table gives no rows.
     """
     buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = with_next(docs, buckets)
     dealt = rows.repartitionByRange(buckets, "bucket").sortWithinPartitions(
-        F.desc("bucket"), "guest", F.col("doc_id").desc_nulls_last(), F.desc("text")
+        F.desc("bucket"), "guest", F.col("doc_id").desc_nulls_last(), F.desc("h"), F.desc("text")
     )
+    dealt = dealt.select("doc_id", "text", "bucket", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # doc_id, text, signature, bucket

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -349,6 +350,27 @@ def test_order_minhash_against_brute_force(spark, docs):
             assert orderhash.signature(t[:6000]).tolist() == want
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_order_minhash_of_any_and_repeated_ids(spark, kind):
+    """Null and repeated ids are cut into ranges by the hash of the text, and each row still meets the next one."""
+    rows = [(i, f"text of {i}, not long") for i in range(120)] + [(50, f"fifty {i}") for i in range(90)] + [(None, f"no id {i}") for i in range(110)] + [(None, None)]
+    rows = [(d if d is None or kind == "long" else f"id{d:04d}", t) for d, t in rows]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    signed = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) + 2**63 & 2**64 - 1
+    order = sorted(((d is not None, d or (0 if kind == "long" else ""), signed(t or ""), t or "") for d, t in rows), reverse=True)
+    want = sorted(
+        (d if known else None, hashlib.sha256(orderhash.edited(t, after).encode()).hexdigest())
+        for (known, d, _, t), (*_, after) in zip(order, order[1:] + order[:1])
+        if known
+    )
+    got = orderhash.order_minhash(docs, 8).select("doc_id", "edited_sha256").collect()
+    assert sorted(tuple(r) for r in got if r["doc_id"] is not None) == want
+    lost = Counter(hashlib.sha256(orderhash.edited(t, after).encode()).hexdigest() for (known, *_, t), (*_, after) in zip(order, order[1:] + order[:1]) if not known)
+    assert Counter(r["edited_sha256"] for r in got if r["doc_id"] is None) == lost
+    sizes = [r["count"] for r in orderhash.with_next(docs, 8).where("not guest").groupBy("bucket").count().collect()]
+    assert len(sizes) >= 7 and max(sizes) < len(rows) / 3
+
+
 def test_order_minhash_sees_order_and_repeats():
     a = "".join(f"sentence number {i} is here. " for i in range(60))
     parts = [f"sentence number {i} is here. " for i in range(60)]
