@@ -1,5 +1,7 @@
 """Properties that SQL cannot check."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +200,17 @@ def test_display_labels(spark):
     table = spark.createDataFrame([("seg", 0, "seg_a"), ("seg", 1, "b"), ("seg", 2, "c")], "feature string, code int, level string")
     labels = spark.createDataFrame([("seg_c", "The c"), ("seg_b", "[USER: b]")], "name string, label string")
     assert dict(encode.display_labels(table, labels).select("code", "label").collect()) == {0: "a", 1: "b", 2: "The c"}
+
+
+def test_random_imputation_from_many_values(spark, monkeypatch):
+    """Intervals joined by block give what broadcast ones give, which is the value at the drawn place of the sorted donors."""
+    rows = [(i, None if i % 3 == 0 else f"v{i % 71:02d}" if i % 2 else "hot") for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, x string")
+    few = sorted(map(tuple, clean.impute_random(df, df, "x", "id").collect()))
+    donors = sorted(x for _, x in rows if x is not None)
+    place = lambda i: int(hashlib.md5(f"{i}:42:x".encode()).hexdigest()[:8], 16) % len(donors)
+    assert few == [(i, donors[place(i)] if x is None else x) for i, x in rows]
+    monkeypatch.setattr(clean, "MAX_BROADCAST", 5)
+    monkeypatch.setattr(clean, "BLOCK", 16)
+    assert sorted(map(tuple, clean.impute_random(df, df, "x", "id").collect())) == few
+    assert clean.impute_random(df, df.where("x is null"), "x", "id").where("x is null").count() == 300
