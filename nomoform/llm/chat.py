@@ -11,6 +11,9 @@ from .common import let
 ROLE_OPEN, ROLE_CLOSE, TURN_END = "[INST]", "[/INST]", "</s>"
 ESCAPES = (("\\", "\\\\"), ("[INST]", "[\\INST]"), ("[/INST]", "[\\/INST]"), ("</s>", "<\\/s>"))
 
+#: Examples of one conversation that are written by one task.
+SLICE = 64
+
 
 def escape(text: Column) -> Column:
     """Reversibly hide control strings: backslashes double, then each control string gets one."""
@@ -37,6 +40,10 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     Null text or role is empty, a null turn number sorts first, equal turn
     numbers sort by role and text, and a null conv_id is a conversation of its
     own. An empty table gives no rows.
+
+    A conversation is gathered once, as its last example holds all of it anyway.
+    The examples, which grow with the square of its turns, are written ``SLICE``
+    to a task, each with the turns up to its last one.
     """
     parts = turns.select(
         "conv_id",
@@ -51,7 +58,17 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     def head(t: Column) -> Column:
         return F.concat(F.lit(ROLE_OPEN), escape(t["role"]), F.lit(ROLE_CLOSE))
 
-    formatted = whole.select(
+    ends = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (F.element_at("ts", i)["role"] == "assistant") | (i == F.col("n")))
+    ended = whole.withColumn("n", F.size("ts")).withColumn("ends", ends)
+    few = ended.where(F.size("ends") <= SLICE).select("conv_id", "ts", "ends", "n", F.lit(0).alias("first"))
+    many = ended.where(F.size("ends") > SLICE).withColumn("first", F.explode(F.sequence(F.lit(0), F.size("ends") - 1, F.lit(SLICE))))
+    mine = F.slice("ends", F.col("first") + 1, F.lit(SLICE))
+    prefix = F.slice("ts", F.lit(1), F.element_at(mine, -1))
+    tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A stated count of partitions, as few bytes go in where many come out.
+    dealt = many.select("conv_id", prefix.alias("ts"), mine.alias("ends"), "n", "first").repartition(tasks, "conv_id", "first")
+
+    formatted = few.unionByName(dealt).select(
         "conv_id",
         F.transform(
             "ts",
@@ -61,18 +78,13 @@ def format_conversations(turns: DataFrame) -> DataFrame:
                 F.concat(head(t), escape(t["text"]), F.lit(TURN_END)).alias("body"),
             ),
         ).alias("ts"),
-    ).withColumn("n", F.size("ts"))
-    ends = formatted.select(
-        "*",
-        F.posexplode(
-            F.filter(
-                F.sequence(F.lit(1), F.col("n")),
-                lambda i: F.element_at("ts", i)["reply"] | (i == F.col("n")),
-            )
-        ).alias("example", "upto"),
+        "ends",
+        "first",
+        "n",
     )
+    examples = formatted.select("conv_id", "ts", "n", "first", F.posexplode("ends").alias("place", "upto")).withColumn("example", F.col("first") + F.col("place"))
     last = F.element_at("ts", F.col("upto"))
-    with_text = ends.select(
+    with_text = examples.select(
         "conv_id",
         "example",
         last["reply"].alias("reply"),

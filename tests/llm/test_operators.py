@@ -451,6 +451,23 @@ def test_chat_round_trip(spark):
     assert len(examples) == 2 and [e["loss_start"] is None for e in sorted(examples, key=lambda e: e["example"])] == [False, True]
 
 
+def test_chat_slices_of_long_conversations_change_nothing(spark, monkeypatch):
+    rows = [(c, t, "assistant" if t % 3 else "user", f"turn {t}</s>") for c in (1, None) for t in range(200)] + [(2, 0, "user", "only")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    key = lambda r: repr(tuple(r))
+    sliced = sorted(map(tuple, chat.format_conversations(df).collect()), key=key)
+    assert len(sliced) == 2 * 133 + 1
+    for c in (1, None):
+        mine = sorted((r for r in sliced if r[0] == c), key=lambda r: r[1])
+        bodies = [f"[INST]{role}[/INST]turn {t}<\\/s></s>" for conv, t, role, _ in rows if conv == c]
+        upto = [t + 1 for t in range(200) if t % 3]
+        assert [r[1] for r in mine] == list(range(133)) and [r[2] for r in mine] == ["".join(bodies[:u]) for u in upto]
+        assert all(r[2][r[3] : r[4]] == f"turn {u - 1}<\\/s>" for r, u in zip(mine, upto, strict=True))
+        assert [r[5] for r in mine] == [False] * 132 + [True]
+    monkeypatch.setattr(chat, "SLICE", 1000)
+    assert sorted(map(tuple, chat.format_conversations(df).collect()), key=key) == sliced
+
+
 def test_quality_keeps_clean_documents(spark):
     rows = quality.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
