@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,12 @@ def unescape(text: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
+    """All examples of :func:`formatted_parts` in one table."""
+    short, long = formatted_parts(turns)
+    return short.unionByName(long)
+
+
+def formatted_parts(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One row for every assistant turn: all turns so far, only that reply trainable.
 
     ``turns``: conv_id, turn, role, text; other columns are ignored. Returns
@@ -43,7 +51,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     A conversation is gathered once, as its last example holds all of it anyway.
     The examples, which grow with the square of its turns, are written ``SLICE``
-    to a task, each with the turns up to its last one.
+    at a time: conversations of up to as many examples, the first table, stay
+    where they were grouped; slices of longer ones, the second, are dealt to tasks,
+    each with the turns up to its last reply.
     """
     parts = turns.select(
         "conv_id",
@@ -55,9 +65,6 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     )
     whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
 
-    def head(t: Column) -> Column:
-        return F.concat(F.lit(ROLE_OPEN), escape(t["role"]), F.lit(ROLE_CLOSE))
-
     ends = F.filter(F.sequence(F.lit(1), F.col("n")), lambda i: (F.element_at("ts", i)["role"] == "assistant") | (i == F.col("n")))
     ended = whole.withColumn("n", F.size("ts")).withColumn("ends", ends)
     few = ended.where(F.size("ends") <= SLICE).select("conv_id", "ts", "ends", "n", F.lit(0).alias("first"))
@@ -67,8 +74,16 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     tasks = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # A stated count of partitions, as few bytes go in where many come out.
     dealt = many.select("conv_id", prefix.alias("ts"), mine.alias("ends"), "n", "first").repartition(tasks, "conv_id", "first")
+    return _examples(few), _examples(dealt)
+
+
+def _examples(conversations: DataFrame) -> DataFrame:
+    """The examples of conversations: conv_id, ts (turns), n, ends (the examples' last turns), first (the first one's number)."""
 
-    formatted = few.unionByName(dealt).select(
+    def head(t: Column) -> Column:
+        return F.concat(F.lit(ROLE_OPEN), escape(t["role"]), F.lit(ROLE_CLOSE))
+
+    formatted = conversations.select(
         "conv_id",
         F.transform(
             "ts",
@@ -117,8 +132,16 @@ def parse_turns(text: Column) -> Column:
     return F.transform(pieces, one)
 
 
-def digest(examples: DataFrame) -> DataFrame:
-    """Per conversation, what the formatted examples hold when read back."""
+def digest(*parts: DataFrame) -> DataFrame:
+    """Per conversation, what the formatted examples hold when read back.
+
+    Tables that share no conversation, as of :func:`formatted_parts`, are read
+    apart: one that is still grouped by conversation is not shuffled again.
+    """
+    return reduce(DataFrame.unionByName, map(_digest, parts))
+
+
+def _digest(examples: DataFrame) -> DataFrame:
     masked = unescape(F.substr("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start")))
     said = F.when(F.col("is_last"), parse_turns(F.col("text")))
     rows = examples.select(

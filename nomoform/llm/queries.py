@@ -51,7 +51,7 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("t")
     )
-    return chat.digest(chat.format_conversations(turns.unionByName(extra.select("t.*"))))
+    return chat.digest(*chat.formatted_parts(turns.unionByName(extra.select("t.*"))))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

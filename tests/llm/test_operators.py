@@ -464,6 +464,8 @@ def test_chat_slices_of_long_conversations_change_nothing(spark, monkeypatch):
         assert [r[1] for r in mine] == list(range(133)) and [r[2] for r in mine] == ["".join(bodies[:u]) for u in upto]
         assert all(r[2][r[3] : r[4]] == f"turn {u - 1}<\\/s>" for r, u in zip(mine, upto, strict=True))
         assert [r[5] for r in mine] == [False] * 132 + [True]
+    read_back = sorted(map(tuple, chat.digest(*chat.formatted_parts(df)).collect()), key=key)
+    assert len(read_back) == 3 and read_back == sorted(map(tuple, chat.digest(chat.format_conversations(df)).collect()), key=key)
     monkeypatch.setattr(chat, "SLICE", 1000)
     assert sorted(map(tuple, chat.format_conversations(df).collect()), key=key) == sliced
 
