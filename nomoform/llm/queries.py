@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat, langid, linededup, orderhash, packing, quality, secrets, simhash, suffixdedup
+from . import bpe, chat, langid, linededup, ngramjoin, orderhash, packing, quality, secrets, simhash, suffixdedup, whitening
 from .sql import ORACLES
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -86,12 +86,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.digest(whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.ngram_join(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_language_id, op2_quality_rules, op3_chat_formatting, op4_suffix_dedup, op5_simhash_near_dedup,
             op6_secret_scan, op7_order_minhash, op8_packing, op9_byte_bpe, op10_line_dedup,
+            op11_embedding_whitening, op13_ngram_jaccard_join,
         )
     }
 
