@@ -228,11 +228,11 @@ def _blocks(total: Column, block: int) -> Column:
 
 
 def dealt(leaves: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``leaves`` (id, family, label, n) with task: where each goes so that every pair with different labels meets.
+    """``leaves`` (id, family, label) with task: where each goes so that every pair with different labels meets.
 
     The label with most shingles in a family is its home; home sets need not meet
     each other. Home sets and others are dealt over blocks, and each pair of
-    blocks but two home ones is a task. A family of one block is one task.
+    blocks but two home ones is a task. A family of one block is one task, and ``whole``.
     """
     by_label = leaves.groupBy("family", "label").agg(F.sum("n").alias("n"), F.count("*").alias("sets"))
     home = by_label.groupBy("family").agg(F.max(F.struct("sets", "n", "label")).alias("home"), F.sum("n").alias("total"))
@@ -254,31 +254,52 @@ def dealt(leaves: DataFrame, block: int = BLOCK) -> DataFrame:
     to_homes = over(F.col("homes"), lambda h: pair(F.col("b"), h, 1))
     to_others = over(F.col("others"), lambda o: pair(F.greatest(o, F.col("b")), F.least(o, F.col("b")), 0))
     tasks = F.when(F.col("at_home"), over(F.col("others"), lambda o: pair(o, F.col("b"), 1))).otherwise(F.concat(to_homes, to_others))
-    return rows.select("id", "family", "label", "n", ~F.col("at_home"), "b", F.explode(tasks).alias("task")).toDF("id", "family", "label", "n", "wanted", "b", "task")
+    whole = (F.col("homes") == 0) & (F.col("others") == 1)
+    return rows.select("id", "family", "label", (~F.col("at_home")).alias("wanted"), whole.alias("whole"), F.explode(tasks).alias("task"))
+
+
+def _least_of_component(links: list[tuple[int, int]], ids: list[bytes]) -> dict[int, int]:
+    """For each end of a link, the end with the smallest id that links lead to."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for x in links:
+        a, b = sorted(map(find, x), key=ids.__getitem__)
+        root[b] = a
+    return {x: find(x) for x in list(root)}
 
 
 def tree_links(leaves: DataFrame, sets: DataFrame, similarity: int = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """a, b: links that connect all linked sets of each family; ``sets``: id, shingles."""
+    """a, b, whole: links that connect all linked sets of each family; ``sets``: id, shingles.
+
+    In a family that is one task, b is the smallest id that a is connected to.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, label = table.column("id").combine_chunks(), table.column("label").combine_chunks()
-        shingles = table.column("shingles").combine_chunks()
-        if isinstance(shingles, pa.ChunkedArray):
-            shingles = pa.concat_arrays(shingles.chunks)
+        table = table.combine_chunks()
+        ids, shingles = table.column("id").to_pylist(), table.column("shingles").chunk(0)
         at, flat = np.asarray(shingles.offsets), np.asarray(shingles.values).view(np.uint64)
         each = [flat[a:b] for a, b in zip(at, at[1:])]
         order = sorted(range(len(each)), key=lambda i: (each[i][0], each[i][-1], len(each[i])))
-        _, code = np.unique(np.array(label.to_pylist(), object), return_inverse=True)
-        wanted = np.asarray(table.column("wanted"))[order]
+        _, code = np.unique(np.array(table.column("label").to_pylist(), object), return_inverse=True)
+        wanted, whole = np.asarray(table.column("wanted"))[order], table.column("whole")[0].as_py()
         tree = SignatureTree([each[i] for i in order])
-        found = list(tree.links(code[order], None if wanted.all() else wanted, similarity))
-        return pa.table({s: ids.take(pa.array([order[x[k]] for x in found], pa.int64())) for k, s in enumerate("ab")})
+        found = [(order[a], order[b]) for a, b in tree.links(code[order], None if wanted.all() else wanted, similarity)]
+        if whole:
+            found = list(_least_of_component(found, ids).items())
+        ends = [pa.array([ids[x[k]] for x in found], pa.binary()) for k in range(2)]
+        return pa.table([*ends, pa.array([whole] * len(found), pa.bool_())], ["a", "b", "whole"])
 
     rows = dealt(leaves, block).join(sets.select("id", "shingles"), "id")
-    return rows.select("family", "task", "id", "label", "wanted", "shingles").groupBy("family", "task").applyInArrow(run, "a binary, b binary")
+    columns = rows.select("family", "task", "id", "label", "wanted", "whole", "shingles")
+    return columns.groupBy("family", "task").applyInArrow(run, "a binary, b binary, whole boolean")
 
 
-def contracted(leaves: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: int, block: int) -> tuple[DataFrame, DataFrame]:
+def contracted(leaves: DataFrame, pairs: DataFrame, sets: DataFrame, similarity: int, block: int) -> tuple[DataFrame, DataFrame | None]:
     """Labels of leaves in families of several blocks, after the links among ``pairs`` (id, hub), and these links.
 
     Such a family is a crowd of near copies, or sets that share a long passage.
@@ -316,8 +337,11 @@ def ngram_join(docs: DataFrame, similarity: int = SIMILARITY, block: int = BLOCK
     leaves = cut(sets.drop("keys").join(families, "id").withColumn("label", F.col("id")), "leaves")
     shingles = cut(with_shingles(docs, leaves.select("id", "first")), "leaf-shingles")
     named, links = contracted(leaves.select("id", "family", "label", "n"), pairs, shingles, similarity, block)
-    found = tree_links(named, shingles, similarity, block)
-    roots = cut(components(found.unionByName(links) if links else found), "set-roots")
+    found = cut(tree_links(named, shingles, similarity, block), "tree-links")
+    roots = found.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root"))
+    if links:
+        rest = components(found.where("NOT whole").select("a", "b").unionByName(links))
+        roots = roots.unionByName(rest)
     rooted = sets.select("id", "first").join(roots, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("least"))
     by_set = cut(rooted.join(least, "root").select("id", F.col("least.doc_id").alias("component_id")), "set-components")
