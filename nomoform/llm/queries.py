@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, chat, langid, linededup, ngramjoin, orderhash, packing, quality, secrets, simhash, suffixdedup, whitening
+from . import bpe, chat, collocations, langid, linededup, ngramjoin, orderhash, packing, quality, secrets, simhash, suffixdedup, whitening
 from .sql import ORACLES
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -90,6 +90,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.ngram_join(_documents(spark, sf_dir))
 
@@ -100,7 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_language_id, op2_quality_rules, op3_chat_formatting, op4_suffix_dedup, op5_simhash_near_dedup,
             op6_secret_scan, op7_order_minhash, op8_packing, op9_byte_bpe, op10_line_dedup,
-            op11_embedding_whitening, op13_ngram_jaccard_join,
+            op11_embedding_whitening, op12_phrase_collocations, op13_ngram_jaccard_join,
         )
     }
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, quality, secrets
+from . import collocations, linededup, quality, secrets
 
 _ESC = "{}"
 for _plain, _hidden in (("\\", "\\\\"), ("[INST]", "[\\INST]"), ("[/INST]", "[\\/INST]"), ("</s>", "<\\/s>")):
@@ -142,4 +142,25 @@ SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END::BIGINT AS n_lines
 FROM d LEFT JOIN z USING (rid)
 """
 
-ORACLES = {"op2_quality_rules": QUALITY, "op3_chat_formatting": CHAT, "op6_secret_scan": SECRETS, "op10_line_dedup": LINES}
+COLLOCATIONS = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS ws FROM d),
+n AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+k AS (SELECT unnest(range(1, {collocations.LONGEST + 1})) AS k),
+o AS (SELECT lang, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i : i + k - 1])) AS g FROM w, k WHERE len(ws) >= k),
+f AS (SELECT lang, g, count(*) AS a FROM o GROUP BY lang, g HAVING count(*) >= {collocations.LEAST}),
+longer AS (SELECT lang, a, unnest([g[2:], g[:-2]]) AS g FROM f WHERE len(g) > 2),
+covered AS (SELECT DISTINCT f.lang, f.g FROM f JOIN longer x ON f.lang = x.lang AND f.g = x.g AND 100 * x.a >= 100 * f.a),
+c AS (SELECT lang, g, a, unnest(range(1, len(g))) AS cut FROM f ANTI JOIN covered USING (lang, g) WHERE len(g) > 1),
+s AS (
+  SELECT c.lang, c.g, c.a, cut, l.a AS l, r.a AS r, n, (1000 * c.a::HUGEINT * n::HUGEINT // (l.a::HUGEINT * r.a::HUGEINT))::BIGINT AS score
+  FROM c JOIN n USING (lang) JOIN f l ON l.lang = c.lang AND l.g = c.g[:cut] JOIN f r ON r.lang = c.lang AND r.g = c.g[cut + 1 :]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+p AS (SELECT *, array_to_string(g, ' ') AS phrase FROM b)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a, l, r, n, score
+FROM p QUALIFY rank <= {collocations.TOP}
+"""
+
+ORACLES = {"op2_quality_rules": QUALITY, "op3_chat_formatting": CHAT, "op6_secret_scan": SECRETS, "op10_line_dedup": LINES, "op12_phrase_collocations": COLLOCATIONS}
