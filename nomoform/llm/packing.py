@@ -7,8 +7,8 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,9 +156,10 @@ def pack(docs: DataFrame, n_docs: int) -> DataFrame:
     groups = max(1, -(-n_docs // GROUP))
     dealt = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", F.get("crcs", F.lit(0)), F.monotonically_increasing_id(), F.lit(SEED)), F.lit(groups)).cast("long"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "n"], kind="stable")
-        each = [cuts(int(n)) for n in pdf["n"]]
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("n", "ascending")]))
+        n = np.asarray(table.column("n"))
+        each = [cuts(int(x)) for x in n]
         count = np.array([len(x) for x in each])
         length = np.array([s for x in each for s in x], np.int64)
         first = np.repeat(np.cumsum(count) - count, count)
@@ -168,22 +169,21 @@ def pack(docs: DataFrame, n_docs: int) -> DataFrame:
         bins, offset[~full] = first_fit_decreasing(length[~full])
         seq[~full] = bins
         seq[full] = (bins.max() + 1 if len(bins) else 0) + np.arange(full.sum())
-        rows = pdf.index.repeat(count)
-        return pd.DataFrame(
-            {
-                "doc_id": pdf["doc_id"].reindex(rows).array,
-                "start": before - before[first],
-                "length": length,
-                "ids_crc32": np.concatenate(pdf["crcs"].to_list()).astype(np.int64),
-                "doc_tokens": np.repeat(pdf["n"].to_numpy(), count),
-                "sequence_id": (int(pdf["g"].iloc[0]) << 32) + seq,
-                "offset": offset,
-            }
-        )
+        rows = np.repeat(np.arange(len(n)), count)
+        columns = {
+            "doc_id": table.column("doc_id").take(pa.array(rows)),  # never as numbers of numpy, which have no null
+            "start": before - before[first],
+            "length": length,
+            "ids_crc32": np.array(pc.list_flatten(table.column("crcs"))),
+            "doc_tokens": n[rows],
+            "sequence_id": (table.column("g")[0].as_py() << 32) + seq,
+            "offset": offset,
+        }
+        return pa.table(columns)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return dealt.groupBy("g").applyInPandas(run, out)
+    return dealt.groupBy("g").applyInArrow(run, out)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, added: bool = False) -> DataFrame:
