@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -81,21 +80,23 @@ def two_phases(
     return first, second, out.withColumnRenamed("p_sum", "network_nomogram")
 
 
-def summary(scored: DataFrame, first: Phase, second: Phase, n_features: int) -> DataFrame:
-    """AUC of every stage and split with the counts of terms of the two additive stages."""
-    long = reduce(DataFrame.unionByName, [scored.select(F.lit(s).alias("stage"), "split", "y", F.round(s, 9).alias("p")) for s in evaluate.STAGES])
-    aucs = evaluate.auc(evaluate.score_counts(long, by=["stage", "split"]), ["stage", "split"])
-    none = F.lit(None).cast("double")
+def summary(scored: DataFrame, first: Phase, second: Phase, n_features: int, replicates: int = 100) -> DataFrame:
+    """AUC with its interval for every stage and split, and the counts of terms of the two additive stages."""
+    aucs = evaluate.stage_intervals(scored, list(evaluate.STAGES), replicates)
     single = lambda p: sum(t < n_features for t in p.betas)
     counts = [(s, single(p), len(p.betas) - single(p)) for s, p in (("model_nomogram", first), ("network_nomogram", second))]
     terms = scored.sparkSession.createDataFrame(counts, "stage string, n_single int, n_pair int")
-    return evaluate.performance_summary(aucs.select("stage", "split", "auc", none.alias("lo"), none.alias("hi")), terms)
+    return evaluate.performance_summary(aucs, terms)
 
 
 def kkt(rows: DataFrame, path: DataFrame, phis: str = "phis", y: str = "y", n_terms: int = 1) -> DataFrame:
-    """lambda_idx and off: by how much, as a share of the rows, a fit of the path misses the conditions of its minimum."""
+    """lambda_idx, lambda and off: by how much, as a share of its lambda, a fit misses the conditions of its minimum.
+
+    The slope of the summed loss must be lambda against the sign of a term that
+    is in, at most lambda for one that is not, and nothing for the intercept.
+    """
     scored = select.score_path(rows, path, phis)
-    slope = lambda k: F.sum((F.col("p") - F.col(y)) * F.get(phis, F.lit(k)))
-    agg = scored.groupBy("lambda_idx", "lambda", "betas").agg(F.array(*[slope(k) for k in range(n_terms)]).alias("g"), F.count("*").alias("n"))
-    miss = F.transform(F.arrays_zip("g", "betas"), lambda z: F.when(F.abs(z["betas"]) > 1e-9, F.abs(z["g"] + F.col("lambda") * F.signum(z["betas"]))).otherwise(F.greatest(F.abs(z["g"]) - F.col("lambda"), F.lit(0.0))))
-    return agg.select("lambda_idx", "lambda", (F.array_max(miss) / F.col("n")).alias("off"))
+    slope = lambda x: F.sum((F.col("p") - F.col(y)) * x)
+    agg = scored.groupBy("lambda_idx", "lambda", "betas").agg(F.array(*[slope(F.get(phis, F.lit(k))) for k in range(n_terms)]).alias("g"), F.abs(slope(F.lit(1.0))).alias("g0"))
+    miss = F.transform(F.arrays_zip("g", "betas"), lambda z: F.when(z["betas"] != 0, F.abs(z["g"] + F.col("lambda") * F.signum(z["betas"]))).otherwise(F.greatest(F.abs(z["g"]) - F.col("lambda"), F.lit(0.0))))
+    return agg.select("lambda_idx", "lambda", (F.greatest(F.array_max(miss), "g0") / F.col("lambda")).alias("off"))

@@ -89,17 +89,38 @@ def even_grid(
     return rows.select("feature", F.posexplode(chosen).alias("k", "value"))
 
 
-def crossed(grid: DataFrame, back: DataFrame) -> DataFrame:
-    """Every grid row with every background row. A side is broadcast if it has at most MAX_BROADCAST rows.
+def term_backgrounds(back: DataFrame, features: list[str], which: Terms) -> DataFrame:
+    """term, features, w_: for each term the distinct tuples of the features it leaves free, with their counts.
 
-    With two larger sides Spark pairs their partitions, task by task; the
-    average above it still leaves a shuffle of the grid's size.
+    The average of a term runs over the other features only, so its background is
+    grouped by those; the term's own features are null. One aggregate makes the
+    backgrounds of all terms. A pair out of few features leaves few tuples.
+    """
+    free = lambda own: [(F.lit(None).cast("double") if f in own else F.col(f)).alias(f) for f in features]
+    each = [F.struct(F.lit(t).alias("term"), *free((a, b)), F.col("w_")) for t, a, b in which]
+    return back.select(F.inline(F.array(*each))).groupBy("term", *features).agg(F.sum("w_").alias("w_"))
+
+
+def crossed(grid: DataFrame, backs: DataFrame) -> DataFrame:
+    """Every grid row with every background row of its term, by an equi-join on the term.
+
+    A side is broadcast if it has at most MAX_BROADCAST rows. Of two larger
+    sides each term is cut into blocks of about MAX_BROADCAST / 8 rows, and every
+    pair of a grid block and a background block is one key of a shuffled join, so
+    neither a frequent term nor the size of a side fills a task.
     """
-    if back.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        return grid.crossJoin(F.broadcast(back))
     if grid.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
-        return back.crossJoin(F.broadcast(grid))
-    return grid.hint("shuffle_replicate_nl").crossJoin(back)
+        return backs.join(F.broadcast(grid), "term")
+    if backs.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
+        return grid.join(F.broadcast(backs), "term")
+    block = max(1, MAX_BROADCAST // 8)
+    blocks = lambda df, name: df.groupBy("term").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = F.broadcast(blocks(grid, "_g").join(blocks(backs, "_b"), "term"))  # one row for each term
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.col(n)).cast("int")
+    left = grid.join(sizes, "term").withColumn("_i", own("_g", "vi", "vj")).withColumn("_j", spread("_b")).drop("_g", "_b")
+    right = backs.join(sizes, "term").withColumn("_j", own("_b", *[c for c in backs.columns if c != "term"])).withColumn("_i", spread("_g")).drop("_g", "_b")
+    return left.join(right, ["term", "_i", "_j"]).drop("_i", "_j")
 
 
 def substituted(features: list[str], which: Terms, base: dict[str, Column]) -> dict[str, Column]:
@@ -153,7 +174,8 @@ def with_baseline(df: DataFrame, features: list[str], score: Score, grid: DataFr
     back = staged(background(df, features), "background")
     grid = value_grid(back, which) if grid is None else grid.where(F.col("term").isin(*[t for t, _, _ in which]))
     grid = staged(grid, "grid")
-    z = _with_logit(crossed(grid, back), substituted(features, which, {f: F.col(f) for f in features}), score, ["term", "vi", "vj", "w_"])
+    backs = staged(term_backgrounds(back, features, which), "term-backgrounds")
+    z = _with_logit(crossed(grid, backs), substituted(features, which, {f: F.col(f) for f in features}), score, ["term", "vi", "vj", "w_"])
     raw = z.groupBy("term", "vi", "vj").agg((F.sum(F.col("w_") * F.col("z")) / F.sum("w_")).alias("z"))
     phi0 = baseline(back, features, score)
     return _centred(staged(raw, "responses"), phi0, which), phi0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +95,13 @@ def calibration(df: DataFrame, edges: Column, by: list[str] | None = None, weigh
     return df.groupBy(*(by or []), bin_.alias("bin")).agg(F.sum(w).alias("n"), (F.sum(F.col(p) * w) / F.sum(w)).alias("mean_p"), (F.sum(F.col(y) * w) / F.sum(w)).alias("rate")).where("n > 0")
 
 
+def count_calibration(counts: DataFrame, edges: Column, by: list[str] | None = None) -> DataFrame:
+    """:func:`calibration` from the counts of each distinct score."""
+    n = F.sum(F.col("pos") + F.col("neg"))
+    bin_ = F.size(F.filter(edges, lambda e: e < F.col("p"))).alias("bin")
+    return counts.groupBy(*(by or []), bin_).agg(n.alias("n"), (F.sum(F.col("p") * (F.col("pos") + F.col("neg"))) / n).alias("mean_p"), (F.sum("pos") / n).alias("rate")).where("n > 0")
+
+
 def uniform_edges(bins: int) -> Column:
     return F.array(*[F.lit(i / bins) for i in range(1, bins)])
 
@@ -116,6 +125,43 @@ def replicates(counts_rows: DataFrame, id_: str, n: int, seed: int = 7) -> DataF
     return rows.withColumn("w", w).where("w > 0")
 
 
+#: Poisson counts of a mean below this are drawn from their exact distribution, larger ones from its expansion around a normal.
+EXACT_BELOW = 16
+
+
+def poisson_cuts(mean: int) -> list[int]:
+    """Cumulative Poisson probabilities in units of 2^-32, rounded up: a draw at or above the k-th counts more than k times."""
+    out, term, total, k = [], math.exp(-mean), math.exp(-mean), 0
+    while (cut := math.ceil(total * (1 << 32))) < 1 << 32:
+        out.append(cut)
+        k += 1
+        term *= mean / k
+        total += term
+    return out
+
+
+def poisson(id_: Column, mean: Column, seed: int, tag: str) -> Column:
+    """A seeded Poisson count of a whole ``mean``: what resampling makes of so many equal rows, without the rows."""
+    digest = F.md5(F.concat_ws(":", id_, F.lit(str(seed)), F.lit(tag)))
+    d1, d2 = (F.conv(F.substring(digest, at, 8), 16, 10).cast("long") for at in (1, 9))
+    few = F.size(F.filter(F.get(F.array(*[F.array(*map(F.lit, poisson_cuts(m))) for m in range(1, EXACT_BELOW)]), (mean - 1).cast("int")), lambda c: c <= d1))
+    z = F.sqrt(-2 * F.ln((d1 + 0.5) / (1 << 32))) * F.cos(F.lit(2 * math.pi) * ((d2 + 0.5) / (1 << 32)))
+    many = F.greatest(F.floor(mean + F.sqrt(mean.cast("double")) * z + (z * z - 1) / 6 + 0.5), F.lit(0))
+    return F.when(mean < 1, F.lit(0)).when(mean < EXACT_BELOW, few).otherwise(many).cast("long")
+
+
+def count_replicates(counts: DataFrame, n: int, seed: int = 7, by: list[str] | None = None, places: int = 9) -> DataFrame:
+    """``counts`` (by, p, pos, neg) with b (1 to n) and resampled pos and neg.
+
+    A row of a table resampled with replacement counts a Poisson number of times,
+    and the sum over equal rows is Poisson as well, so one draw for each
+    distinct score, class and replicate stands for all its rows.
+    """
+    drawn = counts.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n))))
+    key = lambda kind: F.concat_ws("-", *(by or []), F.round(F.col("p") * 10**places).cast("long").cast("string"), F.lit(kind), F.col("b").cast("string"))
+    return drawn.withColumns({c: poisson(key(c), F.col(c), seed, "boot") for c in ("pos", "neg")}).where("pos + neg > 0")
+
+
 def interval(df: DataFrame, value: str, by: list[str] | None = None, level: float = 0.95) -> DataFrame:
     a = (1 - level) / 2
     return df.groupBy(*(by or [])).agg(F.count(value).alias("replicates"), F.avg(value).alias("mean"), F.percentile(value, a).alias("lo"), F.percentile(value, 1 - a).alias("hi"))
@@ -151,13 +197,33 @@ def report(df: DataFrame, threshold: float | None = None, by: list[str] | None =
     return out
 
 
-def calibration_band(rows: DataFrame, edges: Column, id_: str, n: int, least: int = 5, seed: int = 7) -> DataFrame:
+def calibration_band(rows: DataFrame, edges: Column, n: int, least: int = 5, seed: int = 7) -> DataFrame:
     """The calibration curve with intervals of its rate by bin; bins with fewer than ``least`` rows have none."""
-    base = calibration(rows, edges)
-    reps = calibration(replicates(rows, id_, n, seed), edges, ["b"], F.col("w"))
-    ends = interval(reps, "rate", ["bin"]).select("bin", "lo", "hi")
+    counts = staged(score_counts(rows), "score-counts")
+    ends = interval(count_calibration(count_replicates(counts, n, seed), edges, ["b"]), "rate", ["bin"]).select("bin", "lo", "hi")
     keep = lambda c: F.when(F.col("n") >= least, F.col(c)).alias(c)
-    return base.join(ends, "bin", "left").select("bin", "n", "mean_p", "rate", keep("lo"), keep("hi"))
+    return count_calibration(counts, edges).join(ends, "bin", "left").select("bin", "n", "mean_p", "rate", keep("lo"), keep("hi"))
+
+
+def stage_intervals(scored: DataFrame, stages: list[str], n: int, seed: int = 7, places: int = 9, level: float = 0.95) -> DataFrame:
+    """stage, split, auc, lo, hi of several scores of the same rows (``scored``: split, y and the stages).
+
+    All stages see the same resamples: rows with equal scores in every stage, label
+    and split share one Poisson draw for each replicate, and each stage then counts
+    these weights by its own score. Only distinct tuples are drawn for.
+    """
+    rounded = [(F.round(s, places) + F.lit(0.0)).alias(s) for s in stages]
+    tuples = staged(scored.select("split", "y", *rounded).groupBy("split", "y", *stages).agg(F.count("*").alias("n")), "stage-scores")
+    key = F.concat_ws("-", "split", F.col("y").cast("string"), *[F.round(F.col(s) * 10**places).cast("long").cast("string") for s in stages], F.col("b").cast("string"))
+    draws = tuples.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("w", poisson(key, F.col("n"), seed, "stages")).where("w > 0")
+
+    def by_stage(rows: DataFrame, by: list[str], weight: str) -> DataFrame:
+        long = rows.select("split", "y", *by, F.col(weight).alias("_w"), F.inline(F.array(*[F.struct(F.lit(s).alias("stage"), F.col(s).alias("p")) for s in stages])))
+        keys = ["stage", "split", *by]
+        return auc(score_counts(long, by=keys, weight=F.col("_w")), keys, 8)
+
+    ends = interval(by_stage(draws, ["b"], "w"), "auc", ["stage", "split"], level).select("stage", "split", "lo", "hi")
+    return by_stage(tuples, [], "n").join(ends, ["stage", "split"], "left")
 
 
 STAGES, SPLITS = ("model", "model_nomogram", "network", "network_nomogram"), ("train", "test", "val")

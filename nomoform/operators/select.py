@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,23 +22,157 @@ def lambda_path(n: int = 100, high: float = 1000.0, low: float = 0.001) -> list[
     return [math.exp(math.log(high) + (math.log(low) - math.log(high)) * i / (n - 1)) for i in range(n)]
 
 
-def fit_path(df: DataFrame, phis: str, y: str, lambdas: list[float], max_terms: int = 100, batch: int = 10) -> DataFrame:
-    """lambda_idx, lambda, intercept, betas: one L1 fit per lambda on rows grouped by their responses.
+@dataclass(frozen=True)
+class Slopes:
+    """What one pass over the rows gives at some coefficients: loss, its gradient and, for ``terms``, its second derivatives.
 
-    The summed loss plus lambda times the betas is MLlib's mean loss at lambda
-    over the number of rows. The path ends after the batch in which any lambda has enough terms.
+    Position 0 is the intercept, position k + 1 is term k.
+    """
+
+    loss: float
+    gradient: np.ndarray
+    terms: np.ndarray
+    hessian: np.ndarray
+
+
+def path_slopes(rows: DataFrame, at: list[np.ndarray], terms: np.ndarray) -> list[Slopes]:
+    """One pass over ``rows`` (x, y, w) at several coefficients; only sums leave a task."""
+    d, k = len(at[0]), len(terms)
+    width = 1 + d + k * k
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(at), width))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.c_[np.ones(batch.num_rows), np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, d - 1)]
+            y, w = np.asarray(batch.column(1)), np.asarray(batch.column(2))
+            some = x[:, terms]
+            for own, b in zip(out, at):
+                z = x @ b
+                p = 1 / (1 + np.exp(-z))
+                own[0] += w @ (np.logaddexp(0, z) - y * z)
+                own[1 : 1 + d] += x.T @ (w * (p - y))
+                own[1 + d :] += (some.T @ (some * (w * p * (1 - p))[:, None])).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size, dtype=np.int32)), pa.array(out.ravel())], ["i", "v"])
+
+    sums = dict(map(tuple, rows.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v")).collect()))
+    each = np.array([sums[i] for i in range(len(at) * width)]).reshape(len(at), width)
+    return [Slopes(float(v[0]), v[1 : 1 + d], terms, v[1 + d :].reshape(k, k)) for v in each]
+
+
+def l1_step(at: Slopes, b: np.ndarray, lam: float, sweeps: int = 1000) -> np.ndarray:
+    """The minimum of the quadratic model of the loss around ``b`` plus lam times the betas, over the terms of ``at``.
+
+    Coordinate descent finds signs; for these signs the minimum is a linear
+    system, which is solved when descent is slow.
+    """
+    g, h, start = at.gradient[at.terms], at.hessian + 1e-12 * np.eye(len(at.terms)), b[at.terms]
+    free = at.terms == 0
+    now, slope = start.copy(), g.copy()  # slope: g + h @ (now - start)
+    for sweep in range(sweeps):
+        moved = 0.0
+        for j in range(len(now)):
+            if h[j, j] <= 1e-11:
+                continue
+            want = now[j] - slope[j] / h[j, j]
+            new = want if free[j] else np.sign(want) * max(abs(want) - lam / h[j, j], 0.0)
+            if new != now[j]:
+                moved = max(moved, abs(new - now[j]) * h[j, j])
+                slope += h[:, j] * (new - now[j])
+                now[j] = new
+        if moved <= 1e-7 * lam:
+            break
+        if sweep % 20 == 19:
+            on = np.flatnonzero(free | (now != 0))
+            solved = np.zeros_like(now)
+            rest = g[on] - h[np.ix_(on, range(len(now)))] @ start + lam * np.where(free[on], 0.0, np.sign(now[on]))
+            solved[on] = np.linalg.lstsq(h[np.ix_(on, on)], -rest, rcond=None)[0]
+            if (free[on] | (np.sign(solved[on]) == np.sign(now[on]))).all():
+                now, slope = solved, g + h @ (solved - start)
+    out = b.copy()
+    out[at.terms] = now
+    return out
+
+
+def missed(gradient: np.ndarray, b: np.ndarray, lam: float) -> np.ndarray:
+    """By how much each position misses the conditions of the minimum, as a share of lam."""
+    off = np.where(b != 0, np.abs(gradient + lam * np.sign(b)), np.maximum(np.abs(gradient) - lam, 0.0))
+    off[0] = abs(gradient[0])
+    return off / lam
+
+
+#: Lambdas whose coefficients one pass tries.
+AHEAD = 4
+
+
+def fit_path(
+    df: DataFrame, phis: str, y: str, lambdas: list[float], max_terms: int = 100, batch: int = 10, tolerance: float = 5e-4, passes: list[dict] | None = None, most_passes: int = 50
+) -> DataFrame:
+    """lambda_idx, lambda, intercept, betas: the minimum of the summed loss plus lambda times the betas, per lambda.
+
+    Rows are grouped by their responses once. Every lambda starts from the fit
+    before it: the sums of the last pass predict the coefficients of the next AHEAD
+    lambdas, and one pass at all of these gives the slopes that confirm them, or
+    else correct the first that fails by another Newton step, halved where the
+    objective rose. Second derivatives are summed only for terms that the
+    sequential strong rule lets in, |slope| >= 2 * lambda - the lambda before,
+    and for those that the slopes of all terms, known from every pass, show to be
+    missing. ``tolerance`` is the share of lambda by which a fit may miss the
+    conditions of its minimum. ``passes`` gets lambda_idx and the number of terms
+    of each pass. The path ends after the batch in which any lambda has enough
+    terms. A table without rows has no path; responses are never null.
     """
     rows = df.groupBy(F.col(phis).alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").cast("double").alias("w"))
-    rows = rows.select(array_to_vector("x").alias("features"), F.col("y").alias("label"), "w").persist()
-    total = rows.agg(F.sum("w")).first()[0]
+    rows = staged(rows, "path-rows").persist()
+    totals = rows.agg(F.sum("w"), F.sum(F.col("w") * F.col("y")), F.max(F.size("x"))).first()
     out, counts = [], []
-    for i, lam in enumerate(lambdas):
-        lr = LogisticRegression(elasticNetParam=1.0, regParam=lam / total, standardization=False, weightCol="w", maxIter=200, tol=1e-8)
-        m = lr.fit(rows)
-        out.append((i, lam, float(m.intercept), [float(b) for b in m.coefficients]))
-        counts.append(sum(abs(b) > THRESHOLD for b in m.coefficients))
-        if (i + 1) % batch == 0 and max(counts[-batch:]) >= max_terms:
-            break
+    if totals[0]:
+        share = min(max(totals[1] / totals[0], 1e-9), 1 - 1e-9)
+        b = np.r_[math.log(share / (1 - share)), np.zeros(totals[2])]
+
+        def visit(at: list[np.ndarray], terms: np.ndarray) -> list[Slopes]:
+            if passes is not None:
+                passes.append({"lambda_idx": len(out), "terms": len(terms)})
+            return path_slopes(rows, at, terms)
+
+        def worth(at: Slopes, b: np.ndarray, lam: float) -> float:
+            return at.loss + lam * float(np.abs(b[1:]).sum())
+
+        def settle(lam: float, b: np.ndarray) -> bool:
+            """Keep a lambda's fit; whether the path ends with it."""
+            out.append((len(out), lam, float(b[0]), [float(v) for v in b[1:]]))
+            counts.append(int((np.abs(b[1:]) > THRESHOLD).sum()))
+            return len(out) == len(lambdas) or (len(out) % batch == 0 and max(counts[-batch:]) >= max_terms)
+
+        here = visit([b], np.array([0]))[0]
+        before, tried = max(float(np.abs(here.gradient[1:]).max(initial=0.0)), *lambdas[:1], 0.0), 0
+        over = not lambdas
+        while not over:
+            lam = lambdas[len(out)]
+            if (missed(here.gradient, b, lam) <= tolerance).all():
+                over, before, tried = settle(lam, b), lam, 0
+                continue
+            if (tried := tried + 1) > most_passes:
+                raise ArithmeticError(f"lambda {lam} did not settle")
+            ahead = lambdas[len(out) : len(out) + AHEAD]
+            strong = (np.abs(here.gradient) >= 2 * ahead[-1] - before) | (b != 0) | (missed(here.gradient, b, lam) > tolerance)
+            strong[0] = True
+            wanted = np.flatnonzero(strong)
+            if not np.isin(wanted, here.terms).all():
+                here = visit([b], wanted)[0]
+            news = [l1_step(here, b, x) for x in ahead]
+            found = visit(news, wanted)
+            limit = worth(here, b, lam)
+            while worth(found[0], news[0], lam) > limit + 1e-9 * abs(limit) and np.abs(news[0] - b).max() > 1e-15:
+                news = [(b + news[0]) / 2]
+                found = visit(news, wanted)
+            b, here = news[0], found[0]
+            for x, new, there in zip(ahead[1:], news[1:], found[1:]):
+                if over or (missed(here.gradient, b, lam) > tolerance).any() or worth(there, new, x) > worth(here, b, x) * (1 + 1e-9):
+                    break
+                over = settle(lam, b)
+                b, here, before, lam, tried = new, there, lam, x, 0
     rows.unpersist()
     return df.sparkSession.createDataFrame(out, "lambda_idx int, lambda double, intercept double, betas array<double>")
 

@@ -41,12 +41,17 @@ GRID_DIRAC = "WITH " + ", ".join([_REF, _EVEN, _PRODUCT, _raw("gv", "rf0", "bg.w
 _OUT = f" SELECT term, {r6('vi')} AS vi, {r6('vj')} AS vj, {r6('phi')} AS phi FROM phi"
 
 
-def lebesgue(spark, sf):
-    return decompose.lebesgue(li(spark, sf), LI_FEATURES, li_score)
+def lebesgue(spark, sf, which=None):
+    return decompose.lebesgue(li(spark, sf), LI_FEATURES, li_score, which=which)
 
 
-def dirac(spark, sf):
-    return decompose.dirac(li(spark, sf), LI_FEATURES, li_score, REFERENCE)
+def singles(features=LI_FEATURES):
+    """The single terms of ``features`` alone, with their numbers in the full list."""
+    return [t for t in decompose.terms(LI_FEATURES) if t[2] is None and t[1] in features]
+
+
+def dirac(spark, sf, which=None):
+    return decompose.dirac(li(spark, sf), LI_FEATURES, li_score, REFERENCE, which=which)
 
 
 def grid(spark, sf):
@@ -60,7 +65,7 @@ def lebesgue_baseline(spark, sf):
 
 @query(LEBESGUE + _OUT + " WHERE vj IS NULL")
 def lebesgue_univariate(spark, sf):
-    return tidy(lebesgue(spark, sf).where("vj is null"))
+    return tidy(lebesgue(spark, sf, singles()))
 
 
 @query(LEBESGUE + _OUT + " WHERE vj IS NOT NULL")
@@ -87,7 +92,7 @@ def reconstruction_error(spark, sf):
 
 @query(DIRAC + _OUT + " WHERE vj IS NULL")
 def dirac_univariate(spark, sf):
-    return tidy(dirac(spark, sf).where("vj is null"))
+    return tidy(dirac(spark, sf, singles()))
 
 
 @query(DIRAC + _OUT + " WHERE vj IS NOT NULL")
@@ -113,14 +118,14 @@ def grid_responses_lebesgue(spark, sf):
 _BETA = ", be(term, beta) AS (VALUES " + ", ".join(map(str, BETAS)) + "), cu AS (SELECT term, vi, vj, beta * phi AS r FROM phi JOIN be USING (term))"
 
 
-def _curves(spark, sf):
-    full = decompose.lebesgue(li(spark, sf), LI_FEATURES, li_score, grid(spark, sf))
+def _curves(spark, sf, which=None):
+    full = decompose.lebesgue(li(spark, sf), LI_FEATURES, li_score, grid(spark, sf), which)
     return nomogram.curves(full, spark.createDataFrame(BETAS, "term int, beta double"))
 
 
 @query(GRID_LEBESGUE + _BETA + f" SELECT term, {r6('vi')} AS vi, {r6('r')} AS r FROM cu WHERE vj IS NULL")
 def nomogram_curves(spark, sf):
-    return tidy(_curves(spark, sf).where("vj is null").select("term", "vi", "r"))
+    return tidy(_curves(spark, sf, singles()).select("term", "vi", "r"))
 
 
 @query(GRID_LEBESGUE + _BETA + f" SELECT term, {r6('vi')} AS vi, {r6('vj')} AS vj, {r6('r')} AS r FROM cu WHERE vj IS NOT NULL")
@@ -138,7 +143,7 @@ def conversion_line(spark, sf):
 
 @query(GRID_LEBESGUE + _BETA + f" SELECT term, {r6('vi')} AS vi, {r6('exp(r)')} AS odds_ratio, {r6('(r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ()) * 100')} AS points FROM cu WHERE vj IS NULL")
 def odds_ratio_curves(spark, sf):
-    one = nomogram.odds_ratios(_curves(spark, sf).where("vj is null"))
+    one = nomogram.odds_ratios(_curves(spark, sf, singles()))
     return tidy(nomogram.points(one).select("term", "vi", "odds_ratio", "points"))
 
 
@@ -151,7 +156,7 @@ def _interp(term: int, x: str) -> str:
 
 @query(GRID_LEBESGUE + _BETA + _SEG + f", u AS (SELECT DISTINCT q, d FROM li), v AS (SELECT q, d, {_interp(0, 'q')} + {_interp(1, 'd')} AS s FROM u AS li) SELECT id, {r6('1 / (1 + exp(-(s - 0.5)))')} AS p FROM li JOIN v USING (q, d)")
 def nomogram_score(spark, sf):
-    one = _curves(spark, sf).where("vj is null").collect()  # curves of bounded grids
+    one = _curves(spark, sf, singles(["q", "d"])).collect()  # curves of bounded grids
     at = lambda t: [(r["vi"], r["r"]) for r in one if r["term"] == t]
     return tidy(nomogram.score_rows(li(spark, sf), {"q": at(0), "d": at(1)}, -0.5).select("id", "p"))
 

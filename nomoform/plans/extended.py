@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions.scalars import draw, sigmoid
+from ..functions.scalars import sigmoid
+from ..functions.storage import staged
 from ..operators import chain, clean, columns, decompose, encode, evaluate, explain, nomogram, prepare, profile, score, select, split, train
-from .decomposition import _BETA, BETAS, GRID_LEBESGUE, LEBESGUE, _curves, logit_sql
-from .frames import DL, LI, LI_FEATURES, OC, SLI, SOC, dl, li, li_score, oc, r6, scored_li, scored_oc
+from .decomposition import _BETA, BETAS, GRID_LEBESGUE, LEBESGUE, _curves, logit_sql, singles
+from .frames import DL, LI, LI_FEATURES, OC, SLI, SOC, dl, labelled_li, li, li_score, oc, r6, scored_li, scored_oc
 from .modelling import _BOOT, _G, _ROC, _CONF, _LOSS, _RATE, auc_sql, grid_sql
 from .registry import query
 from .selection import _C, _P, _TERMS, INTERCEPT, N, PAIRS, _chosen, _contrib, path, phis
@@ -340,13 +341,14 @@ def nomogram_document(spark, sf):
 
 @query(GRID_LEBESGUE + _BETA + f", x AS (SELECT term, vi, r, row_number() OVER (PARTITION BY term ORDER BY vi) - 1 AS k FROM cu WHERE vj IS NULL) SELECT k::INT AS k, {r6('max(vi) FILTER (WHERE term = 0)')} AS q_x, {r6('max(r) FILTER (WHERE term = 0)')} AS q_r, {r6('max(vi) FILTER (WHERE term = 1)')} AS d_x, {r6('max(r) FILTER (WHERE term = 1)')} AS d_r FROM x GROUP BY k")
 def nomogram_csv(spark, sf):
-    return tidy(nomogram.wide_table(_curves(spark, sf).where("vj is null"), {0: "q", 1: "d"}))
+    return tidy(nomogram.wide_table(_curves(spark, sf, singles()), {0: "q", 1: "d"}))
 
 
 @query(LEBESGUE + f" SELECT 0 AS term, {r6('vi')} AS value, {r6('phi')} AS phi FROM phi WHERE term = 0")
 def raw_responses(spark, sf):
     x = li(spark, sf)
-    long = decompose.to_rows(x, ["id"], LI_FEATURES, decompose.lebesgue(x, LI_FEATURES, li_score)).where("term = 0")
+    which = singles(["q"])
+    long = decompose.to_rows(x, ["id"], LI_FEATURES, decompose.lebesgue(x, LI_FEATURES, li_score, which=which), which)
     values = x.select("id", F.lit(0).alias("term"), F.col("q").alias("value"))
     return tidy(nomogram.raw_responses(long, values, ["id"]))
 
@@ -370,10 +372,9 @@ def stage_summary(spark, sf):
     return tidy(evaluate.performance_summary(aucs, spark.createDataFrame([("model_nomogram", 3, 1)], "stage string, n_single int, n_pair int")))
 
 
-@query("WITH " + SOC + _BOOT + f", c AS (SELECT b, greatest(ceil(round(p * 5, 9)) - 1, 0)::INT AS bin, sum(y * w) / sum(w) AS rate FROM bo GROUP BY ALL), i AS (SELECT bin, quantile_cont(rate, 0.025) AS lo, quantile_cont(rate, 0.975) AS hi FROM c GROUP BY bin), n AS (SELECT greatest(ceil(round(p * 5, 9)) - 1, 0)::INT AS bin, count(*) AS n, avg(p) AS mean_p, avg(y) AS rate FROM soc GROUP BY 1) SELECT bin, n, {r6('mean_p')} AS mean_p, {r6('rate')} AS rate, CASE WHEN n >= 5 THEN {r6('lo')} END AS lo, CASE WHEN n >= 5 THEN {r6('hi')} END AS hi FROM n LEFT JOIN i USING (bin)")
+@query("WITH " + SOC + _BOOT + f", c AS (SELECT b, greatest(ceil(round(p * 5, 9)) - 1, 0)::INT AS bin, sum(pos) / sum(pos + neg) AS rate FROM g GROUP BY ALL), i AS (SELECT bin, quantile_cont(rate, 0.025) AS lo, quantile_cont(rate, 0.975) AS hi FROM c GROUP BY bin), n AS (SELECT greatest(ceil(round(p * 5, 9)) - 1, 0)::INT AS bin, count(*) AS n, avg(p) AS mean_p, avg(y) AS rate FROM soc GROUP BY 1) SELECT bin, n, {r6('mean_p')} AS mean_p, {r6('rate')} AS rate, CASE WHEN n >= 5 THEN {r6('lo')} END AS lo, CASE WHEN n >= 5 THEN {r6('hi')} END AS hi FROM n LEFT JOIN i USING (bin)")
 def calibration_band(spark, sf):
-    x = scored_oc(spark, sf).select("id", "y", "p")
-    return tidy(evaluate.calibration_band(x, evaluate.uniform_edges(5), "id", 20))
+    return tidy(evaluate.calibration_band(scored_oc(spark, sf).select("y", "p"), evaluate.uniform_edges(5), 20))
 
 
 @query("WITH " + SLI + f", h AS (SELECT y, least(floor(p * 20), 19)::INT AS bin, count(*) AS n FROM sli GROUP BY ALL) SELECT y, bin, {r6('n / sum(n) OVER (PARTITION BY y) * 20')} AS density FROM h")
@@ -394,26 +395,21 @@ LAMBDAS = 24
 
 @query("SELECT k::INT AS lambda_idx, " + r6(f"exp(ln(1000.0) + (ln(0.05) - ln(1000.0)) * k / {LAMBDAS - 1})", 4) + f" AS lambda, TRUE AS at_minimum FROM range({LAMBDAS}) r(k) WHERE EXISTS (SELECT 1 FROM lineitem)")
 def l1_path_conditions(spark, sf):
-    """Every fit of a path over real responses meets the conditions of its minimum, to 2 in 10,000 of a row's slope."""
-    rows = phis(spark, sf).persist()
+    """Every fit of a path meets the conditions of its minimum, to 1 in 1,000 of its own lambda."""
+    rows = staged(phis(spark, sf), "path-rows")
     fitted = select.fit_path(rows, "phis", "y", select.lambda_path(LAMBDAS, 1000.0, 0.05))
     off = chain.kkt(rows, fitted, n_terms=N)
-    return off.select("lambda_idx", F.round("lambda", 4).alias("lambda"), (F.col("off") < 2e-4).alias("at_minimum"))
+    return off.select("lambda_idx", F.round("lambda", 4).alias("lambda"), (F.col("off") <= 1e-3).alias("at_minimum"))
 
 
 def _two_phases(spark, sf):
-    x = split.split_random(li(spark, sf), "id").select("id", "split", "y", *LI_FEATURES)
-    shown = x.withColumn("y", (draw_share(F.col("id")) < li_score({f: F.col(f) for f in LI_FEATURES})).cast("int"))
+    shown = split.split_random(labelled_li(spark, sf), "id").select("id", "split", "y", *LI_FEATURES)
     scorer = score.column_scorer(LI_FEATURES, li_score)
-    return chain.two_phases(shown, LI_FEATURES, scorer, select.lambda_path(12, 300.0, 0.5), epochs=30)
-
-
-def draw_share(id_):
-    return draw(id_, 42, "label") / (1 << 32)
+    return chain.two_phases(shown, LI_FEATURES, scorer, select.lambda_path(), epochs=30)
 
 
 @query()
 def two_phase_summary(spark, sf):
     """A score, its additive form, a network masked to the chosen terms, and its additive form, on all parts."""
     first, second, rows = _two_phases(spark, sf)
-    return tidy(chain.summary(rows, first, second, len(LI_FEATURES)))
+    return tidy(chain.summary(rows, first, second, len(LI_FEATURES), replicates=20))

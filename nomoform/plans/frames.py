@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_percentiles
-from ..functions.scalars import rounded, sigmoid
+from ..functions.scalars import draw, rounded, sigmoid
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 LI_FEATURES = ["q", "d", "t"]
@@ -41,6 +41,11 @@ def scored_li(spark: SparkSession, sf: str) -> DataFrame:
     return x.withColumn("p", rounded(li_score({f: F.col(f) for f in LI_FEATURES}), 9))
 
 
+def labelled_li(spark: SparkSession, sf: str) -> DataFrame:
+    """scored_li with a label drawn by its score, so that there is something to select and to learn."""
+    return scored_li(spark, sf).withColumn("y", (draw(F.col("id"), 42, "label") < F.col("p") * (1 << 32)).cast("int"))
+
+
 def oc(spark: SparkSession, sf: str) -> DataFrame:
     o, c = read(spark, sf, "orders"), read(spark, sf, "customer")
     x = o.join(c, o["o_custkey"] == c["c_custkey"]).select(
@@ -82,5 +87,8 @@ def draw_sql(id_: str, seed: int, tag: str) -> str:
     return f"('0x' || substr(md5({id_} || ':{seed}:{tag}'), 1, 8))::BIGINT"
 
 
+LLI = SLI + f", lli AS (SELECT * EXCLUDE (y), ({draw_sql('id', 42, 'label')} < p * {1 << 32})::INT AS y FROM sli)"
+
+
 def r6(x: str, places: int = 6) -> str:
     return f"(round({x}, {places}) + 0.0)"

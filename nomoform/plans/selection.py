@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import explain, select
-from .frames import LI, li, r6
+from .frames import LLI, labelled_li, r6
 from .registry import query
 from .tabular import tidy
 
@@ -20,7 +20,7 @@ _X = ["(q - 25.5) * 0.0531", "(d - 0.0497) * 12.37", "(t - 0.0403) * -9.13", "(q
 
 def phis(spark, sf):
     """id, y, phis: centred responses of three features and one pair."""
-    return li(spark, sf).select("id", "y", F.array(*[F.expr(x) for x in _X]).alias("phis"))
+    return labelled_li(spark, sf).select("id", "y", F.array(*[F.expr(x) for x in _X]).alias("phis"))
 
 
 def path(rows):
@@ -45,7 +45,7 @@ def path_with_auc(spark, sf):
     return path(rows).join(metrics(spark, sf).withColumn("auc", F.round("auc", 6)), "lambda_idx")
 
 
-_P = "WITH " + LI + ", ph AS (SELECT id, y, " + ", ".join(f"{x} AS x{k}" for k, x in enumerate(_X)) + " FROM li)"
+_P = "WITH " + LLI + ", ph AS (SELECT id, y, " + ", ".join(f"{x} AS x{k}" for k, x in enumerate(_X)) + " FROM lli)"
 _P += ", sl AS (SELECT " + ", ".join(f"round(covar_pop(x{k}, y) / var_pop(x{k}) * 4, 9) AS s{k}" for k in range(N)) + " FROM ph)"
 _P += ", pa AS (SELECT (i - 1)::INT AS lambda_idx, " + ", ".join(f"sign(s{k}) * greatest(abs(s{k}) - greatest({', '.join(f'abs(s{j})' for j in range(N))}) * ([{', '.join(map(str, SHARES))}])[i], 0) + 0.0 AS b{k}" for k in range(N)) + " FROM sl, range(1, 9) r(i))"
 _DOT = " + ".join(f"b{k} * x{k}" for k in range(N))
@@ -159,10 +159,9 @@ def selection_mask(spark, sf):
     return select.selection_mask(_chosen(spark, sf), PAIRS, 3)
 
 
-@query()
+@query(f"SELECT k::INT AS lambda_idx, {r6('exp(ln(1000.0) + (ln(0.001) - ln(1000.0)) * k / 99)', 4)} AS lambda, (SELECT count(*) FROM lineitem) AS rows, TRUE AS few_passes FROM range(100) r(k) WHERE EXISTS (SELECT 1 FROM lineitem)")
 def l1_path_fit(spark, sf):
-    x = li(spark, sf)
-    fitted = select.fit_path(phis(spark, sf), "phis", "y", [len(SHARES) * 2000.0 * 0.1**i for i in range(4)])
-    return fitted.crossJoin(F.broadcast(x.agg(F.count("*").alias("rows"))))
-
-
+    """The default path of 100 lambdas, warm-started, in fewer passes over the rows than lambdas."""
+    rows, passes = phis(spark, sf), []
+    fitted = select.fit_path(rows, "phis", "y", select.lambda_path(), passes=passes)
+    return fitted.select("lambda_idx", F.round("lambda", 4).alias("lambda"), F.lit(rows.count()).alias("rows"), F.lit(len(passes) < 100).alias("few_passes"))

@@ -214,3 +214,72 @@ def test_random_imputation_from_many_values(spark, monkeypatch):
     monkeypatch.setattr(clean, "BLOCK", 16)
     assert sorted(map(tuple, clean.impute_random(df, df, "x", "id").collect())) == few
     assert clean.impute_random(df, df.where("x is null"), "x", "id").where("x is null").count() == 300
+
+
+def test_path_against_numpy(spark):
+    """Warm starts, several lambdas a pass and the strong rule give the minimum that plain proximal steps find."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(400, 12))
+    x[:, 5] = x[:, 4] + 0.01 * rng.normal(size=400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(1.5 * x[:, 0] - x[:, 4] + 0.3)))).astype(int)
+    rows = spark.createDataFrame([(r.tolist(), int(t)) for r, t in zip(x, y)], "phis array<double>, y int").repartition(3)
+    lambdas, passes = select.lambda_path(40, 300.0, 0.01), []
+    path = select.fit_path(rows, "phis", "y", lambdas, passes=passes).orderBy("lambda_idx").collect()
+    assert [r["lambda"] for r in path] == lambdas and len(passes) < 60 and any(p["terms"] < 13 for p in passes)
+    design = np.c_[np.ones(400), x]
+    for r in path:
+        b = np.array([r["intercept"], *r["betas"]])
+        g = design.T @ (1 / (1 + np.exp(-design @ b)) - y)
+        assert (select.missed(g, b, r["lambda"]) <= 1e-3).all()
+    assert all(b == 0 for b in path[0]["betas"]) and sum(b != 0 for b in path[-1]["betas"]) == 12
+    short = select.fit_path(rows, "phis", "y", lambdas, max_terms=2, batch=5).count()
+    assert short % 5 == 0 and short < 40
+    assert select.fit_path(rows.where("false"), "phis", "y", lambdas).count() == 0
+    one = select.fit_path(rows.where("y = 1"), "phis", "y", lambdas[:3]).collect()
+    assert len(one) == 3 and all(r["intercept"] > 5 for r in one)
+
+
+def test_backgrounds_of_terms_are_smaller(spark):
+    df = spark.createDataFrame([(float(i % 7), float(i % 5), float(i % 3)) for i in range(210)], "a double, b double, c double")
+    which = decompose.terms(["a", "b", "c"])
+    backs = decompose.term_backgrounds(decompose.background(df, ["a", "b", "c"]), ["a", "b", "c"], which)
+    n = {r["term"]: (r["n"], r["w"]) for r in backs.groupBy("term").agg(F.count("*").alias("n"), F.sum("w_").alias("w")).collect()}
+    assert n == {0: (15, 210), 1: (21, 210), 2: (35, 210), 3: (3, 210), 4: (5, 210), 5: (7, 210)}
+    score_ = lambda at: sigmoid(at["a"] * 0.3 + at["b"] * at["c"] * 0.1 - 0.5)
+    z = lambda a, b, c: a * 0.3 + b * c * 0.1 - 0.5
+    rows = [(i % 7, i % 5, i % 3) for i in range(210)]
+    phi0 = np.mean([z(*r) for r in rows])
+    for r in decompose.lebesgue(df, ["a", "b", "c"], score_, which=decompose.terms(["a", "b", "c"], singles=["b"])).collect():
+        assert r["term"] == 1 and abs(r["phi"] - (np.mean([z(a, r["vi"], c) for a, _, c in rows]) - phi0)) < 1e-9
+
+
+def test_poisson_draws(spark):
+    """Means and variances of the counts that stand for resampled rows, on both sides of the exact range."""
+    for n in (1, 3, 15, 16, 60, 5000):
+        m, v = spark.range(20_000).select(evaluate.poisson(F.col("id").cast("string"), F.lit(n), 3, "t").alias("w")).agg(F.avg("w"), F.var_samp("w")).first()
+        assert abs(m - n) < 5 * (n / 20_000) ** 0.5 and abs(v / n - 1) < 0.06
+    assert spark.range(5).select(evaluate.poisson(F.col("id").cast("string"), F.lit(0), 3, "t").alias("w")).distinct().collect() == [(0,)]
+    cuts = evaluate.poisson_cuts(1)
+    assert all(abs(a - b) < 1 << 12 for a, b in zip(cuts, evaluate.POISSON))
+
+
+def test_bootstrap_of_counts_agrees_with_rows(spark):
+    rng = np.random.default_rng(5)
+    p = np.round(rng.integers(1, 40, 1500) / 40, 9)
+    df = spark.createDataFrame([(i, float(a), int(b < a)) for i, (a, b) in enumerate(zip(p, rng.random(1500)))], "id long, p double, y int")
+    counts = evaluate.score_counts(df)
+    by_count = evaluate.interval(evaluate.auc(evaluate.count_replicates(counts, 300), ["b"], 1), "auc").first()
+    by_row = evaluate.interval(evaluate.auc(evaluate.score_counts(evaluate.replicates(df, "id", 300), by=["b"], weight=F.col("w")), ["b"], 1), "auc").first()
+    width = by_row["hi"] - by_row["lo"]
+    assert by_count["replicates"] == 300 and all(abs(by_count[c] - by_row[c]) < 0.35 * width for c in ("lo", "hi", "mean"))
+
+
+def test_stages_share_their_resamples(spark):
+    """Equal scores in two stages have equal intervals, and a better stage is better in every split."""
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 20, 900) / 20
+    rows = [(("train", "test", "val")[i % 3], int(rng.random() < x), float(x), float(x), float(rng.random())) for i, x in enumerate(a)]
+    out = {(r["stage"], r["split"]): r for r in evaluate.stage_intervals(spark.createDataFrame(rows, "split string, y int, one double, two double, noise double"), ["one", "two", "noise"], 60).collect()}
+    assert len(out) == 9 and all(r["lo"] < r["auc"] < r["hi"] for r in out.values())
+    for s in ("train", "test", "val"):
+        assert out["one", s][2:] == out["two", s][2:] and out["one", s]["lo"] > out["noise", s]["hi"]
