@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from .common import cut, let, small_join, words
 
 SYMBOLS = "#*$%&|<>"
-#: Metric -> least distance of its fence from the quartile, in its own unit.
-SLACK = {"symbols_pm": 100, "dup_lines_pm": 150, "repeats_pm": 60, "word_len_c": 200}
-FENCE = 3
+#: Metric -> two quantiles of a group's sketch, in hundredths, and how many times their distance the fences lie beyond them.
+#: Counts that most texts lack take their spread from a higher quantile than the quartiles, which are 0.
+FENCES = {"symbols_pm": (50, 80, 1), "dup_lines_pm": (50, 98, 1), "repeats_pm": (50, 98, 1), "word_len_c": (25, 75, 6)}
 MIN_SUPPORT = 50
 ANY = "*"
 
@@ -96,27 +96,28 @@ def _per(part: str, whole: str, scale: int) -> Column:
 def sketches(metrics: DataFrame) -> DataFrame:
     """lang, source, metric, cell, n: one mergeable sketch per group and metric."""
     sound = metrics.where(~F.col("base_failed"))
-    cells = sound.select("lang", "source", *[_cell(F.col(m)).alias(m) for m in SLACK])
-    long = cells.unpivot(["lang", "source"], list(SLACK), "metric", "cell")
+    cells = sound.select("lang", "source", *[_cell(F.col(m)).alias(m) for m in FENCES])
+    long = cells.unpivot(["lang", "source"], list(FENCES), "metric", "cell")
     return long.groupBy("lang", "source", "metric", "cell").agg(F.count("*").alias("n"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """Fences per language and source; groups below MIN_SUPPORT use the merged sketch above them."""
+    """Fences per language and source; groups below MIN_SUPPORT use the merged sketch above them.
+
+    A fence lies a multiple of the distance of two of the group's quantiles beyond
+    them, and at least one unit, the resolution of a metric; there is no other constant.
+    """
     levels = sketch.unionByName(sketch.withColumn("source", F.lit(ANY))).unionByName(
         sketch.withColumn("source", F.lit(ANY)).withColumn("lang", F.lit(ANY))
     )
     merged = levels.groupBy("lang", "source", "metric", "cell").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("lang", "source", "metric")
     ranked = merged.withColumn("cum", F.sum("n").over(w.orderBy("cell"))).withColumn("total", F.sum("n").over(w))
-    quart = ranked.groupBy("lang", "source", "metric").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("cum") * 4 >= F.col("total"), F.col("cell"))).alias("q1"),
-        F.min(F.when(F.col("cum") * 4 >= F.col("total") * 3, F.col("cell"))).alias("q3"),
-    )
-    slack = F.element_at(F.create_map(*[F.lit(x) for kv in SLACK.items() for x in kv]), F.col("metric")).cast("long")
-    reach = F.greatest(FENCE * (F.col("q3") - F.col("q1")), slack)
-    fences = quart.select("lang", "source", "metric", "total", (F.col("q3") + reach).alias("hi"), (F.col("q1") - reach).alias("lo"))
+    of = lambda k: F.element_at(F.create_map(*[F.lit(x) for m, p in FENCES.items() for x in (m, p[k])]), F.col("metric"))
+    at = lambda k: F.min(F.when(F.col("cum") * 100 >= F.col("total") * of(k), F.col("cell")))
+    spread = ranked.groupBy("lang", "source", "metric").agg(F.max("total").alias("total"), at(0).alias("low"), at(1).alias("high"))
+    reach = F.greatest(of(2) * (F.col("high") - F.col("low")), F.lit(1))
+    fences = spread.select("lang", "source", "metric", "total", (F.col("high") + reach).alias("hi"), (F.col("low") - reach).alias("lo"))
 
     def side(lang: Column, source: Column, tag: str) -> DataFrame:
         return fences.where(lang & source).select(
@@ -133,7 +134,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     )
     chosen = joined.select("lang", "source", "metric", pick("hi").alias("hi"), pick("lo").alias("lo"))
     of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c))).alias(f"{m}_{c}")
-    return chosen.groupBy("lang", "source").agg(*[of(m, "hi") for m in SLACK], of("word_len_c", "lo"))
+    return chosen.groupBy("lang", "source").agg(*[of(m, "hi") for m in FENCES], of("word_len_c", "lo"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -160,7 +161,7 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     fences = cut(thresholds(sketches(metrics)), "quality-fences")
     judged = small_join(metrics, fences, ["lang", "source"])
     inside = F.lit(True)
-    for m in SLACK:
+    for m in FENCES:
         inside = inside & (F.col(m) <= F.col(f"{m}_hi"))
     inside = inside & (F.col("word_len_c") >= F.col("word_len_c_lo"))
     return judged.select(

@@ -34,9 +34,9 @@ _METRICS = {
     "repeats_pm": "CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END",
     "word_len_c": "CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END",
 }
-_SLACK = "CASE metric " + " ".join(f"WHEN '{m}' THEN {v}" for m, v in quality.SLACK.items()) + " END"
+_FENCE = ["CASE metric " + " ".join(f"WHEN '{m}' THEN {p[k]}" for m, p in quality.FENCES.items()) + " END" for k in range(3)]
 _INSIDE = " AND ".join(
-    f"coalesce((SELECT {m} <= hi FROM fence f WHERE f.lang = m.lang AND f.source = m.source AND f.metric = '{m}'), TRUE)" for m in quality.SLACK
+    f"coalesce((SELECT {m} <= hi FROM fence f WHERE f.lang = m.lang AND f.source = m.source AND f.metric = '{m}'), TRUE)" for m in quality.FENCES
 )
 QUALITY = f"""
 WITH d AS (
@@ -59,7 +59,7 @@ b AS (
   FROM w LEFT JOIN rep USING (rid)),
 m AS (
   SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, {", ".join(f"({e})::BIGINT AS {m}" for m, e in _METRICS.items())} FROM b),
-cells AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {_CELL.format(m)} AS cell FROM m WHERE NOT base_failed" for m in quality.SLACK)}),
+cells AS ({" UNION ALL ".join(f"SELECT lang, source, '{m}' AS metric, {_CELL.format(m)} AS cell FROM m WHERE NOT base_failed" for m in quality.FENCES)}),
 lv AS (
   SELECT lang, source, metric, cell FROM cells
   UNION ALL SELECT lang, '*', metric, cell FROM cells
@@ -68,9 +68,10 @@ h AS (SELECT lang, source, metric, cell, count(*) AS n FROM lv GROUP BY ALL),
 r AS (
   SELECT *, sum(n) OVER (PARTITION BY lang, source, metric ORDER BY cell) AS cum, sum(n) OVER (PARTITION BY lang, source, metric) AS total FROM h),
 q AS (
-  SELECT lang, source, metric, max(total) AS total, min(CASE WHEN cum * 4 >= total THEN cell END) AS q1, min(CASE WHEN cum * 4 >= total * 3 THEN cell END) AS q3
+  SELECT lang, source, metric, max(total) AS total,
+    min(CASE WHEN cum * 100 >= total * ({_FENCE[0]}) THEN cell END) AS low, min(CASE WHEN cum * 100 >= total * ({_FENCE[1]}) THEN cell END) AS high
   FROM r GROUP BY ALL),
-e AS (SELECT lang, source, metric, total, q3 + greatest({quality.FENCE} * (q3 - q1), {_SLACK}) AS hi, q1 - greatest({quality.FENCE} * (q3 - q1), {_SLACK}) AS lo FROM q),
+e AS (SELECT lang, source, metric, total, high + greatest(({_FENCE[2]}) * (high - low), 1) AS hi, low - greatest(({_FENCE[2]}) * (high - low), 1) AS lo FROM q),
 fence AS (
   SELECT g.lang, g.source, g.metric,
     CASE WHEN g.total >= {quality.MIN_SUPPORT} THEN g.hi WHEN l.total >= {quality.MIN_SUPPORT} THEN l.hi ELSE a.hi END AS hi,

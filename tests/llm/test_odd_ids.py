@@ -5,9 +5,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from nomoform.llm import packing
+from nomoform.llm import packing, quality
 
 VOCAB = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -33,3 +34,21 @@ def test_packing_keeps_ids_beside_null_ones(spark):
             assert r["offset"] == at
             at += r["length"]
         assert at <= 1024
+
+
+def test_quality_fences_follow_their_group(spark):
+    """Two groups with other habits get other fences, and a text that is usual in one is dropped in the other."""
+    plain = "one two three four five six seven eight nine ten eleven twelve"
+    marked = plain + " # $ %"
+    rows = [(i, f"{plain} w{i} x{i}", "en", "plain") for i in range(100)]
+    rows += [(200 + i, f"{marked if i % 2 else plain} w{i} x{i}", "en", "code") for i in range(100)]
+    rows += [(400, marked + " odd one", "en", "plain"), (401, marked + " odd one", "en", "code"), (402, "Donaudampfschifffahrtsgesellschaften " * 3 + " ".join(f"Rindfleischetikettierung{i}" for i in range(9)), "en", "plain")]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i] for i in [*range(100), *range(200, 300), 401]) and not got[400] and not got[402]
+    fences = {(r["lang"], r["source"]): r for r in quality.thresholds(quality.sketches(_judged(spark, rows))).collect()}
+    assert fences["=en", "=plain"]["symbols_pm_hi"] < 100 < fences["=en", "=code"]["symbols_pm_hi"]
+
+
+def _judged(spark, rows):
+    counts = quality.base_metrics(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).withColumn("base_failed", F.lit(False))
+    return counts.withColumns({"symbols_pm": quality._per("n_symbols", "n_words", 1000), "dup_lines_pm": F.lit(0).cast("long"), "repeats_pm": F.lit(0).cast("long"), "word_len_c": quality._per("word_chars", "n_words", 100)})
