@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bwt import collection
@@ -40,6 +40,8 @@ SYMBOLS = 300_000
 #: Hot minimizers have at least HOT_ROWS segments and one in HOT_SHARE of all, so they are at most HOT_SHARE.
 HOT_ROWS, HOT_SHARE, SAMPLE = 1000, 1_000_000, 64
 NO_ID = -(1 << 63) + 1
+#: Rows that share an id are numbered; the number stands above these bits of a place, and a text is shorter than 2^31 bytes.
+PLACE = 32
 _BYTES = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,24 +169,24 @@ def find_segments(docs: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
             yield _marks(*(c[~first] for c in cols[1:4]))
 
         for b in batches:
-            for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for d, number, text in zip(*(b.column(c).to_pylist() for c in range(3))):
                 raw = text.encode()
                 for at in range(0, max(1, len(raw) - SPAN + 1), BLOCK):
                     piece = raw[at : at + BLOCK + SPAN - 1]
                     if held + len(piece) > BLOCK and parts:
                         yield from block()
                         parts, held = [], 0
-                    parts.append((d, at, piece))
+                    parts.append((d, (number << PLACE) + at, piece))
                     held += len(piece)
         if parts:
             yield from block()
 
-    return docs.select("doc", "text").mapInArrow(run, ROWS)
+    return docs.select("doc", "number", "text").mapInArrow(run, ROWS)
 
 
 def hot_keys(docs: DataFrame) -> np.ndarray:
     """Minimizers that very many different segments share, at most HOT_SHARE, sorted; from one document in SAMPLE."""
-    some = find_segments(docs.where(F.pmod(F.xxhash64("doc", F.lit(9)), F.lit(SAMPLE)) == 0)).where("key <> -1")
+    some = find_segments(docs.where(F.pmod(F.xxhash64("doc", "number", F.lit(9)), F.lit(SAMPLE)) == 0)).where("key <> -1")
     counts = cut(some.groupBy("key").agg(F.count("*").alias("n")), "minimizer-sample")
     least = max(HOT_ROWS, SAMPLE * (counts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
     return np.array(sorted(r["key"] for r in counts.where(F.col("n") * SAMPLE >= least).select("key").collect()), np.int64)
@@ -228,29 +230,37 @@ def collapse(rows: DataFrame) -> DataFrame:
         if held:
             yield from whole([np.concatenate(x) for x in zip(*held)])
 
-    spread = F.when(F.col("key") == -1, F.col("doc")).otherwise(F.lit(0))
+    spread = F.when(F.col("key") == -1, F.xxhash64("doc", _number())).otherwise(F.lit(0))
     n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     dealt = rows.repartition(int(n), "key", spread).sortWithinPartitions("key", "c1", "c2", "doc", "start")
     return dealt.mapInArrow(run, ROWS).select("key", "doc", "start", "windows")
 
 
+def _number() -> Column:
+    return F.shiftright("start", PLACE)
+
+
+def _offset() -> Column:
+    return F.col("start").bitwiseAND(F.lit((1 << PLACE) - 1))
+
+
 def cut_out(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """key, doc, start and the bytes of the segments that need comparison."""
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "windows")).alias("s"))
+    by_row = wanted.groupBy("doc", _number().alias("number")).agg(F.collect_list(F.struct("key", _offset().alias("start"), "windows")).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for d, text, segs in zip(*(b.column(c).to_pylist() for c in range(3))):
+            for d, number, text, segs in zip(*(b.column(c).to_pylist() for c in range(4))):
                 raw = text.encode()
-                out += [(s["key"], d, s["start"], raw[s["start"] : s["start"] + s["windows"] + SPAN - 1]) for s in segs]
+                out += [(s["key"], d, (number << PLACE) + s["start"], raw[s["start"] : s["start"] + s["windows"] + SPAN - 1]) for s in segs]
             cols = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["key", "doc", "start", "bytes"]
             )
 
-    texts = docs.select("doc", "text").join(by_doc, "doc")
-    return texts.mapInArrow(run, "key long, doc long, start long, bytes binary")
+    texts = docs.select("doc", "number", "text").join(by_row, ["doc", "number"])
+    return texts.select("doc", "number", "text", "s").mapInArrow(run, "key long, doc long, start long, bytes binary")
 
 
 def repeats_in(doc: np.ndarray, start: np.ndarray, strings: list[bytes], folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -300,11 +310,36 @@ def compare(cuts_: DataFrame) -> DataFrame:
     return cuts_.repartition(int(n), "key").sortWithinPartitions("key", "doc", "start").mapInArrow(run, ROWS).select("key", "doc", "start", "windows")
 
 
+def numbered(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (doc, text) with number, and these rows without repetitions.
+
+    A row whose id no other text has gets number 0. Others are numbered from 1
+    in order of id and two hashes of the text, over all of them; rows equal in id and
+    text share a number. Numbers come from ranges of that order, each counted by
+    its own task, and the counts of the ranges before.
+    """
+    keyed = rows.withColumns({"t1": F.xxhash64("text"), "t2": F.hash("text")})
+    shared = cut(keyed.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc"), "shared-ids")
+    if not shared.take(1):
+        single = rows.withColumn("number", F.lit(0).cast("long"))
+        return single, single
+    texts = keyed.join(shared, "doc", "left_semi").select("doc", "t1", "t2").distinct()
+    ranged = cut(texts.repartitionByRange("doc", "t1", "t2").withColumn("part", F.spark_partition_id()), "shared-texts")
+    before = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    before = before.select("part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("doc", "t1", "t2"))
+    numbers = cut(ranged.withColumn("_in", within).join(F.broadcast(before), "part").select("doc", "t1", "t2", (F.col("_in") + F.col("before")).alias("number")), "text-numbers")
+    all_ = keyed.join(numbers, ["doc", "t1", "t2"], "left").select("doc", "text", F.coalesce("number", F.lit(0)).cast("long").alias("number"))
+    some = all_.where("number > 0").groupBy("doc", "number").agg(F.first("text").alias("text")).select("doc", "text", "number")
+    return all_, cut(all_.where("number = 0").unionByName(some), "numbered-texts")
+
+
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """doc, start, windows: runs of 100-byte windows that occur before, in ``docs`` (doc, text not null)."""
+    """doc, number, start, windows: runs of 100-byte windows that occur before, in ``docs`` (doc, number, text not null)."""
     both = cut(collapse(find_segments(docs, hot_keys(docs))), "repeat-segments")
     found = cut(compare(cut_out(docs, both.where("key <> -1"))), "repeat-windows")
-    return both.where("key = -1").unionByName(found).select("doc", "start", "windows")
+    return both.where("key = -1").unionByName(found).select("doc", _number().alias("number"), _offset().alias("start"), "windows")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
@@ -313,13 +348,14 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     ``docs``: doc_id (a whole number), text; other columns are ignored. Returns
     doc_id, n_bytes, spans (array of start and end of the removed runs) and
     kept (the remaining bytes). Earlier means a smaller doc_id, or the same one
-    and a smaller start; a null doc_id is smaller than all. A null text is
-    empty. Rows that share a doc_id lose the union of what each would lose, and
-    none of them is before the other at equal starts. An empty table gives no
-    rows.
+    and a smaller start; a null doc_id is smaller than all. Different texts that
+    share a doc_id, or have none, are documents of their own, in the order of
+    their hashes; rows equal in id and text are one document and lose the same. A
+    null text is empty. An empty table gives no rows.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    spans = removed_spans(rows).groupBy("doc").agg(F.collect_list(F.struct("start", "windows")).alias("s"))
+    rows, texts = numbered(rows)
+    spans = removed_spans(texts).groupBy("doc", "number").agg(F.collect_list(F.struct("start", "windows")).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -340,7 +376,7 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
             ids = [None if d == NO_ID else d for d in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(runs, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = rows.join(spans, "doc", "left")
+    joined = rows.join(spans, ["doc", "number"], "left").select("doc", "text", "s")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 

@@ -146,7 +146,7 @@ def test_hot_minimizers_change_nothing(spark, docs, monkeypatch):
     want = sorted(map(tuple, suffixdedup.digest(suffixdedup.suffix_dedup(some)).collect()))
     monkeypatch.setattr(suffixdedup, "HOT_ROWS", 3)
     monkeypatch.setattr(suffixdedup, "SAMPLE", 2)
-    assert len(suffixdedup.hot_keys(some.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("text")))) > 3
+    assert len(suffixdedup.hot_keys(some.select(F.col("doc_id").alias("doc"), F.lit(0).cast("long").alias("number"), F.coalesce("text", F.lit("")).alias("text")))) > 3
     assert sorted(map(tuple, suffixdedup.digest(suffixdedup.suffix_dedup(some)).collect())) == want
 
 
