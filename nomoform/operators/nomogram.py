@@ -58,6 +58,66 @@ def score_rows(df: DataFrame, singles: dict[str, list[tuple[float, float]]], int
     return df.withColumn("p", sigmoid(total))
 
 
+@dataclass(frozen=True)
+class Table:
+    """One curve or interaction grid: its features, (vi, vj, r) points, vj null for a curve, and which axes are categories."""
+
+    first: str
+    second: str | None
+    points: list[tuple[float, float | None, float]]
+    categories: frozenset[str] = frozenset()
+
+    def value(self) -> Column:
+        """r at a row, as a column expression that streams can use too.
+
+        Numeric axes are bracketed by their neighbouring grid values and
+        interpolated, both for a pair, and clamped outside the grid; categories are
+        looked up, and one that the grid does not have gives null, as does a null value.
+        """
+        xs = sorted({p[0] for p in self.points})
+        ys = sorted({p[1] for p in self.points}) if self.second else [None]
+        at = {(p[0], p[1] if self.second else None): p[2] for p in self.points}
+        if len(at) != len(xs) * len(ys):
+            raise ValueError(f"the grid of {self.first} and {self.second} has holes")
+        flat = F.array(*[F.lit(float(at[x, y])) for x in xs for y in ys])
+        i, t = _bracket(F.col(self.first).cast("double"), xs, self.first in self.categories)
+        if not self.second:
+            return _between(F.get(flat, i), F.get(flat, i + 1), t)
+        j, u = _bracket(F.col(self.second).cast("double"), ys, self.second in self.categories)
+        row = lambda k: _between(F.get(flat, k * len(ys) + j), F.get(flat, k * len(ys) + j + 1), u)
+        return _between(row(i), row(i + 1), t)
+
+
+def _between(a: Column, b: Column, share: Column) -> Column:
+    """a at share 0, so that b may be missing there."""
+    return F.when(share == 0, a).otherwise(a + (b - a) * share)
+
+
+def _bracket(x: Column, grid: list[float], category: bool) -> tuple[Column, Column]:
+    """Place of the grid value at or below x, and how far x lies towards the next; null for an unknown category."""
+    values = F.array(*[F.lit(float(v)) for v in grid])
+    if category:
+        place = F.array_position(values, x)
+        return F.when(place > 0, place - 1).cast("int"), F.when(place > 0, F.lit(0.0))
+    if len(grid) == 1:
+        return F.when(x.isNotNull(), 0), F.when(x.isNotNull(), F.lit(0.0))
+    below = F.size(F.filter(values, lambda v: v <= x)) - 1
+    i = F.when(x.isNotNull(), F.least(F.greatest(below, F.lit(0)), F.lit(len(grid) - 2)))
+    share = (x - F.get(values, i)) / (F.get(values, i + 1) - F.get(values, i))
+    return i, F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0))
+
+
+def score_tables(df: DataFrame, tables: list[Table], intercept: float) -> DataFrame:
+    """Adds p from the tables of a nomogram alone: curves, categories and pairs. Tables are bounded by their grid steps."""
+    return df.withColumn("p", sigmoid(sum((t.value() for t in tables), F.lit(intercept))))
+
+
+def grid_matrix(curve: DataFrame, term: int, columns: list[float]) -> DataFrame:
+    """An interaction grid as a matrix: a row for each vi, a column r0, r1, ... for each of the values of vj in ``columns``."""
+    cells = [F.max(F.when(F.col("vj") == v, F.col("r"))).alias(f"r{k}") for k, v in enumerate(columns)]
+    return curve.where(F.col("term") == term).groupBy("vi").agg(*cells)
+
+
 def to_json(curve: DataFrame, names: dict[int, str], intercept: float) -> DataFrame:
     """One JSON document per term; curves are bounded by their grid steps."""
     name = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("term"))
@@ -72,12 +132,13 @@ def from_json(docs: DataFrame) -> DataFrame:
     return parsed.select("term", F.col("d.name").alias("name"), F.inline("d.points")).select("term", "name", F.col("x").alias("vi"), F.col("y").alias("vj"), "r")
 
 
-def descaled(curve: DataFrame, scaler: dict[int, tuple[float, float]]) -> DataFrame:
-    """Curves in the units of the data: the first feature's value times scale plus shift, by term."""
-    if not scaler:
-        return curve
-    at = lambda k: F.element_at(F.create_map(*[F.lit(x) for t, p in scaler.items() for x in (t, float(p[k]))]), F.col("term"))
-    return curve.withColumn("vi", F.col("vi") * F.coalesce(at(1), F.lit(1.0)) + F.coalesce(at(0), F.lit(0.0)))
+def descaled(curve: DataFrame, scaler: dict[int, tuple[float, float]], second: dict[int, tuple[float, float]] | None = None) -> DataFrame:
+    """Curves in the units of the data: values times scale plus shift, by term; ``second`` is for the second feature of pairs."""
+    for name, fitted in (("vi", scaler), ("vj", second)):
+        if fitted:
+            at = lambda k: F.element_at(F.create_map(*[F.lit(x) for t, p in fitted.items() for x in (t, float(p[k]))]), F.col("term"))  # noqa: B023, E731
+            curve = curve.withColumn(name, F.col(name) * F.coalesce(at(1), F.lit(1.0)) + F.coalesce(at(0), F.lit(0.0)))
+    return curve
 
 
 def pair_kinds(catalogue: dict[str, str], which: list[tuple[int, str, str | None]]) -> dict[int, str]:
@@ -98,9 +159,9 @@ class Nomogram:
     line: DataFrame
 
 
-def build(responses: DataFrame, betas: DataFrame, intercept: float, names: dict[int, str], kinds: dict[int, str], scaler: dict[int, tuple[float, float]] | None = None) -> Nomogram:
-    """All tables from responses on the grids of the selected terms and their coefficients."""
-    curve = staged(descaled(curves(responses, betas), scaler or {}), "curves")
+def build(responses: DataFrame, betas: DataFrame, intercept: float, names: dict[int, str], kinds: dict[int, str], scaler: dict[int, tuple[float, float]] | None = None, second: dict[int, tuple[float, float]] | None = None) -> Nomogram:
+    """All tables from responses on the grids of the selected terms and their coefficients; scalers as in :func:`descaled`."""
+    curve = staged(descaled(curves(responses, betas), scaler or {}, second), "curves")
     common = common_range(curve)
     return Nomogram(intercept, names, kinds, curve, common, conversion_line(common, intercept))
 

@@ -161,6 +161,26 @@ def nomogram_score(spark, sf):
     return tidy(nomogram.score_rows(li(spark, sf), {"q": at(0), "d": at(1)}, -0.5).select("id", "p"))
 
 
+_CELLS = ", ".join(f"(SELECT max(r) FROM cu WHERE term = 3 AND vi = c.{x} AND vj = c.{y}) AS r_{x}_{y}" for x in ("x0", "x1") for y in ("y0", "y1"))
+_BILINEAR = (
+    ", u AS (SELECT DISTINCT q, d FROM li), b AS (SELECT q, d, (SELECT max(vi) FROM cu WHERE term = 3 AND vi <= q) AS x0, (SELECT min(vi) FROM cu WHERE term = 3 AND vi > q) AS x2,"
+    " (SELECT max(vj) FROM cu WHERE term = 3 AND vj <= d) AS y0, (SELECT min(vj) FROM cu WHERE term = 3 AND vj > d) AS y2 FROM u),"
+    " c AS (SELECT *, coalesce(x2, x0) AS x1, coalesce(y2, y0) AS y1, CASE WHEN x2 IS NULL THEN 0 ELSE (q - x0) / (x2 - x0) END AS t, CASE WHEN y2 IS NULL THEN 0 ELSE (d - y0) / (y2 - y0) END AS s FROM b),"
+    f" e AS (SELECT q, d, t, s, {_CELLS} FROM c), pr AS (SELECT q, d, (1 - t) * ((1 - s) * r_x0_y0 + s * r_x0_y1) + t * ((1 - s) * r_x1_y0 + s * r_x1_y1) AS r FROM e)"
+)
+
+
+@query(GRID_LEBESGUE + _BETA + _SEG + _BILINEAR + f", v AS (SELECT li.q, li.d, {_interp(0, 'q')} + {_interp(1, 'd')} AS one FROM u AS li) SELECT id, {r6('1 / (1 + exp(-(one + r - 0.5)))')} AS p FROM li JOIN v USING (q, d) JOIN pr USING (q, d)")
+def nomogram_pair_score(spark, sf):
+    """Rows scored from the curves of q and d and the grid of their pair."""
+    which = decompose.terms(LI_FEATURES, pairs=[("q", "d")])
+    points: dict = {}
+    for r in _curves(spark, sf, which).collect():  # bounded by the grid steps
+        points.setdefault(r["term"], []).append((r["vi"], r["vj"], r["r"]))
+    tables = [nomogram.Table(a, b, points[t]) for t, a, b in which]
+    return tidy(nomogram.score_tables(li(spark, sf), tables, -0.5).select("id", "p"))
+
+
 @query(GRID_LEBESGUE + _BETA + f" SELECT term, 'term' || term AS name, {r6('vi')} AS vi, {r6('vj')} AS vj, {r6('r')} AS r FROM cu")
 def nomogram_json(spark, sf):
     docs = nomogram.to_json(_curves(spark, sf), {t: f"term{t}" for t in range(6)}, -0.5)

@@ -234,6 +234,16 @@ def combine_predictions(spark, sf):
     return tidy(combine.combine_predictions(x.select("id", "seg"), {"one": x, "two": two}, "id"))
 
 
+@query("WITH " + SOC + " SELECT id, seg, " + r6("p") + " AS pred_blackbox_one, " + r6("p * p") + " AS pred_prn_one, CASE WHEN status = 'F' THEN " + r6("1 - p") + " END AS pred_blackbox_two FROM soc")
+def combine_files(spark, sf):
+    """Three files: ids in other cases, rows that the first one lacks, and one without the id."""
+    x = scored_oc(spark, sf)
+    one = x.select("id", "seg", F.col("p").alias("pred_blackbox"), (F.col("p") * F.col("p")).alias("pred_prn"))
+    two = x.where("status = 'F'").select(F.col("id").alias("ID"), (1 - F.col("p")).alias("pred_blackbox"), F.lit("x").alias("seg"))
+    extra = two.unionByName(x.limit(1).select(F.lit(-1).cast("long").alias("ID"), F.lit(0.5).alias("pred_blackbox"), F.lit("x").alias("seg")))
+    return tidy(combine.combine_files({"one": one, "two": extra, "three": x.select("seg", F.col("p").alias("pred_prn"))}, "Id"))
+
+
 @query("WITH s AS (" + _split("") + ") SELECT split AS datasplit, count(*) AS n, sum(id)::BIGINT AS ids FROM s GROUP BY split")
 def concat_splits(spark, sf):
     x = split.split_random(oc(spark, sf), "id")

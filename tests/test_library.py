@@ -283,3 +283,65 @@ def test_stages_share_their_resamples(spark):
     assert len(out) == 9 and all(r["lo"] < r["auc"] < r["hi"] for r in out.values())
     for s in ("train", "test", "val"):
         assert out["one", s][2:] == out["two", s][2:] and out["one", s]["lo"] > out["noise", s]["hi"]
+
+
+def test_nomogram_tables_score_pairs_and_categories(spark):
+    """Brackets of both axes, clamped ends, looked-up categories, unknown ones and nulls, against numpy."""
+    xs, ys = [0.0, 1.0, 4.0], [-1.0, 2.0]
+    r = {(x, y): 0.3 * x * y + x - 0.1 * y * y for x in xs for y in ys}
+    pair = nomogram.Table("a", "b", [(x, y, v) for (x, y), v in r.items()])
+    mixed = nomogram.Table("c", "a", [(c, x, 10 * c + x) for c in (0.0, 1.0, 2.0) for x in xs], frozenset({"c"}))
+    single = nomogram.Table("a", None, [(x, None, x * x) for x in xs])
+    const = nomogram.Table("b", None, [(5.0, None, 0.7)])
+    rows = [(a, b, c) for a in (-3.0, 0.0, 0.25, 1.0, 2.5, 4.0, 9.0, None) for b in (-4.0, -1.0, 0.5, 2.0, 3.0) for c in (0.0, 2.0, 1.5)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = df.select("*", *[t.value().alias(n) for n, t in (("pair", pair), ("mixed", mixed), ("single", single), ("const", const))]).collect()
+
+    def between(x, y):
+        return np.interp(y, ys, [np.interp(x, xs, [r[v, w] for v in xs]) for w in ys])
+
+    for g in got:
+        if g["a"] is None:
+            assert g["pair"] is None and g["mixed"] is None and g["single"] is None
+        else:
+            assert g["pair"] == pytest.approx(between(g["a"], g["b"])) and g["single"] == pytest.approx(np.interp(g["a"], xs, np.square(xs)))
+            assert g["mixed"] is None if g["c"] == 1.5 else g["mixed"] == pytest.approx(10 * g["c"] + np.clip(g["a"], 0, 4))
+        assert g["const"] == 0.7
+    p = nomogram.score_tables(df.where("a = 1 and b = 2 and c = 2"), [pair, mixed], -0.5).first()["p"]
+    assert p == pytest.approx(1 / (1 + np.exp(-(r[1.0, 2.0] + 21 - 0.5))))
+    with pytest.raises(ValueError, match="holes"):
+        nomogram.Table("a", "b", [(0.0, 0.0, 1.0), (1.0, 1.0, 1.0)]).value()
+    curve = spark.createDataFrame([(3, x, y, v) for (x, y), v in r.items()], "term int, vi double, vj double, r double")
+    shown = nomogram.descaled(curve, {3: (1.0, 2.0)}, {3: (10.0, 5.0)})
+    assert {(g["vi"], g["vj"]) for g in shown.collect()} == {(2 * x + 1, 5 * y + 10) for x in xs for y in ys}
+    assert sorted(map(tuple, nomogram.grid_matrix(curve, 3, ys).collect())) == [(x, r[x, -1.0], r[x, 2.0]) for x in xs]
+
+
+def test_files_of_predictions(spark):
+    from nomoform.operators import combine
+
+    a = spark.createDataFrame([(1, "u", 0.1), (2, "v", 0.2)], "Key long, seg string, pred_prn double")
+    b = spark.createDataFrame([(0.5, 2), (0.6, 3), (0.4, 2)], "pred_blackbox double, KEY long")
+    c = spark.createDataFrame([(0.9,)], "pred_prn double")
+    out = combine.combine_files({"a": a, "b": b, "c": c}, "key")
+    assert out.columns == ["Key", "seg", "pred_prn_a", "pred_blackbox_b"] and sorted(map(tuple, out.collect())) == [(1, "u", 0.1, None), (2, "v", 0.2, 0.5)]
+    assert combine.combine_files({"a": a, "b": b.withColumnRenamed("KEY", "k2")}, "nothing").columns == ["Key", "seg", "pred_prn_a"]
+    assert sorted(r["pred_blackbox_b"] or 0 for r in combine.combine_files({"a": a, "b": b}, "nothing").collect()) == [0, 0.5]
+
+
+def test_forest_and_logistic_regression_learn(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 2))
+    y = (rng.random(1500) < 1 / (1 + np.exp(-2 * x[:, 0] + x[:, 1]))).astype(int)
+    df = spark.createDataFrame([(float(a), float(b), int(t)) for (a, b), t in zip(x, y)], "a double, b double, y int")
+    parts = [df.limit(1000), df.subtract(df.limit(1000))]
+    for kind, more in (("logreg", {}), ("forest", {"numTrees": 20})):
+        scored = train.with_probability(train.fit_model(parts[0], ["a", "b"], "y", kind, **more), parts[1])
+        assert evaluate.auc(evaluate.score_counts(scored), ranges=1).first()[0] > 0.8
+
+
+def test_strict_pairs_of_a_mask():
+    pairs = {3: (0, 1), 4: (0, 2)}
+    assert select.mask_terms({0, 1, 3, 4}, pairs, strict_pairs=True) == [(0, (0,)), (1, (1,)), (3, (0, 1))]
+    assert select.mask_terms({3}, pairs, add_singles=True) == [(0, (0,)), (1, (1,)), (3, (0, 1))]
+    assert select.mask_terms({4}, pairs, groups=[[2, 5]]) == [(4, (0, 2, 5))]
