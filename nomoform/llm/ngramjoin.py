@@ -328,6 +328,7 @@ def ngram_join(docs: DataFrame, similarity: int = SIMILARITY, block: int = BLOCK
     nothing, so its component is its own doc_id. Rows with equal sets link, and
     repeated rows each get their row. Null doc_ids come after all others: a
     component is null only if all its doc_ids are. An empty table gives no rows.
+    Shingles are told apart by 64-bit hashes, sets by 128-bit digests of these.
     """
     marked = cut(signatures(docs, similarity), "signatures")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
