@@ -1,8 +1,8 @@
 """Line dedup in DataFrame functions only: by content-defined chunks of lines, and by all passages of lines.
 
-Chunks are cheap, one row for about three lines, and find a repeated passage if
-a whole chunk lies in it, which short passages may miss. Windows of two lines
-cost a row for each line and find all passages.
+Chunks that do not overlap miss a quarter of the repeated lines: where a chunk
+ends depends on lines outside a short passage. The chunks here start and end by
+lines of their own and may overlap. Windows of two lines find all passages.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, hash_bitmap, let, may_hold
 
-#: One line hash in so many lets a chunk end.
-BOUNDARY = 2
+#: The rolling hash of two neighbouring lines is (first * BASE + second) % MODULUS; its remainder by BOUNDARY decides.
+BASE, MODULUS, BOUNDARY = 257, 1_000_003, 16
 #: A chunk is hot if more than one in so many repeated chunks, and at least HOT_ROWS, are copies of it.
 HOT_KEYS, HOT_ROWS = 1000, 1000
 #: A chunk has at least this many lines with a word.
@@ -27,48 +27,36 @@ def _number(text: Column) -> Column:
 
 
 def chunks(text: Column) -> Column:
-    """The content-defined chunks of a text: array of no, a, b, body, before, after.
-
-    Lines a to b form a chunk and ``body``; ``before`` and ``after`` are the
-    lines of the chunks around it. Lines without a word count only between
-    others. Of lines next to each other whose hash is a multiple of BOUNDARY
-    every other one ends a chunk, so chunks have MIN_LINES worded lines, and an
-    insertion moves only the boundaries next to it. The first line and the last
-    but one end no chunk, and a text with one worded line has none.
+    """The content-defined chunks of a text: array of no, last (numbers of lines) and body.
+
+    A hash rolls over the hashes of neighbouring worded lines, two at a time. A
+    chunk starts at every line whose rolling hash is no multiple of BOUNDARY, at
+    one that follows a line without a start, at the first and at the last but
+    one. It ends with the first pair, its own or one of the next two, whose
+    remainder is not 1, or with the last pair. So a chunk has two to four worded
+    lines, nothing outside decides whether a line with a start by its hash
+    starts one nor where it ends, and all worded lines lie in chunks. Lines
+    without a word count only between others; a text with one worded line has
+    no chunk.
     """
 
     def found(lines: Column) -> Column:
-        return let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORDED)), lambda w: F.when(F.size(w) >= MIN_LINES, split(lines, w)))
-
-    def split(lines: Column, w: Column) -> Column:
-        m = F.size(w)
-        places = F.sequence(F.lit(0), m - 1)
-        fixed = F.filter(places, lambda k: (k == 0) | (k >= m - 2) | (_number(F.get(lines, F.get(w, k))) % BOUNDARY != 0))
-        ends = let(
-            fixed,
-            lambda f: F.concat(
-                F.flatten(
-                    F.transform(
-                        f,
-                        lambda k, t: F.when(F.get(f, t + 1) - k >= 2, F.sequence(k + 1, F.get(f, t + 1) - 1, F.lit(2))).otherwise(F.array().cast("array<int>")),
-                    )
-                ),
-                F.array(m - 1),
-            ),
-        )
-
-        def cut_up(e: Column) -> Column:
-            first = lambda t: F.get(w, F.when(t == 0, F.lit(0)).otherwise(F.get(e, t - 1) + 1))
-            last = lambda t: F.get(w, F.get(e, t))
-            part = lambda t: F.when((t >= 0) & (t < F.size(e)), F.slice(lines, first(t) + 1, last(t) - first(t) + 1))
-            return F.transform(
-                F.sequence(F.lit(0), F.size(e) - 1),
-                lambda t: F.struct(
-                    t.alias("no"), first(t).alias("a"), last(t).alias("b"), F.array_join(part(t), "\n").alias("body"), part(t - 1).alias("before"), part(t + 1).alias("after")
-                ),
-            )
-
-        return let(ends, cut_up)
+        worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORDED))
+        return let(worded, lambda w: F.when(F.size(w) >= MIN_LINES, rolled(lines, w)))
+
+    def rolled(lines: Column, w: Column) -> Column:
+        hashes = F.transform(w, lambda i: _number(F.get(lines, i)))
+        pairs = F.sequence(F.lit(0), F.size(w) - 2)
+        rolling = lambda h: F.transform(pairs, lambda k: (F.get(h, k) * BASE + F.get(h, k + 1)) % MODULUS % BOUNDARY)
+        return let(hashes, lambda h: let(rolling(h), lambda r: cut_up(lines, w, pairs, r)))
+
+    def cut_up(lines: Column, w: Column, pairs: Column, r: Column) -> Column:
+        top = F.size(w) - 2
+        starts = F.filter(pairs, lambda k: (k == 0) | (k == top) | (F.get(r, k) != 0) | (F.get(r, k - 1) == 0))
+        ends = lambda k: (k >= top) | (F.get(r, k) != 1)
+        last = lambda k: F.get(w, F.when(ends(k), k + 1).when(ends(k + 1), k + 2).otherwise(k + 3))
+        part = lambda a, b: F.struct(a.alias("no"), b.alias("last"), F.array_join(F.slice(lines, a + 1, b - a + 1), "\n").alias("body"))
+        return F.transform(starts, lambda k: let(F.get(w, k), lambda a: let(last(k), lambda b: part(a, b))))
 
     return let(F.split(F.coalesce(text, F.lit("")), "\n", -1), found)
 
@@ -78,10 +66,10 @@ def _with_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), "text")
 
 
-def repeated(units: DataFrame, at: Column, extra: list[str]) -> DataFrame:
-    """The rows of ``units`` whose body occurs before, in the order of ``at``, with first: the columns ``extra`` of its first row.
+def repeated(units: DataFrame, at: Column) -> DataFrame:
+    """The rows of ``units`` whose body occurs before, in the order of ``at``.
 
-    ``units``: doc_id, t1, t2, no, body and ``extra``. Hashes are counted
+    ``units``: doc_id, t1, t2, no, body and others. Hashes are counted
     first, and a bitmap of those that repeat, of a fixed size, keeps most other
     bodies out of the comparison, which groups by the text itself. A hot body is
     dealt over slices, and its count and first place are repeated for each. Hot
@@ -97,17 +85,16 @@ def repeated(units: DataFrame, at: Column, extra: list[str]) -> DataFrame:
     some = may_hold(keyed, cut(hash_bitmap(often), "line-bitmap"))
     dealt = some.join(F.broadcast(hot), "h", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("slice", own)
     maybe = cut(dealt, "line-chunks")
-    start = F.struct(at.alias("at"), F.struct(*extra).alias("first"))
-    first = maybe.groupBy("h", "body").agg(F.min(start).alias("f"), F.max("slices").alias("slices"), F.count("*").alias("n")).where("n > 1")
-    found = maybe.join(first.select("h", "body", "f", slices).hint("shuffle_hash"), ["h", "slice", "body"])
-    return found.where(at > F.col("f.at")).select(*units.columns, "f.first")
+    first = maybe.groupBy("h", "body").agg(F.min(at).alias("first"), F.max("slices").alias("slices"), F.count("*").alias("n")).where("n > 1")
+    found = maybe.join(first.select("h", "body", "first", slices).hint("merge"), ["h", "slice", "body"])
+    return found.where(at > F.col("first")).select(*units.columns)
 
 
 def _without(docs: DataFrame, gone: DataFrame, added: dict[str, Column]) -> DataFrame:
     """``docs`` without the lines ``drop`` of ``gone`` for a row's doc_id and text, with n_lines, n_removed_lines and ``added``.
 
-    Texts and lines to drop meet by a shuffled hash join at every size; the
-    small side is never broadcast, so the plan is the same at any scale.
+    Texts and lines to drop meet by a sort-merge join at every size: it may
+    spill, and the small side is never broadcast.
     """
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", *added)]
     d = gone.select(F.struct(F.col("doc_id"), "t1", "t2").alias("k"), F.struct(*[c for c in gone.columns if c not in ("doc_id", "t1", "t2")]).alias("gone"))
@@ -121,7 +108,7 @@ def _without(docs: DataFrame, gone: DataFrame, added: dict[str, Column]) -> Data
             lambda keep: F.struct((F.size(lines) - F.size(keep)).cast("long").alias("n"), F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n").alias("kept")),
         ),
     )
-    joined = rows.join(d.hint("shuffle_hash"), same, "left").withColumn("part", F.when(F.col("gone").isNotNull(), parts))
+    joined = rows.join(d.hint("merge"), same, "left").withColumn("part", F.when(F.col("gone").isNotNull(), parts))
     lines = F.when(text.isNull(), F.lit(0)).otherwise(F.size(F.split(text, "\n", -1))).cast("long")
     return joined.select(
         *[F.coalesce("part.kept", "row.text").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in kept_columns],
@@ -131,42 +118,31 @@ def _without(docs: DataFrame, gone: DataFrame, added: dict[str, Column]) -> Data
     )
 
 
-def _common(a: Column, b: Column, back: bool = False) -> Column:
-    """How many first (or last) lines two arrays share; null arrays share none."""
-    at = lambda x, i: F.get(x, F.size(x) - i if back else i - 1)
-    n = F.least(F.size(a), F.size(b))
-    differ = F.filter(F.sequence(F.lit(1), n), lambda i: at(a, i) != at(b, i))
-    return F.when(a.isNull() | b.isNull(), F.lit(0)).otherwise(F.coalesce(F.get(differ, F.lit(0)) - 1, n))
-
-
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, t1, t2, chunks and drop (numbers of lines): rows that lose a chunk, and what they lose.
+def _drops(docs: DataFrame, parts: Column, place: list[str]) -> DataFrame:
+    """doc_id, t1, t2, chunks (how many go) and drop (numbers of lines): the rows with parts that occur before.
 
-    "Before" is a smaller doc_id (a null one is the largest), or an earlier
-    chunk of the same doc_id. A chunk that occurs before goes, and with it the
-    lines around it, up to the chunk next to it, that are equal to those around
-    the chunk's first occurrence. t1 and t2 are hashes of the row's text, as rows
-    may share a doc_id.
+    Parts are ordered by doc_id, a null one being the largest, and then by ``place``.
     """
-    rows = _with_key(docs).select("doc_id", "t1", "t2", F.inline(chunks(F.col("text"))))
-    later = repeated(rows, F.struct(F.col("doc_id").isNull(), "doc_id", "no"), ["before", "after"])
-    lo = F.col("a") - _common(F.col("before"), F.col("first.before"), back=True)
-    hi = F.col("b") + _common(F.col("after"), F.col("first.after"))
-    return later.groupBy("doc_id", "t1", "t2").agg(F.count_distinct("no").alias("chunks"), F.flatten(F.collect_set(F.sequence(lo, hi))).alias("drop"))
+    rows = _with_key(docs).select("doc_id", "t1", "t2", F.inline(parts))
+    later = repeated(rows, F.struct(F.col("doc_id").isNull(), "doc_id", *place))
+    lines = F.flatten(F.collect_set(F.sequence("no", "last")))
+    return later.groupBy("doc_id", "t1", "t2").agg(F.count_distinct("no").alias("chunks"), F.array_distinct(lines).alias("drop"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """Remove multi-line chunks that occurred before, anywhere in the table, extended over equal lines around them.
+    """Remove multi-line chunks that occurred before, anywhere in the table.
 
     ``docs``: doc_id and text; other columns pass through. Adds n_lines,
     n_removed_lines and n_removed_chunks, in the place of columns of these names,
-    and replaces text by the lines that are left. A null text stays null and has no lines.
-    Rows that share a doc_id are told apart by their text; their equal chunks at
-    equal places are all first. A null doc_id sorts after all others. Lines
-    without a word stay unless they lie within what is removed. A copy of a whole
-    text of two or more worded lines loses all of those. An empty table gives no rows.
+    and replaces text by the lines that are left. "Before" is a smaller doc_id (a
+    null one is the largest), or an earlier line of the same doc_id. A null text
+    stays null and has no lines. Rows that share a doc_id are told apart by their
+    text; their equal chunks at equal places are all first. Lines without a word
+    stay unless they lie within what is removed. A copy of a whole text of two or
+    more worded lines loses all of those. A removed line has an equal one before
+    it, so the first of equal lines always stays. An empty table gives no rows.
     """
-    gone = cut(repeated_chunks(docs), "line-drops")
+    gone = cut(_drops(docs, chunks(F.col("text")), ["no"]), "line-drops")
     return _without(docs, gone, {"n_removed_chunks": F.coalesce("gone.chunks", F.lit(0).cast("long"))})
 
 
@@ -199,7 +175,5 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
     and text count as one. Adds n_lines and n_removed_lines and replaces text;
     other columns pass through. A null text stays null.
     """
-    rows = _with_key(docs).select("doc_id", "t1", "t2", F.inline(windows(F.col("text"))))
-    later = repeated(rows, F.struct(F.col("doc_id").isNull(), "doc_id", "t1", "t2", "no"), ["no"])
-    gone = later.groupBy("doc_id", "t1", "t2").agg(F.flatten(F.collect_set(F.sequence("no", "last"))).alias("drop"))
+    gone = _drops(docs, windows(F.col("text")), ["t1", "t2", "no"])
     return _without(docs, cut(gone, "passage-drops"), {})

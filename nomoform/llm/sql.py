@@ -119,24 +119,23 @@ SELECT doc_id, n_assign, n_access, n_hex, sha256(coalesce(array_to_string({_TEXT
 FROM t
 """
 
-_SAME = "coalesce(list_max(list_filter(range(1, least(len({a}), len({b})) + 1), lambda i: {x} = {y})), 0)"
-_PREFIX = _SAME.format(a="after", b="first.after", x="after[1:i]", y="first.after[1:i]")
-_SUFFIX = _SAME.format(a="before", b="first.before", x="before[-i:]", y="first.before[-i:]")
 LINES = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT rid, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM d),
 w AS (
-  SELECT rid, i, ('0x' || substr(md5(line), 1, 7))::BIGINT % {linededup.BOUNDARY} = 0 AS c,
+  SELECT rid, i, ('0x' || substr(md5(line), 1, 7))::BIGINT AS h,
     row_number() OVER (PARTITION BY rid ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY rid) AS m
   FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
-f AS (SELECT *, max(CASE WHEN k = 0 OR k >= m - 2 OR NOT c THEN k END) OVER (PARTITION BY rid ORDER BY k) AS fixed FROM w WHERE m >= {linededup.MIN_LINES}),
-s AS (SELECT *, (k = m - 1 OR (k - fixed) % 2 = 1)::INT AS stop FROM f),
-g AS (SELECT *, sum(stop) OVER (PARTITION BY rid ORDER BY k) - stop AS no FROM s),
-b AS (SELECT rid, no, min(i) AS a, max(i) AS b FROM g GROUP BY rid, no),
-t AS (SELECT rid, doc_id, no, a, b, ls[a + 1 : b + 1] AS part, array_to_string(part, chr(10)) AS body FROM b JOIN d USING (rid)),
-n AS (SELECT *, lag(part) OVER x AS before, lead(part) OVER x AS after, struct_pack(doc_id := doc_id, no := no) AS place FROM t WINDOW x AS (PARTITION BY rid ORDER BY no)),
-o AS (SELECT body, min(struct_pack(place := place, before := before, after := after)) AS first FROM n GROUP BY body HAVING count(*) > 1),
-r AS (SELECT rid, no, unnest(range(a - {_SUFFIX}, b + {_PREFIX} + 1)) AS i FROM n JOIN o USING (body) WHERE place > first.place),
+x AS (SELECT *, (h * {linededup.BASE} + lead(h) OVER (PARTITION BY rid ORDER BY k)) % {linededup.MODULUS} % {linededup.BOUNDARY} AS r FROM w WHERE m >= {linededup.MIN_LINES}),
+y AS (
+  SELECT *, lag(r) OVER o AS p, k >= m - 2 OR r <> 1 AS e0, k >= m - 3 OR lead(r) OVER o <> 1 AS e1,
+    lead(i, 1) OVER o AS i1, lead(i, 2) OVER o AS i2, lead(i, 3) OVER o AS i3
+  FROM x WINDOW o AS (PARTITION BY rid ORDER BY k)),
+t AS (
+  SELECT rid, doc_id, i AS no, CASE WHEN e0 THEN i1 WHEN e1 THEN i2 ELSE i3 END AS last, array_to_string(ls[i + 1 : last + 1], chr(10)) AS body, struct_pack(doc_id := doc_id, no := i) AS place
+  FROM y JOIN d USING (rid) WHERE k < m - 1 AND (k = 0 OR k = m - 2 OR r <> 0 OR p = 0)),
+o AS (SELECT body, min(place) AS first FROM t GROUP BY body HAVING count(*) > 1),
+r AS (SELECT rid, no, unnest(range(no, last + 1)) AS i FROM t JOIN o USING (body) WHERE place > first),
 z AS (SELECT rid, list(DISTINCT i) AS gone, count(DISTINCT no) AS chunks FROM r GROUP BY rid)
 SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(ls) END::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed_lines, coalesce(chunks, 0)::BIGINT AS n_removed_chunks,
   sha256(CASE WHEN gone IS NULL THEN coalesce(text, '') ELSE array_to_string(list_filter(ls, lambda x, j: NOT list_contains(gone, j - 1)), chr(10)) END) AS kept_sha256

@@ -519,7 +519,7 @@ def test_clashing_columns_pass_through(spark, odd):
 
 
 def test_line_dedup_against_brute_force_passages(spark):
-    """Only lines of passages seen before go, most of them do, and copies of whole texts lose all worded lines."""
+    """Only lines of passages seen before go, nine in ten of them do, and copies of whole texts lose all worded lines."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     seen, brute = set(), {}
     for d, t in sorted(texts_of(docs)):
@@ -543,7 +543,7 @@ def test_line_dedup_against_brute_force_passages(spark):
             assert not any(x.strip() for x in left)
         whole[key] = True
     total = sum(len(g) for _, g, _ in brute.values())
-    assert copies > 10 and 0.65 * total <= removed <= total
+    assert copies > 10 and 0.9 * total <= removed <= total
 
 
 def test_equal_rows_are_spread(spark):
