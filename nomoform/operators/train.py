@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_percentiles
 from ..functions.scalars import draw, sigmoid
+from ..functions.storage import staged
 from . import evaluate
 from .score import with_callable, with_probability  # noqa: F401
 
@@ -27,7 +28,18 @@ MODELS = {
 }
 
 
+#: Rows of a batch at which a network's rate is taken as it is; bins of scores that an epoch's AUC is told from.
+BASE_BATCH, SKETCH = 1024, 512
+
+
 def fit_model(df: DataFrame, features: list[str], y: str, kind: str = "logreg", **params: object):
+    """A fitted pipeline. Boosted trees stop early where ``validationIndicatorCol`` names a boolean column.
+
+    They then learn from the rows in which it is false and keep the trees up to
+    the first that does not lower the loss of the others.
+    """
+    if kind == "gbt" and "validationIndicatorCol" in params:
+        params = {"validationTol": 0.0, **params}
     stages = [VectorAssembler(inputCols=features, outputCol="_x"), MODELS[kind](featuresCol="_x", labelCol=y, **params)]
     return Pipeline(stages=stages).fit(df)
 
@@ -58,15 +70,22 @@ class Network:
 
 def fit_network(
     df: DataFrame, features: list[str], y: str, hidden: int = 6, mask: np.ndarray | None = None, epochs: int = 40, rate: float = 0.05, seed: int = 3,
-    test: DataFrame | None = None, patience: int = 10, tolerance: float = 1e-5, history: list[dict] | None = None,
+    test: DataFrame | None = None, patience: int = 10, tolerance: float = 1e-5, history: list[dict] | None = None, batch: int | None = None, id_: str | None = None,
 ) -> Network:
-    """Full-batch Adam: each epoch sums the gradient in the tasks; only weights travel.
+    """Adam: each step sums the gradient in the tasks; only weights travel.
+
+    Without ``batch`` an epoch is one step over all rows. With it rows are dealt
+    by a draw of ``id_`` to batches of about that many rows, written once in the
+    order of batches, so that a step reads only its own; each epoch takes all
+    batches in an order of its own, at ``rate`` times batch / BASE_BATCH.
 
     ``mask`` (features x hidden) is multiplied into the first layer after every
     step. Scale the features first. The loss of ``test`` (of ``df`` without one)
     decides: training stops when it has not fallen by ``tolerance`` for
     ``patience`` epochs, and a copy of the best epoch's weights is returned.
-    ``history`` gets epoch, loss and test_loss.
+    ``history`` gets epoch, loss, test_loss, auc and test_auc, all before the
+    epoch's steps; an AUC comes from SKETCH bins of scores that tasks count. A
+    null AUC means that a class has no row.
     """
     rng = np.random.default_rng(seed)
     n_f = len(features)
@@ -77,15 +96,18 @@ def fit_network(
     theta = np.concatenate([rng.normal(0, 0.4, sizes[0]), np.zeros(sizes[1]), rng.normal(0, 0.4, sizes[2]), np.zeros(1)])
     cuts = np.cumsum(sizes)[:-1]
     theta[: sizes[0]] *= mask.ravel()
-    pick = lambda d, held: d.select(*[F.col(f).cast("double") for f in features], F.col(y).cast("double").alias("_y"), F.lit(held).alias("_held"))
-    rows = pick(df, False)
-    rows = (rows if test is None else rows.unionByName(pick(test, True))).persist()
+    n_batches = None if batch is None else max(1, -(-df.count() // batch))
+    dealt = F.lit(0).cast("long") if batch is None else draw(F.col(id_), seed, "batch") % n_batches
+    pick = lambda d, held, at: d.select(*[F.col(f).cast("double") for f in features], F.col(y).cast("double").alias("_y"), F.lit(held).alias("_held"), at.alias("_batch"))
+    rows = pick(df, False, dealt)
+    rows = rows if test is None else rows.unionByName(pick(test, True, F.lit(-1).cast("long")))
+    rows = rows.persist() if batch is None else staged(rows.repartitionByRange("_batch").sortWithinPartitions("_batch"), "network-batches")
     m, v, best, waited = np.zeros_like(theta), np.zeros_like(theta), (np.inf, theta.copy()), 0
 
     def partial(weights: np.ndarray):
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w1, b1, w2, b2 = (x.reshape(s) for x, s in zip(np.split(weights, cuts), shapes))
-            g, loss, n = np.zeros_like(weights), np.zeros(2), np.zeros(2, int)
+            g, loss, n, bins = np.zeros_like(weights), np.zeros(2), np.zeros(2, int), np.zeros(4 * SKETCH, int)
             for pdf in it:
                 x, t, held = pdf[features].to_numpy(), pdf["_y"].to_numpy(), pdf["_held"].to_numpy(bool)
                 h = np.tanh(x @ w1 + b1)
@@ -97,28 +119,44 @@ def fit_network(
                 each = -(t * np.log(q) + (1 - t) * np.log(1 - q))
                 loss += [each[~held].sum(), each[held].sum()]
                 n += [int((~held).sum()), int(held.sum())]
-            yield pd.DataFrame({"g": [g.tolist()], "loss": [loss.tolist()], "n": [n.tolist()]})
+                bins += np.bincount((2 * held + (t > 0.5)) * SKETCH + np.minimum((p * SKETCH).astype(int), SKETCH - 1), minlength=4 * SKETCH)
+            yield pd.DataFrame({"g": [g.tolist()], "loss": [loss.tolist()], "n": [n.tolist()], "bins": [bins.tolist()]})
 
         return run
 
-    for step in range(1, epochs + 1):
-        parts = rows.mapInPandas(partial(theta), "g array<double>, loss array<double>, n array<long>").collect()  # one row per task
-        n = sum(np.array(r["n"]) for r in parts)
+    def measured(of: DataFrame) -> tuple[np.ndarray, ...]:
+        parts = of.mapInPandas(partial(theta), "g array<double>, loss array<double>, n array<long>, bins array<long>").collect()  # one row per task
+        return tuple(sum((np.array(r[c]) for r in parts), np.zeros(size)) for c, size in (("g", len(theta)), ("loss", 2), ("n", 2), ("bins", 4 * SKETCH)))
+
+    def binned_auc(neg: np.ndarray, pos: np.ndarray) -> float | None:
+        return float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum())) if pos.sum() and neg.sum() else None
+
+    step = 0
+    for epoch in range(1, epochs + 1):
+        g, loss, n, bins = measured(rows)
         if not n[0]:
             break
-        g, loss = sum(np.array(r["g"]) for r in parts) / n[0], sum(np.array(r["loss"]) for r in parts) / np.maximum(n, 1)
+        loss = loss / np.maximum(n, 1)
         judged = float(loss[1] if n[1] else loss[0])
         if history is not None:
-            history.append({"epoch": step, "loss": float(loss[0]), "test_loss": float(loss[1]) if n[1] else None})
+            neg, pos, held_neg, held_pos = bins.reshape(4, SKETCH)
+            history.append({"epoch": epoch, "loss": float(loss[0]), "test_loss": float(loss[1]) if n[1] else None, "auc": binned_auc(neg, pos), "test_auc": binned_auc(held_neg, held_pos)})
         waited = 0 if judged < best[0] - tolerance else waited + 1
         if judged < best[0]:
             best = (judged, theta.copy())
         if waited > patience:
             break
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        theta[: sizes[0]] *= mask.ravel()
-    rows.unpersist()
+        for k in [None] if batch is None else rng.permutation(n_batches).tolist():
+            if k is not None:
+                g, _, n, _ = measured(rows.where(F.col("_batch") == k))
+            if not n[0]:
+                continue
+            step, g = step + 1, g / n[0]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            theta = theta - rate * (1 if batch is None else batch / BASE_BATCH) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            theta[: sizes[0]] *= mask.ravel()
+    if batch is None:
+        rows.unpersist()
     w1, b1, w2, b2 = (x.reshape(s) for x, s in zip(np.split(best[1], cuts), shapes))
     return Network(features, w1, b1, w2, float(b2[0]))
 

@@ -176,7 +176,8 @@ def _near_truth(scored, truth: str = "p", slack: float = 0.02):
 def _fit(spark, sf, kind, **params):
     """A model fitted on one part and judged on another."""
     parts = split.split_random(labelled_li(spark, sf), "id").withColumnRenamed("p", "truth").persist()
-    fitted = train.fit_model(parts.where("split = 'train'"), LI_FEATURES, "y", kind, **params)
+    learn = parts.where("split = 'train'") if "validationIndicatorCol" not in params else parts.where("split <> 'test'").withColumn(params["validationIndicatorCol"], F.col("split") == "val")
+    fitted = train.fit_model(learn, LI_FEATURES, "y", kind, **params)
     scored = train.with_probability(fitted, parts.where("split = 'test'")).withColumnRenamed("p", "q_model")
     return _near_truth(scored, "truth").withColumn("model", F.lit(kind))
 
@@ -192,7 +193,8 @@ def fit_logreg(spark, sf):
 
 @query(_is_near("gbt"))
 def fit_gbt(spark, sf):
-    return _fit(spark, sf, "gbt", maxIter=40)  # of 280: trees only repeat the plan
+    """All defaults, up to 280 trees, stopped early by the rows of val."""
+    return _fit(spark, sf, "gbt", validationIndicatorCol="held")
 
 
 @query(_is_near("forest"))
@@ -212,6 +214,18 @@ def fit_network(spark, sf):
     return _network(spark, sf)[1]
 
 
+@query("SELECT TRUE AS near_truth, TRUE AS auc_rose, TRUE AS loss_fell")
+def fit_network_batches(spark, sf):
+    """Steps over batches of rows; the history's sketched AUC and loss of rows held back."""
+    parts = split.split_random(_scaled(spark, sf), "id").withColumnRenamed("p", "truth").persist()
+    one, two, history = parts.where("split = 'train'"), parts.where("split = 'test'"), []
+    size = max(512, one.count() // 5)  # five steps an epoch at any size
+    net = train.fit_network(one, LI_FEATURES, "y", epochs=13, rate=0.05 * train.BASE_BATCH / size, test=two, history=history, batch=size, id_="id")
+    out = _near_truth(parts.where("split = 'val'").withColumn("q_model", net.score({f: F.col(f) for f in LI_FEATURES})), "truth")
+    first, last = history[0], history[-1]
+    return out.withColumns({"auc_rose": F.lit(last["test_auc"] > max(0.7, first["test_auc"])), "loss_fell": F.lit(last["test_loss"] < first["test_loss"])})
+
+
 @query("SELECT TRUE AS near_truth, 0.0::DOUBLE AS outside_mask")
 def fit_masked_network(spark, sf):
     mask = np.array([[1, 1, 0, 0], [1, 0, 1, 0], [0, 0, 0, 1]])

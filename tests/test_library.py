@@ -57,6 +57,47 @@ def test_mask_holds_and_network_learns(spark):
     assert np.allclose(again.w1, train.fit_network(df, ["a", "b"], "y", mask=mask, epochs=3).w1)
 
 
+def test_network_in_batches_against_numpy(spark):
+    """The same batches, order, rate and steps in numpy give the same weights; the sketched AUC is near the exact one."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 2))
+    y = (rng.random(700) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(int)
+    df = spark.createDataFrame([(i, float(a), float(b), int(t)) for i, ((a, b), t) in enumerate(zip(x, y))], "id long, a double, b double, y int")
+    history, size, rate, seed, hidden, epochs = [], 256, 0.2, 5, 3, 4
+    net = train.fit_network(df, ["a", "b"], "y", hidden=hidden, epochs=epochs, rate=rate, seed=seed, test=df.where("id < 200"), history=history, batch=size, id_="id")
+    r = np.random.default_rng(seed)
+    w1, b1, w2, b2 = r.normal(0, 0.4, 2 * hidden).reshape(2, hidden), np.zeros(hidden), r.normal(0, 0.4, hidden), np.zeros(1)
+    of = np.array([int(hashlib.md5(f"{i}:{seed}:batch".encode()).hexdigest()[:8], 16) % 3 for i in range(700)])
+    theta, m, v, t, best = [w1, b1, w2, b2], [0.0] * 4, [0.0] * 4, 0, (np.inf, None)
+    for e in range(epochs):
+        p = 1 / (1 + np.exp(-(np.tanh(x @ theta[0] + theta[1]) @ theta[2] + theta[3])))
+        loss = -np.mean(np.where(y == 1, np.log(p), np.log(1 - p))[:200])
+        pos, neg = p[:200][y[:200] == 1], p[:200][y[:200] == 0]
+        exact = np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg))
+        assert abs(history[e]["test_loss"] - loss) < 1e-8 and abs(history[e]["test_auc"] - exact) < 0.01
+        if loss < best[0]:
+            best = (loss, [a.copy() for a in theta])
+        for k in r.permutation(3):
+            xs, ys = x[of == k], y[of == k]
+            h = np.tanh(xs @ theta[0] + theta[1])
+            d = 1 / (1 + np.exp(-(h @ theta[2] + theta[3]))) - ys
+            back = np.outer(d, theta[2]) * (1 - h * h)
+            t += 1
+            for j, g in enumerate([xs.T @ back, back.sum(0), h.T @ d, np.array([d.sum()])]):
+                m[j], v[j] = 0.9 * m[j] + 0.1 * g / len(xs), 0.999 * v[j] + 0.001 * (g / len(xs)) ** 2
+                theta[j] = theta[j] - rate * size / 1024 * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(net.w1, best[1][0]) and np.allclose(net.w2, best[1][2]) and np.isclose(net.b2, best[1][3][0])
+
+
+def test_boosted_trees_stop_early(spark):
+    df = spark.range(600).select(F.col("id").cast("double").alias("a"), ((F.col("id") * 37) % 11).cast("double").alias("b"), (F.col("id") >= 300).cast("int").alias("y"), (F.col("id") % 4 == 0).alias("held"))
+    noisy = df.withColumn("y", F.when(F.col("a") % 7 == 0, 1 - F.col("y")).otherwise(F.col("y")))
+    model = train.fit_model(noisy, ["a", "b"], "y", "gbt", validationIndicatorCol="held", stepSize=0.3).stages[-1]
+    assert 0 < model.getNumTrees < 280
+    scored = train.with_probability(train.fit_model(df, ["a", "b"], "y", "gbt", validationIndicatorCol="held", maxIter=5), df)
+    assert evaluate.auc(evaluate.score_counts(scored)).first()[0] > 0.99
+
+
 def test_binary_levels_are_ordered():
     assert encode.order_binary(["yes", "no"]) == ["no", "yes"]
     assert encode.order_binary(["Low risk", "High risk"]) == ["Low risk", "High risk"]
