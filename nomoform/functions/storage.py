@@ -19,8 +19,13 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back, so that what is used twice is computed once and outlives executors."""
+def staged_path(df: DataFrame, name: str) -> str:
+    """The path of ``df`` written as Parquet into the shared folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet and read back, so that what is used twice is computed once and outlives executors."""
+    return df.sparkSession.read.schema(df.schema).parquet(staged_path(df, name))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_percentiles
 from ..functions.scalars import draw
-from ..functions.storage import staged
+from ..functions.storage import staged, staged_path
 
 #: Texts that stand for a missing value.
 EMPTY_TOKENS = ("", " ", "NA", "N/A", "none", "None", "null", "NULL", "?")
@@ -85,35 +85,51 @@ def fit_mode(train: DataFrame, cols: list[str]) -> Imputer:
 MAX_BROADCAST, BLOCK = 10_000, 1 << 10
 
 
-def impute_random(df: DataFrame, donors: DataFrame, col: str, id_: str, seed: int = 42) -> DataFrame:
-    """Nulls of ``col`` take a value of ``donors`` drawn by id.
-
-    Donors are counted by value; a draw picks a position among all donors, and
-    a join finds the value that covers it. The intervals of a few values are
-    broadcast; those of many are ranked by ranges of values, repeated for each
-    block of positions that they touch, and joined by block.
+@dataclass(frozen=True)
+class Donors:
+    """The values of a column with the positions they cover among all donors, as a table in the shared folder."""
+
+    path: str
+    total: int
+    few: bool
+
+    def transform(self, df: DataFrame, col: str, id_: str, seed: int = 42) -> DataFrame:
+        """Nulls of ``col`` take the value at a position drawn by id; without donors they stay."""
+        if not self.total:
+            return df
+        intervals = df.sparkSession.read.parquet(self.path)
+        number = draw(F.col(id_), seed, col)
+        if self.total > 1 << 32:  # one draw of 32 bits would not reach the last donors
+            number = number * (1 << 31) + F.shiftright(draw(F.col(id_), seed, f"{col}:low"), 1)
+        drawn = df.withColumn("_at", F.when(F.col(col).isNull(), number % self.total))
+        covers = (F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi"))
+        if self.few:
+            hit = drawn.join(F.broadcast(intervals), covers, "left")
+        else:
+            block = lambda c: F.floor(F.col(c) / BLOCK)
+            touched = intervals.withColumn("_block", F.explode(F.sequence(block("_lo"), F.floor((F.col("_hi") - 1) / BLOCK))))
+            missing = drawn.where("_at is not null").withColumn("_block", block("_at")).join(touched, "_block")
+            hit = missing.where(covers).drop("_block", "_lo", "_hi").unionByName(drawn.where("_at is null"), allowMissingColumns=True)
+        return hit.withColumn(col, F.coalesce(F.col(col), F.col("_v"))).select(df.columns)
+
+
+def fit_random(donors: DataFrame, col: str) -> Donors:
+    """Donors counted by value and placed in the order of values.
+
+    The intervals of a few values will be broadcast; those of many are ranked by
+    ranges of values, and meet rows by the blocks of positions that they touch.
     """
     seen = donors.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("_v")).agg(F.count("*").alias("_n"))
     placed = staged(seen.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()), "donor-values")
-    few = placed.count() <= MAX_BROADCAST
     parts = placed.groupBy("_part").agg(F.sum("_n").alias("_sum"))
     before = parts.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))  # a row for each range
-    total = parts.agg(F.sum("_sum")).first()[0]
-    if not total:
-        return df
     within = F.sum("_n").over(Window.partitionBy("_part").orderBy("_v"))
     intervals = placed.withColumn("_hi", within).join(F.broadcast(before), "_part").withColumn("_hi", F.col("_hi") + F.col("_before"))
-    intervals = intervals.select("_v", "_hi", (F.col("_hi") - F.col("_n")).alias("_lo"))
-    number = draw(F.col(id_), seed, col)
-    if total > 1 << 32:  # one draw of 32 bits would not reach the last donors
-        number = number * (1 << 31) + F.shiftright(draw(F.col(id_), seed, f"{col}:low"), 1)
-    drawn = df.withColumn("_at", F.when(F.col(col).isNull(), number % total))
-    covers = (F.col("_at") >= F.col("_lo")) & (F.col("_at") < F.col("_hi"))
-    if few:
-        hit = drawn.join(F.broadcast(intervals), covers, "left")
-    else:
-        block = lambda c: F.floor(F.col(c) / BLOCK)
-        touched = intervals.withColumn("_block", F.explode(F.sequence(block("_lo"), F.floor((F.col("_hi") - 1) / BLOCK))))
-        missing = drawn.where("_at is not null").withColumn("_block", block("_at")).join(touched, "_block")
-        hit = missing.where(covers).drop("_block", "_lo", "_hi").unionByName(drawn.where("_at is null"), allowMissingColumns=True)
-    return hit.withColumn(col, F.coalesce(F.col(col), F.col("_v"))).select(df.columns)
+    path = staged_path(intervals.select("_v", "_hi", (F.col("_hi") - F.col("_n")).alias("_lo")), "donor-intervals")
+    total, values = placed.agg(F.sum("_n"), F.count("*")).first()
+    return Donors(path, total or 0, values <= MAX_BROADCAST)
+
+
+def impute_random(df: DataFrame, donors: DataFrame, col: str, id_: str, seed: int = 42) -> DataFrame:
+    """Nulls of ``col`` take a value of ``donors`` drawn by id, as likely as it is frequent there."""
+    return fit_random(donors, col).transform(df, col, id_, seed)

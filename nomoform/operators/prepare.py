@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +13,10 @@ from . import clean, encode, profile
 
 @dataclass(frozen=True)
 class Preparation:
-    """What was learnt from the training part, small enough to be written as one JSON text."""
+    """What was learnt from the training part, small enough to be written as one JSON text.
+
+    Columns filled at random name a table of donor values; ``id_`` draws from it.
+    """
 
     numeric: dict[str, float | None]
     modes: dict[str, str | None]
@@ -21,10 +24,15 @@ class Preparation:
     groups: dict[str, list[str]]
     references: dict[str, str]
     methods: dict[str, str]
+    donors: dict[str, clean.Donors] = field(default_factory=dict)
+    id_: str | None = None
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Nulls filled, ordered categories as codes, others as dummies without their reference."""
-        out = clean.Imputer(self.modes).transform(df)
+        out = df
+        for c, d in self.donors.items():
+            out = d.transform(out, c, self.id_)
+        out = clean.Imputer(self.modes).transform(out)
         out = out.withColumns({c: encode.ordinal(F.col(c), order) for c, order in self.ordinal.items()})
         for c, levels in self.groups.items():
             out = encode.one_hot(out, c, [v for v in levels if v != self.references[c]])
@@ -47,27 +55,54 @@ def from_json(text: str) -> Preparation:
     d = json.loads(text)
     for key in ("preprocessing", "metadata"):
         d = d.get(key, d)
-    return Preparation(**d)
+    return Preparation(**{**d, "donors": {c: clean.Donors(**x) for c, x in d.get("donors", {}).items()}})
+
+
+def _fills(df: DataFrame, numeric: list[str], categories: list[str], method: str, category_method: str, id_: str | None) -> dict[str, dict]:
+    """The values that fill nulls, learnt from ``df``: the fields numeric, modes, donors and methods of a preparation."""
+    if "random" in (method, category_method) and id_ is None:
+        raise ValueError("random imputation draws by an id: name its column")
+    at_random = [*(numeric if method == "random" else []), *(categories if category_method == "random" else [])]
+    values = {} if method == "random" else clean.fit_median(df, numeric).values if method == "median" else clean.fit_zeros(numeric).values
+    if bare := [c for c, v in values.items() if v is None]:
+        values |= clean.fit_mode(df, bare).values
+    modes = {} if category_method == "random" else clean.fit_mode(df, categories).values
+    methods = {c: method for c in numeric} | {c: category_method for c in categories}
+    return {"numeric": values, "modes": modes, "donors": {c: clean.fit_random(df, c) for c in at_random}, "methods": methods}
 
 
 def fit(
     train: DataFrame, numeric: list[str], ordinal: dict[str, list[str]], nominal: list[str], method: str = "median", reference: str = "alphabetical",
-    chosen: dict[str, str] | None = None,
+    chosen: dict[str, str] | None = None, category_method: str = "mode", id_: str | None = None,
 ) -> Preparation:
-    """Modes, orders, levels, references and fill values, all from ``train``.
+    """Fill values, orders, levels and references, all from ``train``.
 
-    Levels that an order does not list follow it, sorted. ``chosen`` names
-    references by hand; a column with one level has none of its own choice.
+    ``method`` fills numbers: median, zero or random; ``category_method``
+    categories: mode or random. A random fill takes a value of the training part
+    drawn by ``id_``. Levels that an order does not list follow it, sorted.
+    ``chosen`` names references by hand; a column with one level has none of its
+    own choice.
     """
-    modes = clean.fit_mode(train, [*ordinal, *nominal]).values
     orders = {c: encode.with_unlisted(o, encode.levels(train, c)) for c, o in ordinal.items()}
     levels = {c: encode.levels(train, c) for c in nominal}
     table = encode.reference_level(train, nominal, reference, chosen).where("is_reference").collect() if nominal else []
-    values = clean.fit_median(train, numeric).values if method == "median" else clean.fit_zeros(numeric).values
-    if method == "median" and (bare := [c for c, v in values.items() if v is None]):
-        values |= clean.fit_mode(train, bare).values
-    methods = {c: method for c in numeric} | {c: "mode" for c in [*ordinal, *nominal]}
-    return Preparation(values, modes, orders, levels, {r["feature"]: r["level"] for r in table}, methods)
+    fills = _fills(train, numeric, [*ordinal, *nominal], method, category_method, id_)
+    return Preparation(ordinal=orders, groups=levels, references={r["feature"]: r["level"] for r in table}, id_=id_, **fills)
+
+
+def own_values(fitted: Preparation, df: DataFrame) -> Preparation:
+    """``fitted`` with the fill values of ``df``, by the same methods; orders, levels and references stay."""
+    categories = [*fitted.ordinal, *fitted.groups]
+    numeric = [c for c in fitted.methods if c not in categories]
+    one = lambda cols, default: next((fitted.methods[c] for c in cols), default)
+    return replace(fitted, **_fills(df, numeric, categories, one(numeric, "median"), one(categories, "mode"), fitted.id_))
+
+
+def prepare_by_own(splits: dict[str, DataFrame], fitted: Preparation) -> dict[str, DataFrame]:
+    """Like :func:`prepare`, but nulls of each part are filled by values of that part."""
+    out = {s: own_values(fitted, d).transform(d) for s, d in splits.items()}
+    check_parity(out)
+    return out
 
 
 def prepare(splits: dict[str, DataFrame], fitted: Preparation) -> dict[str, DataFrame]:

@@ -9,7 +9,7 @@ from ..functions.scalars import sigmoid
 from ..functions.storage import staged
 from ..operators import chain, clean, columns, decompose, encode, evaluate, explain, nomogram, prepare, profile, score, select, split, train
 from .decomposition import _BETA, BETAS, GRID_LEBESGUE, LEBESGUE, _curves, logit_sql, singles
-from .frames import DL, LI, LI_FEATURES, OC, SLI, SOC, dl, labelled_li, li, li_score, oc, r6, scored_li, scored_oc
+from .frames import DL, LI, LI_FEATURES, OC, SLI, SOC, dl, draw_sql, labelled_li, li, li_score, oc, r6, scored_li, scored_oc
 from .modelling import _BOOT, _G, _ROC, _CONF, _LOSS, _RATE, auc_sql, grid_sql
 from .registry import query
 from .selection import _C, _P, _TERMS, INTERCEPT, N, PAIRS, _chosen, _contrib, path, phis
@@ -146,9 +146,14 @@ def union_levels(spark, sf):
     return encode.union_levels({"a": x.where("doc_id % 2 = 0"), "b": x.where("doc_id % 2 = 1")}, ["lang", "source"])
 
 
-def _prepared(spark, sf):
+def _parts(spark, sf):
     x = split.split_random(oc(spark, sf), "id").withColumn("bal", F.when(F.col("year") != 1996, F.col("bal"))).withColumn("seg", F.when(F.col("year") != 1997, F.col("seg")))
-    parts = {s: x.where(F.col("split") == s).select("id", "split", "bal", "seg", "pri", "y") for s in ("train", "test", "val")}
+    x = staged(x.select("id", "split", "bal", "seg", "pri", "y"), "split-orders")
+    return {s: x.where(F.col("split") == s) for s in ("train", "test", "val")}
+
+
+def _prepared(spark, sf):
+    parts = _parts(spark, sf)
     fitted = prepare.fit(parts["train"], ["bal"], {"pri": ["3-MEDIUM"]}, ["seg"], chosen={"seg": "HOUSEHOLD"})
     return prepare.prepare(parts, fitted), fitted
 
@@ -166,6 +171,43 @@ def preprocess_splits(spark, sf):
     return parts["train"].unionByName(parts["test"]).unionByName(parts["val"])
 
 
+_DUMMIES = ", ".join(f"(seg = '{s}')::INT AS \"seg_{s}\"" for s in _SEGS)
+_OWN = _PREP[: _PREP.index("t AS (")] + """t AS (SELECT * FROM x WHERE split = 'train'), c AS (SELECT split, seg FROM x WHERE seg IS NOT NULL GROUP BY split, seg QUALIFY row_number() OVER (PARTITION BY split ORDER BY count(*) DESC, seg) = 1),
+m AS (SELECT split, median(bal) AS bal FROM x GROUP BY split),""" + _PREP[_PREP.index("\np AS (") : _PREP.index("z AS (")]
+_OWN += "z AS (SELECT x.id, x.split, coalesce(x.bal, m.bal) AS bal, coalesce(x.seg, c.seg) AS seg, code AS pri, y FROM x JOIN m USING (split) LEFT JOIN c USING (split) LEFT JOIN p ON p.pri = x.pri)"
+
+
+@query(_OWN + f" SELECT id, split, bal, pri, y, {_DUMMIES} FROM z")
+def preprocess_by_own_values(spark, sf):
+    """Each part's nulls filled by its own median and mode; levels and references from the training part."""
+    parts = _parts(spark, sf)
+    fitted = prepare.fit(parts["train"], ["bal"], {"pri": ["3-MEDIUM"]}, ["seg"], chosen={"seg": "HOUSEHOLD"})
+    out = prepare.prepare_by_own(parts, fitted)
+    return out["train"].unionByName(out["test"]).unionByName(out["val"])
+
+
+def _donor_sql(c: str) -> str:
+    return f"{c}_r AS (SELECT {c} AS v, (sum(count(*)) OVER (ORDER BY {c}))::BIGINT AS hi, hi - count(*) AS lo, (sum(count(*)) OVER ())::BIGINT AS total FROM t WHERE {c} IS NOT NULL GROUP BY {c})"
+
+
+def _place_sql(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN {draw_sql('id', 42, c)} % (SELECT max(total) FROM {c}_r) END AS {c}_k"
+
+
+_RANDOM = _PREP[: _PREP.index(", m AS (")] + f", {_donor_sql('bal')}, {_donor_sql('seg')}, k AS (SELECT *, {_place_sql('bal')}, {_place_sql('seg')} FROM x)," + _PREP[_PREP.index("\np AS (") : _PREP.index("z AS (")]
+_RANDOM += """z AS (SELECT k.id, split, coalesce(bal, bal_r.v) AS bal, coalesce(seg, seg_r.v) AS seg, code AS pri, y
+FROM k ASOF LEFT JOIN bal_r ON bal_k >= bal_r.lo ASOF LEFT JOIN seg_r ON seg_k >= seg_r.lo LEFT JOIN p ON p.pri = k.pri)"""
+
+
+@query(_RANDOM + f" SELECT id, split, bal, pri, y, {_DUMMIES} FROM z")
+def preprocess_random(spark, sf):
+    """All parts' nulls filled by values drawn from the training part, numbers and categories, by a preparation that went through JSON."""
+    parts = _parts(spark, sf)
+    fitted = prepare.fit(parts["train"], ["bal"], {"pri": ["3-MEDIUM"]}, ["seg"], method="random", chosen={"seg": "HOUSEHOLD"}, category_method="random", id_="id")
+    out = prepare.prepare(parts, prepare.from_json(fitted.to_json()))
+    return out["train"].unionByName(out["test"]).unionByName(out["val"])
+
+
 @query("WITH l(code, level) AS (VALUES (0, 'HOUSEHOLD'), " + ", ".join(f"({i}, '{s}')" for i, s in enumerate(_SEGS, 1)) + ") SELECT 'seg' AS feature, code, level, code = 0 AS is_reference FROM l WHERE EXISTS (SELECT 1 FROM customer WHERE c_mktsegment = level)")
 def preparation_record(spark, sf):
     again = prepare.from_json('{"metadata": ' + _prepared(spark, sf)[1].to_json() + "}")

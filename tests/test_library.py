@@ -257,6 +257,27 @@ def test_random_imputation_from_many_values(spark, monkeypatch):
     assert clean.impute_random(df, df.where("x is null"), "x", "id").where("x is null").count() == 300
 
 
+def test_preparation_at_random_and_by_own_values(spark):
+    rows = [(i, None if i % 4 == 0 else float(i % 9), None if i % 5 == 0 else "xyz"[i % 3]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, n double, g string")
+    one, two = df.where("id < 80"), df.where("id >= 80")
+    fitted = prepare.fit(one, ["n"], {}, ["g"], method="random", category_method="random", id_="id")
+    assert fitted.numeric == {} and fitted.modes == {} and prepare.from_json(fitted.to_json()) == fitted
+    out = prepare.prepare({"train": one, "test": two}, fitted)["test"]
+    donors = sorted(n for i, n, _ in rows[:80] if n is not None)
+    place = lambda i: int(hashlib.md5(f"{i}:42:n".encode()).hexdigest()[:8], 16) % len(donors)
+    assert {r["id"]: r["n"] for r in out.collect()} == {i: donors[place(i)] if n is None else n for i, n, _ in rows[80:]}
+    again = prepare.own_values(fitted, two)
+    assert again.donors["n"].total == sum(n is not None for _, n, _ in rows[80:]) and again.groups == fitted.groups
+    with pytest.raises(ValueError, match="id"):
+        prepare.fit(one, ["n"], {}, ["g"], method="random")
+    median = prepare.fit(one, ["n"], {}, ["g"])
+    own = prepare.own_values(median, two)
+    assert own.numeric["n"] == float(np.median([n for _, n, _ in rows[80:] if n is not None])) and own.references == median.references
+    bare = prepare.fit(one.where("n is null"), ["n"], {}, ["g"], method="random", id_="id").transform(two)
+    assert bare.where("n is null").count() == 10  # without donors nulls stay
+
+
 def test_path_against_numpy(spark):
     """Warm starts, several lambdas a pass and the strong rule give the minimum that plain proximal steps find."""
     rng = np.random.default_rng(11)
