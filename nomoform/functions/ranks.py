@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from .storage import staged
 
+#: Ranges of a 32-bit draw by its upper 16 bits: of 100 billion rows each holds 1.5 million.
+RANGES = 1 << 16
+
 
 def global_rank(df: DataFrame, draw: Column, ties: list[str], by: list[str] | None = None) -> DataFrame:
     """Adds rank_ (from 1) and total_, by a uniform 32-bit ``draw`` and ``ties`` within ``by``.
 
-    Rows fall into 256 ranges of the draw; a window ranks each range, and the
-    counts of the ranges before, at most 256 for each group, are added.
+    Rows fall into RANGES ranges of the draw; a window ranks each range, and the
+    counts of the ranges before, at most RANGES for each group, are added.
     """
     by = by or []
-    ranged = df.withColumn("_draw", draw).withColumn("_range", F.shiftright("_draw", 24).cast("int"))
+    ranged = df.withColumn("_draw", draw).withColumn("_range", F.shiftright("_draw", 16).cast("int"))
     counts = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     upto = Window.partitionBy(*by)
     offsets = counts.select(

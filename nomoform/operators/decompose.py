@@ -207,6 +207,20 @@ def product_grid(single: DataFrame, features: list[str], which: Terms | None = N
     return out
 
 
+def both_grids(df: DataFrame, features: list[str], which: Terms, trim: float, steps: int = 15, threshold: int = 15, categories: dict[str, int] | None = None) -> DataFrame:
+    """term, vi, vj, shown, stored: the points of a trimmed display and of the full range, each once.
+
+    Responses on this union take one pass over the background; a point that both
+    grids have is averaged once.
+    """
+    sides = [
+        product_grid(even_grid(df, features, steps, threshold, cut, categories), features, which).withColumns({"shown": F.lit(cut is not None), "stored": F.lit(cut is None)})
+        for cut in (trim, None)
+    ]
+    points = sides[0].unionByName(sides[1]).groupBy("term", "vi", "vj").agg(F.bool_or("shown").alias("shown"), F.bool_or("stored").alias("stored"))
+    return staged(points, "both-grids")
+
+
 def to_rows(df: DataFrame, id_: list[str], features: list[str], responses: DataFrame, which: Terms | None = None) -> DataFrame:
     """id, term, phi for every row: responses joined back on the very values they were made for.
 

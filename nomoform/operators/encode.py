@@ -15,9 +15,16 @@ FIRST_WORDS = ("no", "none", "false", "0", "absent", "negative", "bad", "low", "
 SECOND_WORDS = ("yes", "true", "1", "present", "positive", "good", "high", "y")
 
 
+#: Levels of a category, at most; a column with more is no category but text or an id.
+MAX_LEVELS = 100_000
+
+
 def levels(df: DataFrame, col: str) -> list[str]:
-    """The sorted levels of a column: a vocabulary, small by nature."""
-    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+    """The sorted levels of a column; more than MAX_LEVELS of them are an error."""
+    found = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect()]
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"{col} has more than {MAX_LEVELS} levels")
+    return sorted(found)
 
 
 def order_binary(two: list[str]) -> list[str]:

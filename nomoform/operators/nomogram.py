@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import warnings
 from dataclasses import dataclass
 
@@ -166,6 +167,18 @@ def build(responses: DataFrame, betas: DataFrame, intercept: float, names: dict[
     return Nomogram(intercept, names, kinds, curve, common, conversion_line(common, intercept))
 
 
+def build_both(responses: DataFrame, grid: DataFrame, betas: DataFrame, intercept: float, names: dict[int, str], kinds: dict[int, str], scaler: dict[int, tuple[float, float]] | None = None, second: dict[int, tuple[float, float]] | None = None) -> tuple[Nomogram, Nomogram]:
+    """The nomogram to show, over a trimmed range, and the one to store, over all of it.
+
+    ``grid`` is that of ``decompose.both_grids`` and ``responses`` are those on its points.
+    """
+    at = grid.select(F.col("term").alias("_t"), F.col("vi").alias("_i"), F.col("vj").alias("_j"), "shown", "stored")
+    same = (F.col("term") == F.col("_t")) & (F.col("vi") == F.col("_i")) & F.col("vj").eqNullSafe(F.col("_j"))
+    flagged = staged(responses.join(at, same).select("term", "vi", "vj", "phi", "shown", "stored"), "both-responses")
+    shown, stored = (build(flagged.where(side), betas, intercept, names, kinds, scaler, second) for side in ("shown", "stored"))
+    return shown, stored
+
+
 def document(n: Nomogram, metadata: dict[str, str], selected_lambda: float, index: int) -> DataFrame:
     """The whole nomogram as one JSON document; grids are bounded by their steps."""
     name = F.element_at(F.create_map(*[F.lit(x) for kv in n.names.items() for x in kv]), F.col("term"))
@@ -198,13 +211,34 @@ def read_document(docs: DataFrame) -> DataFrame:
     )
 
 
+#: The settings of a document that names none.
+STEPS, THRESHOLD = 50, 15
+
+
+def settings(docs: DataFrame) -> DataFrame:
+    """intercept, n_steps, threshold of nomogram documents; what one lacks, or has in no readable form, is 0, STEPS or THRESHOLD."""
+    d = F.from_json("json", "metadata map<string,string>, model struct<intercept: double>")
+    number = lambda key, default: F.coalesce(F.col("d.metadata")[key].try_cast("int"), F.lit(default))
+    return docs.select(d.alias("d")).select(
+        F.coalesce("d.model.intercept", F.lit(0.0)).alias("intercept"), number("n_steps", STEPS).alias("n_steps"), number("threshold", THRESHOLD).alias("threshold")
+    )
+
+
+def _beside(curve: DataFrame, names: dict[int, str], cells: dict[str, str]) -> DataFrame:
+    """k and the ``cells`` (suffix to column) of each term beside each other, null below its last point."""
+    k = F.row_number().over(Window.partitionBy("term").orderBy("vi", "vj")) - 1  # points of one grid
+    cols = [F.max(F.when(F.col("term") == t, F.col(c))).alias(f"{name}_{suffix}") for t, name in names.items() for suffix, c in cells.items()]
+    return curve.where(F.col("term").isin(*names)).withColumn("k", k).groupBy("k").agg(*cols).orderBy("k")
+
+
 def wide_table(curve: DataFrame, names: dict[int, str]) -> DataFrame:
     """k and, for each single term, its x and r beside each other, null below its last point: the form of a CSV file."""
-    k = F.row_number().over(Window.partitionBy("term").orderBy("vi", "vj")) - 1  # points of one grid
-    cols = []
-    for t, name in names.items():
-        cols += [F.max(F.when(F.col("term") == t, F.col("vi"))).alias(f"{name}_x"), F.max(F.when(F.col("term") == t, F.col("r"))).alias(f"{name}_r")]
-    return curve.withColumn("k", k).groupBy("k").agg(*cols).orderBy("k")
+    return _beside(curve, names, {"x": "vi", "r": "r"})
+
+
+def wide_pairs(curve: DataFrame, names: dict[int, str]) -> DataFrame:
+    """The same for pair terms: x1, x2 and r of every point, first feature outermost."""
+    return _beside(curve, names, {"x1": "vi", "x2": "vj", "r": "r"})
 
 
 def write_csv(table: DataFrame, path: str, header: dict[str, str]) -> None:
@@ -214,6 +248,20 @@ def write_csv(table: DataFrame, path: str, header: dict[str, str]) -> None:
     lines.coalesce(1).write.mode("overwrite").text(f"{path}/header")
 
 
+def write_nomogram(n: Nomogram, path: str, header: dict[str, str], as_odds: bool = False) -> None:
+    """The curves and the grids as two wide CSV tables, ``path/univariate`` and ``path/bivariate``, each with a header.
+
+    The header tells the intercept and the scale of responses, log odds or odds ratios.
+    A nomogram without pairs has no second table.
+    """
+    curve, level = (n.curves.withColumn("r", F.exp("r")), math.exp(n.intercept)) if as_odds else (n.curves, n.intercept)
+    said = header | {"response scale": "odds ratio" if as_odds else "log odds ratio", "intercept": f"{level:.6f}"}
+    for name, wide, pair in (("univariate", wide_table, False), ("bivariate", wide_pairs, True)):
+        names = {t: x for t, x in n.names.items() if (t in n.kinds) == pair}
+        if names:
+            write_csv(wide(curve, names), f"{path}/{name}", {"data": name} | said)
+
+
 def feature_metadata(df: DataFrame, features: list[str], threshold: int = 15) -> DataFrame:
     """feature, idx, kind, levels, min, max."""
     rows = [

@@ -152,6 +152,19 @@ def categorical_columns(df: DataFrame, cols: list[str], threshold: int = 10) ->
     return df.agg(F.array(*map(of, cols)).alias("s")).select(F.inline("s"))
 
 
+def convert_categorical(df: DataFrame, cols: list[str], threshold: int = 10, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Fractional columns that hold whole numbers of 2 to ``threshold`` levels, both ends excluded, as integers.
+
+    Nulls stay null; ``exclude`` and columns of other types stay as they are.
+    """
+    kinds = dict(df.dtypes)
+    asked = [c for c in cols if c not in exclude and kinds[c] in ("double", "float")]
+    if not asked:
+        return df
+    found = [r["feature"] for r in categorical_columns(df, asked, threshold).where("is_categorical").collect()]  # a row for each column
+    return df.withColumns({c: F.col(c).cast("long") for c in found})
+
+
 def range_check(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
     """Extremes of each column against what is expected."""
     rows = [F.struct(F.lit(c).alias("feature"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for c, (a, b) in bounds.items()]

@@ -34,9 +34,16 @@ _PHI = "dd AS (SELECT term, vi, vj, z - phi0 AS d FROM raw, z0), phi AS (SELECT
 LEBESGUE = "WITH " + ", ".join([_BACK, _VALUES, _raw("gv", "bg", "bg.w"), _PHI])
 _REF = LI + ", rf0 AS (SELECT 25.0137::DOUBLE AS q, 0.05031::DOUBLE AS d, 0.04017::DOUBLE AS t, 1 AS w), z0 AS (SELECT " + logit_sql("q", "d", "t") + " AS phi0 FROM rf0)"
 DIRAC = "WITH " + ", ".join([_REF, _VALUES, _raw("gv", "rf0", "bg.w"), _PHI])
-_EVEN = "ge AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, k, v AS value FROM (SELECT (row_number() OVER (ORDER BY v) - 1)::INT AS k, v FROM (SELECT DISTINCT {f} AS v FROM li)) WHERE (SELECT count(DISTINCT {f}) FROM li) < 15 UNION ALL SELECT '{f}', k::INT, lo + (hi - lo) * k / 14 FROM (SELECT min({f}) AS lo, max({f}) AS hi, count(DISTINCT {f}) AS n FROM li), range(15) r(k) WHERE n >= 15" for f in "qdt") + ")"
+
+def _even(lo: str, hi: str) -> str:
+    """The grid of each feature, between two aggregates of it."""
+    return "ge AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, k, v AS value FROM (SELECT (row_number() OVER (ORDER BY v) - 1)::INT AS k, v FROM (SELECT DISTINCT {f} AS v FROM li)) WHERE (SELECT count(DISTINCT {f}) FROM li) < 15 UNION ALL SELECT '{f}', k::INT, lo + (hi - lo) * k / 14 FROM (SELECT {lo.format(f)} AS lo, {hi.format(f)} AS hi, count(DISTINCT {f}) AS n FROM li), range(15) r(k) WHERE n >= 15" for f in "qdt") + ")"
+
+
+_EVEN = _even("min({})", "max({})")
 _PRODUCT = "gv AS (" + " UNION ALL ".join([f"SELECT {i} AS term, value AS vi, NULL::DOUBLE AS vj FROM ge WHERE feature = '{f}'" for i, f in enumerate("qdt")] + [f"SELECT {t}, a.value, b.value FROM ge a, ge b WHERE a.feature = '{'qdt'[x]}' AND b.feature = '{'qdt'[y]}'" for t, (x, y) in _PAIR.items()]) + ")"
 GRID_LEBESGUE = "WITH " + ", ".join([_BACK, _EVEN, _PRODUCT, _raw("gv", "bg", "bg.w"), _PHI])
+GRID_SHOWN = "WITH " + ", ".join([_BACK, _even("quantile_cont({}, 0.05)", "quantile_cont({}, 0.95)"), _PRODUCT, _raw("gv", "bg", "bg.w"), _PHI])
 GRID_DIRAC = "WITH " + ", ".join([_REF, _EVEN, _PRODUCT, _raw("gv", "rf0", "bg.w"), _PHI])
 _OUT = f" SELECT term, {r6('vi')} AS vi, {r6('vj')} AS vj, {r6('phi')} AS phi FROM phi"
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import sigmoid
 from ..functions.storage import staged
 from ..operators import chain, clean, columns, decompose, encode, evaluate, explain, nomogram, prepare, profile, score, select, split, train
-from .decomposition import _BETA, BETAS, GRID_LEBESGUE, LEBESGUE, _curves, logit_sql, singles
+from .decomposition import _BETA, BETAS, GRID_LEBESGUE, GRID_SHOWN, LEBESGUE, _curves, logit_sql, singles
 from .frames import DL, LI, LI_FEATURES, OC, SLI, SOC, dl, draw_sql, labelled_li, li, li_score, oc, r6, scored_li, scored_oc
 from .modelling import _BOOT, _G, _ROC, _CONF, _LOSS, _RATE, auc_sql, grid_sql
 from .registry import query
@@ -386,6 +386,35 @@ def nomogram_csv(spark, sf):
     return tidy(nomogram.wide_table(_curves(spark, sf, singles()), {0: "q", 1: "d"}))
 
 
+@query(GRID_LEBESGUE + _BETA + f", x AS (SELECT vi, vj, r, row_number() OVER (ORDER BY vi, vj) - 1 AS k FROM cu WHERE term = 3) SELECT k::INT AS k, {r6('vi')} AS q_d_x1, {r6('vj')} AS q_d_x2, {r6('r')} AS q_d_r FROM x")
+def nomogram_pairs_csv(spark, sf):
+    which = decompose.terms(LI_FEATURES, pairs=[("q", "d")])
+    return tidy(nomogram.wide_pairs(_curves(spark, sf, which), {3: "q_d"}))
+
+
+_CUT = (GRID_SHOWN + _BETA, GRID_LEBESGUE + _BETA)
+
+
+@query(" UNION ALL ".join(f"SELECT '{side}' AS side, term, {r6('vi')} AS vi, {r6('vj')} AS vj, {r6('r')} AS r FROM ({sql} SELECT * FROM cu)" for side, sql in zip(("shown", "stored"), _CUT)))
+def nomogram_shown_and_stored(spark, sf):
+    """Curves over the trimmed range and, read back from JSON, over the full range, from one pass over both grids."""
+    which = decompose.terms(LI_FEATURES, pairs=[("q", "d")])
+    x = li(spark, sf)
+    grid = decompose.both_grids(x, LI_FEATURES, which, 0.05)
+    responses = decompose.lebesgue(x, LI_FEATURES, li_score, grid.select("term", "vi", "vj"), which)
+    kinds = nomogram.pair_kinds({"q": "continuous", "d": "categorical"}, which)
+    shown, stored = nomogram.build_both(responses, grid, spark.createDataFrame(BETAS, "term int, beta double"), -0.5317, _NAMES, kinds)
+    back = nomogram.read_document(nomogram.document(stored, {"model": "closed form"}, 0.5, 3))
+    sides = [d.select(F.lit(side).alias("side"), "term", "vi", "vj", "r") for side, d in (("shown", shown.curves), ("stored", back))]
+    return tidy(sides[0].unionByName(sides[1]))
+
+
+@query("WITH " + OC + " SELECT id, bal::BIGINT AS bal, price, seg FROM oc")
+def convert_categorical(spark, sf):
+    """The balance in thousands has 11 levels and is whole; the price has too many, the segment is text."""
+    return profile.convert_categorical(oc(spark, sf), ["bal", "price", "seg"], 15).select("id", "bal", "price", "seg")
+
+
 @query(LEBESGUE + f" SELECT 0 AS term, {r6('vi')} AS value, {r6('phi')} AS phi FROM phi WHERE term = 0")
 def raw_responses(spark, sf):
     x = li(spark, sf)

@@ -407,3 +407,48 @@ def test_strict_pairs_of_a_mask():
     assert select.mask_terms({0, 1, 3, 4}, pairs, strict_pairs=True) == [(0, (0,)), (1, (1,)), (3, (0, 1))]
     assert select.mask_terms({3}, pairs, add_singles=True) == [(0, (0,)), (1, (1,)), (3, (0, 1))]
     assert select.mask_terms({4}, pairs, groups=[[2, 5]]) == [(4, (0, 2, 5))]
+
+
+def test_both_grids_and_their_nomograms(spark, tmp_path):
+    """Each side has the responses of its own grid; files and settings of the stored one."""
+    df = li(spark, SF).limit(400).select("q", "d").cache()
+    features, which = ["q", "d"], decompose.terms(["q", "d"])
+    score = lambda at: sigmoid(at["q"] * 0.03 - at["d"] * 5.0 + at["q"] * at["d"])
+    grid = decompose.both_grids(df, features, which, 0.1)
+    responses = decompose.lebesgue(df, features, score, grid.select("term", "vi", "vj"), which)
+    betas = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 0.5)], "term int, beta double")
+    sides = nomogram.build_both(responses, grid, betas, -0.5, {0: "q", 1: "d", 2: "q_d"}, {2: "numbers"})
+    for side, trim in zip(sides, (0.1, None)):
+        own = decompose.product_grid(decompose.even_grid(df, features, trim=trim), features, which)
+        want = nomogram.curves(decompose.lebesgue(df, features, score, own, which), betas)
+        key = lambda r: (r["term"], r["vi"], r["vj"] or 0.0)
+        got, want = sorted(side.curves.collect(), key=key), sorted(want.collect(), key=key)
+        assert [key(r) for r in got] == [key(r) for r in want] and np.allclose([r["r"] for r in got], [r["r"] for r in want])
+    q = [{r["vi"] for r in side.curves.where("term = 0").collect()} for side in sides]
+    assert min(q[0]) > min(q[1]) and max(q[0]) < max(q[1])
+    nomogram.write_nomogram(sides[1], f"{tmp_path}/n", {"comment": "a test"}, as_odds=True)
+    pairs = spark.read.option("header", True).option("inferSchema", True).csv(f"{tmp_path}/n/bivariate/table")
+    assert sorted(pairs.columns) == ["k", "q_d_r", "q_d_x1", "q_d_x2"] and pairs.count() == sides[1].curves.where("term = 2").count()
+    assert pairs.where("q_d_r <= 0").count() == 0
+    assert "# intercept: 0.606531" in [r[0] for r in spark.read.text(f"{tmp_path}/n/univariate/header").collect()]
+    assert set(spark.read.option("header", True).csv(f"{tmp_path}/n/univariate/table").columns) == {"k", "q_x", "q_r", "d_x", "d_r"}
+    doc = nomogram.document(sides[1], {"n_steps": "15", "threshold": "many"}, 0.5, 3)
+    assert nomogram.settings(doc).collect() == [(-0.5, 15, 15)]
+    assert nomogram.settings(spark.createDataFrame([("{}",)], "json string")).collect() == [(0.0, 50, 15)]
+
+
+def test_conversion_of_whole_columns(spark):
+    rows = [(float(i % 4), float(i % 2), i % 4 + 0.5, float(i), float(i % 5), "x") for i in range(40)] + [(None,) * 6]
+    df = spark.createDataFrame(rows, "few double, two double, parts double, many double, left double, text string")
+    got = profile.convert_categorical(df, df.columns, exclude=("left",))
+    assert dict(got.dtypes) == dict(df.dtypes) | {"few": "bigint"}
+    assert got.where("few is null").count() == 1 and got.agg(F.sum("few")).first()[0] == 60
+    assert dict(profile.convert_categorical(df.where("false"), df.columns).dtypes) == dict(df.dtypes)
+
+
+def test_levels_are_bounded(spark, monkeypatch):
+    df = spark.createDataFrame([(x,) for x in "bacab"] + [(None,)], "s string")
+    assert encode.levels(df, "s") == ["a", "b", "c"]
+    monkeypatch.setattr(encode, "MAX_LEVELS", 2)
+    with pytest.raises(ValueError, match="levels"):
+        encode.levels(df, "s")
