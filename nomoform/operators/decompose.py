@@ -60,6 +60,19 @@ def value_grid(back: DataFrame, which: Terms) -> DataFrame:
     return back.select(_values(which)).distinct()
 
 
+def first_values(df: DataFrame, features: list[str], most: int) -> DataFrame:
+    """feature, values (the ``most`` smallest distinct ones, sorted), lo, hi, n (how many there are) of features with a value.
+
+    Values are cut in two steps, by parts of a feature first, so no row holds more than a few times ``most``.
+    """
+    few = F.slice(F.array_sort(F.collect_set("v")), 1, most)
+    values = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))).where("v is not null")
+    once = values.groupBy("feature", "v").agg(F.lit(1)).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(64)))
+    parts = once.groupBy("feature", "part").agg(few.alias("vs"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
+    joined = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("vs")))), 1, most)
+    return parts.groupBy("feature").agg(joined.alias("values"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+
+
 def even_grid(
     df: DataFrame, features: list[str], steps: int = 15, threshold: int = 15, trim: float | None = None, categories: dict[str, int] | None = None
 ) -> DataFrame:
@@ -71,13 +84,7 @@ def even_grid(
     categories = categories or {}
     plain = [f for f in features if f not in categories]
     cut = exact_percentiles(df, plain, [trim, 1 - trim]) if trim and plain else {}
-    few_values = F.slice(F.array_sort(F.collect_set("v")), 1, threshold)
-    # the distinct values of a feature are cut to the threshold in two steps, so no row holds more
-    values = df.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features]))).where("v is not null")
-    once = values.groupBy("feature", "v").agg(F.lit(1)).withColumn("part", F.pmod(F.xxhash64("v"), F.lit(64)))
-    parts = once.groupBy("feature", "part").agg(few_values.alias("vs"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n"))
-    joined = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("vs")))), 1, threshold)
-    rows = parts.groupBy("feature").agg(joined.alias("values"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    rows = first_values(df, features, threshold)
     lo, hi = F.col("lo"), F.col("hi")
     for f, (a, b) in cut.items():
         if a is not None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import sigmoid
 from ..functions.storage import staged
+from .decompose import first_values
 
 
 def curves(responses: DataFrame, betas: DataFrame) -> DataFrame:
@@ -272,6 +273,34 @@ def feature_metadata(df: DataFrame, features: list[str], threshold: int = 15) ->
     return df.agg(F.array(*rows).alias("s")).select(F.inline("s"))
 
 
+def feature_catalogue(
+    df: DataFrame, features: list[str], originals: list[str], groups: dict[str, list[str]], labels: dict[str, str] | None = None, selected: list[str] | None = None, threshold: int = 15
+) -> DataFrame:
+    """A row for each of ``features``: its label, its places in all three orders, and what it holds.
+
+    feature, label, dense_idx (place in ``selected``, null outside it), collapsed_idx
+    (place in ``features``), original_idx (places in ``originals``: those of all dummies
+    of a group), is_group, kind, values (sorted, of a category), min, max (of a number).
+    Groups are categories, and so are features of fewer than ``threshold`` values;
+    one without any value has an empty list. A name that ``originals`` lacks is an error.
+    """
+    place = {c: i for i, c in enumerate(originals)}
+    members = {f: groups.get(f, [f]) for f in features}
+    if missing := sorted({m for ms in members.values() for m in ms} - set(place)):
+        raise ValueError(f"not among the original columns: {missing}")
+    dense = {f: i for i, f in enumerate(features if selected is None else selected)}
+    known = [(f, (labels or {}).get(f, f), dense.get(f), i, [place[m] for m in members[f]], f in groups) for i, f in enumerate(features)]
+    table = df.sparkSession.createDataFrame(known, "feature string, label string, dense_idx int, collapsed_idx int, original_idx array<int>, is_group boolean")
+    most = max([threshold, *(len(ms) + 1 for f, ms in members.items() if f in groups)])
+    joined = table.join(first_values(df, features, most), "feature", "left")
+    category = F.col("is_group") | (F.coalesce("n", F.lit(0)) < threshold)
+    empty = F.array().cast("array<double>")
+    return joined.select(
+        *table.columns, F.when(category, "categorical").otherwise("continuous").alias("kind"), F.when(category, F.coalesce("values", empty)).alias("values"),
+        F.when(~category, F.col("lo")).alias("min"), F.when(~category, F.col("hi")).alias("max"),
+    )
+
+
 def raw_responses(long: DataFrame, values: DataFrame, id_: list[str]) -> DataFrame:
     """Distinct (value, phi) of each term."""
     return long.join(values, [*id_, "term"]).select("term", "value", "phi").distinct()

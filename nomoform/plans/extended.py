@@ -9,7 +9,7 @@ from ..functions.scalars import sigmoid
 from ..functions.storage import staged
 from ..operators import chain, clean, columns, decompose, encode, evaluate, explain, nomogram, prepare, profile, score, select, split, train
 from .decomposition import _BETA, BETAS, GRID_LEBESGUE, GRID_SHOWN, LEBESGUE, _curves, logit_sql, singles
-from .frames import DL, LI, LI_FEATURES, OC, SLI, SOC, dl, draw_sql, labelled_li, li, li_score, oc, r6, scored_li, scored_oc
+from .frames import DL, LI, LI_FEATURES, OC, SEGMENTS, SLI, SOC, dl, draw_sql, labelled_li, li, li_score, oc, r6, scored_li, scored_oc
 from .modelling import _BOOT, _G, _ROC, _CONF, _LOSS, _RATE, auc_sql, grid_sql
 from .registry import query
 from .selection import _C, _P, _TERMS, INTERCEPT, N, PAIRS, _chosen, _contrib, path, phis
@@ -409,6 +409,25 @@ def nomogram_shown_and_stored(spark, sf):
     return tidy(sides[0].unionByName(sides[1]))
 
 
+def _entry(f: str, label: str, dense: str, at: int, places: str, group: bool, numbers: bool) -> str:
+    values = "NULL::VARCHAR" if numbers else f"(SELECT string_agg(v::VARCHAR, ',' ORDER BY v) FROM (SELECT DISTINCT {f}::BIGINT AS v FROM c))"
+    ends = f"(SELECT min({f}) FROM c) AS min, (SELECT max({f}) FROM c) AS max" if numbers else "NULL::DOUBLE AS min, NULL::DOUBLE AS max"
+    return f"SELECT '{f}' AS feature, '{label}' AS label, {dense}::INT AS dense_idx, {at} AS collapsed_idx, '{places}' AS original_idx, {group} AS is_group, '{'continuous' if numbers else 'categorical'}' AS kind, {values} AS levels, {ends}"
+
+
+_CODES = ", c AS (SELECT bal, list_position([" + ", ".join(f"'{s}'" for s in SEGMENTS) + "], seg) - 1 AS seg, year, price FROM oc) "
+
+
+@query("WITH " + OC + _CODES + _union([_entry("bal", "bal", "NULL", 0, "0", False, False), _entry("seg", "Segment", "1", 1, "1,2,3,4", True, False), _entry("year", "year", "NULL", 2, "5", False, False), _entry("price", "Total price", "0", 3, "6", False, True)]))
+def feature_catalogue(spark, sf):
+    """Orders with their segment collapsed to codes; the price and the segment are selected."""
+    x = oc(spark, sf).withColumn("seg", encode.ordinal(F.col("seg"), SEGMENTS))
+    dummies = [f"seg_{s}" for s in SEGMENTS[1:]]
+    found = nomogram.feature_catalogue(x, ["bal", "seg", "year", "price"], ["bal", *dummies, "year", "price"], {"seg": dummies}, {"seg": "Segment", "price": "Total price"}, ["price", "seg"])
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("long").cast("string")), ",")
+    return found.withColumns({"original_idx": text("original_idx"), "levels": text("values")}).drop("values")
+
+
 @query("WITH " + OC + " SELECT id, bal::BIGINT AS bal, price, seg FROM oc")
 def convert_categorical(spark, sf):
     """The balance in thousands has 11 levels and is whole; the price has too many, the segment is text."""

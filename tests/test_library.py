@@ -452,3 +452,15 @@ def test_levels_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(encode, "MAX_LEVELS", 2)
     with pytest.raises(ValueError, match="levels"):
         encode.levels(df, "s")
+
+
+def test_feature_catalogue(spark):
+    rows = [(float(i), i % 3, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "age double, g int, bare double")
+    got = {r["feature"]: r for r in nomogram.feature_catalogue(df, ["age", "g", "bare"], ["g_b", "age", "g_c", "bare"], {"g": ["g_b", "g_c"]}, {"age": "Age"}, ["g"], 3).collect()}
+    assert tuple(got["age"])[1:] == ("Age", None, 0, [1], False, "continuous", None, 0.0, 39.0)
+    assert tuple(got["g"])[1:] == ("g", 0, 1, [0, 2], True, "categorical", [0.0, 1.0, 2.0], None, None)
+    assert tuple(got["bare"])[1:] == ("bare", None, 2, [3], False, "categorical", [], None, None)
+    assert nomogram.feature_catalogue(df.where("false"), ["age"], ["age"], {}).collect()[0]["dense_idx"] == 0
+    with pytest.raises(ValueError, match="original"):
+        nomogram.feature_catalogue(df, ["age", "g"], ["age"], {"g": ["g_b"]})
