@@ -55,3 +55,19 @@ def running_totals(df: DataFrame, order: str, sums: list[str], by: list[str] | N
     joined = summed.join(offsets, [*by, "_range"])
     out = joined.withColumns({f"cum_{s}": F.col(f"_in_{s}") + F.col(f"_before_{s}") for s in sums})
     return out.drop("_range", *[f"_in_{s}" for s in sums], *[f"_before_{s}" for s in sums])
+
+
+def counted_percentiles(counts: DataFrame, value: str, n: str, by: list[str], qs: dict[str, float]) -> DataFrame:
+    """by and the named percentiles of ``value``, each of which stands for ``n`` rows, interpolated linearly.
+
+    ``counts`` has one row for each ``by`` and distinct value. Running totals place
+    every value in the order of the rows, so no task sees more than a range of
+    the values. NaN does not count.
+    """
+    cum = running_totals(counts.where(~F.isnan(value)), value, [n], by)
+    upto = F.col(f"cum_{n}")
+    pos = {name: q * (F.col(f"total_{n}") - 1) for name, q in qs.items()}
+    at = lambda rank: F.max(F.when((upto - F.col(n) <= rank) & (rank < upto), F.col(value)))
+    ends = [c for name, p in pos.items() for c in (at(F.floor(p)).alias(f"_lo_{name}"), at(F.ceil(p)).alias(f"_hi_{name}"), F.max(p - F.floor(p)).alias(f"_at_{name}"))]
+    between = lambda name: F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_at_{name}")
+    return cum.groupBy(*by).agg(*ends).select(*by, *[between(name).alias(name) for name in qs])

@@ -89,14 +89,15 @@ def summary(scored: DataFrame, first: Phase, second: Phase, n_features: int, rep
     return evaluate.performance_summary(aucs, terms)
 
 
-def kkt(rows: DataFrame, path: DataFrame, phis: str = "phis", y: str = "y", n_terms: int = 1) -> DataFrame:
+def kkt(rows: DataFrame, path: DataFrame, phis: str = "phis", y: str = "y", n_terms: int = 1, weight: str | None = None) -> DataFrame:
     """lambda_idx, lambda and off: by how much, as a share of its lambda, a fit misses the conditions of its minimum.
 
     The slope of the summed loss must be lambda against the sign of a term that
     is in, at most lambda for one that is not, and nothing for the intercept.
+    Equal rows are scored once; a row counts ``weight`` times, once without it.
     """
-    scored = select.score_path(rows, path, phis)
-    slope = lambda x: F.sum((F.col("p") - F.col(y)) * x)
+    scored = select.score_path(select.tallied(rows, [phis, y], weight), path, phis)
+    slope = lambda x: F.sum(F.col("w") * (F.col("p") - F.col(y)) * x)
     agg = scored.groupBy("lambda_idx", "lambda", "betas").agg(F.array(*[slope(F.get(phis, F.lit(k))) for k in range(n_terms)]).alias("g"), F.abs(slope(F.lit(1.0))).alias("g0"))
     miss = F.transform(F.arrays_zip("g", "betas"), lambda z: F.when(z["betas"] != 0, F.abs(z["g"] + F.col("lambda") * F.signum(z["betas"]))).otherwise(F.greatest(F.abs(z["g"]) - F.col("lambda"), F.lit(0.0))))
     return agg.select("lambda_idx", "lambda", (F.greatest(F.array_max(miss), "g0") / F.col("lambda")).alias("off"))

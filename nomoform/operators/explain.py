@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import exact_percentiles
+from ..functions.ranks import counted_percentiles
 from ..functions.scalars import sigmoid, stable_logit
+from ..functions.storage import staged
 
 
 def contributions(responses: DataFrame, betas: DataFrame) -> DataFrame:
@@ -47,12 +48,12 @@ def mean_contributions(contrib: DataFrame) -> DataFrame:
     return m.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("mean_abs", 9)), "term")))
 
 
-def quartiles(contrib: DataFrame, terms: list[int]) -> DataFrame:
-    """Quartiles, mean and extremes of each term's contributions; the terms are a handful."""
-    wide = contrib.select(*[F.when(F.col("term") == t, F.col("c")).alias(f"t{t}") for t in terms])
-    q = exact_percentiles(wide, wide.columns, [0.25, 0.5, 0.75])
-    table = contrib.sparkSession.createDataFrame([(t, *q[f"t{t}"]) for t in terms], "term int, q1 double, median double, q3 double")
-    return F.broadcast(table).join(contrib.groupBy("term").agg(F.avg("c").alias("mean"), F.min("c").alias("min"), F.max("c").alias("max")), "term")
+def quartiles(contrib: DataFrame) -> DataFrame:
+    """Quartiles, mean and extremes of each term's contributions, from the counts of its distinct ones."""
+    counts = staged(contrib.where("c is not null").groupBy("term", "c").agg(F.count("*").alias("n")), "contribution-counts")
+    q = counted_percentiles(counts, "c", "n", ["term"], {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    mean = F.sum(F.col("c") * F.col("n")) / F.sum("n")
+    return q.join(counts.groupBy("term").agg(mean.alias("mean"), F.min("c").alias("min"), F.max("c").alias("max")), "term")
 
 
 def interaction_matrix(contrib: DataFrame, pairs: dict[int, tuple[int, int]]) -> DataFrame:

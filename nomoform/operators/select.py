@@ -22,6 +22,11 @@ def lambda_path(n: int = 100, high: float = 1000.0, low: float = 0.001) -> list[
     return [math.exp(math.log(high) + (math.log(low) - math.log(high)) * i / (n - 1)) for i in range(n)]
 
 
+def tallied(rows: DataFrame, cols: list[str], weight: str | None = None) -> DataFrame:
+    """The distinct rows of ``cols`` with w, how many there are (or the sum of ``weight``): sums over them are sums over all rows."""
+    return rows.groupBy(*cols).agg((F.count("*") if weight is None else F.sum(weight)).alias("w"))
+
+
 @dataclass(frozen=True)
 class Slopes:
     """What one pass over the rows gives at some coefficients: loss, its gradient and, for ``terms``, its second derivatives.
@@ -107,7 +112,8 @@ AHEAD = 4
 
 
 def fit_path(
-    df: DataFrame, phis: str, y: str, lambdas: list[float], max_terms: int = 100, batch: int = 10, tolerance: float = 5e-4, passes: list[dict] | None = None, most_passes: int = 50
+    df: DataFrame, phis: str, y: str, lambdas: list[float], max_terms: int = 100, batch: int = 10, tolerance: float = 5e-4, passes: list[dict] | None = None, most_passes: int = 50,
+    weight: str | None = None,
 ) -> DataFrame:
     """lambda_idx, lambda, intercept, betas: the minimum of the summed loss plus lambda times the betas, per lambda.
 
@@ -121,9 +127,10 @@ def fit_path(
     missing. ``tolerance`` is the share of lambda by which a fit may miss the
     conditions of its minimum. ``passes`` gets lambda_idx and the number of terms
     of each pass. The path ends after the batch in which any lambda has enough
-    terms. A table without rows has no path; responses are never null.
+    terms. A table without rows has no path; responses are never null. A row
+    counts ``weight`` times, once without it.
     """
-    rows = df.groupBy(F.col(phis).alias("x"), F.col(y).cast("double").alias("y")).agg(F.count("*").cast("double").alias("w"))
+    rows = tallied(df, [phis, y], weight).select(F.col(phis).alias("x"), F.col(y).cast("double").alias("y"), F.col("w").cast("double").alias("w"))
     rows = staged(rows, "path-rows").persist()
     totals = rows.agg(F.sum("w"), F.sum(F.col("w") * F.col("y")), F.max(F.size("x"))).first()
     out, counts = [], []
@@ -183,13 +190,14 @@ def score_path(rows: DataFrame, path: DataFrame, phis: str = "phis") -> DataFram
     return rows.crossJoin(F.broadcast(path)).withColumn("p", sigmoid(F.col("intercept") + dot))
 
 
-def path_metrics(rows: DataFrame, path: DataFrame, phis: str = "phis", y: str = "y", places: int = 9) -> DataFrame:
-    """lambda_idx, auc, log_loss, brier of every lambda on ``rows``, which are scored once.
+def path_metrics(rows: DataFrame, path: DataFrame, phis: str = "phis", y: str = "y", places: int = 9, weight: str | None = None) -> DataFrame:
+    """lambda_idx, auc, log_loss, brier of every lambda on ``rows``, of which equal ones are scored once.
 
-    Scores are counted to ``places`` decimals, so that sums in another order tie alike.
+    Scores are counted to ``places`` decimals, so that sums in another order tie
+    alike. A row counts ``weight`` times, once without it.
     """
-    scored = score_path(rows, path, phis).withColumn("p", rounded(F.col("p"), places))
-    counts = staged(score_counts(scored, "p", y, ["lambda_idx"]), "path-counts")
+    scored = score_path(tallied(rows, [phis, y], weight), path, phis).withColumn("p", rounded(F.col("p"), places))
+    counts = staged(score_counts(scored, "p", y, ["lambda_idx"], F.col("w")), "path-counts")
     return auc(counts, ["lambda_idx"]).join(count_losses(counts, ["lambda_idx"]), "lambda_idx")
 
 

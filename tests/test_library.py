@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from nomoform.functions import quantiles
 from nomoform.functions.scalars import sigmoid
-from nomoform.operators import chain, clean, columns, decompose, encode, evaluate, nomogram, prepare, profile, score, select, split, train
+from nomoform.operators import chain, clean, columns, decompose, encode, evaluate, explain, nomogram, prepare, profile, score, select, split, train
 from nomoform.plans.frames import li
 from nomoform.sources import tables
 from nomoform.streaming.scoring import score_stream
@@ -464,3 +464,34 @@ def test_feature_catalogue(spark):
     assert nomogram.feature_catalogue(df.where("false"), ["age"], ["age"], {}).collect()[0]["dense_idx"] == 0
     with pytest.raises(ValueError, match="original"):
         nomogram.feature_catalogue(df, ["age", "g"], ["age"], {"g": ["g_b"]})
+
+
+def test_counted_rows_stand_for_all_rows_on_a_path(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(-2, 3, (600, 2)).astype(float), rng.integers(0, 2, 600)
+    rows = spark.createDataFrame([(r.tolist(), int(t)) for r, t in zip(x, y)], "phis array<double>, y int")
+    few = select.tallied(rows, ["phis", "y"])
+    assert few.count() <= 50 and few.agg(F.sum("w")).first()[0] == 600
+    paths = [select.fit_path(rows, "phis", "y", [20.0, 2.0]), select.fit_path(few, "phis", "y", [20.0, 2.0], weight="w")]
+    got = [sorted((r["lambda_idx"], r["intercept"], *r["betas"]) for r in p.collect()) for p in paths]
+    assert np.allclose(*got)
+    by = lambda d, *cols: [tuple(r) for r in d.orderBy("lambda_idx").select(*cols).collect()]
+    assert np.allclose(by(select.path_metrics(rows, paths[0]), "auc", "log_loss", "brier"), by(select.path_metrics(few, paths[0], weight="w"), "auc", "log_loss", "brier"))
+    assert np.allclose(by(chain.kkt(rows, paths[0], n_terms=2), "off"), by(chain.kkt(few, paths[0], n_terms=2, weight="w"), "off"))
+
+
+def test_quartiles_of_contributions_against_numpy(spark):
+    rng = np.random.default_rng(6)
+    values = {0: rng.normal(size=257), 1: rng.integers(-3, 4, 400).astype(float), 2: np.array([1.5])}
+    rows = [(i, t, float(c)) for t, v in values.items() for i, c in enumerate(v)] + [(999, 1, None)]
+    got = {r["term"]: r for r in explain.quartiles(spark.createDataFrame(rows, "id long, term int, c double")).collect()}
+    assert set(got) == set(values)
+    for t, v in values.items():
+        assert np.allclose([got[t][c] for c in ("q1", "median", "q3", "mean", "min", "max")], [*np.percentile(v, [25, 50, 75]), v.mean(), v.min(), v.max()])
+
+
+def test_selection_reads_line_items_once(spark):
+    from nomoform.plans import selection
+
+    plan = selection.path_with_auc(spark, SF)._jdf.queryExecution().toString()
+    assert "lineitem" not in plan and "path-auc" in plan
