@@ -100,17 +100,28 @@ def _boot(spark, sf):
     return evaluate.count_replicates(staged(counts, "score-counts"), 20)
 
 
-@query("WITH " + SOC + _BOOT + f" SELECT {_CI('auc')} FROM {auc_sql('g', 'b')}")
+_W = " + ".join(f"(k >= {t})::INT" for t in evaluate.POISSON)
+_ROWS = ", bo AS (SELECT b, y, p, (" + _W + ")::BIGINT AS w FROM (SELECT b, y, p, " + draw_sql("(id || '-' || b)", 7, "boot") + " AS k FROM soc, range(1, 21) r(b)) WHERE " + "(" + _W + ") > 0)"
+_ROWS += ", g AS (SELECT b, p, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS pos, sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS neg FROM bo GROUP BY b, p)"
+
+
+def _resampled(spark, sf):
+    """b, p, pos, neg of 20 replicates in which every row is drawn for by itself."""
+    rows = evaluate.replicates(scored_oc(spark, sf).select("id", "y", "p"), "id", 20)
+    return evaluate.score_counts(rows, by=["b"], weight=F.col("w"))
+
+
+@query("WITH " + SOC + _ROWS + f" SELECT {_CI('auc')} FROM {auc_sql('g', 'b')}")
 def bootstrap_auc_ci(spark, sf):
-    return tidy(evaluate.interval(evaluate.auc(_boot(spark, sf), ["b"], 8), "auc"))
+    return tidy(evaluate.interval(evaluate.auc(_resampled(spark, sf), ["b"], 8), "auc"))
 
 
 _BROC = ", ro AS (SELECT b, p, sum(neg) OVER (PARTITION BY b ORDER BY p DESC) / sum(neg) OVER (PARTITION BY b) AS fpr, sum(pos) OVER (PARTITION BY b ORDER BY p DESC) / sum(pos) OVER (PARTITION BY b) AS tpr FROM g)"
 
 
-@query("WITH " + SOC + _BOOT + _BROC + f" SELECT k, {_CI('tpr')} FROM {grid_sql('ro', 'b')} GROUP BY k")
+@query("WITH " + SOC + _ROWS + _BROC + f" SELECT k, {_CI('tpr')} FROM {grid_sql('ro', 'b')} GROUP BY k")
 def bootstrap_roc_band(spark, sf):
-    grid = evaluate.roc_on_grid(evaluate.roc_points(_boot(spark, sf), ["b"], 8), 21, ["b"])
+    grid = evaluate.roc_on_grid(evaluate.roc_points(_resampled(spark, sf), ["b"], 8), 21, ["b"])
     return tidy(evaluate.interval(grid, "tpr", ["k"]))
 
 
