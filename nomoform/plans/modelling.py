@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
 from ..functions.storage import staged
-from ..operators import encode, evaluate, profile, split, train
+from ..operators import encode, evaluate, profile, select, split, train
 from .frames import LI_FEATURES, SLI, SOC, draw_sql, labelled_li, li, r6, scored_li, scored_oc
 from .registry import query
 from .tabular import tidy
@@ -172,21 +172,23 @@ def overwrite_labels(spark, sf):
 
 
 def _scaled(spark, sf):
-    x = labelled_li(spark, sf)
+    x = labelled_li(spark, sf).select("id", *LI_FEATURES, "y", "p")
     return encode.fit_scaler(x, LI_FEATURES).transform(x)
 
 
-def _near_truth(scored, truth: str = "p", slack: float = 0.02):
+def _near_truth(scored, truth: str = "p", slack: float = 0.02, weight: str | None = None):
     """One row: whether the AUC of q, a model's score on rows it has not seen, comes close to that of the score the labels were drawn by."""
-    each = scored.select("y", F.inline(F.array(*[F.struct(F.lit(n).alias("of"), F.col(c).alias("p")) for n, c in (("model", "q_model"), ("truth", truth))])))
-    found = staged(evaluate.auc(evaluate.score_counts(each, by=["of"]), ["of"]), "fit-auc")
+    counted = F.lit(1).cast("long") if weight is None else F.col(weight)
+    each = scored.select("y", counted.alias("w"), F.inline(F.array(*[F.struct(F.lit(n).alias("of"), F.col(c).alias("p")) for n, c in (("model", "q_model"), ("truth", truth))])))
+    found = staged(evaluate.auc(evaluate.score_counts(each, by=["of"], weight=F.col("w")), ["of"]), "fit-auc")
     at = lambda n: F.max(F.when(F.col("of") == n, F.col("auc")))
     return found.agg(((at("model") > at("truth") - slack) & (at("truth") > 0.7)).alias("near_truth"))
 
 
 def _fit(spark, sf, kind, **params):
     """A model fitted on one part and judged on another."""
-    parts = split.split_random(labelled_li(spark, sf), "id").withColumnRenamed("p", "truth").persist()
+    rows = split.split_random(labelled_li(spark, sf).select("id", *LI_FEATURES, "y", "p"), "id")
+    parts = staged(rows.withColumnRenamed("p", "truth").drop("id"), "fit-rows")
     learn = parts.where("split = 'train'") if "validationIndicatorCol" not in params else parts.where("split <> 'test'").withColumn(params["validationIndicatorCol"], F.col("split") == "val")
     fitted = train.fit_model(learn, LI_FEATURES, "y", kind, **params)
     scored = train.with_probability(fitted, parts.where("split = 'test'")).withColumnRenamed("p", "q_model")
@@ -214,10 +216,11 @@ def fit_forest(spark, sf):
 
 
 def _network(spark, sf, mask=None):
-    parts = split.split_random(_scaled(spark, sf), "id").withColumnRenamed("p", "truth").persist()
+    rows = split.split_random(_scaled(spark, sf), "id").withColumnRenamed("p", "truth")
+    parts = staged(select.tallied(rows, ["split", "y", "truth", *LI_FEATURES]), "network-rows")
     one, two = parts.where("split = 'train'"), parts.where("split = 'test'")
-    net = train.fit_network(one, LI_FEATURES, "y", mask=mask, epochs=60, test=two)
-    return net, _near_truth(parts.where("split = 'val'").withColumn("q_model", net.score({f: F.col(f) for f in LI_FEATURES})), "truth")
+    net = train.fit_network(one, LI_FEATURES, "y", mask=mask, epochs=60, test=two, weight="w")
+    return net, _near_truth(parts.where("split = 'val'").withColumn("q_model", net.score({f: F.col(f) for f in LI_FEATURES})), "truth", weight="w")
 
 
 @query("SELECT TRUE AS near_truth")
@@ -228,7 +231,7 @@ def fit_network(spark, sf):
 @query("SELECT TRUE AS near_truth, TRUE AS auc_rose, TRUE AS loss_fell")
 def fit_network_batches(spark, sf):
     """Steps over batches of rows; the history's sketched AUC and loss of rows held back."""
-    parts = split.split_random(_scaled(spark, sf), "id").withColumnRenamed("p", "truth").persist()
+    parts = staged(split.split_random(_scaled(spark, sf), "id").withColumnRenamed("p", "truth"), "network-parts")
     one, two, history = parts.where("split = 'train'"), parts.where("split = 'test'"), []
     size = max(512, one.count() // 5)  # five steps an epoch at any size
     net = train.fit_network(one, LI_FEATURES, "y", epochs=13, rate=0.05 * train.BASE_BATCH / size, test=two, history=history, batch=size, id_="id")

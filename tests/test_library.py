@@ -495,3 +495,17 @@ def test_selection_reads_line_items_once(spark):
 
     plan = selection.path_with_auc(spark, SF)._jdf.queryExecution().toString()
     assert "lineitem" not in plan and "path-auc" in plan
+
+
+def test_network_takes_counted_rows(spark):
+    """Counted rows give the network of all rows, with and without batches, and a step sees distinct rows only."""
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 4, 800)
+    df = spark.createDataFrame([(i, float(v), float(i % 3), int(rng.random() < v / 4)) for i, v in enumerate(a)], "id long, a double, b double, y int")
+    few, histories = select.tallied(df, ["a", "b", "y"]), ([], [])
+    assert few.count() <= 24
+    nets = [train.fit_network(d, ["a", "b"], "y", epochs=6, history=h, test=d, weight=w) for d, h, w in ((df, histories[0], None), (few, histories[1], "w"))]
+    assert np.allclose(nets[0].w1, nets[1].w1) and np.allclose(nets[0].w2, nets[1].w2) and np.isclose(nets[0].b2, nets[1].b2)
+    assert all(np.isclose(x[k], y[k]) for x, y in zip(*histories) for k in x)
+    batched = [train.fit_network(d, ["a", "b"], "y", epochs=3, batch=100, id_="b", weight=w) for d, w in ((df, None), (few, "w"))]
+    assert np.allclose(batched[0].w1, batched[1].w1)
