@@ -2,7 +2,8 @@
 
 Chunks that do not overlap miss a quarter of the repeated lines: where a chunk
 ends depends on lines outside a short passage. The chunks here start and end by
-lines of their own and may overlap. Windows of two lines find all passages.
+lines of their own and may overlap. Windows of two lines find the passages that
+chunks leave.
 """
 
 from __future__ import annotations
@@ -22,6 +23,10 @@ MIN_LINES = 2
 WORDED = r"[^\x20\x09-\x0D]"
 
 
+#: What tells a unit from others.
+_PLACE = ["doc_id", "t1", "t2", "no"]
+
+
 def _number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
 
@@ -66,7 +71,7 @@ def _with_key(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("t1"), F.hash("text").alias("t2"), "text")
 
 
-def repeated(units: DataFrame, at: Column) -> DataFrame:
+def repeated(units: DataFrame, at: Column, known: DataFrame | None = None) -> DataFrame:
     """The rows of ``units`` whose body occurs before, in the order of ``at``.
 
     ``units``: doc_id, t1, t2, no, body and others. Hashes are counted
@@ -74,7 +79,8 @@ def repeated(units: DataFrame, at: Column) -> DataFrame:
     bodies out of the comparison, which groups by the text itself. A hot body is
     dealt over slices, and its count and first place are repeated for each. Hot
     hashes are fewer than HOT_KEYS, as each has over that share of all copies, so
-    their broadcast is bounded at any size.
+    their broadcast is bounded at any size. Units of ``known`` (doc_id, t1, t2, no)
+    are left out; none of them may be the first of its body.
     """
     keyed = units.withColumn("h", F.xxhash64("body"))
     often = cut(keyed.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "line-counts")
@@ -83,6 +89,9 @@ def repeated(units: DataFrame, at: Column) -> DataFrame:
     slices = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")
     own = F.pmod(F.xxhash64("doc_id", "t1", "no"), F.col("slices")).cast("int")
     some = may_hold(keyed, cut(hash_bitmap(often), "line-bitmap"))
+    if known is not None:
+        k = known.select(*[F.col(c).alias(f"k_{c}") for c in _PLACE])
+        some = some.join(k.hint("merge"), [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in _PLACE], "left_anti")
     dealt = some.join(F.broadcast(hot), "h", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn("slice", own)
     maybe = cut(dealt, "line-chunks")
     first = maybe.groupBy("h", "body").agg(F.min(at).alias("first"), F.max("slices").alias("slices"), F.count("*").alias("n")).where("n > 1")
@@ -118,13 +127,17 @@ def _without(docs: DataFrame, gone: DataFrame, added: dict[str, Column]) -> Data
     )
 
 
-def _drops(docs: DataFrame, parts: Column, place: list[str]) -> DataFrame:
-    """doc_id, t1, t2, chunks (how many go) and drop (numbers of lines): the rows with parts that occur before.
+def _later(docs: DataFrame, parts: Column, place: list[str], known: DataFrame | None = None) -> DataFrame:
+    """doc_id, t1, t2, no, last of the parts that occur before, without those of ``known``.
 
     Parts are ordered by doc_id, a null one being the largest, and then by ``place``.
     """
     rows = _with_key(docs).select("doc_id", "t1", "t2", F.inline(parts))
-    later = repeated(rows, F.struct(F.col("doc_id").isNull(), "doc_id", *place))
+    return repeated(rows, F.struct(F.col("doc_id").isNull(), "doc_id", *place), known).drop("body")
+
+
+def _drops(later: DataFrame) -> DataFrame:
+    """doc_id, t1, t2, chunks (how many go) and drop (numbers of lines) of the rows with parts that occur before."""
     lines = F.flatten(F.collect_set(F.sequence("no", "last")))
     return later.groupBy("doc_id", "t1", "t2").agg(F.count_distinct("no").alias("chunks"), F.array_distinct(lines).alias("drop"))
 
@@ -142,7 +155,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     more worded lines loses all of those. A removed line has an equal one before
     it, so the first of equal lines always stays. An empty table gives no rows.
     """
-    gone = cut(_drops(docs, chunks(F.col("text")), ["no"]), "line-drops")
+    gone = cut(_drops(_later(docs, chunks(F.col("text")), ["no"])), "line-drops")
     return _without(docs, gone, {"n_removed_chunks": F.coalesce("gone.chunks", F.lit(0).cast("long"))})
 
 
@@ -167,13 +180,18 @@ def windows(text: Column) -> Column:
 def passage_dedup(docs: DataFrame) -> DataFrame:
     """Remove every passage of two or more worded lines that occurred before, anywhere in the table.
 
-    A passage is found by its windows of two neighbouring worded lines, blank
-    lines between them included, so no boundary can hide one; blank lines at its
-    ends stay. "Before" is a smaller doc_id (a null one is the largest), then a
+    Content-defined chunks find most passages. A second pass finds what boundaries
+    of chunks hide, by windows of two neighbouring worded lines, blank lines
+    between them included; blank lines at a passage's ends stay. It leaves out the
+    windows within a chunk that goes: each has an equal one in the chunk before,
+    so none is the first of its body and the result is that of all windows. "Before" is a smaller doc_id (a null one is the largest), then a
     hash of the text, then an earlier line. A removed line has an equal one
     before it, so the first of equal lines always stays. Rows with equal doc_id
     and text count as one. Adds n_lines and n_removed_lines and replaces text;
     other columns pass through. A null text stays null.
     """
-    gone = _drops(docs, windows(F.col("text")), ["t1", "t2", "no"])
+    place = ["t1", "t2", "no"]
+    by_chunk = cut(_later(docs, chunks(F.col("text")), place), "chunk-repeats")
+    within = by_chunk.select("doc_id", "t1", "t2", F.explode(F.sequence("no", F.col("last") - 1)).alias("no"))
+    gone = _drops(by_chunk.unionByName(_later(docs, windows(F.col("text")), place, within)))
     return _without(docs, cut(gone, "passage-drops"), {})

@@ -101,3 +101,25 @@ def test_passages_of_any_place_and_id_go(spark):
     got = sorted(t for _, t in run([(None, body + "\nend x"), (None, body + "\nend y"), (None, "own p\nown q\nown r")]))
     own = "own p\nown q\nown r"
     assert got in (sorted([body + "\nend x", "end y", own]), sorted(["end x", body + "\nend y", own]))
+
+
+def test_chunks_find_most_passages_and_windows_the_rest(spark, monkeypatch):
+    """The pipeline's line dedup goes through content-defined chunks; the windows pass sees no window of a chunk that goes."""
+    from nomoform.llm import linededup
+
+    seen = []
+    inner = linededup.repeated
+
+    def spied(units, at, known=None):
+        out = inner(units, at, known).persist()
+        seen.append((known is not None, out.count()))
+        return out
+
+    monkeypatch.setattr(linededup, "repeated", spied)
+    body = "\n".join(f"line {i} of one text" for i in range(40))
+    rows = [(d, f"own line {d}\n{body}\nlast {d}", None, None, 0) for d in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(texts_of(corpus_pipeline.line_dedup(spark, docs, SF)))
+    assert got == brute_passages([r[:2] for r in rows])
+    (first, by_chunk), (second, by_window) = seen
+    assert not first and second and by_chunk > 5 * by_window
