@@ -38,16 +38,16 @@ def with_arrays(rows: DataFrame, features: list[str], responses: DataFrame) -> D
 def nomogram_phase(parts: DataFrame, features: list[str], scorer: FrameScorer, lambdas: list[float], ratio: float = 0.99, max_terms: int = 100) -> tuple[Phase, DataFrame]:
     """A phase fitted on the training part and chosen on the test part, and ``parts`` with p_sum, its probability.
 
-    ``parts``: split (train, test, val), y and the features as doubles. The
+    ``parts``: split (train, test, val), y, the features as doubles and w, how many rows are equal. The
     background is the training part; responses cover the values of all parts.
     """
     which = decompose.terms(features)
     fit = parts.where("split = 'train'")
     grid = decompose.value_grid(decompose.background(parts, features), which)
-    responses = staged(decompose.lebesgue(fit, features, scorer, grid), "phase-responses")
+    responses = staged(decompose.lebesgue(fit, features, scorer, grid, weight="w"), "phase-responses")
     rows = staged(with_arrays(parts, features, responses), "phase-rows")
-    path = staged(select.fit_path(rows.where("split = 'train'"), "phis", "y", lambdas, max_terms), "phase-path")
-    test = select.path_metrics(rows.where("split = 'test'"), path)
+    path = staged(select.fit_path(rows.where("split = 'train'"), "phis", "y", lambdas, max_terms, weight="w"), "phase-path")
+    test = select.path_metrics(rows.where("split = 'test'"), path, weight="w")
     pick = select.select_max_auc(path.join(F.broadcast(test), "lambda_idx"), ratio).first()["lambda_idx"]
     row = path.where(F.col("lambda_idx") == pick).first()  # one lambda's coefficients
     betas = {t: b for t, b in enumerate(row["betas"]) if abs(b) > select.THRESHOLD}
@@ -60,24 +60,28 @@ def two_phases(
 ) -> tuple[Phase, Phase, DataFrame]:
     """Both phases and every row with p of the four stages.
 
+    All stages work on the distinct rows of split, y and the features with their
+    counts; only the scaler and the scores joined back at the end see all rows.
     Features are scaled by the training part for the network; its score and the
     first one see the same values, as the scaling is part of the network's scorer.
     """
     parts = parts.withColumns({f: F.col(f).cast("double") + F.lit(0.0) for f in features})
-    first, rows = nomogram_phase(parts, features, scorer, lambdas)
+    groups = staged(select.tallied(parts, ["split", "y", *features]), "phase-groups")
+    first, rows = nomogram_phase(groups, features, scorer, lambdas)
     pairs = {t: (features.index(a), features.index(b)) for t, a, b in decompose.terms(features) if b}
     seen = select.mask_terms(set(first.betas), pairs)
     mask = np.zeros((len(features), nodes * len(seen)))
     for k, (_, fs) in enumerate(seen):
         mask[list(fs), k * nodes : (k + 1) * nodes] = 1
     scaler = fit_scaler(parts.where("split = 'train'"), features)
-    scaled = scaler.transform(parts)
-    net = train.fit_network(scaled.where("split = 'train'"), features, "y", mask=mask, epochs=epochs, test=scaled.where("split = 'test'"))
+    scaled = scaler.transform(groups)
+    net = train.fit_network(scaled.where("split = 'train'"), features, "y", mask=mask, epochs=epochs, test=scaled.where("split = 'test'"), weight="w")
     at = lambda v: {f: (v[f] - scaler.fitted[f][0]) / (scaler.fitted[f][1] * scaler.sd_scale) if f in scaler.fitted else v[f] for f in features}
     network = column_scorer(features, lambda v: net.score(at(v)))
     rows = network.add(scorer.add(rows.withColumnRenamed("p_sum", "model_nomogram")).withColumnRenamed("p", "model")).withColumnRenamed("p", "network")
     second, out = nomogram_phase(staged(rows, "phase-scores"), features, network, network_lambdas or lambdas)
-    return first, second, out.withColumnRenamed("p_sum", "network_nomogram")
+    scores = staged(out.withColumnRenamed("p_sum", "network_nomogram").dropDuplicates(features).select(*features, *evaluate.STAGES), "phase-stages")
+    return first, second, parts.join(scores, features)
 
 
 def summary(scored: DataFrame, first: Phase, second: Phase, n_features: int, replicates: int = 100) -> DataFrame:

@@ -509,3 +509,11 @@ def test_network_takes_counted_rows(spark):
     assert all(np.isclose(x[k], y[k]) for x, y in zip(*histories) for k in x)
     batched = [train.fit_network(d, ["a", "b"], "y", epochs=3, batch=100, id_="b", weight=w) for d, w in ((df, None), (few, "w"))]
     assert np.allclose(batched[0].w1, batched[1].w1)
+
+
+def test_weighted_background_is_that_of_all_rows(spark):
+    df = spark.createDataFrame([(float(i * i % 5), float(i % 3)) for i in range(60)], "a double, b double")
+    few = select.tallied(df, ["a", "b"])
+    f = lambda at: sigmoid(at["a"] * 0.3 + at["a"] * at["b"] * 0.2)
+    one, two = (sorted((r["term"], r["vi"], r["vj"] or 0.0, r["phi"]) for r in decompose.lebesgue(d, ["a", "b"], f, weight=w).collect()) for d, w in ((df, None), (few, "w")))
+    assert few.count() < 60 and np.allclose(one, two)
