@@ -517,3 +517,12 @@ def test_weighted_background_is_that_of_all_rows(spark):
     f = lambda at: sigmoid(at["a"] * 0.3 + at["a"] * at["b"] * 0.2)
     one, two = (sorted((r["term"], r["vi"], r["vj"] or 0.0, r["phi"]) for r in decompose.lebesgue(d, ["a", "b"], f, weight=w).collect()) for d, w in ((df, None), (few, "w")))
     assert few.count() < 60 and np.allclose(one, two)
+
+
+def test_trees_take_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(train, "MOST_ROWS", 100)
+    df = spark.range(0, 950, numPartitions=1).withColumn("x", F.rand(1))
+    dealt = train.dealt_evenly(df)
+    assert dealt.count() == 950 and dealt.rdd.getNumPartitions() == 10
+    assert train.dealt_evenly(spark.range(0, 60, numPartitions=40)).rdd.getNumPartitions() == 1
+    assert max(r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) <= 110
