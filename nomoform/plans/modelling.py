@@ -189,12 +189,21 @@ def _fit(spark, sf, kind, **params):
     """A model fitted on one part and judged on another."""
     rows = split.split_random(labelled_li(spark, sf).select("id", *LI_FEATURES, "y", "p"), "id")
     parts = staged(rows.withColumnRenamed("p", "truth").drop("id"), "fit-rows")
-    learn = parts.where("split = 'train'") if "validationIndicatorCol" not in params else parts.where("split <> 'test'").withColumn(params["validationIndicatorCol"], F.col("split") == "val")
-    fitted = train.fit_model(learn, LI_FEATURES, "y", kind, **params)
+    fitted = train.fit_model(parts.where("split = 'train'"), LI_FEATURES, "y", kind, **params)
     scored = train.with_probability(fitted, parts.where("split = 'test'")).withColumnRenamed("p", "q_model")
     return _near_truth(scored, "truth").withColumn("model", F.lit(kind))
 
 
+def _fit_early(spark, sf, kind):
+    """A model that stops by the rows of val, fitted and judged on distinct rows with their counts."""
+    rows = split.split_random(labelled_li(spark, sf).select("id", *LI_FEATURES, "y", "p"), "id").withColumnRenamed("p", "truth")
+    parts = staged(select.tallied(rows, ["split", "y", "truth", *LI_FEATURES]), "fit-rows")
+    learn = parts.where("split <> 'test'").withColumn("held", F.col("split") == "val")
+    fitted = train.fit_model(learn, LI_FEATURES, "y", kind, weight="w", validationIndicatorCol="held")
+    scored = train.with_probability(fitted, parts.where("split = 'test'")).withColumnRenamed("p", "q_model")
+    return _near_truth(scored, "truth", weight="w").withColumn("model", F.lit(kind))
+
+
 def _is_near(kind: str) -> str:
     return f"SELECT '{kind}' AS model, TRUE AS near_truth"
 
@@ -207,7 +216,7 @@ def fit_logreg(spark, sf):
 @query(_is_near("gbt"))
 def fit_gbt(spark, sf):
     """All defaults, up to 280 trees, stopped early by the rows of val."""
-    return _fit(spark, sf, "gbt", validationIndicatorCol="held")
+    return _fit_early(spark, sf, "gbt")
 
 
 @query(_is_near("forest"))

@@ -526,3 +526,49 @@ def test_trees_take_tasks_of_bounded_rows(spark, monkeypatch):
     assert dealt.count() == 950 and dealt.rdd.getNumPartitions() == 10
     assert train.dealt_evenly(spark.range(0, 60, numPartitions=40)).rdd.getNumPartitions() == 1
     assert max(r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) <= 110
+
+
+def _shared_rows(spark):
+    """40 kinds of rows, each 1 to 157 times, some held back, with labels that a score draws."""
+    rng = np.random.default_rng(11)
+    few = [(float(a), float(b), int(y), bool(h), int(n)) for a in range(5) for b in range(4) for y in (0, 1) for h, n in [(False, rng.integers(1, 40 + 30 * (y if a * b > 3 else 1 - y)))]]
+    few += [(a, b, y, True, 1 + n // 3) for a, b, y, _, n in few]
+    df = spark.createDataFrame(few, "a double, b double, y int, held boolean, n long")
+    return df, df.select("a", "b", "y", "held", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
+
+
+def test_trees_boosted_on_groups_are_those_of_all_rows(spark, monkeypatch):
+    few, rows = _shared_rows(spark)
+    taken, dealt = [], train.dealt_evenly
+    monkeypatch.setattr(train, "dealt_evenly", lambda df: taken.append(df.count()) or dealt(df))
+    monkeypatch.setattr(train, "STRIDE", 5, raising=False)
+    for more in ({"maxIter": 7}, {"maxIter": 60, "stepSize": 0.9, "minInstancesPerNode": 30, "validationIndicatorCol": "held"}):
+        how = {"subsamplingRate": 1.0, "featureSubsetStrategy": "all", "validationTol": 0.0, **more}
+        want = train.Pipeline(stages=[train.VectorAssembler(inputCols=["a", "b"], outputCol="_x"), train.MODELS["gbt"](featuresCol="_x", labelCol="y", **how)]).fit(rows)
+        one = train.fit_model(rows, ["a", "b"], "y", "gbt", **how)
+        assert max(taken) <= few.count() < rows.count() / 10
+        for got in (one, train.fit_model(few, ["a", "b"], "y", "gbt", weight="n", **how)):
+            assert got.stages[-1].getNumTrees == want.stages[-1].getNumTrees
+            p, q = ([r["p"] for r in train.with_probability(m, few.orderBy("a", "b", "y", "held")).collect()] for m in (got, want))
+            assert np.allclose(p, q, atol=1e-9)
+    assert want.stages[-1].getNumTrees < 60
+
+
+def test_every_row_is_drawn_for_in_boosting(spark):
+    few, _ = _shared_rows(spark)
+    drawn = few.withColumn("k", train.rows_drawn(F.col("n"), F.md5(F.concat_ws(":", "a", "b", "y", "held")), 0.75, 400)).collect()
+    for r in drawn:
+        assert abs(np.mean(r["k"]) - 0.75 * r["n"]) < 5 * np.sqrt(0.1875 * r["n"] / 400) and max(r["k"]) <= r["n"]
+    assert np.isclose(np.mean([np.var(r["k"]) / (0.1875 * r["n"]) for r in drawn]), 1, atol=0.1)
+    assert len({tuple(r["k"]) for r in drawn if r["n"] > 5}) == sum(r["n"] > 5 for r in drawn)
+    huge = few.withColumn("n", F.col("n") * 10**9)  # a billion rows for each of some
+    model = train.fit_model(huge, ["a", "b"], "y", "gbt", weight="n", maxIter=3)
+    again = train.fit_model(huge.repartition(7), ["a", "b"], "y", "gbt", weight="n", maxIter=3)
+    p, q = ([r["p"] for r in train.with_probability(m, few.orderBy("a", "b", "y", "held")).collect()] for m in (model, again))
+    assert model.stages[-1].getNumTrees == 3 and np.allclose(p, q) and len(set(p)) > 4
+
+
+def test_rows_that_differ_are_boosted_one_by_one(spark):
+    df = spark.range(300).select(F.col("id").cast("double").alias("a"), (F.col("id") >= 150).cast("int").alias("y"), F.lit(2).cast("long").alias("n"))
+    model = train.fit_model(df, ["a"], "y", "gbt", weight="n", maxIter=3)
+    assert evaluate.auc(evaluate.score_counts(train.with_probability(model, df))).first()[0] > 0.99
